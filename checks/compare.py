@@ -17,6 +17,11 @@ from checks.fixtures import TABLES  # noqa: E402
 from jobmeter.session import local_session  # noqa: E402
 
 
+TYPES = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+}
+
+
 def cell(value: object) -> object:
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
@@ -38,6 +43,10 @@ def difference(spark_df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None
     names = [d[0] for d in result.description]
     if sorted(names) != sorted(spark_df.columns):
         return f"columns {sorted(spark_df.columns)} != {sorted(names)}"
+    types = {d[0]: str(d[1]) for d in result.description}
+    for name, kind in spark_df.dtypes:
+        if TYPES.get(kind) != types[name].split("(")[0]:
+            return f"type of {name}: {kind} != {types[name]}"
     order = sorted(names)
     expected = Counter(
         tuple(cell(row[names.index(c)]) for c in order) for row in result.fetchall()

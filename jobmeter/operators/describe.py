@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Width of the first, logarithmic buckets and number of linear buckets in the second step.
+# Steps per unit of the first, logarithmic buckets; linear buckets of each later pass; rows up to
+# which a bucket's distinct values are sorted by one task.
 LOG_STEPS = 200
 LINEAR_STEPS = 4096
+SORTABLE_ROWS = 1_000_000
+
+
+@dataclass(frozen=True)
+class Hit:
+    """A bucket that holds wanted ranks: all of the metric's values from ``low`` to ``high``."""
+
+    metric: str
+    low: float
+    high: float
+    rows: int
+    before: int
+    ranks: tuple[int, ...]
 
 
 def long_values(df: DataFrame, metrics: Mapping[str, Column]) -> DataFrame:
@@ -28,11 +44,6 @@ def _log_bucket(value: Column) -> Column:
     return F.floor(F.signum(value) * size).cast("long")
 
 
-def _linear_bucket(value: Column, low: Column, high: Column) -> Column:
-    width = high - low
-    return F.when(width > 0, F.floor((value - low) / width * LINEAR_STEPS)).otherwise(F.lit(0))
-
-
 def _histogram(values: DataFrame) -> DataFrame:
     """Logarithmic buckets of every metric: rows, extremes, rows before, and the metric's moments.
 
@@ -59,8 +70,7 @@ def _histogram(values: DataFrame) -> DataFrame:
         F.max("high").over(metric).alias("max"),
     )
     return totals.select(
-        "metric", "b1", "n", "low", "high", _rows_before("metric", "b1").alias("before"),
-        stats.alias("stats"),
+        "metric", "n", "low", "high", _rows_before("metric", "b1").alias("before"), stats.alias("stats")
     )
 
 
@@ -71,7 +81,7 @@ def _rows_before(*keys: str) -> Column:
     return F.sum("n").over(upto) - F.col("n")
 
 
-def _hits(table: DataFrame) -> DataFrame:
+def _wanted(table: DataFrame) -> DataFrame:
     """Keep the buckets that hold a wanted rank; ``ranks`` shrinks to the ranks inside."""
     inside = F.filter(
         "ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n"))
@@ -79,45 +89,94 @@ def _hits(table: DataFrame) -> DataFrame:
     return table.withColumn("ranks", inside).where(F.size("ranks") > 0)
 
 
-def _at_ranks(values: DataFrame, histogram: DataFrame, probs: Sequence[float]) -> DataFrame:
-    """(metric, stats, rank, value) of every rank that a wanted quantile needs.
+def _inside(values: DataFrame, hits: Sequence[Hit]) -> DataFrame:
+    """Rows of ``values`` inside one of the hits, with the hit's number and properties."""
+    number = F.coalesce(
+        *[
+            F.when((F.col("metric") == h.metric) & F.col("value").between(h.low, h.high), F.lit(i))
+            for i, h in enumerate(hits)
+        ]
+    )
+    return values.withColumn("hit", number).where("hit is not null")
+
 
-    Three reads of ``values``, each combined map-side: buckets, finer buckets inside the hit
-    buckets, then the distinct values inside the hit finer buckets. The hit tables hold at most
-    two rows per metric and quantile, which bounds what is broadcast whatever the data size; no
-    task sees more than a bucket table or the distinct values of one fine bucket.
+def _located(counted: DataFrame, hits: Sequence[Hit], order: str) -> list[Hit]:
+    """The buckets of ``counted`` (hit, order, n, low, high) that hold the hits' ranks.
+
+    At most one row per wanted rank reaches the driver.
     """
-    last = F.col("stats.count") - 1
-    wanted = [r for p in probs for r in (F.floor(F.lit(p) * last), F.ceil(F.lit(p) * last))]
-    first = _hits(histogram.withColumn("ranks", F.array_distinct(F.array(*wanted)))).select(
-        "metric", "b1",
-        F.struct("ranks", "low", "high", F.col("before").alias("base"), "stats").alias("hit"),
-    )
-    bucketed = values.withColumn("b1", _log_bucket(F.col("value")))
-    linear = _linear_bucket(F.col("value"), F.col("hit.low"), F.col("hit.high"))
-
-    fine = (
-        bucketed.join(F.broadcast(first), ["metric", "b1"])
-        .groupBy("metric", "b1", linear.alias("b2"))
-        .agg(F.count("*").alias("n"), F.any_value("hit").alias("hit"))
-        .withColumn("before", F.col("hit.base") + _rows_before("metric", "b1", "b2"))
-    )
-    second = _hits(fine.withColumn("ranks", F.col("hit.ranks"))).select(
-        "metric", "b1", "b2",
-        F.struct(
-            "ranks", "hit.low", "hit.high", F.col("before").alias("base"), "hit.stats"
-        ).alias("hit"),
-    )
-    exact = (
-        bucketed.join(F.broadcast(second), ["metric", "b1"])
-        .where(linear == F.col("b2"))
-        .groupBy("metric", "b1", "b2", "value")
-        .agg(F.count("*").alias("n"), F.any_value("hit").alias("hit"))
-        .withColumn("before", F.col("hit.base") + _rows_before("metric", "b1", "b2", "value"))
+    def of_hit(items: list[Column]) -> Column:
+        return F.element_at(F.array(*items), F.col("hit") + 1)
+
+    ranks = of_hit([F.array(*[F.lit(r).cast("long") for r in h.ranks]) for h in hits])
+    before = of_hit([F.lit(h.before).cast("long") for h in hits]) + _rows_before("hit", order)
+    found = _wanted(counted.withColumn("before", before).withColumn("ranks", ranks))
+    return [
+        Hit(hits[r.hit].metric, r.low, r.high, r.n, r.before, tuple(r.ranks))
+        for r in found.select("hit", "low", "high", "n", "before", "ranks").collect()
+    ]
+
+
+def _narrowed(values: DataFrame, hits: Sequence[Hit]) -> list[Hit]:
+    """Split every hit into equal-width buckets and keep those that hold its ranks."""
+    def of_hit(items: list[float]) -> Column:
+        return F.element_at(F.array(*[F.lit(x) for x in items]), F.col("hit") + 1)
+
+    low, width = of_hit([h.low for h in hits]), of_hit([h.high - h.low for h in hits])
+    bucket = F.floor((F.col("value") - low) / width * LINEAR_STEPS)
+    counted = _inside(values, hits).groupBy("hit", bucket.alias("bucket")).agg(
+        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")
     )
-    return _hits(exact.withColumn("ranks", F.col("hit.ranks"))).select(
-        "metric", F.col("hit.stats").alias("stats"), F.explode("ranks").alias("rank"), "value"
+    return _located(counted, hits, "bucket")
+
+
+def _sorted_out(values: DataFrame, hits: Sequence[Hit]) -> list[Hit]:
+    """Rank the distinct values inside the hits: every result is a single value."""
+    counted = (
+        _inside(values, hits)
+        .groupBy("hit", "value")
+        .agg(F.count("*").alias("n"))
+        .withColumns({"low": F.col("value"), "high": F.col("value")})
     )
+    return _located(counted, hits, "value")
+
+
+def _exact_summaries(values: DataFrame, probs: Sequence[float]) -> list[tuple[str, Row, list[float]]]:
+    """(metric, moments, quantiles) of every metric.
+
+    One pass counts logarithmic buckets. Only the few buckets that hold a wanted rank matter after
+    that: a bucket of one value is an answer, a small one has its distinct values ranked, a large
+    one (however skewed the data) is split again until it is small. Each pass is a scan combined
+    map-side; no task sees more than a bucket table or ``SORTABLE_ROWS`` values, and the driver
+    only sees the hit buckets, two per quantile at most.
+    """
+    last = F.col("stats.count") - 1
+    wanted = [r for p in probs for r in (F.floor(F.lit(p) * last), F.ceil(F.lit(p) * last))]
+    first = _wanted(_histogram(values).withColumn("ranks", F.array_distinct(F.array(*wanted)))).collect()
+    stats = {row.metric: row.stats for row in first}
+    open_hits = [Hit(r.metric, r.low, r.high, r.n, r.before, tuple(r.ranks)) for r in first]
+    at: dict[tuple[str, int], float] = {}
+    while open_hits:
+        at |= {(h.metric, r): h.low for h in open_hits if h.low == h.high for r in h.ranks}
+        spread = [h for h in open_hits if h.low < h.high]
+        large = [h for h in spread if h.rows > SORTABLE_ROWS]
+        small = [h for h in spread if h.rows <= SORTABLE_ROWS]
+        open_hits = (_narrowed(values, large) if large else []) + (
+            _sorted_out(values, small) if small else []
+        )
+
+    def quantile(metric: str, p: float) -> float:
+        place = p * (stats[metric]["count"] - 1)
+        low, high = at[metric, floor(place)], at[metric, ceil(place)]
+        return low + (high - low) * (place - floor(place))
+
+    return [(m, row, [quantile(m, p) for p in probs]) for m, row in sorted(stats.items())]
+
+
+SUMMARY_SCHEMA = (
+    "metric string, count bigint, mean double, std double, min double, max double, "
+    "quantiles array<double>"
+)
 
 
 def summarize(
@@ -125,38 +184,23 @@ def summarize(
 ) -> DataFrame:
     """One row per metric: count, mean, std, min, max and an array ``quantiles`` in ``probs`` order.
 
-    Quantiles interpolate linearly between ranks. ``exact=False`` takes them from Spark's bounded
-    sketch in a single pass instead.
+    Quantiles interpolate linearly between ranks and the table is computed at once.
+    ``exact=False`` takes quantiles from Spark's bounded sketch instead, lazily and in one pass.
     """
     values = long_values(df, metrics)
-    if not exact:
-        return values.groupBy("metric").agg(
-            F.count("*").alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-            F.percentile_approx("value", list(probs)).alias("quantiles"),
-        )
-    points = (
-        _at_ranks(values, _histogram(values), probs)
-        .groupBy("metric")
-        .agg(
-            F.any_value("stats").alias("stats"),
-            F.map_from_entries(F.collect_set(F.struct("rank", "value"))).alias("at"),
-        )
-        .select("metric", "stats.*", "at")
-    )
-
-    def quantile(p: float) -> Column:
-        place = F.lit(p) * (F.col("count") - 1)
-        low = F.try_element_at("at", F.floor(place))
-        high = F.try_element_at("at", F.ceil(place))
-        return low + (high - low) * (place - F.floor(place))
-
-    return points.select(
-        "metric", "count", "mean", "std", "min", "max",
-        F.array(*[quantile(p) for p in probs]).alias("quantiles"),
+    if exact:
+        rows = [
+            (m, s["count"], s["mean"], s["std"], s["min"], s["max"], q)
+            for m, s, q in _exact_summaries(values, probs)
+        ]
+        return df.sparkSession.createDataFrame(rows, SUMMARY_SCHEMA)
+    return values.groupBy("metric").agg(
+        F.count("*").alias("count"),
+        F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+        F.percentile_approx("value", list(probs)).alias("quantiles"),
     )
 
 
