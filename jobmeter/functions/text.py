@@ -6,18 +6,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Plain decimal and whole numbers; anything else (suffixes, hex, inf, nan) is not a number here.
-DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
-WHOLE = r"^\s*[+-]?[0-9]+\s*$"
+DECIMAL = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
+WHOLE = r"^\s*([+-]?[0-9]+)\s*$"
+
+# The expressions below mention their input as few times as possible: Spark evaluates a nested
+# expression once per mention.
+
+
+def _captured(text: Column, pattern: str) -> Column:
+    """First group of a pattern, null without a match (a failing cast of '' would be slow)."""
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
 def decimal_or_null(text: Column) -> Column:
     """Text to double, null when it is not a plain decimal number."""
-    return F.when(text.rlike(DECIMAL), F.trim(text).try_cast("double"))
+    return _captured(text, DECIMAL).try_cast("double")
 
 
 def whole_or_null(text: Column) -> Column:
     """Text to long, null when it is not a plain whole number."""
-    return F.when(text.rlike(WHOLE), F.trim(text).try_cast("long"))
+    return _captured(text, WHOLE).try_cast("long")
 
 
 def to_numeric(column: Column) -> Column:
@@ -34,23 +42,24 @@ def _null_if_empty(text: Column) -> Column:
     return F.when(text != "", text)
 
 
+def _factor(unit: Column, factors: dict[str, float]) -> Column:
+    """Look a unit up; null when it is unknown."""
+    pairs = [F.lit(x) for pair in factors.items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), unit)
+
+
 def requested_memory_gb(text: Column) -> Column:
     """Accounting memory text to GB: no unit means M, nothing readable means 0, T is unknown."""
-    pattern = r"^\s*([0-9.]+)\s*([GMK]?B?)"
     upper = F.upper(text)
-    value = decimal_or_null(F.regexp_extract(upper, pattern, 1))
-    unit = F.regexp_extract(upper, pattern, 2)
-    scaled = (
-        F.when(unit.startswith("G"), value)
-        .when(unit.startswith("K"), value / (1024.0 * 1024.0))
-        .otherwise(value / 1024.0)
-    )
-    return F.coalesce(scaled, F.lit(0.0))
+    value = _captured(upper, r"^\s*([0-9.]+)").try_cast("double")
+    unit = F.regexp_extract(upper, r"^\s*[0-9.]+\s*([GK])", 1)
+    factor = F.coalesce(_factor(unit, {"G": 1.0, "K": 1.0 / 1024**2}), F.lit(1.0 / 1024))
+    return F.coalesce(value * factor, F.lit(0.0))
 
 
 def _resource(text: Column, key: str) -> Column:
     """Value of the last ``key=value`` entry of a comma list; '' when the key is absent."""
-    return strip(F.regexp_extract(text, rf"^(?:.*,)?\s*{key}\s*=([^,]*)", 1))
+    return F.regexp_extract(text, rf"^(?:.*,)?\s*{key}\s*=([^,]*)", 1)
 
 
 def _has_resource(text: Column, key: str) -> Column:
@@ -89,13 +98,10 @@ def script_memory_gb(text: Column) -> Column:
     upper = F.upper(text)
     value = decimal_or_null(F.regexp_replace(upper, r"[^0-9.]", ""))
     unit = strip(F.regexp_replace(upper, r"[0-9.]", ""))
-    return (
-        F.when(unit.isin("K", "KB"), value / (1024 * 1024))
-        .when(unit.isin("M", "MB"), value / 1024)
-        .when(unit.isin("", "G", "GB"), value)
-        .when(unit.isin("T", "TB"), value * 1024)
-        .when(unit.isin("P", "PB"), value * 1024 * 1024)
-    )
+    factors = {"": 1.0}
+    for letter, factor in zip("KMGTP", (1.0 / 1024**2, 1.0 / 1024, 1.0, 1024.0, 1024.0**2)):
+        factors |= {letter: factor, f"{letter}B": factor}
+    return value * _factor(unit, factors)
 
 
 def walltime_hours(text: Column) -> Column:
