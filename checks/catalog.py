@@ -139,11 +139,9 @@ def _shown_times(df: DataFrame) -> DataFrame:
 
 def _directive_lines(x: Inputs) -> DataFrame:
     """Every directive of every script with its value text."""
-    lines = x.scripts.select("script_id", F.explode(F.split("sbatchText", scripts.LINE_END)).alias("line"))
-    found = lines.where(scripts.strip(F.col("line")).startswith("#SBATCH"))
-    directive = scripts.strip(F.regexp_replace(scripts.strip(F.col("line")), "^#SBATCH", ""))
-    return found.select("script_id", directive.alias("directive")).withColumn(
-        "text", scripts._value(F.col("directive"))
+    found = F.explode(scripts.directives(F.col("sbatchText"))).alias("directive")
+    return x.scripts.select("script_id", found).withColumn(
+        "text", scripts.directive_value(F.col("directive"))
     )
 
 

@@ -33,9 +33,12 @@ def to_numeric(column: Column) -> Column:
     return decimal_or_null(column.cast("string"))
 
 
+WHITE = " \t\n\r\f\x0b"
+
+
 def strip(text: Column) -> Column:
     """Remove white space (not only blanks) at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def _null_if_empty(text: Column) -> Column:
@@ -104,20 +107,32 @@ def script_memory_gb(text: Column) -> Column:
     return value * _factor(unit, factors)
 
 
+# [D-]H[:M[:S]] without minus signs, and H[:M[:S]] with two or more of them.
+CLOCK = (
+    r"^\s*(?:\+?([0-9]+)\s*-)?\s*\+?([0-9]+)\s*"
+    r"(?::\s*\+?([0-9]+)\s*)?(?::\s*\+?([0-9]+)\s*)?$"
+)
+SIGNED_CLOCK = r"^(?=.*-.*-)\s*[+-]?[0-9]+\s*(:\s*[+-]?[0-9]+\s*){0,2}$"
+
+
+def _sexagesimal(hours: Column, minutes: Column, seconds: Column) -> Column:
+    return hours + minutes / 60 + seconds / 3600
+
+
 def walltime_hours(text: Column) -> Column:
-    """``D-HH:MM:SS``, ``HH:MM:SS``, ``HH:MM`` or ``HH`` to hours, else null."""
-    trimmed = strip(text)
-    dashed = F.size(F.split(trimmed, "-")) == 2
-    days = F.when(dashed, F.split_part(trimmed, F.lit("-"), F.lit(1))).otherwise(F.lit("0"))
-    clock = F.when(dashed, F.split_part(trimmed, F.lit("-"), F.lit(2))).otherwise(trimmed)
-    readable = days.rlike(WHOLE) & clock.rlike(r"^\s*[+-]?[0-9]+\s*(:\s*[+-]?[0-9]+\s*){0,2}$")
+    """``D-HH:MM:SS``, ``HH:MM:SS``, ``HH:MM`` or ``HH`` to hours, else null.
 
+    A single dash always ends the days; with more dashes they are signs of the clock parts.
+    """
     def part(n: int) -> Column:
-        return F.coalesce(whole_or_null(F.split_part(clock, F.lit(":"), F.lit(n))), F.lit(0))
+        return F.concat(F.lit("0"), F.regexp_extract(text, CLOCK, n)).cast("double")
+
+    def signed(n: int) -> Column:
+        return F.coalesce(whole_or_null(F.split_part(text, F.lit(":"), F.lit(n))), F.lit(0))
 
-    return F.when(
-        readable, whole_or_null(days) * 24 + part(1) + part(2) / 60 + part(3) / 3600
-    ).cast("double")
+    usual = part(1) * 24 + _sexagesimal(part(2), part(3), part(4))
+    odd = _sexagesimal(signed(1), signed(2), signed(3)).cast("double")
+    return F.when(text.rlike(CLOCK), usual).when(text.rlike(SIGNED_CLOCK), odd)
 
 
 def runtime_hours_text(text: Column) -> Column:
@@ -154,7 +169,5 @@ def node_prefix(nodes: Column) -> Column:
 
 def gpu_request_count(directive: Column) -> Column:
     """GPU count of a ``--gres`` directive: the last all-digit ``:`` segment of a gpu request."""
-    body = strip(F.regexp_replace(directive, r"^--gres", ""))
-    value = F.when(body.contains("="), F.regexp_replace(body, r"^[^=]*=", "")).otherwise(body)
-    digits = F.regexp_extract(value, r"^(?:.*:)?([0-9]+)(?::.*)?$", 1)
-    return F.when(value.contains("gpu"), whole_or_null(digits))
+    value = F.regexp_replace(directive, r"^--gres(?:[^=]*=|\s*)", "")
+    return _captured(value, r"^(?=.*gpu)(?:.*:)?([0-9]+)(?::.*)?$").try_cast("long")
