@@ -490,7 +490,7 @@ QUERIES: dict[str, Query] = {
     "job_emissions": lambda x: forecast.job_emissions(x.zoned, x.readings),
     "analyze_jobs": _analyze_jobs,
     "insights": _insights,
-    "text_summary": lambda x: analyze.text_summary(x.flat),
+    "text_summary": lambda x: analyze.text_summary(analyze.analyze_jobs(x.flat)),
 }
 
 

@@ -12,11 +12,19 @@ from jobmeter.session import checkpointed
 def value_counts(df: DataFrame, column: str, share_digits: int | None = None) -> DataFrame:
     """Rows per non-null value of ``column`` with their share of *all* rows, most frequent first.
 
-    Columns: ``column``, job_count, percentage, distinct_values. The totals come from the counted
-    table, so the input is read once; null is filtered by its counter because a filter on the
-    column itself would be pushed into only one of the two uses and cost a second scan.
+    Columns: ``column``, job_count, percentage, distinct_values.
     """
     counted = df.groupBy(column).agg(F.count("*").alias("job_count"), F.count(column).alias("known"))
+    return with_shares(counted, column, share_digits)
+
+
+def with_shares(counted: DataFrame, column: str, share_digits: int | None = None) -> DataFrame:
+    """``value_counts`` from a table (column, job_count, known) that includes the null group.
+
+    The totals come from the counted table, so the input is read once; null is filtered by its
+    counter because a filter on the column itself would be pushed into only one of the two uses
+    and cost a second scan.
+    """
     totals = counted.agg(
         F.struct(
             F.sum("job_count").alias("all_rows"), F.count_if(F.col("known") > 0).alias("values")

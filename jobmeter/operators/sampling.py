@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobmeter.constants import FOLDS, MAX_SAMPLES, SEED
@@ -22,21 +23,18 @@ def sample_cap(
     """At most ``max_samples`` rows, the ones with the smallest seeded hash of their keys.
 
     The same rows come out in every run and on every cluster layout. A first pass counts the hashes
-    below 32 halving thresholds (one row per task); only rows below the tightest threshold that
-    still holds enough are ordered, about twice the sample, so no task orders the table.
+    by their bit length (at most 32 rows per task); only rows up to the shortest length that still
+    holds enough are ordered, about twice the sample, so no task orders the table.
     """
     if ignore_limits:
         return df
     digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
-    number = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    limits = [1 << bits for bits in range(32, 0, -1)]
-    counts = df.select(number.alias("_n")).agg(
-        *[F.count_if(F.col("_n") < limit).alias(f"c{limit}") for limit in limits]
-    )
-    enough = [F.when(F.col(f"c{limit}") >= max_samples, F.lit(limit)) for limit in limits]
-    cut = counts.select(F.coalesce(F.least(*enough), F.lit(limits[0])).alias("cut"))
+    bits = F.length(F.bin(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")))
+    upto = F.sum("count").over(W.orderBy("bits").rowsBetween(W.unboundedPreceding, W.currentRow))
+    lengths = df.groupBy(bits.alias("bits")).count().withColumn("upto", upto)
+    enough = lengths.agg(F.coalesce(F.min(F.when(F.col("upto") >= max_samples, F.col("bits"))), F.lit(32)))
     return (
-        df.where(number < cut.scalar())
+        df.where(bits <= enough.scalar())
         .withColumn("_digest", digest)
         .orderBy("_digest")
         .limit(max_samples)

@@ -59,20 +59,32 @@ def directive_value(directive: Column) -> Column:
     )
 
 
-def _readings(directive: Column, value: Column) -> dict[str, tuple[str, Column]]:
-    """Option prefix and parsed value (null when invalid) behind every directive column."""
-    text = F.when(value != "", value)
-    return {
-        "partition_name": ("--partition", text),
-        "node_count": ("--nodes", whole_or_null(value)),
-        "cpu_cores_per_task": ("--cpus-per-task", whole_or_null(value)),
-        "task_count": ("--ntasks", whole_or_null(value)),
-        "gpu_count": ("--gres", gpu_request_count(directive)),
-        "memory_gigabytes_total": ("--mem", script_memory_gb(value)),
-        "memory_gigabytes_per_cpu": ("--mem-per-cpu", script_memory_gb(value)),
-        "walltime_hours": ("--time", walltime_hours(value)),
-        "nodelist": ("--nodelist", text),
-    }
+def _text(value: Column) -> Column:
+    return F.when(value != "", value)
+
+
+# Option prefix, what is parsed (the value, or the whole directive), and the parser, which gives
+# null for an invalid text.
+OPTIONS = {
+    "partition_name": ("--partition", "value", _text),
+    "node_count": ("--nodes", "value", whole_or_null),
+    "cpu_cores_per_task": ("--cpus-per-task", "value", whole_or_null),
+    "task_count": ("--ntasks", "value", whole_or_null),
+    "gpu_count": ("--gres", "directive", gpu_request_count),
+    "memory_gigabytes_total": ("--mem", "value", script_memory_gb),
+    "memory_gigabytes_per_cpu": ("--mem-per-cpu", "value", script_memory_gb),
+    "walltime_hours": ("--time", "value", walltime_hours),
+    "nodelist": ("--nodelist", "value", _text),
+}
+
+
+def _last_valid(name: str) -> Column:
+    """Last valid value of an option among the row's ``_pairs`` of directive and value."""
+    prefix, field, parse = OPTIONS[name]
+    mine = F.filter("_pairs", lambda pair: pair["directive"].startswith(prefix))
+    parsed = F.transform(mine, lambda pair: parse(pair[field]))
+    valid = F.filter(parsed, lambda x: x.isNotNull())
+    return F.try_element_at(valid, F.lit(-1)).cast(DIRECTIVES[name]).alias(name)
 
 
 def parse_sbatch(df: DataFrame, text: str = "sbatchText") -> DataFrame:
@@ -83,17 +95,10 @@ def parse_sbatch(df: DataFrame, text: str = "sbatchText") -> DataFrame:
     shuffle, however long a script is or however often it repeats.
     """
     pairs = F.transform(
-        directives(F.col(text)), lambda d: F.struct(d.alias("d"), directive_value(d).alias("v"))
+        directives(F.col(text)),
+        lambda d: F.struct(d.alias("directive"), directive_value(d).alias("value")),
     )
-
-    def last_valid(name: str) -> Column:
-        prefix = _readings(F.lit(""), F.lit(""))[name][0]
-        mine = F.filter("_pairs", lambda p: p["d"].startswith(prefix))
-        parsed = F.transform(mine, lambda p: _readings(p["d"], p["v"])[name][1])
-        valid = F.filter(parsed, lambda x: x.isNotNull())
-        return F.try_element_at(valid, F.lit(-1)).cast(DIRECTIVES[name]).alias(name)
-
-    return df.withColumn("_pairs", pairs).select(*df.columns, *[last_valid(n) for n in DIRECTIVES])
+    return df.withColumn("_pairs", pairs).select(*df.columns, *[_last_valid(n) for n in DIRECTIVES])
 
 
 def total_cores() -> Column:

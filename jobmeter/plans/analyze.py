@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from jobmeter.functions import times
 from jobmeter.operators import daily, reports
 from jobmeter.operators.describe import describe, summarize
-from jobmeter.operators.ranking import top_k, value_counts
+from jobmeter.operators.ranking import top_k, value_counts, with_shares
 from jobmeter.operators.usage import START_DAY
+from jobmeter.session import materialize
 
 REPORTED_COLUMNS = ("START", "End", "Elapsed", "NCPUS", "State")
 
@@ -71,20 +72,18 @@ def _days(jobs: DataFrame) -> DataFrame:
     return (
         jobs.select(moment.alias("_at"), bad.alias("_bad"))
         .groupBy(times.day_text(F.col("_at")).alias(START_DAY))
-        .agg(
-            F.count("*").alias("job_count"),
-            F.min("_at").alias("_first"),
-            F.max("_at").alias("_last"),
-            F.count_if("_bad").alias("_spoilt"),
-            F.count("_at").alias("_dated"),
-        )
+        .agg(*_day_columns(F.col("_at"), F.col("_bad")))
     )
 
 
 def jobs_per_day(jobs: DataFrame) -> DataFrame:
     """Jobs per day and the average over days with jobs; the average counts undated rows too."""
+    return _daily_patterns(_days(jobs))
+
+
+def _daily_patterns(days: DataFrame) -> DataFrame:
     whole = daily.all_rows()
-    days = _days(jobs).withColumns(
+    days = days.withColumns(
         {
             "_all": F.sum("job_count").over(whole),
             "_with": F.count_if(F.col("_dated") > 0).over(whole),
@@ -98,9 +97,12 @@ def jobs_per_day(jobs: DataFrame) -> DataFrame:
 
 def date_range(jobs: DataFrame) -> DataFrame:
     """First and last time and the number of days with jobs."""
+    return _range(_days(jobs))
+
+
+def _range(days: DataFrame) -> DataFrame:
     return (
-        _days(jobs)
-        .agg(
+        days.agg(
             F.min("_first").alias("_first"),
             F.max("_last").alias("_last"),
             F.count_if(F.col("_dated") > 0).alias("total_days"),
@@ -189,72 +191,146 @@ def peak_days(jobs: DataFrame) -> DataFrame:
     return daily.peak_days(jobs_per_day(jobs))
 
 
-def text_summary(jobs: DataFrame, exact: bool = True) -> DataFrame:
-    """Headline (position, metric, value) rows as text."""
+def _day_columns(moment: Column, bad: Column) -> list[Column]:
+    return [
+        F.count("*").alias("job_count"),
+        F.min(moment).alias("_first"),
+        F.max(moment).alias("_last"),
+        F.count_if(bad).alias("_spoilt"),
+        F.count(moment).alias("_dated"),
+    ]
+
+
+def group_counts(jobs: DataFrame) -> DataFrame:
+    """Rows per day, state, partition and user in one pass (grouping sets), missing groups included.
+
+    ``_set`` names the grouping; the result has one row per group.
+    """
+    keys = {c: F.col(c).cast("string") for c in ("State", "Partition", "hashed_user") if _has(jobs, c)}
+    moment, bad = F.lit(None).cast("timestamp"), F.lit(False)
+    if _dated(jobs):
+        moment, bad = _day_source(jobs)
+        keys[START_DAY] = times.day_text(moment)
+    keyed = jobs.select(
+        *[c.alias(k) for k, c in keys.items()], moment.alias("_at"), bad.alias("_bad")
+    )
+    mask = F.grouping_id(*keys)
+    names = list(keys)
+    label = F.coalesce(
+        *[
+            F.when(mask == (1 << len(names)) - 1 - (1 << (len(names) - 1 - i)), F.lit(k))
+            for i, k in enumerate(names)
+        ]
+    )
+    sets = [[F.col(k)] for k in names]
+    return keyed.groupingSets(sets, *[F.col(k) for k in names]).agg(
+        label.alias("_set"), *_day_columns(F.col("_at"), F.col("_bad"))
+    )
+
+
+def _dated(jobs: DataFrame) -> bool:
+    method = times.runtime_method(jobs)
+    return method == "START_End" or (method == "Elapsed" and _has(jobs, "Submit"))
+
+
+def analyze_jobs(jobs: DataFrame, exact: bool = True) -> dict[str, DataFrame]:
+    """Every section that the present columns allow.
+
+    The rows are read by one pass for all totals, one for all counts by group, and the passes of
+    ``describe`` for all distributions together. The totals and counts are written to the shared
+    folder (they have one row, and one row per group), and the sections are views of them.
+    """
+    method = times.runtime_method(jobs)
+    core_hours = method == "START_End" and _has(jobs, "NCPUS")
+    timed = with_runtime(jobs)
+
+    # Totals.
+    with_gpu = F.count_if(F.col("NGPUs") > 0) if _has(jobs, "NGPUs") else F.lit(0)
+    spent = F.sum(F.col("hours") * F.col("NCPUS")) if core_hours else F.lit(0.0)
+    totals = materialize(
+        timed.agg(
+            F.count("*").alias("total_jobs"),
+            F.coalesce(spent, F.lit(0.0)).alias("total"),
+            with_gpu.cast("long").alias("gpu_jobs"),
+        ),
+        "totals",
+    )
+    flags = [F.lit(_has(jobs, c)).alias(f"has_{c.lower()}") for c in REPORTED_COLUMNS]
+    sections = {"metadata": totals.select("total_jobs", *flags)}
+    if core_hours:
+        average = F.try_divide(F.col("total"), F.col("total_jobs"))
+        sections["cpu_hours"] = totals.select("total", average.alias("average_per_job"))
+    if _has(jobs, "NGPUs"):
+        sections["gpu_jobs"] = totals.select(
+            "gpu_jobs",
+            F.try_divide(F.col("gpu_jobs") * 100.0, F.col("total_jobs")).alias("gpu_percentage"),
+            (F.col("total_jobs") - F.col("gpu_jobs")).alias("cpu_only_jobs"),
+        )
+
+    # Distributions.
+    measured = {c: F.col(c) for c in ("NCPUS", "NGPUs") if _has(jobs, c)}
+    if method is not None:
+        measured["hours"] = F.col("hours")
+    if measured:
+        stats = describe(timed, measured, exact)
+        if method is not None:
+            sections["runtime_analysis"] = stats.where("metric = 'hours'").withColumn(
+                "method", F.lit(method)
+            )
+        for c, section in (("NCPUS", "cpu_cores"), ("NGPUs", "gpu_statistics")):
+            if c in measured:
+                sections[section] = stats.where(F.col("metric") == c)
+
+    # Counts by group.
+    grouped = {"State": "job_states", "Partition": "partition_analysis", "hashed_user": "user_analysis"}
+    present = [c for c in grouped if _has(jobs, c)]
+    if present or _dated(jobs):
+        counts = materialize(group_counts(jobs), "counts")
+        for c in present:
+            known = F.when(F.col(c).isNotNull(), F.col("job_count")).otherwise(F.lit(0))
+            counted = counts.where(F.col("_set") == c).select(c, "job_count", known.alias("known"))
+            shares = with_shares(counted, c, share_digits=2 if c == "State" else None)
+            sections[grouped[c]] = top_k(shares, "job_count", c, 20) if c == "hashed_user" else shares
+        if _dated(jobs):
+            days = counts.where(F.col("_set") == START_DAY)
+            sections["date_range"] = _range(days)
+            sections["daily_patterns"] = _daily_patterns(days)
+    return sections
+
+
+def text_summary(sections: dict[str, DataFrame]) -> DataFrame:
+    """Headline (position, metric, value) rows as text, from the sections of ``analyze_jobs``."""
     def line(position: int, name: str, value: Column) -> Column:
         return F.struct(
             F.lit(position).alias("position"), F.lit(name).alias("metric"),
             value.cast("string").alias("value"),
         )
 
-    def lines(df: DataFrame, *rows: Column) -> DataFrame:
-        return df.select(F.inline(F.array(*rows)))
-
     def fixed(value: Column, digits: int) -> Column:
         return F.format_string(f"%.{digits}f", value.cast("double"))
 
-    parts = [lines(metadata(jobs), line(0, "Total Jobs", F.col("total_jobs")))]
-    if times.runtime_method(jobs) is not None:
-        span = F.concat_ws(" to ", F.substring("range_start", 1, 10), F.substring("range_end", 1, 10))
-        parts.append(
-            lines(
-                date_range(jobs), line(1, "Date Range", span), line(2, "Total Days", F.col("total_days"))
-            )
-        )
-        average = jobs_per_day(jobs).agg(F.max("average_jobs_per_day").alias("a")).where("a is not null")
-        parts.append(lines(average, line(3, "Average Jobs per Day", fixed(F.col("a"), 1))))
-        parts.append(
-            lines(
-                runtime_describe(jobs, exact),
-                line(4, "Average Duration", fixed(F.col("mean"), 2)),
-                line(5, "Median Duration", fixed(F.col("p50"), 2)),
-            )
-        )
-    if _has(jobs, "State"):
-        success = outcome_rates(jobs).where("outcome = 'COMPLETED'")
-        parts.append(lines(success, line(6, "Success Rate", fixed(F.col("percentage"), 1))))
-    if times.runtime_method(jobs) == "START_End" and _has(jobs, "NCPUS"):
-        parts.append(lines(cpu_hours_total(jobs), line(7, "Total CPU Hours", fixed(F.col("total"), 0))))
+    span = F.concat_ws(" to ", F.substring("range_start", 1, 10), F.substring("range_end", 1, 10))
+    wanted = {
+        "metadata": [line(0, "Total Jobs", F.col("total_jobs"))],
+        "date_range": [line(1, "Date Range", span), line(2, "Total Days", F.col("total_days"))],
+        "daily_patterns": [line(3, "Average Jobs per Day", fixed(F.col("average_jobs_per_day"), 1))],
+        "runtime_analysis": [
+            line(4, "Average Duration", fixed(F.col("mean"), 2)),
+            line(5, "Median Duration", fixed(F.col("p50"), 2)),
+        ],
+        "job_states": [line(6, "Success Rate", fixed(F.col("percentage"), 1))],
+        "cpu_hours": [line(7, "Total CPU Hours", fixed(F.col("total"), 0))],
+    }
+    one_row = {
+        "daily_patterns": lambda df: df.select("average_jobs_per_day").limit(1),
+        "job_states": lambda df: reports.outcome_rates(df).where("outcome = 'COMPLETED'"),
+    }
+    parts = [
+        one_row.get(name, lambda df: df)(sections[name]).select(F.inline(F.array(*rows)))
+        for name, rows in wanted.items()
+        if name in sections
+    ]
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
     return table
-
-
-def analyze_jobs(jobs: DataFrame, exact: bool = True) -> dict[str, DataFrame]:
-    """Every section that the present columns allow, as lazy tables.
-
-    Sections share the input only; pass a table that is cheap to scan (parquet, or one written by
-    ``materialize``). Each section reads just its own columns.
-    """
-    sections = {"metadata": metadata(jobs)}
-    method = times.runtime_method(jobs)
-    if method is not None:
-        sections["runtime_analysis"] = runtime_describe(jobs, exact)
-    if method == "START_End" or (method == "Elapsed" and _has(jobs, "Submit")):
-        sections["date_range"] = date_range(jobs)
-        sections["daily_patterns"] = jobs_per_day(jobs)
-    if method == "START_End" and _has(jobs, "NCPUS"):
-        sections["cpu_hours"] = cpu_hours_total(jobs)
-    if _has(jobs, "State"):
-        sections["job_states"] = state_counts(jobs)
-    if _has(jobs, "NCPUS"):
-        sections["cpu_cores"] = ncpus_describe(jobs, exact)
-    if _has(jobs, "Partition"):
-        sections["partition_analysis"] = partition_counts(jobs)
-    if _has(jobs, "hashed_user"):
-        sections["user_analysis"] = top_users(jobs)
-    if _has(jobs, "NGPUs"):
-        sections["gpu_statistics"] = gpu_describe(jobs, exact)
-        sections["gpu_jobs"] = gpu_job_share(jobs)
-    return sections
