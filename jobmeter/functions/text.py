@@ -6,26 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Plain decimal and whole numbers; anything else (suffixes, hex, inf, nan) is not a number here.
-DECIMAL = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*$"
-WHOLE = r"^\s*([+-]?[0-9]+)\s*$"
+DECIMAL = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
+WHOLE = r"^\s*[+-]?[0-9]+\s*$"
 
 # The expressions below mention their input as few times as possible: Spark evaluates a nested
 # expression once per mention.
 
 
-def _captured(text: Column, pattern: str) -> Column:
-    """First group of a pattern, null without a match (a failing cast of '' would be slow)."""
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-
-
 def decimal_or_null(text: Column) -> Column:
     """Text to double, null when it is not a plain decimal number."""
-    return _captured(text, DECIMAL).try_cast("double")
+    return F.when(text.rlike(DECIMAL), text.try_cast("double"))
 
 
 def whole_or_null(text: Column) -> Column:
     """Text to long, null when it is not a plain whole number."""
-    return _captured(text, WHOLE).try_cast("long")
+    return F.when(text.rlike(WHOLE), text.try_cast("long"))
 
 
 def to_numeric(column: Column) -> Column:
@@ -54,19 +49,37 @@ def _factor(unit: Column, factors: dict[str, float]) -> Column:
 def requested_memory_gb(text: Column) -> Column:
     """Accounting memory text to GB: no unit means M, nothing readable means 0, T is unknown."""
     upper = F.upper(text)
-    value = _captured(upper, r"^\s*([0-9.]+)").try_cast("double")
+    # The leading 0 makes no match a 0 instead of a failing cast.
+    digits = F.regexp_extract(upper, r"^\s*([0-9.]+)", 1)
+    value = F.concat(F.lit("0"), digits).try_cast("double")
     unit = F.regexp_extract(upper, r"^\s*[0-9.]+\s*([GK])", 1)
     factor = F.coalesce(_factor(unit, {"G": 1.0, "K": 1.0 / 1024**2}), F.lit(1.0 / 1024))
     return F.coalesce(value * factor, F.lit(0.0))
 
 
+def _spaced(text: Column) -> Column:
+    """Whether white space may surround the keys of a resource list."""
+    return text.contains(" ") | text.contains("\t") | text.contains("\n") | text.contains("\r")
+
+
 def _resource(text: Column, key: str) -> Column:
-    """Value of the last ``key=value`` entry of a comma list; '' when the key is absent."""
-    return F.regexp_extract(text, rf"^(?:.*,)?\s*{key}\s*=([^,]*)", 1)
+    """Value of the last ``key=value`` entry of a comma list; '' when the key is absent.
+
+    Lists without white space, all that a scheduler writes, are cut at fixed delimiters; a regular
+    expression serves the others.
+    """
+    padded, mark = F.concat(F.lit(","), text), f",{key}="
+    plain = F.when(
+        padded.contains(mark), F.substring_index(F.substring_index(padded, mark, -1), ",", 1)
+    ).otherwise(F.lit(""))
+    spaced = F.regexp_extract(text, rf"^(?:.*,)?\s*{key}\s*=([^,]*)", 1)
+    return F.when(_spaced(text), spaced).otherwise(plain)
 
 
 def _has_resource(text: Column, key: str) -> Column:
-    return text.rlike(rf"(?:^|,)\s*{key}\s*=")
+    return F.when(_spaced(text), text.rlike(rf"(?:^|,)\s*{key}\s*=")).otherwise(
+        F.concat(F.lit(","), text).contains(f",{key}=")
+    )
 
 
 def allocated_cpu(tres: Column) -> Column:
@@ -170,4 +183,5 @@ def node_prefix(nodes: Column) -> Column:
 def gpu_request_count(directive: Column) -> Column:
     """GPU count of a ``--gres`` directive: the last all-digit ``:`` segment of a gpu request."""
     value = F.regexp_replace(directive, r"^--gres(?:[^=]*=|\s*)", "")
-    return _captured(value, r"^(?=.*gpu)(?:.*:)?([0-9]+)(?::.*)?$").try_cast("long")
+    count = F.regexp_extract(value, r"^(?=.*gpu)(?:.*:)?([0-9]+)(?::.*)?$", 1)
+    return F.when(count != "", count.try_cast("long"))
