@@ -13,7 +13,7 @@ from jobmeter.constants import CATEGORICAL_COLUMNS
 from jobmeter.functions import power, text, times
 from jobmeter.operators import carbon, daily, energy, lookups, ranking, reports, sampling, scripts, usage
 from jobmeter.plans import analyze, features as feature_plans, forecast, insights, model
-from jobmeter.session import configure, scratch_path
+from jobmeter.session import configure, materialize, scratch_path
 from jobmeter.sources import readers, writers
 
 Query = Callable[["Inputs"], DataFrame]
@@ -295,11 +295,14 @@ def _rank_codes(x: Inputs) -> DataFrame:
 
 
 def _missingness(x: Inputs) -> DataFrame:
+    # All columns are read three times: the features are written once and scanned from there.
+    features = materialize(x.features, "features")
+    predictions = spark_view(x.spark, "predictions", {"features": features}.__getitem__)
     return insights.missing_report(
         {
-            "features": x.features,
-            "predictions": x.predictions,
-            "merged_records": energy.merge_predictions(x.features, x.predictions),
+            "features": features,
+            "predictions": predictions,
+            "merged_records": energy.merge_predictions(features, predictions),
         }
     )
 

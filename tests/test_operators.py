@@ -263,3 +263,51 @@ def test_folds_keep_users_together(spark):
     assert balanced == 5
     with pytest.raises(ValueError, match="folds"):
         sampling.group_folds(df.where("User = 'big'"), 5)
+
+
+@pytest.fixture
+def shuffled(spark, monkeypatch):
+    """Joins without any broadcast, as for sides beyond the bound."""
+    for module in (carbon, lookups, sampling):
+        monkeypatch.setattr(module, "small_side", lambda df: df)
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in names:
+        spark.conf.set(name, "-1")
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+def test_lookups_without_broadcast(spark, shuffled):
+    test_intensity_asof(spark)
+    test_intensity_lookup(spark)
+    test_label_encode(spark)
+    test_zone_lookup(spark)
+    test_folds_keep_users_together(spark)
+
+
+def test_asof_against_brute_force(spark):
+    rng = random.Random(11)
+    zones = ["A", "A", "A", "B", "C"]
+    noted = {(rng.choice(zones), rng.randrange(0, 9 * 86400)): float(rng.randrange(100)) for _ in range(300)}
+    base = 1_704_067_200
+    table = spark.createDataFrame(
+        [(z, base + s, v) for (z, s), v in noted.items()], "zone string, s bigint, carbon_intensity double"
+    ).select("zone", F.timestamp_seconds("s").alias("reading_ts"), "carbon_intensity")
+    jobs = [(i, rng.choice(zones), rng.randrange(-86400, 12 * 86400)) for i in range(500)]
+    df = spark.createDataFrame([(i, z, base + s) for i, z, s in jobs], "i int, zone string, s bigint").select(
+        "i", "zone", F.timestamp_seconds("s").alias("Start")
+    )
+    for bucket in (3600, 700):
+        out = {r.i: r[carbon.INTENSITY] for r in carbon.intensity_asof(df, table, bucket_seconds=bucket).collect()}
+        for i, zone, s in jobs:
+            before = [(t, v) for (z, t), v in noted.items() if z == zone and t <= s]
+            assert out[i] == (max(before)[1] if before else 300.0)
+
+
+def test_materialized_table_keeps_schema(spark):
+    from jobmeter.session import materialize
+
+    df = spark.createDataFrame([(1, "a", 2.0), (2, "b", None)], "n int, day string, x double")
+    out = materialize(df, "t", partition_by="day")
+    assert sorted(tuple(r) for r in out.select(*df.columns).collect()) == [(1, "a", 2.0), (2, "b", None)]
