@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmeter.llm import lines, mixing
+from jobmeter.llm import lines, mixing, near_copies, packing
 from jobmeter.llm.tables import documents
 
 
@@ -17,6 +17,17 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    return packing.digests(packing.pack(documents(spark, sf_dir)))
+
+
+def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document among near copies."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return near_copies.near_copies(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document without repeated lines."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -27,7 +38,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (op3_mixing, op9_lines)}
+    return {f.__name__: f for f in (op3_mixing, op6_packing, op8_near_copies, op9_lines)}
 
 
 LINES_SQL = r"""
@@ -53,6 +64,37 @@ FROM decided GROUP BY r, doc_id
 """
 
 
+NEAR_COPIES_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                 END AS s
+  FROM docs
+), items AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets
+), links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b
+  FROM items x JOIN items y ON x.item = y.item AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a
+), least AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, l.component_id, s.doc_id = l.component_id AS kept
+FROM sets s JOIN least l ON s.doc_id = l.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB twins by query name."""
-    return {"op9_lines": LINES_SQL}
+    return {"op8_near_copies": NEAR_COPIES_SQL, "op9_lines": LINES_SQL}
