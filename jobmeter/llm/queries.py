@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmeter.llm import lines, mixing, near_copies, packing
+from jobmeter.llm import language, lines, mixing, near_copies, packing
 from jobmeter.llm.tables import documents
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a quarter of the documents is held out of training."""
+    docs = documents(spark, sf_dir)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language.train(docs.where(~held_out).select("text", "lang"))
+    keyed = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return language.identify(keyed, model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
@@ -38,7 +47,7 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (op3_mixing, op6_packing, op8_near_copies, op9_lines)}
+    return {f.__name__: f for f in (op1_language, op3_mixing, op6_packing, op8_near_copies, op9_lines)}
 
 
 LINES_SQL = r"""
