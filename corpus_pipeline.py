@@ -10,24 +10,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from jobmeter.llm import lines, mixing
+from jobmeter.llm import language, lines, mixing, near_copies, packing
 from jobmeter.session import materialize
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language; null texts and texts without a letter go."""
+    found = language.identify(docs, language.train(docs))
+    return found.where(F.col("lang_pred") != language.UNDETERMINED).select(*docs.columns)
+
+
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many of them share."""
     return lines.drop_repeated_lines(docs).select(*docs.columns)
 
 
+def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; documents without a word are kept."""
+    return near_copies.deduplicated(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
     return mixing.mixed_documents(docs)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in training sequences."""
+    return packing.digests(packing.pack(docs))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", known_language),
     ("lines", unique_lines),
+    ("near_copies", unique_documents),
     ("mixing", mixed),
+    ("packing", packed),
 ]
 
 #: Tokenizers and suffix automata have no SQL form; the stages are tested one by one instead.

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobmeter.llm import language, lines, mixing, near_copies, packing
+from jobmeter.llm import (
+    boilerplate, language, lines, mixing, near_copies, packing, perplexity, posting_lists,
+)
 from jobmeter.llm.tables import documents
 
 
@@ -26,11 +28,25 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows found for every 20th vector."""
+    return posting_lists.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
     return packing.digests(packing.pack(documents(spark, sf_dir)))
 
 
+def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdict of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return perplexity.judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "perplexity", "deviation",
+    )
+
+
 def op8_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document among near copies."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -45,9 +61,19 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return boilerplate.extract(pages).select("page_id", "url", "text", "n_chars", "n_repeated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
-    return {f.__name__: f for f in (op1_language, op3_mixing, op6_packing, op8_near_copies, op9_lines)}
+    found = (
+        op1_language, op3_mixing, op5_posting_lists, op6_packing, op7_perplexity, op8_near_copies, op9_lines,
+        op10_boilerplate,
+    )
+    return {f.__name__: f for f in found}
 
 
 LINES_SQL = r"""
