@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmeter.llm import (
-    boilerplate, language, lines, mixing, near_copies, packing, perplexity, posting_lists,
+    boilerplate, chat, language, lines, mixing, near_copies, packing, perplexity, posting_lists, url_lists,
 )
 from jobmeter.llm.tables import documents
 
@@ -22,12 +22,58 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(keyed, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def url_list_entries(pages: DataFrame) -> DataFrame:
+    """Dated entries over the hosts of the pages: hosts, their registered domains and path beginnings.
+
+    Which hosts are listed, and when, follows from their digests.
+    """
+    host, path = url_lists.host_and_path(F.col("url"))
+    seen = pages.select(host.alias("host"), F.get(path, 0).alias("step")).where("host <> ''").distinct()
+    number = F.conv(F.substring(F.md5("host"), 1, 6), 16, 10).cast("int")
+    keyed = seen.withColumn("x", number)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("x") % 200)
+    domain = F.substring_index("host", ".", -2)
+
+    def entry(rule: Column, name: str, key: Column, action: str, days: int) -> Column:
+        listed = F.date_add(day, days).alias("listed_at")
+        return F.when(
+            rule, F.struct(F.lit(name).alias("list"), key.alias("key"), F.lit(action).alias("action"), listed)
+        )
+
+    x, host, place = F.col("x"), F.col("host"), F.concat_ws("/", "host", "step")
+    rows = F.array(
+        entry(x % 3 < 2, "hosts", host, "block", 0),
+        entry(x % 2 == 0, "hosts", host, "remove", 70),
+        entry(x % 5 < 2, "appeals", host, "allow", 30),
+        entry(x % 7 < 3, "paths", place, "allow", 20),
+        entry(x % 7 < 2, "paths", place, "block", 50),
+        entry(x % 11 < 2, "domains", domain, "block", 100),
+    )
+    return keyed.select(F.inline(F.filter(rows, lambda r: r.isNotNull()))).distinct()
+
+
+def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the lists of its fetch day; the day follows from page_id."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") * 37 % 366).cast("int"))
+    judged = url_lists.judge(pages.withColumn("fetched_at", day), url_list_entries(pages))
+    text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return judged.select("page_id", "url", text("fetched_at"), "decision", "rule", "rule_list", text("rule_from"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from the perspective of each of its speakers."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    span = lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))
+    return chat.perspectives(turns).withColumn("mask", F.array_join(F.transform("mask", span), ","))
+
+
 def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows found for every 20th vector."""
     return posting_lists.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
@@ -70,8 +116,8 @@ def op10_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
     found = (
-        op1_language, op3_mixing, op5_posting_lists, op6_packing, op7_perplexity, op8_near_copies, op9_lines,
-        op10_boilerplate,
+        op1_language, op2_url_lists, op3_mixing, op4_chat, op5_posting_lists, op6_packing, op7_perplexity,
+        op8_near_copies, op9_lines, op10_boilerplate,
     )
     return {f.__name__: f for f in found}
 
@@ -130,6 +176,77 @@ FROM sets s JOIN least l ON s.doc_id = l.doc_id
 """
 
 
+URL_LISTS_SQL = r"""
+WITH parsed AS (
+  SELECT page_id, url,
+         regexp_replace(lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.+$', '') AS host,
+         list_filter(string_split(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?[^/?#:]+(?::[0-9]*)?([^?#]*)', 1), '/'), lambda s: s <> '') AS path,
+         DATE '2024-01-01' + CAST(page_id * 37 % 366 AS INTEGER) AS day
+  FROM pages
+), seen AS (
+  SELECT DISTINCT host, path[1] AS step, CAST('0x' || substr(md5(host), 1, 6) AS INTEGER) AS x FROM parsed WHERE host <> ''
+), dated AS (
+  SELECT *, DATE '2024-01-01' + x % 200 AS d, regexp_extract(host, '([^.]*\.)?[^.]*$') AS domain,
+         host || coalesce('/' || step, '') AS place
+  FROM seen
+), entries AS (
+  SELECT 'hosts' AS list, host AS key, 2 AS strength, d AS valid_from FROM dated WHERE x % 3 < 2
+  UNION SELECT 'hosts', host, 0, d + 70 FROM dated WHERE x % 2 = 0
+  UNION SELECT 'appeals', host, 1, d + 30 FROM dated WHERE x % 5 < 2
+  UNION SELECT 'paths', place, 1, d + 20 FROM dated WHERE x % 7 < 3
+  UNION SELECT 'paths', place, 2, d + 50 FROM dated WHERE x % 7 < 2
+  UNION SELECT 'domains', domain, 2, d + 100 FROM dated WHERE x % 11 < 2
+), strongest AS (
+  SELECT list, key, valid_from, max(strength) AS strength FROM entries GROUP BY list, key, valid_from
+), valid AS (
+  SELECT *, lead(valid_from) OVER (PARTITION BY list, key ORDER BY valid_from) AS valid_to FROM strongest
+), covered AS (
+  SELECT p.page_id, p.url, v.*,
+         row_number() OVER (PARTITION BY p.page_id, p.url ORDER BY len(string_split(v.key, '/')) DESC,
+                            len(string_split(string_split(v.key, '/')[1], '.')) DESC, v.strength DESC,
+                            v.valid_from DESC, v.list) AS place
+  FROM parsed p JOIN valid v
+    ON v.strength > 0 AND v.valid_from <= p.day AND (v.valid_to IS NULL OR p.day < v.valid_to)
+   AND (v.key = p.host OR ends_with(p.host, '.' || v.key)
+        OR starts_with(p.host || '/' || array_to_string(p.path, '/') || '/', v.key || '/') AND contains(v.key, '/'))
+)
+SELECT p.page_id, p.url, strftime(p.day, '%Y-%m-%d') AS fetched_at,
+       CASE WHEN p.host = '' OR p.host IS NULL THEN 'invalid' WHEN c.key IS NULL THEN 'none'
+            WHEN c.strength = 2 THEN 'block' ELSE 'allow' END AS decision,
+       c.key AS rule, c.list AS rule_list, strftime(c.valid_from, '%Y-%m-%d') AS rule_from
+FROM parsed p LEFT JOIN covered c ON c.page_id = p.page_id AND c.url = p.url AND c.place = 1
+"""
+
+CHAT_SQL = r"""
+WITH placed AS (
+  SELECT conv_id, role, replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' AS body,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, substr(text, 1, 32), text) - 1 AS place
+  FROM conversations
+), people AS (
+  SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role <> 'system'
+), rendered AS (
+  SELECT p.conv_id, q.perspective, p.place // 64 AS segment, p.place, p.body, p.role = q.perspective AS mine,
+         '<|im_start|>' || CASE WHEN p.role IS NULL THEN 'user' WHEN p.role = 'system' THEN 'system'
+           WHEN p.role = q.perspective THEN 'assistant'
+           ELSE 'user name=' || regexp_replace(replace(p.role, '<|', '< |'), '\s+', '_', 'g') END || chr(10) AS head
+  FROM placed p JOIN people q ON p.conv_id = q.conv_id
+), offsets AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, segment ORDER BY place
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS start
+  FROM rendered
+)
+SELECT conv_id, perspective, segment::BIGINT AS segment, count(*) AS n_turns,
+       string_agg(head || body || chr(10), '' ORDER BY place) AS text,
+       coalesce(string_agg(start::BIGINT || '-' || (start + length(body))::BIGINT, ',' ORDER BY place) FILTER (WHERE mine), '') AS mask
+FROM offsets GROUP BY conv_id, perspective, segment
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB twins by query name."""
-    return {"op8_near_copies": NEAR_COPIES_SQL, "op9_lines": LINES_SQL}
+    return {
+        "op2_url_lists": URL_LISTS_SQL,
+        "op4_chat": CHAT_SQL,
+        "op8_near_copies": NEAR_COPIES_SQL,
+        "op9_lines": LINES_SQL,
+    }
