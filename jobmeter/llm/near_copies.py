@@ -9,13 +9,16 @@ Documents with equal shingle sets collapse to one node first. Nodes that share a
 No bucket is expanded into pairs: each member is checked against one hub, then members of different
 components are checked where a bound still allows a link. The bound is exact: shingles that occur
 in one node alone cannot be shared, so nodes with c shared and u own shingles have a similarity of
-at most min(c) / (u1 + u2 + max(c)). The hub is the member with the smallest share of own shingles,
+at most min(c) / (u1 + u2 + max(c)); and a shingle that falls on a bit which the other node's bitmap
+does not have is not shared either. The hub is the member with the smallest share of own shingles,
 which leaves little for the second step however large a group of copies is.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ from jobmeter.session import materialize
 SHINGLE = 5
 BANDS, ROWS = 40, 4  # a pair at similarity 0.75 shares no band with probability 2.5e-7
 BINS = BANDS * ROWS
+BITMAP = 32  # 64-bit words of a node's bitmap of shingles
 NO_ID = 2**63 - 1  # stands for a null doc_id; above every other
 
 
@@ -106,15 +110,20 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"node": pa.binary(), "items": pa.binary()}
+    kinds = {"node": pa.binary(), "items": pa.binary(), "bits": pa.list_(pa.int64())}
     for given in batches:
         for _, _, row, value in _sets(given["text"]):
-            if len(row):
-                starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                parts = np.split(value, starts[1:])
-                yield batch(
-                    {"node": _set_ids(value, starts), "items": [p.tobytes() for p in parts]}, kinds
-                )
+            if not len(row):
+                continue
+            starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+            parts = np.split(value, starts[1:])
+            bits = np.zeros((len(parts), BITMAP * 64), np.uint8)
+            bits[np.repeat(np.arange(len(parts)), [len(p) for p in parts]), value % np.uint64(BITMAP * 64)] = 1
+            packed_bits = np.packbits(bits, axis=1).view(np.int64)
+            yield batch(
+                {"node": _set_ids(value, starts), "items": [p.tobytes() for p in parts], "bits": list(packed_bits)},
+                kinds,
+            )
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +159,17 @@ def _possible(x: str, y: str, numerator: int, denominator: int) -> Column:
     return denominator * F.least(c(x), c(y)) >= numerator * (u(x) + u(y) + F.greatest(c(x), c(y)))
 
 
+def _bits_allow(x: str, y: str, numerator: int, denominator: int) -> Column:
+    """Whether the bitmaps of two nodes leave room for a link."""
+
+    def lacking(a: str, b: str) -> Column:
+        words_ = [(F.get(f"{a}_bits", k), F.get(f"{b}_bits", k)) for k in range(BITMAP)]
+        return reduce(operator.add, [F.bit_count(v.bitwiseAND(F.bitwise_not(w))) for v, w in words_])
+
+    both = F.least(F.col(f"{x}_n") - lacking(x, y), F.col(f"{y}_n") - lacking(y, x))
+    return denominator * both >= numerator * (F.col(f"{x}_n") + F.col(f"{y}_n") - both)
+
+
 def near_copies(
     docs: DataFrame,
     *,
@@ -195,12 +215,12 @@ def near_copies(
     near = materialize(shared.select("node").distinct().join(nodes.select("node", "n", "id"), "node"), "near")
 
     texts = narrow.join(small_side(near.select("id").distinct()), "id", "left_semi")
-    sets = texts.select("text").mapInArrow(_full_sets, "node binary, items binary")
+    sets = texts.select("text").mapInArrow(_full_sets, "node binary, items binary, bits array<long>")
     sets = materialize(
         sets.join(near.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets"
     )
     own = (
-        sets.mapInArrow(_items, "node binary, item long")
+        sets.select("node", "items").mapInArrow(_items, "node binary, item long")
         .groupBy("item")
         .agg(F.count("*").alias("holders"), F.min("node").alias("node"))
         .where("holders = 1")
@@ -248,11 +268,17 @@ def near_copies(
         .where("x <> hub")
     )
     left = materialize(left, "members")
-    other = left.select("band", *[F.col(f"x{c}").alias(f"y{c}") for c in ("", "_n", "_u", "_label")])
+    alone = denominator * (F.col("x_n") - F.col("x_u")) < numerator * F.col("x_n")
+    strays = left.where((F.col("x_label") != F.col("hub_label")) & ~alone)
+    crowd = left.join(strays.select("band").distinct(), "band", "left_semi")
+    bits = sets.select(F.col("node").alias("x"), F.col("bits").alias("x_bits"))
+    strays, crowd = (materialize(t.join(bits, "x"), "members") for t in (strays, crowd))
+    fields = ("", "_n", "_u", "_label", "_bits")
+    crowd = crowd.select("band", *[F.col(f"x{c}").alias(f"y{c}") for c in fields])
     rest = (
-        left.where("x_label <> hub_label")
-        .join(other, "band")
-        .where((F.col("x_label") != F.col("y_label")) & possible)
+        strays.select("band", *[f"x{c}" for c in fields])
+        .join(crowd, "band")
+        .where((F.col("x_label") != F.col("y_label")) & possible & _bits_allow("x", "y", numerator, denominator))
         .select("x", "y")
     )
     more = materialize(verified(rest), "links")
