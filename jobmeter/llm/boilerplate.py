@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmeter.llm.tables import batch, col
+from jobmeter.llm.tables import batch, bounded_batches, col
 from jobmeter.operators.lookups import small_side
 from jobmeter.session import materialize
 
@@ -163,7 +163,8 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
 def repeated_tokens(tokens: np.ndarray, page: np.ndarray, min_tokens: int, min_pages: int) -> np.ndarray:
     """Which tokens lie in a substring of at least ``min_tokens`` found on ``min_pages`` pages.
 
-    ``tokens`` concatenates the streams of all pages, ``page`` numbers the page of each. The suffix
+    ``tokens`` concatenates the streams of all pages, with a negative token of its own after each, so
+    that no substring reaches into the next page; ``page`` numbers the page of each token. The suffix
     array is built by prefix doubling and stops at the depth of the shortest substring of interest:
     suffixes of equal rank then share that prefix, and longer repeats are runs of such positions.
     """
@@ -179,9 +180,8 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray, min_tokens: int, min_p
         pair[: n - step] = rank[step:]
         rank = np.unique(rank * (n + 1) + pair + 1, return_inverse=True)[1].astype(np.int64)
         depth += step
-    whole = np.zeros(n, bool)  # substrings do not reach into the next page
-    whole[: n - min_tokens + 1] = page[: n - min_tokens + 1] == page[min_tokens - 1 :]
-    at = np.flatnonzero(whole)
+    stops = np.r_[0, np.cumsum(tokens < 0)]
+    at = np.flatnonzero(stops[min_tokens:] == stops[:-min_tokens])
     order = at[np.lexsort((page[at], rank[at]))]
     r, p = rank[order], page[order]
     new = np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1])] if len(order) else np.zeros(0, bool)
@@ -234,7 +234,6 @@ def _covered(tokens: np.ndarray, content: np.ndarray, bounds: np.ndarray, min_to
     ends = np.zeros(len(tokens), np.int64)
     np.add.at(ends, bounds[bounds < len(tokens)], 1)
     number = np.cumsum(ends)
-    # A stop of its own after each page keeps substrings inside pages.
     gaps = np.flatnonzero(np.r_[False, number[1:] != number[:-1]])
     stops = -1 - np.arange(len(gaps))
     padded = np.insert(tokens, gaps, stops)
@@ -297,7 +296,7 @@ def extract(
     counts = materialize(counts.select("host", F.ceil(F.col("pages") / pages_per_part).alias("parts")), "hosts")
     rest = [c for c in pages.columns if c != html]
     row = F.struct(*[col(c) for c in rest]) if rest else F.struct(F.lit(0).alias("_"))
-    keyed = pages.select(
+    keyed = bounded_batches(pages).select(
         host.alias("host"),
         F.xxhash64(col(url).cast("string"), col(html).cast("string"), row).alias("hash"),
         col(html).cast("string").alias("html"),

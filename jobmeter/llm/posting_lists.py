@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobmeter.llm.tables import batch, col
+from jobmeter.llm.tables import batch, bounded_batches, col
 from jobmeter.operators.lookups import small_side
 from jobmeter.session import materialize
 
@@ -253,7 +253,7 @@ def search(
     is all that a result can hold. An empty table gives an empty table. The centroids are fitted on at
     most ``sample`` vectors, those with the smallest hashes; every vector is indexed.
     """
-    cast = vectors.select(col(vec_id).cast("long").alias("vec_id"), col(vector).cast("array<double>").alias("vector"))
+    cast = bounded_batches(vectors).select(col(vec_id).cast("long").alias("vec_id"), col(vector).cast("array<double>").alias("vector"))
     sound = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
     nonzero = F.exists("vector", lambda x: x != 0)
     valid = cast.where(F.col("vec_id").isNotNull() & (F.size("vector") > 0) & sound & nonzero)

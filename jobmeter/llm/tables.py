@@ -11,6 +11,19 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches bounded by bytes and not by rows alone.
+
+    Ten thousand rows of long texts would be hundreds of MB in the JVM and again in Python. A row
+    longer than the bound is a batch of its own.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of documents in a folder of tables."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -21,12 +34,13 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def packed(df: DataFrame, **keys: Column) -> DataFrame:
-    """The given key columns plus the whole row in a struct ``row``.
+def packed(df: DataFrame, carry: Iterable[str] | None = None, **keys: Column) -> DataFrame:
+    """The given key columns plus the row's columns (those in ``carry``, else all) in a struct ``row``.
 
     Inside an operator no column of the caller can then clash with a working column.
     """
-    row = F.struct(*[col(c) for c in df.columns]) if df.columns else F.struct(F.lit(0).alias("_"))
+    fields = [col(c) for c in (df.columns if carry is None else carry)]
+    row = F.struct(*fields) if fields else F.struct(F.lit(0).alias("_"))
     return df.select(*[c.alias(name) for name, c in keys.items()], row.alias("row"))
 
 
@@ -37,6 +51,13 @@ def unpacked(df: DataFrame, columns: Iterable[str], results: Mapping[str, Column
     return df.select(*kept, *[c.alias(name) for name, c in results.items()])
 
 
+def ordered(df: DataFrame, columns: Iterable[str], *results: str) -> DataFrame:
+    """``df`` with the caller's columns in their order, then the results that are none of them."""
+    columns = list(columns)
+    have = {c.lower() for c in columns}
+    return df.select(*[col(c) for c in [*columns, *[c for c in results if c.lower() not in have]]])
+
+
 def batch(columns: Mapping[str, object], types: Mapping[str, pa.DataType]) -> pa.RecordBatch:
     """One Arrow batch from arrays by name."""
     return pa.RecordBatch.from_arrays(
