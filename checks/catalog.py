@@ -133,6 +133,36 @@ def rounded(df: DataFrame) -> DataFrame:
     )
 
 
+ANALYSIS_KEYS = {
+    "job_states": ["State"], "partition_analysis": ["Partition"], "user_analysis": ["hashed_user"],
+    "daily_patterns": ["start_day"],
+}
+INSIGHT_KEYS = {
+    "by_user": ["user"], "by_account": ["account"], "by_state": ["state"], "by_job_type": ["job_type"],
+    "by_day": ["start_day"], "by_hour_of_day": ["start_hour"], "by_day_hour": ["start_day", "start_hour"],
+    "top_users_by_energy": ["user"], "job_type_breakdown": ["job_type"], "summary_stats": ["metric"],
+    "categorical": ["column", "value"], "schema": ["table", "field"], "missingness": ["table", "field"],
+}
+
+
+def _cell(text: Column) -> list[Column]:
+    """A cell's text as (amount, text): numbers and flags as amounts, else the text."""
+    flag = F.when(text == "true", 1.0).when(text == "false", 0.0)
+    amount = F.coalesce(flag, text.try_cast("double"))
+    return [amount.alias("amount"), F.when(amount.isNull(), text).alias("text")]
+
+
+def long_rows(df: DataFrame, section: str, keys: list[str]) -> DataFrame:
+    """(section, name, metric, amount, text): every cell of a table, its key columns as the name."""
+    cells = F.array(
+        *[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("string").alias("value")) for c in df.columns if c not in keys]
+    )
+    name = F.concat_ws(" ", *[F.col(f"`{k}`").cast("string") for k in keys])
+    return df.select(F.lit(section).alias("section"), name.alias("name"), F.inline(cells)).select(
+        "section", "name", "metric", *_cell(F.col("value"))
+    )
+
+
 def _shown_times(df: DataFrame) -> DataFrame:
     return df.withColumns({c: times.second_text(F.col(c)) for c, t in df.dtypes if t == "timestamp"})
 
@@ -150,18 +180,16 @@ def _directive_lines(x: Inputs) -> DataFrame:
 
 def _read_sacct_dir(x: Inputs) -> DataFrame:
     path = x.path("sacct")
-    x.sacct.write.csv(path, sep="|", header=True)
-    return readers.read_sacct_dir(x.spark, path).withColumn("Elapsed", F.col("Elapsed").cast("int")).withColumns(
-        {c: F.col(c).cast("int") for c in ("NCPUS", "NGPUs")}
-    )
+    # Some core counts have a fraction.
+    cores = F.when(F.col("Elapsed") % 10 == 0, F.col("NCPUS") + 0.5).otherwise(F.col("NCPUS"))
+    x.sacct.withColumn("NCPUS", cores).write.csv(path, sep="|", header=True)
+    return readers.read_sacct_dir(x.spark, path)
 
 
 def _read_jobs_csv(x: Inputs) -> DataFrame:
     path = x.path("jobs")
     x.table("jobs_flat").write.csv(path, header=True)
-    return readers.read_jobs_csv(x.spark, path).withColumns(
-        {c: F.col(c).cast("int") for c in ("NCPUS", "NGPUs")}
-    )
+    return readers.read_jobs_csv(x.spark, path)
 
 
 def _read_emissions(x: Inputs) -> DataFrame:
@@ -170,19 +198,66 @@ def _read_emissions(x: Inputs) -> DataFrame:
     return energy.energy_per_job(readers.read_emissions(x.spark, path))
 
 
+def _broken(number: Column) -> Column:
+    """The number, or NaN or an infinity in some rows, decided by its digits."""
+    turn = F.floor(F.abs(number) * 1000) % 5
+    return F.when(turn == 0, F.lit(float("nan"))).when(turn == 1, F.lit(float("-inf"))).otherwise(number)
+
+
 def _read_insights_json(x: Inputs) -> DataFrame:
-    # One document with the daily table; some means are written as NaN on purpose.
-    mean = F.when(F.col("job_count") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("energy_mean_kwh"))
-    day = F.struct("start_day", "job_count", "energy_total_kwh", mean.alias("energy_mean_kwh"))
-    document = x.by_day.agg(F.struct(F.collect_list(day).alias("by_day")).alias("aggregations"))
+    # One document with struct, map and array sections; some numbers are not finite on purpose.
+    day = F.struct(
+        "start_day", "job_count", "energy_total_kwh", _broken(F.col("energy_mean_kwh")).alias("energy_mean_kwh")
+    )
+    days = x.by_day.agg(F.struct(F.sort_array(F.collect_list(day)).alias("by_day")).alias("aggregations"))
+    stats = insights.summary_stats(x.features)
+    numbers = F.struct("count", *[_broken(F.col(c)).alias(c) for c in ("min", "max", "mean", "median", "p95")])
+    numeric = stats.agg(F.map_from_entries(F.collect_list(F.struct("metric", numbers))).alias("numeric"))
+    found = usage.categorical_distribution(x.features, list(CATEGORICAL_COLUMNS))
+    counts = found.groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("value", "job_count"))).alias("m"))
+    categorical = counts.agg(F.map_from_entries(F.collect_list(F.struct("column", "m"))).alias("categorical"))
+    energy_part = F.struct(numbers.alias("energy_kwh"))
+    dataset = stats.where("metric = 'energy_kWh'").select(energy_part.alias("dataset"))
+    document = days.join(dataset).join(
+        numeric.join(categorical).select(F.struct("numeric", "categorical").alias("distributions"))
+    )
     path = x.path("insights")
     document.write.json(path)
-    return readers.insight_rows(readers.read_insights_json(x.spark, path), "aggregations.by_day")
+    read = readers.read_insights_json(x.spark, path)
+    flat = read.select(F.inline(F.map_entries("distributions.numeric"))).select("key", "value.*")
+    nested = read.select(F.inline(F.map_entries("distributions.categorical"))).select(
+        "key", F.inline(F.map_entries("value")).alias("value", "job_count")
+    )
+    parts = {
+        "by_day": (readers.insight_rows(read, "aggregations.by_day"), ["start_day"]),
+        "dataset": (read.select("dataset.energy_kwh.*"), []),
+        "numeric": (flat, ["key"]),
+        "categorical": (nested, ["key", "value"]),
+    }
+    return readers.union_tables(long_rows(df, name, keys) for name, (df, keys) in parts.items())
 
 
 def _read_forecast_requests(x: Inputs) -> DataFrame:
     path = x.path("requests")
-    x.requests.write.json(path)
+    # Numbers as texts and decimals, wrong values, broken lines and other documents among the requests.
+    line = F.to_json(F.struct("script_id", "sbatchText", "parameters", "zone"))
+    n = F.col("script_id")
+
+    def cores(text: str) -> Column:
+        mark = F.struct(F.lit("@").alias("cpuCores")).alias("parameters")
+        return F.replace(F.to_json(F.struct("script_id", mark)), F.lit('"@"'), F.lit(text))
+
+    shown = (
+        F.when(n % 29 == 0, F.substring(line, 1, 25))
+        .when(n % 29 == 1, F.lit("[1, 2]"))
+        .when(n % 29 == 2, cores('"8"'))
+        .when(n % 29 == 3, cores("2.0"))
+        .when(n % 29 == 4, cores('"x"'))
+        .when(n % 29 == 5, cores("2.5"))
+        .when(n % 29 == 6, cores("true"))
+        .otherwise(line)
+    )
+    x.requests.select(shown.alias("value")).write.text(path)
     given = F.col("parameters")
     return readers.read_forecast_requests(x.spark, path, "script_id long").select(
         "script_id", "sbatchText",
@@ -192,7 +267,7 @@ def _read_forecast_requests(x: Inputs) -> DataFrame:
         given["gpuCount"].cast("int").alias("gpu_count"),
         given["memoryGigabytes"].alias("memory_gigabytes"),
         given["walltimeHours"].alias("walltime_hours"),
-        "zone",
+        "zone", "error",
     )
 
 
@@ -203,14 +278,19 @@ def _read_carbon_intensity(x: Inputs) -> DataFrame:
 
 
 def _write_analysis_json(x: Inputs) -> DataFrame:
-    sections = analyze.analyze_jobs(x.flat)
-    chosen = {n: sections[n] for n in ("job_states", "user_analysis", "daily_patterns")}
     path = x.path("analysis")
-    writers.write_analysis_json(chosen, path)
-    row = "struct<State:string,hashed_user:string,start_day:string,job_count:bigint>"
-    document = x.spark.read.schema(f"section string, row {row}").json(path)
-    name = F.coalesce("row.State", "row.hashed_user", "row.start_day").alias("name")
-    return document.select("section", name, "row.job_count")
+    writers.write_analysis_json(analyze.analyze_jobs(x.flat), path)
+    document = x.spark.read.schema("section string, row map<string,string>").json(path)
+    keys = F.create_map(
+        *[e for name, keys in ANALYSIS_KEYS.items() for e in (F.lit(name), F.array(*[F.lit(k) for k in keys]))]
+    )
+    own = F.coalesce(keys[F.col("section")], F.array().cast("array<string>"))
+    row = F.col("row")
+    name = F.array_join(F.transform(own, lambda k: row[k]), " ")
+    cells = F.filter(F.map_entries("row"), lambda e: ~F.array_contains(own, e["key"]))
+    return document.select("section", name.alias("name"), F.inline(cells)).select(
+        "section", "name", F.col("key").alias("metric"), *_cell(F.col("value"))
+    )
 
 
 def _write_predictions(x: Inputs) -> DataFrame:
@@ -295,16 +375,10 @@ def _rank_codes(x: Inputs) -> DataFrame:
 
 
 def _missingness(x: Inputs) -> DataFrame:
-    # All columns are read three times: the features are written once and scanned from there.
+    # Features and predictions are both read from one written feature table.
     features = materialize(x.features, "features")
     predictions = spark_view(x.spark, "predictions", {"features": features}.__getitem__)
-    return insights.missing_report(
-        {
-            "features": features,
-            "predictions": predictions,
-            "merged_records": energy.merge_predictions(features, predictions),
-        }
-    )
+    return insights.missing_report(insights.profile(features, predictions))
 
 
 def _forecast_batch(x: Inputs) -> DataFrame:
@@ -316,41 +390,33 @@ def _forecast_batch(x: Inputs) -> DataFrame:
 
 def _analyze_jobs(x: Inputs) -> DataFrame:
     sections = analyze.analyze_jobs(x.flat)
+    return readers.union_tables(long_rows(df, n, ANALYSIS_KEYS.get(n, [])) for n, df in sections.items())
 
-    def rows(section: str, name: Column, amount: str) -> DataFrame:
-        return sections[section].select(
-            F.lit(section).alias("section"), name.alias("name"), F.col(amount).cast("double").alias("amount")
-        )
 
-    parts = [
-        sections["metadata"].select(
-            F.lit("rows").alias("section"), F.lit("all").alias("name"),
-            F.col("total_jobs").cast("double").alias("amount"),
-        ),
-        rows("job_states", F.col("State"), "job_count"),
-        rows("partition_analysis", F.col("Partition"), "job_count"),
-        rows("user_analysis", F.col("hashed_user"), "job_count"),
-        rows("daily_patterns", F.col("start_day"), "job_count"),
-        rows("cpu_hours", F.lit("total"), "total"),
-        rows("cpu_cores", F.lit("mean"), "mean"),
-        rows("gpu_statistics", F.lit("max"), "max"),
-        rows("gpu_jobs", F.lit("count"), "gpu_jobs"),
-        rows("runtime_analysis", F.lit("median"), "p50"),
-    ]
-    return readers.union_tables(parts)
+def _insights(x: Inputs) -> DataFrame:
+    features = materialize(x.features, "features")
+    predictions = spark_view(x.spark, "predictions", {"features": features}.__getitem__)
+    sections = insights.insights(features, predictions, write=False)
+    return readers.union_tables(long_rows(df, n, INSIGHT_KEYS.get(n, [])) for n, df in sections.items())
 
 
-def _insights(x: Inputs) -> DataFrame:
-    sections = insights.insights(x.features)
-    parts = []
-    for name, keys in insights.ROLLUPS.items():
-        label = F.concat_ws(" ", *[F.col(k).cast("string") for k in keys])
-        parts.append(
-            sections[name].select(
-                F.lit(name).alias("section"), label.alias("name"), "job_count", "energy_total_kwh"
-            )
-        )
-    return readers.union_tables(parts)
+def _cross_validate(x: Inputs) -> DataFrame:
+    found = model.cross_validate(x.features, max_samples=500)
+    known = F.col("y_pred").isNotNull() & ~F.isnan("y_pred")
+    return found.select("job_key", "user", "fold", "y_true", known.alias("has_prediction"))
+
+
+def _mixed_times(x: Inputs) -> DataFrame:
+    start = F.col("Start")
+    forms = ["MM/dd/yyyy HH:mm", "d MMM yyyy HH:mm", "yyyyMMdd", "yyyy/MM/dd HH:mm:ss", "'no time'"]
+    text_ = F.coalesce(
+        *[F.when(F.col("NCPUS") % 6 == i, F.date_format(start, f)) for i, f in enumerate(forms)],
+        F.date_format(start, "yyyy-MM-dd HH:mm:ss"),
+    )
+    return x.parsed.select("JobID", text_.alias("given")).select(
+        "JobID", times.second_text(times.utc_timestamp(F.col("given"))).alias("read"),
+        times.unreadable(F.col("given")).alias("unreadable"),
+    )
 
 
 def _group_folds(x: Inputs) -> DataFrame:
@@ -385,6 +451,7 @@ QUERIES: dict[str, Query] = {
     # Projections and filters
     "parse_times": lambda x: _shown_times(x.parsed.select("JobID", "Submit", "Start", "End")),
     "parse_times_strict": _strict_times,
+    "parse_times_mixed": _mixed_times,
     "job_key": lambda x: x.jobs.select("JobID", "job_key"),
     "req_mem_gb": lambda x: x.jobs.select("JobID", "req_mem_gb"),
     "alloc_tres": lambda x: x.jobs.select("JobID", "alloc_cpu", "alloc_mem_gb", "alloc_gpu"),
@@ -485,10 +552,9 @@ QUERIES: dict[str, Query] = {
     # Models and whole jobs
     "sample_cap": lambda x: sampling.sample_cap(x.features, max_samples=5000).select("JobID", "job_key", "energy_kWh"),
     "group_folds": _group_folds,
-    "cross_validate": lambda x: model.cross_validate(x.features, ignore_limits=True),
-    "feature_table": lambda x: _shown_times(
-        x.features.drop("Elapsed", "NCPUS", "NGPUs", "Partition", "ReqMem", "AllocTRES", "NodeList")
-    ),
+    "snake_folds": lambda x: sampling.group_folds(x.jobs.select("JobID", "User"), mode="snake"),
+    "cross_validate": _cross_validate,
+    "feature_table": lambda x: _shown_times(x.features),
     "forecast_batch": _forecast_batch,
     "job_emissions": lambda x: forecast.job_emissions(x.zoned, x.readings),
     "analyze_jobs": _analyze_jobs,

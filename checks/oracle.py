@@ -319,26 +319,87 @@ CPU_CASES = [
 CLASS_CASES = [("short", "hours < 1"), ("medium", "hours >= 1 and hours <= 24"), ("long", "hours > 24")]
 
 
+_MERGED = (
+    duck_ctes(["features", "predictions"], DERIVED)
+    + ", merged as (select f.*, p.* exclude (job_key) from features f left join (select distinct on (job_key) * from predictions) p on f.job_key = p.job_key) "
+)
+
+
+def _long(section: str, keys: list[str], numbers: list[str], texts: list[str], sql: str) -> str:
+    """(section, name, metric, amount, text) of every cell of a query's result."""
+    name = " || ' ' || ".join(f'cast("{k}" as varchar)' for k in keys) or "''"
+    cells = [f"{{'metric': '{c}', 'amount': {r(f'cast(\"{c}\" as double)')}, 'text': cast(null as varchar)}}" for c in numbers]
+    cells += [f"{{'metric': '{c}', 'amount': cast(null as double), 'text': cast(\"{c}\" as varchar)}}" for c in texts]
+    return (
+        f"select section, name, cell.metric as metric, cell.amount as amount, cell.\"text\" as \"text\" from "
+        f"(select '{section}' as section, {name} as name, unnest([{', '.join(cells)}]) as cell from ({sql}))"
+    )
+
+
+def _summary_raw(source: str, column: str) -> str:
+    return f"""
+select '{column}' as metric, count({column}) as count, min({column}) as min, max({column}) as max, avg({column}) as mean,
+  quantile_cont({column}, 0.5) as median, quantile_cont({column}, 0.95) as p95 from {source}"""
+
+
+def _folds(source: str) -> str:
+    """CTE folds(u, fold): the largest user first, each to the fold with the fewest rows so far."""
+    return duck_ctes([source], DERIVED).replace("with ", "with recursive ", 1) + f""", sized as (
+  select u, n, row_number() over (order by n desc, u nulls first) as pos from (select "User" as u, count(*) as n from {source} group by 1)
+), dealt(pos, u, fold, loads) as (
+  select cast(0 as bigint), cast(null as varchar), -1, cast([0, 0, 0, 0, 0] as bigint[])
+  union all
+  select s.pos, s.u, cast(list_position(d.loads, list_min(d.loads)) - 1 as int),
+    list_transform(d.loads, lambda x, i: case when i = list_position(d.loads, list_min(d.loads)) then x + s.n else x end)
+  from dealt d join sized s on s.pos = d.pos + 1
+), folds as (select u, fold from dealt where pos > 0)"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     # Sources and sinks: what was written and read back equals the source view.
-    q["read_sacct_dir"] = _q("sacct", f"""select {SACCT_ALL.replace('"Start"', "nullif(" + '"Start"' + ", '') as " + '"Start"')} from sacct""")
-    q["read_jobs_csv"] = _q("jobs_flat", "select * from jobs_flat")
+    numbers = {
+        "NCPUS": "case when Elapsed % 10 = 0 then NCPUS + 0.5 else NCPUS end",
+        "NGPUs": "NGPUs", "Elapsed": "Elapsed",
+    }
+    replaced = ", ".join(f"cast({e} as double) as {c}" for c, e in numbers.items())
+    q["read_sacct_dir"] = _q("sacct", f"select * replace ({replaced}) from sacct")
+    q["read_jobs_csv"] = _q("jobs_flat", "select * replace (cast(NCPUS as double) as NCPUS, cast(NGPUs as double) as NGPUs) from jobs_flat")
     q["read_emissions"] = _q("energy", f"select job_key, {r('energy_kWh', 'energy_kWh')} from energy")
-    q["read_insights_json"] = _q("by_day", f"""select start_day, job_count, {r('energy_total_kwh', 'energy_total_kwh')},
-      case when job_count % 5 <> 0 then {r('energy_mean_kwh')} end as energy_mean_kwh from by_day""")
-    q["read_forecast_requests"] = _q("requests", """select script_id, sbatchText, p_partition as partition_name, p_nodes as node_count, p_cores as cpu_cores,
-      p_gpus as gpu_count, p_memory as memory_gigabytes, p_hours as walltime_hours, zone from requests""")
+    def broken(c: str) -> str:
+        return f"case when floor(abs({c}) * 1000) % 5 > 1 then {c} end"
+
+    summary = [_summary_raw("features", c) for c in ("energy_kWh", "requested_walltime_hours", "queue_wait_time_hours")]
+    stats = "count, " + ", ".join(f"{broken(c)} as {c}" for c in ("min", "max", "mean", "median", "p95"))
+    names = ["count", "min", "max", "mean", "median", "p95"]
+    q["read_insights_json"] = " union all ".join(
+        [
+            _long("by_day", ["start_day"], ["job_count", "energy_total_kwh", "energy_mean_kwh"], [],
+                  _q("by_day", f"select start_day, job_count, energy_total_kwh, {broken('energy_mean_kwh')} as energy_mean_kwh from by_day")),
+            _long("dataset", [], names, [], _q("features", f"select {stats} from ({summary[0]})")),
+            _long("numeric", ["metric"], names, [], _q("features", f"select metric, {stats} from ({' union all '.join(summary)})")),
+            _long("categorical", ["column", "value"], ["job_count"], [], _q("features", " union all ".join(
+                f"""select '{c}' as "column", "{c}" as "value", count(*) as job_count from features where "{c}" is not null group by 2""" for c in ("User", "Account", "State", "job_type")))),
+        ]
+    )
+    q["read_forecast_requests"] = _q("requests", """
+select case when n < 2 then null else script_id end as script_id, case when n > 6 then sbatchText end as sbatchText,
+  case when n > 6 then p_partition end as partition_name, case when n > 6 then p_nodes end as node_count,
+  case when n = 2 then 8 when n = 3 then 2 when n = 6 then 1 when n > 6 then p_cores end as cpu_cores,
+  case when n > 6 then p_gpus end as gpu_count, case when n > 6 then p_memory end as memory_gigabytes,
+  case when n > 6 then p_hours end as walltime_hours, case when n > 6 then zone end as zone,
+  case when n = 0 then 'not JSON' when n = 1 then 'not an object' when n in (4, 5) then 'parameters.cpuCores is not a whole number' end as error
+from (select *, script_id % 29 as n from requests)""")
     q["read_carbon_intensity"] = _q("carbon_intensity", f"select zone, strftime(reading_ts, {SECOND}) as reading_ts, carbon_intensity from carbon_intensity")
-    q["write_analysis_json"] = _q("states users per_day", """
-select 'job_states' as section, State as name, job_count as job_count from states
-union all select 'user_analysis', hashed_user, job_count from (select * from users order by job_count desc, hashed_user limit 20)
-union all select 'daily_patterns', start_day, job_count from per_day""")
     q["write_predictions"] = _q("predictions", f"select job_key, user_code as user, {r('y_true', 'y_true')}, {r('y_pred', 'y_pred')} from predictions")
     q["union_tables"] = _q("sacct", """
 select JobID, "User", Account, cast(null as varchar) as State, NCPUS from sacct union all select JobID, "User", cast(null as varchar), State, NCPUS from sacct""")
     # Projections.
     q["parse_times"] = _q("parsed", f"select JobID, {_times()} from parsed")
+    q["parse_times_mixed"] = _q("parsed", f"""
+select JobID, case NCPUS % 6 when 4 then null when 2 then strftime("Start", '%Y-%m-%d 00:00:00') when 0 then strftime("Start", '%Y-%m-%d %H:%M:00')
+  when 1 then strftime("Start", '%Y-%m-%d %H:%M:00') else strftime("Start", {SECOND}) end as read,
+  NCPUS % 6 = 4 and "Start" is not null as unreadable from parsed""")
     q["parse_times_strict"] = _q("flat", f'select hashed_user, strftime(START, {SECOND}) as start_text, strftime("End", {SECOND}) as end_text from flat')
     q["job_key"] = _q("jobs", "select JobID, job_key from jobs")
     q["req_mem_gb"] = _q("jobs", f"select JobID, {r('req_mem_gb', 'req_mem_gb')} from jobs")
@@ -439,8 +500,7 @@ select count(*) as job_count, count(distinct "User") as unique_users, strftime(m
     predicted = {c: (f"{c} is null", "predictions") for c in ("job_key", "user_code", "fold", "y_true", "y_pred")}
     merged = {c: (f'"{c}" is null', "merged") for c in FEATURE_FIELDS} | {c: (f"{c} is null", "merged") for c in ("user_code", "fold", "y_true", "y_pred")}
     q["missingness"] = (
-        duck_ctes(["features", "predictions"], DERIVED)
-        + ", merged as (select f.*, p.* exclude (job_key) from features f left join (select distinct on (job_key) * from predictions) p on f.job_key = p.job_key)"
+        _MERGED
         + " select * from (" + _missing("features", fields) + " union all " + _missing("predictions", predicted) + " union all " + _missing("merged_records", merged) + ") where missing > 0"
     )
     q["schema_table"] = _q("features", " union all ".join(
@@ -453,10 +513,13 @@ select count(*) as job_count, count(distinct "User") as unique_users, strftime(m
     q["runtime_p95"] = _q("flat", f"select {r('avg(hours) + 1.645 * stddev_samp(hours)', 'p95_estimate')}, {r('quantile_cont(hours, 0.95)', 'p95_true')} from flat")
     q["user_activity"] = _q("flat users", """
 select cast(round((select count(*) from flat) / (select count(*) from users)) as bigint) as jobs_per_user, max(job_count) as top_user_jobs,
-  count(*) filter (where job_count > 100) as active_users from (select * from users order by job_count desc, hashed_user limit 20)""")
+  count(*) filter (where job_count > 100) as active_users,
+  (select count(*) filter (where job_count > 100) from (select * from users order by job_count desc, hashed_user limit 20)) as active_users_top20
+from users""")
     q["user_share"] = _q("users", """
-select case when rank <= 5 then 'User ' || rank else 'Others' end as label, cast(sum(job_count) as bigint) as job_count
-from (select job_count, row_number() over (order by job_count desc, hashed_user) as rank from users) where rank <= 20 group by 1""")
+select case when rank <= 5 then 'User ' || rank else 'Others' end as label, cast(sum(job_count) as bigint) as job_count,
+  cast(sum(job_count) filter (where rank <= 20) as bigint) as job_count_top20
+from (select job_count, row_number() over (order by job_count desc, hashed_user) as rank from users) group by 1""")
     q["cpu_efficiency"] = _q("flat", f"select {r('sum(hours * NCPUS) / count(*) / 24.0 * 100.0', 'cpu_efficiency')} from flat")
     q["peak_days"] = _q("per_day", """
 select (select start_day from per_day order by job_count desc, start_day limit 1) as peak_day, max(job_count) as peak_jobs,
@@ -478,11 +541,18 @@ select 'Week ' || (1 + block) as week, {r('avg(job_count)', 'average_jobs')} fro
     q["top_k"] = _q("states", "select State, job_count, percentage from states order by job_count desc, State limit 8")
     # Models and whole jobs.
     q["sample_cap"] = _q("features", f"""select JobID, job_key, {r('energy_kWh', 'energy_kWh')} from features order by md5(concat_ws('|', job_key, JobID, '42')) limit 5000""")
-    q["group_folds"] = _q("jobs", """
+    q["group_folds"] = _folds("jobs") + """
+select JobID, "User", f.fold from jobs j join folds f on j."User" is not distinct from f.u"""
+    q["cross_validate"] = _folds("features") + f"""
+select job_key, cast(c.code as int) as "user", f.fold, {r('energy_kWh', 'y_true')}, true as has_prediction
+from features j join folds f on j."User" is not distinct from f.u
+join (select u, row_number() over (order by u) - 1 as code from folds where u is not null) c on c.u = f.u"""
+    q["snake_folds"] = _q("jobs", """
 select JobID, "User", cast(case when pos % 10 < 5 then pos % 10 else 9 - pos % 10 end as int) as fold
 from jobs j join (select u, row_number() over (order by n desc, u nulls first) - 1 as pos from (select "User" as u, count(*) as n from jobs group by 1)) f
   on j."User" is not distinct from f.u""")
-    q["feature_table"] = _q("features", f"select {FEATURES_OUT}, {r('energy_kWh', 'energy_kWh')} from features")
+    q["feature_table"] = _q("features", f"""select {FEATURES_OUT}, Elapsed, NCPUS, NGPUs, Partition, ReqMem, AllocTRES, NodeList,
+      {r('energy_kWh', 'energy_kWh')} from features""")
     q["forecast_batch"] = _q("forecast", f"""select script_id, {r('energy_kwh', 'energy_kwh')}, {r('energy_kwh * intensity / 1000.0', 'emissions_kgco2e')}, {r('energy_kwh * intensity', 'emissions_gco2e')},
       {r('power_watts', 'power_watts')}, {r('intensity', 'carbon_intensity_gco2e_per_kwh')}, zone, cpu_cores, gpu_count, node_count, partition_name,
       {r('memory_gigabytes', 'memory_gigabytes')}, {r('walltime_hours', 'walltime_hours')}, case when gpu_count > 0 then '{GPU_NOTE}' else '' end as notes from forecast""")
@@ -490,24 +560,45 @@ from jobs j join (select u, row_number() over (order by n desc, u nulls first) -
     q["job_emissions"] = _q("timed", f"""
 select "User" as "user", strftime("Start", '%Y-%m-%d') as start_day, count(*) as job_count, {r(f'coalesce(sum({kwh}), 0)', 'energy_kwh')},
   {r(f'coalesce(sum({kwh} * intensity), 0)', 'emissions_gco2e')} from timed where "User" is not null and "Start" is not null group by 1, 2""")
-    q["analyze_jobs"] = _q("flat states per_day users", f"""
-select 'rows' as section, 'all' as name, {r('cast(count(*) as double)', 'amount')} from flat
-union all select 'job_states', State, job_count from states
-union all select 'partition_analysis', Partition, count(*) from flat where Partition is not null group by 2
-union all select 'user_analysis', hashed_user, job_count from (select * from users order by job_count desc, hashed_user limit 20)
-union all select 'daily_patterns', start_day, job_count from per_day
-union all select 'cpu_hours', 'total', {r('sum(hours * NCPUS)')} from flat
-union all select 'cpu_cores', 'mean', {r('avg(NCPUS)')} from flat
-union all select 'gpu_statistics', 'max', max(NGPUs) from flat
-union all select 'gpu_jobs', 'count', count(*) filter (where NGPUs > 0) from flat
-union all select 'runtime_analysis', 'median', {r('median(hours)')} from flat""")
-    sections = {
-        "by_user": '"User"', "by_account": "Account", "by_state": "State", "by_job_type": "job_type",
-        "by_day": """strftime("Start", '%Y-%m-%d')""", "by_hour_of_day": 'cast(hour("Start") as varchar)',
-        "by_day_hour": """strftime("Start", '%Y-%m-%d') || ' ' || hour("Start")""",
-    }
-    q["insights"] = _q("features", " union all ".join(
-        f"select '{n}' as section, {c} as name, count(*) as job_count, {r('sum(energy_kWh)', 'energy_total_kwh')} from features where {c} is not null group by 2" for n, c in sections.items()))
+    described = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
+    q["analyze_jobs"] = " union all ".join(
+        [
+            _long("metadata", [], ["total_jobs", "has_start", "has_end", "has_elapsed", "has_ncpus", "has_state"], [], q["metadata"]),
+            _long("cpu_hours", [], ["total", "average_per_job"], [], q["cpu_hours_total"]),
+            _long("gpu_jobs", [], ["gpu_jobs", "gpu_percentage", "cpu_only_jobs"], [], q["gpu_job_share"]),
+            _long("runtime_analysis", [], described, ["metric", "method"], _q("flat", _describe("flat", "hours", "hours", ", 'START_End' as method"))),
+            _long("cpu_cores", [], described, ["metric"], q["ncpus_describe"]),
+            _long("gpu_statistics", [], described, ["metric"], q["gpu_describe"]),
+            _long("job_states", ["State"], ["job_count", "percentage", "distinct_values"], [], q["state_counts"]),
+            _long("partition_analysis", ["Partition"], ["job_count", "percentage", "distinct_values"], [], q["partition_counts"]),
+            _long("user_analysis", ["hashed_user"], ["job_count", "percentage", "distinct_values"], [], q["top_users"]),
+            _long("date_range", [], ["total_days"], ["range_start", "range_end"], q["date_range"]),
+            _long("daily_patterns", ["start_day"], ["job_count", "average_jobs_per_day"], [], q["jobs_per_day"]),
+        ]
+    )
+    q["write_analysis_json"] = q["analyze_jobs"]
+    waits = ["job_count", "energy_total_kwh", "energy_mean_kwh", "queue_wait_time_hours_mean", "requested_walltime_hours_mean"]
+    types = {"job_key": "string", "user_code": "int", "fold": "int", "y_true": "double", "y_pred": "double"}
+    tables = {"features": (FEATURE_TYPES, "features"), "predictions": (types, "predictions"),
+              "merged_records": (FEATURE_TYPES | {c: t for c, t in types.items() if c != "job_key"}, "merged")}
+    schema = _MERGED + " union all ".join(
+        f"""select '{t}' as "table", '{c}' as field, '{kind}' as "type", count("{c}") as known from {source}"""
+        for t, (fields_, source) in tables.items() for c, kind in fields_.items())
+    q["insights"] = " union all ".join(
+        [
+            *[_long(n, [k], waits, [], q[n]) for n, k in (("by_user", "user"), ("by_account", "account"), ("by_state", "state"), ("by_job_type", "job_type"))],
+            _long("by_day", ["start_day"], waits[:3], [], q["by_day"]),
+            _long("by_hour_of_day", ["start_hour"], waits[:3], [], q["by_hour_of_day"]),
+            _long("by_day_hour", ["start_day", "start_hour"], waits[:2], [], _q("by_cell", "select * from by_cell")),
+            _long("top_users_by_energy", ["user"], ["energy_total_kwh"], [], q["top_users_by_energy"]),
+            _long("job_type_breakdown", ["job_type"], waits[:3], [], q["job_type_breakdown"]),
+            _long("dataset", [], ["job_count", "unique_users", "total_days"], ["range_start", "range_end"], q["dataset_summary"]),
+            _long("summary_stats", ["metric"], names, [], q["summary_stats"]),
+            _long("categorical", ["column", "value"], ["job_count"], [], q["categorical_distribution"]),
+            _long("schema", ["table", "field"], ["known"], ["type"], schema),
+            _long("missingness", ["table", "field"], ["missing"], [], q["missingness"]),
+        ]
+    )
     q["text_summary"] = _q("flat states per_day", """
 select 0 as position, 'Total Jobs' as metric, cast(count(*) as varchar) as "value" from flat
 union all select 1, 'Date Range', strftime(min(START), '%Y-%m-%d') || ' to ' || strftime(max(START), '%Y-%m-%d') from flat

@@ -6,9 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Tried in order after the ISO forms; a text is read by the first that fits it as a whole.
+OTHER_FORMATS = (
+    "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm",
+    "yyyy/MM/dd", "d MMM yyyy HH:mm:ss", "d MMM yyyy HH:mm", "d MMM yyyy", "MMM d yyyy HH:mm:ss",
+    "MMM d yyyy", "MMM d, yyyy HH:mm:ss", "MMM d, yyyy", "yyyyMMdd HH:mm:ss", "yyyyMMdd",
+)
+
+
 def utc_timestamp(column: Column) -> Column:
     """Mixed-format text (or a timestamp) to a timestamp; unreadable text becomes null."""
-    return F.try_to_timestamp(column.cast("string"))
+    text = F.trim(column.cast("string"))
+    return F.coalesce(
+        F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(f)) for f in OTHER_FORMATS]
+    )
+
+
+def unreadable(column: Column) -> Column:
+    """Whether there is a text that is no timestamp; sum it up to count what a load loses."""
+    text = column.cast("string")
+    return F.coalesce(utc_timestamp(column).isNull() & (F.trim(text) != ""), F.lit(False))
 
 
 def strict_utc_timestamp(column: Column) -> Column:

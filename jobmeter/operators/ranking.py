@@ -14,20 +14,29 @@ def value_counts(df: DataFrame, column: str, share_digits: int | None = None) ->
 
     Columns: ``column``, job_count, percentage, distinct_values.
     """
+    return with_totals(df, column, share_digits).drop("all_rows", "known_rows")
+
+
+def with_totals(df: DataFrame, column: str, share_digits: int | None = None) -> DataFrame:
+    """``value_counts`` with the numbers of all rows and of rows with a known value."""
     counted = df.groupBy(column).agg(F.count("*").alias("job_count"), F.count(column).alias("known"))
-    return with_shares(counted, column, share_digits)
+    return with_shares(counted, column, share_digits, totals=True)
 
 
-def with_shares(counted: DataFrame, column: str, share_digits: int | None = None) -> DataFrame:
+def with_shares(
+    counted: DataFrame, column: str, share_digits: int | None = None, totals: bool = False
+) -> DataFrame:
     """``value_counts`` from a table (column, job_count, known) that includes the null group.
 
     The totals come from the counted table, so the input is read once; null is filtered by its
     counter because a filter on the column itself would be pushed into only one of the two uses
     and cost a second scan.
     """
-    totals = counted.agg(
+    sums = counted.agg(
         F.struct(
-            F.sum("job_count").alias("all_rows"), F.count_if(F.col("known") > 0).alias("values")
+            F.sum("job_count").alias("all_rows"),
+            F.sum("known").alias("known_rows"),
+            F.count_if(F.col("known") > 0).alias("values"),
         ).alias("t")
     )
     percentage = F.col("job_count") * 100.0 / F.col("t.all_rows")
@@ -35,12 +44,13 @@ def with_shares(counted: DataFrame, column: str, share_digits: int | None = None
         percentage = F.bround(F.col("job_count") / F.col("t.all_rows") * 100.0, share_digits)
     return (
         counted.where("known > 0")
-        .withColumn("t", totals.scalar())
+        .withColumn("t", sums.scalar())
         .select(
             column,
             "job_count",
             percentage.alias("percentage"),
             F.col("t.values").alias("distinct_values"),
+            *([F.col("t.all_rows"), F.col("t.known_rows")] if totals else []),
         )
         .orderBy(F.desc("job_count"), column)
     )

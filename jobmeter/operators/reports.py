@@ -69,26 +69,36 @@ def outcome_rates(state_counts: DataFrame, state: str = "State") -> DataFrame:
     return state_counts.agg(*best).select(F.inline(F.array(*rows))).where("state is not null")
 
 
-def user_activity(user_counts: DataFrame, all_rows: Column) -> DataFrame:
-    """Jobs per user (rounded), the busiest user's jobs, users over 100 jobs among the top 20."""
-    top = user_counts.select("job_count", "distinct_values").orderBy(F.desc("job_count")).limit(20)
-    return top.agg(
-        F.round(F.try_divide(all_rows, F.max("distinct_values"))).cast("long").alias("jobs_per_user"),
+def user_activity(user_counts: DataFrame) -> DataFrame:
+    """Jobs per user (rounded), the busiest user's jobs, and users over 100 jobs: all, and in the top 20.
+
+    ``user_counts`` comes from ``value_counts`` and carries the number of all rows.
+    """
+    top = user_counts.orderBy(F.desc("job_count")).limit(20)
+    best = top.agg(F.count_if(F.col("job_count") > 100).alias("active_users_top20"))
+    return user_counts.agg(
+        F.round(F.try_divide(F.max("all_rows"), F.max("distinct_values"))).cast("long").alias("jobs_per_user"),
         F.max("job_count").alias("top_user_jobs"),
         F.count_if(F.col("job_count") > 100).alias("active_users"),
-    )
+    ).join(best)
 
 
 def user_share(user_counts: DataFrame, user: str) -> DataFrame:
-    """Jobs of the five busiest users and of ranks 6 to 20 together."""
+    """Jobs of the five busiest users and of all others; ``job_count_top20`` stops after rank 20.
+
+    The windows run over the top 20; the others' jobs are the known total less the top.
+    """
     top = user_counts.orderBy(F.desc("job_count"), user).limit(20)
     rank = F.row_number().over(W.orderBy(F.desc("job_count"), user))
     label = F.when(F.col("_rank") <= 5, F.concat(F.lit("User "), F.col("_rank").cast("string")))
-    return (
+    shares = (
         top.withColumn("_rank", rank)
         .groupBy(F.coalesce(label, F.lit("Others")).alias("label"))
-        .agg(F.sum("job_count").alias("job_count"))
+        .agg(F.sum("job_count").alias("job_count_top20"), F.max("known_rows").alias("_known"))
     )
+    five = F.sum(F.when(F.col("label") != "Others", F.col("job_count_top20"))).over(W.partitionBy())
+    count = F.when(F.col("label") == "Others", F.col("_known") - five).otherwise(F.col("job_count_top20"))
+    return shares.select("label", count.alias("job_count"), "job_count_top20")
 
 
 def runtime_p95(stats: DataFrame) -> DataFrame:
@@ -99,6 +109,28 @@ def runtime_p95(stats: DataFrame) -> DataFrame:
     )
 
 
+def column_profile(df: DataFrame, table: str) -> DataFrame:
+    """(table, field, type, known, missing) of every column: one map-side pass."""
+    types = dict(df.dtypes)
+
+    def missing(c: str) -> Column:
+        test = F.col(f"`{c}`").isNull()
+        return test | F.isnan(f"`{c}`") if types[c] in ("double", "float") else test
+
+    counted = df.agg(
+        *[F.count(f"`{c}`").alias(f"k{i}") for i, c in enumerate(df.columns)],
+        *[F.count_if(missing(c)).alias(f"m{i}") for i, c in enumerate(df.columns)],
+    )
+    rows = [
+        F.struct(
+            F.lit(table).alias("table"), F.lit(c).alias("field"), F.lit(t).alias("type"),
+            F.col(f"k{i}").alias("known"), F.col(f"m{i}").alias("missing"),
+        )
+        for i, (c, t) in enumerate(df.dtypes)
+    ]
+    return counted.select(F.inline(F.array(*rows)))
+
+
 def missingness(df: DataFrame, table: str) -> DataFrame:
     """(table, field, missing) of the columns with missing values: one map-side pass."""
     types = dict(df.dtypes)

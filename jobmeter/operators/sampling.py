@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from jobmeter.constants import FOLDS, MAX_SAMPLES, SEED
 from jobmeter.operators.lookups import small_side
 from jobmeter.operators.ranking import with_position
+from jobmeter.session import materialize
 
 
 def sample_cap(
@@ -24,19 +25,23 @@ def sample_cap(
 
     The same rows come out in every run and on every cluster layout. A first pass counts the hashes
     by their bit length (at most 32 rows per task); only rows up to the shortest length that still
-    holds enough are ordered, about twice the sample, so no task orders the table.
+    holds enough are ordered, about twice the sample, so no task orders the table. The input is
+    written once, so that a join below it does not run for the count and again for the sample. Rows
+    with equal keys are ordered by all their columns.
     """
     if ignore_limits:
         return df
     digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
     bits = F.length(F.bin(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")))
+    df = materialize(df, "sampled")
     upto = F.sum("count").over(W.orderBy("bits").rowsBetween(W.unboundedPreceding, W.currentRow))
     lengths = df.groupBy(bits.alias("bits")).count().withColumn("upto", upto)
     enough = lengths.agg(F.coalesce(F.min(F.when(F.col("upto") >= max_samples, F.col("bits"))), F.lit(32)))
+    ties = [c for c, t in df.dtypes if not t.startswith("map")]
     return (
         df.where(bits <= enough.scalar())
         .withColumn("_digest", digest)
-        .orderBy("_digest")
+        .orderBy("_digest", *[F.col(f"`{c}`") for c in ties])
         .limit(max_samples)
         .drop("_digest")
     )
@@ -46,26 +51,74 @@ def group_sizes(df: DataFrame, group: str = "User") -> DataFrame:
     return df.groupBy(group).agg(F.count("*").alias("size"))
 
 
-def fold_table(df: DataFrame, k: int = FOLDS, group: str = "User") -> DataFrame:
-    """(group, size, fold): groups by size, dealt to the folds back and forth (0..k-1, k-1..0, ...).
+def _deal_equal(loads: list[int], size: int, count: int) -> Iterator[tuple[int, list[int]]]:
+    """How ``count`` groups of one ``size`` fall to folds: (first position, folds in turn), and
+    the loads brought up to date.
 
-    A missing group is one group. Fewer groups than folds is an error.
+    Each group goes to the lightest fold, the first among equals. Folds less than one group above
+    the lightest take turns, round by round, until the next fold comes within reach: there are at
+    most as many cycles as folds, however many groups.
     """
+    at = 0
+    while at < count:
+        order = sorted(range(len(loads)), key=lambda f: (loads[f], f))
+        lightest = order[0]
+        edge = (loads[lightest] + size, lightest)
+        turn = [f for f in order if (loads[f], f) < edge]
+        rounds = (count - at) // len(turn)
+        if len(turn) < len(order):
+            last, heavier = turn[-1], order[len(turn)]
+            # Whole rounds that end before the next fold's turn.
+            gap = loads[heavier] - loads[last]
+            rounds = min(rounds, gap // size + int(gap % size > 0 or last < heavier))
+        yield at, turn
+        for place, f in enumerate(turn):
+            loads[f] += size * (rounds if rounds else int(place < count - at))
+        at += max(rounds * len(turn), 1) if rounds else count - at
+
+
+def fold_table(df: DataFrame, k: int = FOLDS, group: str = "User", mode: str = "greedy") -> DataFrame:
+    """(group, size, fold): groups by size, the largest first.
+
+    ``greedy`` gives each group to the fold with the fewest rows so far. The driver sees the sizes
+    that occur and how often (distinct sizes of n rows number at most about the root of 2 n), never
+    the groups; groups of one size are dealt by their position. ``snake`` deals back and forth
+    (0..k-1, k-1..0, ...). Equal sizes are in order of the group, a missing group first; it is one
+    group. Fewer groups than folds is an error.
+    """
+    if mode not in ("greedy", "snake"):
+        raise ValueError(f"unknown mode {mode!r}")
     placed = with_position(group_sizes(df, group), [F.desc("size"), F.asc_nulls_first(group)])
-    groups = placed.count()
+    if mode == "snake":
+        groups = placed.count()
+        turn = F.col("position") % (2 * k)
+        fold = F.when(turn < k, turn).otherwise(2 * k - 1 - turn)
+        dealt = placed.select(group, "size", fold.cast("int").alias("fold"))
+    else:
+        counted = placed.groupBy("size").agg(F.count("*").alias("n"), F.min("position").alias("first"))
+        loads, cycles, groups = [0] * k, [], 0
+        for row in counted.orderBy(F.desc("size")).toLocalIterator():
+            groups += row["n"]
+            found = list(_deal_equal(loads, row["size"], row["n"]))
+            ends = [row["first"] + at for at, _ in found[1:]] + [row["first"] + row["n"]]
+            cycles += [(row["size"], row["first"] + at, end, turn) for (at, turn), end in zip(found, ends)]
+        table = df.sparkSession.createDataFrame(cycles, "_size long, _from long, _to long, _turn array<int>")
+        here = (F.col("size") == F.col("_size")) & F.col("position").between(F.col("_from"), F.col("_to") - 1)
+        place = (F.col("position") - F.col("_from")) % F.size("_turn")
+        dealt = placed.join(small_side(table), here).select(
+            group, "size", F.get("_turn", place.cast("int")).alias("fold")
+        )
     if groups < k:
         raise ValueError(f"cannot make {k} folds out of {groups} groups")
-    turn = F.col("position") % (2 * k)
-    fold = F.when(turn < k, turn).otherwise(2 * k - 1 - turn)
-    return placed.select(group, "size", fold.cast("int").alias("fold"))
+    return dealt
 
 
-def group_folds(df: DataFrame, k: int = FOLDS, group: str = "User", mode: str = "balanced") -> DataFrame:
-    """Add ``fold``; all rows of a group share it.
+def group_folds(df: DataFrame, k: int = FOLDS, group: str = "User", mode: str = "greedy") -> DataFrame:
+    """Add ``fold``; all rows of a group share it. For ``greedy`` and ``snake`` see ``fold_table``.
 
     ``mode='hash'`` assigns by hash without looking at sizes: no shuffle, folds uneven.
     """
     if mode == "hash":
         return df.withColumn("fold", F.pmod(F.xxhash64(F.col(group).cast("string")), k).cast("int"))
-    folds = fold_table(df, k, group).select(F.col(group).alias("_group"), "fold")
+    folds = fold_table(df, k, group, mode).select(F.col(group).alias("_group"), "fold")
     return df.join(small_side(folds), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from jobmeter.functions import times
 from jobmeter.operators import daily, reports
 from jobmeter.operators.describe import describe, summarize
-from jobmeter.operators.ranking import top_k, value_counts, with_shares
+from jobmeter.operators.ranking import top_k, value_counts, with_shares, with_totals
 from jobmeter.operators.usage import START_DAY
 from jobmeter.session import materialize
 
@@ -180,11 +180,11 @@ def runtime_p95(jobs: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def user_activity(jobs: DataFrame) -> DataFrame:
-    return reports.user_activity(user_counts(jobs), jobs.agg(F.count("*")).scalar())
+    return reports.user_activity(with_totals(jobs, "hashed_user"))
 
 
 def user_share(jobs: DataFrame) -> DataFrame:
-    return reports.user_share(user_counts(jobs), "hashed_user")
+    return reports.user_share(with_totals(jobs, "hashed_user"), "hashed_user")
 
 
 def peak_days(jobs: DataFrame) -> DataFrame:

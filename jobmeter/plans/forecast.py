@@ -11,7 +11,7 @@ from jobmeter.functions import power, text
 from jobmeter.functions.times import day_text
 from jobmeter.operators.carbon import INTENSITY, intensity_asof, intensity_lookup
 from jobmeter.operators.lookups import zone_lookup
-from jobmeter.operators.scripts import DIRECTIVES, parse_sbatch, total_cores, total_memory_gb
+from jobmeter.operators.scripts import parse_sbatch, total_cores, total_memory_gb
 
 INPUTS = ("cpu_cores", "gpu_count", "node_count", "partition_name", "memory_gigabytes", "walltime_hours")
 
@@ -62,17 +62,19 @@ def forecast_batch(
     mapping: Mapping[str, str] | DataFrame | None = None,
     mem_per_cpu_fix: bool = False,
 ) -> DataFrame:
-    """Forecast of every request, with its resolved inputs as a struct and its notes as an array."""
+    """Forecast of every request, with its resolved inputs as a struct and its notes as an array.
+
+    Where ``requests`` has a column ``error``, rows with an error keep it and have no forecast.
+    """
     resolved = intensity_lookup(resolve_request(requests, mapping, mem_per_cpu_fix), readings)
     estimated = _estimate(
         resolved, F.col("cpu_cores"), F.col("memory_gigabytes"), F.col("walltime_hours")
     )
     kept = [c for c in requests.columns if c not in ("sbatchText", "parameters", "zone")]
-    return estimated.select(
-        *kept, "energy_kwh", "emissions_kgco2e", "emissions_gco2e", "power_watts", INTENSITY, "zone",
-        F.struct(*INPUTS).alias("inputs"),
-        power.forecast_notes(F.col("gpu_count")).alias("notes"),
-    )
+    results = {c: F.col(c) for c in ("energy_kwh", "emissions_kgco2e", "emissions_gco2e", "power_watts", INTENSITY, "zone")}
+    results |= {"inputs": F.struct(*INPUTS), "notes": power.forecast_notes(F.col("gpu_count"))}
+    good = F.col("error").isNull() if "error" in kept else F.lit(True)
+    return estimated.select(*kept, *[F.when(good, value).alias(c) for c, value in results.items()])
 
 
 def estimate_jobs(jobs: DataFrame, readings: DataFrame, zone: str = "zone") -> DataFrame:
@@ -96,7 +98,3 @@ def job_emissions(jobs: DataFrame, readings: DataFrame, zone: str = "zone") -> D
         )
     )
 
-
-__all__ = [
-    "DIRECTIVES", "INPUTS", "estimate_jobs", "forecast_batch", "job_emissions", "resolve_request",
-]

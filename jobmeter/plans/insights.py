@@ -68,13 +68,27 @@ def rollup_section(rollup: DataFrame, name: str) -> DataFrame:
     return table.select(*keys, *metrics)
 
 
-def missing_report(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, field, missing) over several tables, most missing first."""
-    parts = [reports.missingness(df, name) for name, df in tables.items()]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report.orderBy("table", F.desc("missing"), "field")
+def profile(features: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
+    """(table, field, type, known, missing) of the features, the predictions and the merged records.
+
+    A left join keeps each feature row once, so the feature columns of the merged records count as
+    in the features. Only ``job_key`` takes part in the join that counts the prediction columns.
+    """
+    own = reports.column_profile(features, "features")
+    if predictions is None:
+        return own
+    clashes = {c: f"{c}_pred" for c in predictions.columns if c != "job_key" and c in features.columns}
+    keyed = merge_predictions(features.select("job_key"), predictions.withColumnsRenamed(clashes))
+    merged = own.withColumn("table", F.lit("merged_records")).unionByName(
+        reports.column_profile(keyed.drop("job_key"), "merged_records")
+    )
+    return own.unionByName(reports.column_profile(predictions, "predictions")).unionByName(merged)
+
+
+def missing_report(profiled: DataFrame) -> DataFrame:
+    """(table, field, missing) of a profile, most missing first."""
+    found = profiled.where("missing > 0").select("table", "field", "missing")
+    return found.orderBy("table", F.desc("missing"), "field")
 
 
 def insights(
@@ -98,10 +112,7 @@ def insights(
     sections["dataset"] = usage.dataset_summary(features)
     sections["summary_stats"] = summary_stats(features, exact)
     sections["categorical"] = usage.categorical_distribution(features, list(CATEGORICAL_COLUMNS))
-    sections["schema"] = reports.schema_table(features)
-    tables = {"features": features}
-    if predictions is not None:
-        tables["predictions"] = predictions
-        tables["merged_records"] = merge_predictions(features, predictions)
-    sections["missingness"] = missing_report(tables)
+    profiled = materialize(profile(features, predictions), "profile")
+    sections["schema"] = profiled.select("table", "field", "type", "known")
+    sections["missingness"] = missing_report(profiled)
     return sections

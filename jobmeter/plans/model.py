@@ -37,6 +37,12 @@ def default_regressor(seed: int = SEED) -> Estimator:
     )
 
 
+def _known_columns(data: DataFrame, columns: list[str]) -> list[str]:
+    """The columns with at least one known value."""
+    known = data.agg(*[F.count(F.nanvl(F.col(c), F.lit(None))).alias(c) for c in columns]).first()
+    return [c for c in columns if known[c]]
+
+
 def cross_validate(
     features: DataFrame,
     k: int = FOLDS,
@@ -44,27 +50,32 @@ def cross_validate(
     seed: int = SEED,
     ignore_limits: bool = False,
     regressor: Estimator | None = None,
+    mode: str = "greedy",
 ) -> DataFrame:
     """Out-of-fold predictions (job_key, user, fold, y_true, y_pred); a user is in one fold only.
 
+    Every row with a known target is predicted. ``max_samples`` bounds only the rows that a fold's
+    model is fitted on. A feature with no known value in a fold's fitted rows is left out of that fold's model.
+
     The model table is written once to the shared folder; each fold's fit is a distributed job over
     it and the predictions stay distributed.
     """
     extra = [c for c in ("JobID",) if c in features.columns]
-    inputs = sample_cap(
-        model_inputs(features, extra), max_samples, seed, ["job_key", *extra], ignore_limits
-    )
-    data = materialize(group_folds(inputs, k), "model")
+    data = materialize(group_folds(model_inputs(features, extra), k, mode=mode), "model")
     columns = [c for c in FEATURE_COLUMNS if c in data.columns]
-    filled = [f"{c}_filled" for c in columns]
-    steps = [
-        Imputer(inputCols=columns, outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep"),
-        regressor or default_regressor(seed),
-    ]
     held_out = None
     for fold in range(k):
-        model = Pipeline(stages=steps).fit(data.where(F.col("fold") != fold))
+        others = data.where(F.col("fold") != fold)
+        fitted = sample_cap(others, max_samples, seed, ["job_key", *extra], ignore_limits)
+        fitted = fitted if ignore_limits else materialize(fitted, "fitted")
+        known = _known_columns(fitted, columns)
+        filled = [f"{c}_filled" for c in known]
+        steps = [
+            Imputer(inputCols=known, outputCols=filled),
+            VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep"),
+            regressor or default_regressor(seed),
+        ]
+        model = Pipeline(stages=steps).fit(fitted)
         part = model.transform(data.where(F.col("fold") == fold)).select(
             "job_key", F.col("User").cast("int").alias("user"), "fold",
             F.col(TARGET_COLUMN).alias("y_true"), "y_pred",

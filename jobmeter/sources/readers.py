@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobmeter.constants import MISSING_TEXTS, TARGET_COLUMN
 from jobmeter.functions.text import to_numeric
 from jobmeter.sources.schemas import FORECAST_REQUEST, INSIGHTS
 
-# Columns that are numbers in an accounting export; all others are text.
-WHOLE_COLUMNS = ("NCPUS", "NGPUs")
-DECIMAL_COLUMNS = ("Elapsed",)
+# Columns that are numbers in an accounting export, fractions included; all others are text.
+NUMBER_COLUMNS = ("NCPUS", "NGPUs", "Elapsed")
 
 
 def union_tables(tables: Iterable[DataFrame]) -> DataFrame:
@@ -29,7 +29,8 @@ def _read_text_csv(
 ) -> DataFrame:
     """CSV with every column as text, header names stripped, missing texts as null."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    raw = spark.read.csv(
+    reader = spark.read.option("pathGlobFilter", "*.csv") if check else spark.read
+    raw = reader.csv(
         paths, sep=sep, header=True, schema=schema, enforceSchema=not check, quote='"', escape='"'
     )
     cells = [(F.col(f"`{c}`"), c.strip()) for c in columns]
@@ -37,36 +38,52 @@ def _read_text_csv(
 
 
 def _typed(df: DataFrame) -> DataFrame:
-    numbers = {c: to_numeric(F.col(c)).cast("long") for c in WHOLE_COLUMNS if c in df.columns}
-    numbers |= {c: to_numeric(F.col(c)) for c in DECIMAL_COLUMNS if c in df.columns}
+    numbers = {c: to_numeric(F.col(c)) for c in NUMBER_COLUMNS if c in df.columns}
     return df.withColumns(numbers) if numbers else df
 
 
+def _columns(line: str, sep: str) -> list[str]:
+    """Column names of a header line."""
+    return next(csv.reader([line], delimiter=sep), [])
+
+
 def _header(spark: SparkSession, path: str | list[str], sep: str) -> list[str]:
     """Column names of a file; reads its first line only."""
     return spark.read.csv(path, sep=sep, header=True, quote='"', escape='"').columns
 
 
+def _first_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(header, paths) of the CSV files of a folder, by one distributed job over their first lines."""
+    block = F.col("_metadata.file_block_start")
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).where(block == 0)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    numbered = lines.select(path.alias("path"), F.monotonically_increasing_id().alias("at"), "value")
+    first = numbered.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    return first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+
+
 def read_sacct_dir(spark: SparkSession, folder: str, same_header: bool = False) -> DataFrame:
     """All ``|``-separated CSV files of a folder as one table over the union of their columns.
 
-    Files are grouped by header and each group is one distributed read. ``same_header=True`` skips
-    the look at every file's first line; Spark then checks the headers while it reads and fails on
-    a different one.
+    Files are grouped by header and each group is one distributed read. The headers are found by one
+    job; the driver gets the distinct headers with their files' paths, which it needs to plan the
+    reads. ``same_header=True`` skips that: Spark then checks the headers while it reads the folder
+    and fails on a different one.
     """
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder)
-    paths = sorted(row.path for row in listing.select("path").toLocalIterator())
-    if not paths:
-        raise FileNotFoundError(f"no CSV files in {folder}")
     if same_header:
-        return _typed(_read_text_csv(spark, paths, _header(spark, paths[0], "|"), "|", check=True))
-    with ThreadPoolExecutor(8) as pool:
-        headers = list(pool.map(lambda path: tuple(_header(spark, path, "|")), paths))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path, header in zip(paths, headers):
-        groups.setdefault(header, []).append(path)
+        one = spark.read.option("pathGlobFilter", "*.csv").text(folder).limit(1).collect()
+        if not one:
+            raise FileNotFoundError(f"no CSV files in {folder}")
+        columns = _columns(one[0]["value"], "|")
+        return _typed(_read_text_csv(spark, folder, columns, "|", check=True))
+    groups = _first_lines(spark, folder).collect()
+    if not groups:
+        raise FileNotFoundError(f"no CSV files in {folder}")
     return _typed(
-        union_tables(_read_text_csv(spark, files, list(h), "|") for h, files in groups.items())
+        union_tables(
+            _read_text_csv(spark, row["paths"], _columns(row["header"], "|"), "|")
+            for row in sorted(groups, key=lambda row: row["paths"][0])
+        )
     )
 
 
@@ -102,16 +119,72 @@ def read_carbon_intensity(spark: SparkSession, path: str, format: str = "parquet
     )
 
 
+def _checked(document: Column, path: str, kind: T.DataType) -> tuple[Column, Column]:
+    """A field of a request as its declared type, and what is wrong with it (null if nothing is).
+
+    Whole numbers may be given as such, as decimals without a fraction, as texts of these, or as
+    flags; numbers as any of these or as decimals; texts only as texts. Absent and null are missing.
+    """
+    given = F.try_variant_get(document, f"$.{path}", "variant")
+    form = F.schema_of_variant(given)
+    text = F.try_variant_get(document, f"$.{path}", "string")
+    missing = given.isNull() | (form == "VOID")
+    flag = F.when(text == "true", 1).when(text == "false", 0)
+    number = F.when(form == "BOOLEAN", flag.cast("double")).otherwise(text.try_cast("double"))
+    scalar = form.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|STRING|BOOLEAN)")
+    match kind:
+        case T.StringType():
+            value, fits, wanted = text, form == "STRING", "a text"
+        case T.LongType():
+            digits = F.regexp_extract(text, r"^\s*([+-]?[0-9]+)(\.0*)?\s*$", 1).try_cast("long")
+            whole = F.when(form == "BOOLEAN", flag.cast("long")).otherwise(
+                F.coalesce(digits, F.when(form.rlike("^(DOUBLE|FLOAT)") & (number % 1 == 0), number.try_cast("long")))
+            )
+            value, fits, wanted = whole, scalar & whole.isNotNull(), "a whole number"
+        case _:
+            value, fits, wanted = number, scalar & finite(number).isNotNull(), "a number"
+    problem = F.when(~missing & ~F.coalesce(fits, F.lit(False)), F.lit(f"{path} is not {wanted}"))
+    return F.when(~missing & problem.isNull(), value), problem
+
+
 def read_forecast_requests(spark: SparkSession, path: str, keys: str = "") -> DataFrame:
-    """Forecast requests, one JSON object per line; every field is optional.
+    """Forecast requests, one JSON object per line, with ``error``: every field is optional.
 
-    ``keys`` declares extra columns that identify a request, e.g. ``"script_id long"``.
+    A bad request is a row with its problems in ``error`` and no parameters; no row is dropped and
+    no batch fails. ``error`` is null for good requests. Lines of white space alone are no rows.
+    ``keys`` declares extra columns that identify a request, e.g. ``"script_id long"``; an unreadable
+    key is null.
     """
-    schema = FORECAST_REQUEST
-    if keys:
-        extra = spark.createDataFrame([], keys).schema
-        schema = type(schema)([*extra.fields, *schema.fields])
-    return spark.read.schema(schema).json(path, mode="FAILFAST")
+    extra = spark.createDataFrame([], keys).schema.fields if keys else []
+    document = F.col("_document")
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.try_parse_json("value").alias("_document"))
+    form = F.schema_of_variant(document)
+    parts, problems = {}, []
+    for field in FORECAST_REQUEST.fields:
+        if isinstance(field.dataType, T.StructType):
+            inner = F.schema_of_variant(F.try_variant_get(document, f"$.{field.name}", "variant"))
+            shape = inner.isNull() | inner.rlike("^(VOID|OBJECT)")
+            problems.append(F.when(~shape, F.lit(f"{field.name} is not an object")))
+            values = []
+            for sub in field.dataType.fields:
+                value, problem = _checked(document, f"{field.name}.{sub.name}", sub.dataType)
+                values.append(value.alias(sub.name))
+                problems.append(F.when(shape, problem))
+            parts[field.name] = F.struct(*values)
+        else:
+            parts[field.name], problem = _checked(document, field.name, field.dataType)
+            problems.append(problem)
+    listed = F.nullif(F.concat_ws("; ", *problems), F.lit(""))
+    error = (
+        F.when(document.isNull(), "not JSON").when(~form.startswith("OBJECT"), "not an object").otherwise(listed)
+    )
+    given = lines.withColumn("error", error)
+    good = F.col("error").isNull()
+    return given.select(
+        *[F.try_variant_get(document, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in extra],
+        *[F.when(good, value).alias(name) for name, value in parts.items()],
+        "error",
+    )
 
 
 def finite(column: Column) -> Column:
@@ -119,14 +192,27 @@ def finite(column: Column) -> Column:
     return F.when(~F.isnan(column) & (F.abs(column) != float("inf")), column)
 
 
+def finite_deep(column: Column, kind: T.DataType) -> Column:
+    """The column with every non-finite number inside structs, arrays and maps as null."""
+    match kind:
+        case T.DoubleType() | T.FloatType():
+            return finite(column)
+        case T.StructType():
+            fields = [finite_deep(column[f.name], f.dataType).alias(f.name) for f in kind.fields]
+            return F.when(column.isNotNull(), F.struct(*fields))
+        case T.ArrayType():
+            return F.transform(column, lambda x: finite_deep(x, kind.elementType))
+        case T.MapType():
+            return F.transform_values(column, lambda _, x: finite_deep(x, kind.valueType))
+    return column
+
+
 def read_insights_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Insight documents under the declared schema; NaN and infinities are read, not refused."""
-    return spark.read.schema(INSIGHTS).json(path, multiLine=multi_line, allowNonNumericNumbers=True)
+    """Insight documents under the declared schema; NaN and infinities become null everywhere."""
+    raw = spark.read.schema(INSIGHTS).json(path, multiLine=multi_line, allowNonNumericNumbers=True)
+    return raw.select(*[finite_deep(F.col(f.name), f.dataType).alias(f.name) for f in raw.schema.fields])
 
 
 def insight_rows(document: DataFrame, section: str) -> DataFrame:
-    """One table of a document, e.g. ``aggregations.by_user``; non-finite numbers become null."""
-    rows = document.select(F.inline(section))
-    return rows.select(
-        *[finite(F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes]
-    )
+    """One table of a document, e.g. ``aggregations.by_user``."""
+    return document.select(F.inline(section))

@@ -254,17 +254,43 @@ def test_sample_is_exact_and_stable(spark):
 def test_folds_keep_users_together(spark):
     rows = [(f"u{i % 11}" if i % 13 else None, i) for i in range(600)] + [("big", i) for i in range(300)]
     df = spark.createDataFrame(rows, "User string, n int")
-    for mode in ("balanced", "hash"):
+    for mode in ("greedy", "snake", "hash"):
         out = sampling.group_folds(df, 5, mode=mode)
         assert out.count() == 900
         per_user = out.groupBy("User").agg(F.countDistinct("fold").alias("f")).collect()
         assert {r.f for r in per_user} == {1}
-    balanced = sampling.group_folds(df, 5).select("fold").distinct().count()
-    assert balanced == 5
+    sizes = sorted(r["count"] for r in sampling.group_folds(df, 5).groupBy("fold").count().collect())
+    assert sizes == [150, 150, 150, 150, 300] or (sizes[-1] == 300 and len(sizes) == 5 and sizes[0] >= 100)
+    with pytest.raises(ValueError, match="mode"):
+        sampling.group_folds(df, 5, mode="balanced")
     with pytest.raises(ValueError, match="folds"):
         sampling.group_folds(df.where("User = 'big'"), 5)
 
 
+def test_equal_groups_are_dealt_as_one_by_one():
+    rng = random.Random(3)
+    for _ in range(1500):
+        k = rng.randint(1, 6)
+        sizes = {rng.randint(1, rng.choice([3, 30, 300])): rng.randint(1, 40) for _ in range(rng.randint(1, 6))}
+        loads, expected_loads = [0] * k, [0] * k
+        for size, count in sorted(sizes.items(), reverse=True):
+            expected = []
+            for _ in range(count):
+                lightest = min(range(k), key=lambda f: (expected_loads[f], f))
+                expected_loads[lightest] += size
+                expected.append(lightest)
+            found = list(sampling._deal_equal(loads, size, count))
+            ends = [at for at, _ in found[1:]] + [count]
+            dealt = [turn[(p - at) % len(turn)] for (at, turn), end in zip(found, ends) for p in range(at, end)]
+            assert dealt == expected and loads == expected_loads and len(found) <= 2 * k + 2
+
+
+def test_one_heavy_user_has_a_fold_of_its_own(spark):
+    rows = [("half", i) for i in range(500)] + [("tenth", i) for i in range(100)] + [(f"u{i % 40}", i) for i in range(400)]
+    folds = sampling.group_folds(spark.createDataFrame(rows, "User string, n int"), 5)
+    assert sorted(r["count"] for r in folds.groupBy("fold").count().collect()) == [120, 120, 130, 130, 500]
+
+
 @pytest.fixture
 def shuffled(spark, monkeypatch):
     """Joins without any broadcast, as for sides beyond the bound."""

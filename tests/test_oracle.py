@@ -14,9 +14,9 @@ def con():
     return connect(SF_DIR)
 
 
-def test_only_the_model_has_no_twin():
-    assert set(catalog.QUERIES) - set(TWINS) == {"cross_validate"}
-    assert set(TWINS) <= set(catalog.QUERIES)
+def test_every_query_has_a_twin():
+    assert set(catalog.QUERIES) == set(TWINS)
+
 
 
 @pytest.mark.parametrize("name", sorted(TWINS))

@@ -159,16 +159,64 @@ def test_cross_validation(inputs):
 
     tree = DecisionTreeRegressor(featuresCol="features", labelCol="energy_kWh", predictionCol="y_pred", maxDepth=4)
     out = model.cross_validate(inputs.features, max_samples=400, regressor=tree).persist()
-    assert out.count() == 400 and out.where("y_pred is null or isnan(y_pred)").count() == 0
+    rows = inputs.features.count()  # the bound limits what is fitted, not what is predicted
+    assert out.count() == rows > 400 and out.where("y_pred is null or isnan(y_pred)").count() == 0
     per_user = out.groupBy("user").agg(F.countDistinct("fold").alias("n")).agg(F.max("n")).first()[0]
     assert per_user == 1
     metrics = {r.fold: r for r in model.fold_metrics(out).collect()}
-    assert set(metrics) == {-1, 0, 1, 2, 3, 4} and metrics[-1]["rows"] == 400
+    assert set(metrics) == {-1, 0, 1, 2, 3, 4} and metrics[-1]["rows"] == rows
     spread = out.agg(F.stddev("y_true")).first()[0]
     assert metrics[-1].rmse < spread * 1.2
     out.unpersist()
 
 
+def test_cross_validation_without_a_known_feature(inputs):
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    tree = DecisionTreeRegressor(featuresCol="features", labelCol="energy_kWh", predictionCol="y_pred", maxDepth=2)
+    table = feature_plans.feature_table(inputs.sacct.drop("Submit"), inputs.emissions)
+    out = model.cross_validate(table, k=2, max_samples=200, regressor=tree)
+    assert out.where("y_pred is null").count() == 0 and out.count() == inputs.features.count()
+
+
+def test_headers_of_many_files_take_a_fixed_number_of_jobs(spark, tmp_path):
+    for i in range(200):
+        header = ("JobID|User", "User|JobID", "JobID|User|NCPUS")[i % 3]
+        (tmp_path / f"part {i}+x.csv").write_text(header + "\n1|2" + ("|2.5" if i % 3 == 2 else "") + "\n")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("headers", "headers")
+    out = readers.read_sacct_dir(spark, str(tmp_path))
+    jobs = len(tracker.getJobIdsForGroup("headers"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 8
+    assert out.count() == 200 and out.agg(F.sum("NCPUS")).first()[0] == 66 * 2.5
+
+
+def test_requests_that_are_wrong_keep_their_row(spark, tmp_path):
+    lines = [
+        '{"parameters": {"cpuCores": "8", "nodeCount": 2.0, "memoryGigabytes": "1e1"}, "zone": "z"}',
+        '{"parameters": {"cpuCores": "x", "partitionName": 5}}', '{"parameters": [1]}', "{broken", "7", "",
+        '{"parameters": null, "sbatchText": null}', '{"parameters": {"cpuCores": true, "walltimeHours": false}}',
+        '{"zone": 3, "parameters": {"memoryGigabytes": "inf"}}',
+    ]
+    (tmp_path / "r.json").write_text("\n".join(lines) + "\n")
+    rows = readers.read_forecast_requests(spark, str(tmp_path / "r.json")).collect()
+    good = [r.parameters for r in rows if r.error is None]
+    assert [(p.cpuCores, p.nodeCount, p.memoryGigabytes, p.walltimeHours) for p in good] == [
+        (8, 2, 10.0, None), (None, None, None, None), (1, None, None, 0.0),
+    ]
+    assert [r.error for r in rows if r.error] == [
+        "parameters.partitionName is not a text; parameters.cpuCores is not a whole number",
+        "parameters is not an object", "not JSON", "not an object",
+        "parameters.memoryGigabytes is not a number; zone is not a text",
+    ]
+    forecasts = forecast.forecast_batch(
+        readers.read_forecast_requests(spark, str(tmp_path / "r.json")),
+        spark.createDataFrame([], "zone string, reading_ts timestamp, carbon_intensity double"),
+    )
+    assert forecasts.where("(error is null) = (energy_kwh is not null)").count() == 8
+
+
 def test_sacct_folder_with_two_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text(" JobID | User|NCPUS\n1|ann|4\n2|NA|x\n")
     (tmp_path / "b.csv").write_text("User|JobID|Extra\nbob|3|z\n")
@@ -197,10 +245,13 @@ def test_reader_errors(spark, tmp_path):
 def test_insights_document_with_bad_numbers(spark, tmp_path):
     path = tmp_path / "doc.json"
     path.write_text(
-        '{"aggregations": {"by_user": [{"user": "a", "job_count": 2,\n "energy_total_kwh": NaN, "energy_mean_kwh": -Infinity},'
+        '{"dataset": {"energy_kwh": {"mean": NaN, "max": 2.0}}, "distributions": {"numeric": {"a": {"min": -Infinity}}},'
+        ' "aggregations": {"by_user": [{"user": "a", "job_count": 2,\n "energy_total_kwh": NaN, "energy_mean_kwh": -Infinity},'
         ' {"user": "b", "job_count": 1, "energy_total_kwh": 2.5, "energy_mean_kwh": Infinity}]}}'
     )
     document = readers.read_insights_json(spark, str(path))
+    assert document.first().dataset.energy_kwh.mean is None and document.first().dataset.energy_kwh.max == 2.0
+    assert document.first().distributions.numeric["a"].min is None
     rows = {r.user: (r.energy_total_kwh, r.energy_mean_kwh) for r in readers.insight_rows(document, "aggregations.by_user").collect()}
     assert rows == {"a": (None, None), "b": (2.5, None)}
 
