@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from jobmeter.constants import DEFAULT_INTENSITY, FALLBACK_INTENSITY
 from jobmeter.operators.lookups import map_literal, small_side
+from jobmeter.session import materialize
 
 INTENSITY = "carbon_intensity_gco2e_per_kwh"
 
@@ -56,8 +57,11 @@ def validity_intervals(readings: DataFrame, bucket_seconds: int = 3600) -> DataF
     The successor of a reading is found inside its day; only the first reading of each day is
     ordered across days, so no task sorts the whole history of a busy zone.
     """
-    day = F.to_date("ts")
-    single = _readings(readings).withColumn("_day", day)
+    return _intervals(_readings(readings), bucket_seconds)
+
+
+def _intervals(single: DataFrame, bucket_seconds: int) -> DataFrame:
+    single = single.withColumn("_day", F.to_date("ts"))
     next_in_day = F.lead("ts").over(W.partitionBy("zone", "_day").orderBy("ts"))
     next_day = (
         single.groupBy("zone", "_day")
@@ -93,15 +97,20 @@ def intensity_asof(
     An equi-join on (zone, time bucket) with the interval test inside it: intervals do not overlap,
     so each job meets one row at most and keeps its place. Times after a zone's last reading are
     served by the latest-reading table instead of an endless interval.
+
+    The readings are read once, while the plan is built: reduced to one row per zone and time they
+    are written to the shared folder, and so are the intervals.
     """
-    intervals = (
-        validity_intervals(readings, bucket_seconds)
+    single = materialize(_readings(readings), "readings")
+    intervals = materialize(
+        _intervals(single, bucket_seconds)
         .select(
             F.col("zone").alias("_zone"), F.col("bucket").alias("_bucket"), "ts", "next_ts",
             F.struct("ts", "value").alias("_reading"),
-        )
+        ),
+        "intervals",
     )
-    latest = latest_reading(readings).withColumnRenamed("zone", "_last_zone")
+    latest = single.groupBy(F.col("zone").alias("_last_zone")).agg(F.max(F.struct("ts", "value")).alias("_latest"))
     moment = F.col(at).cast("timestamp")
     bucket = F.floor(F.unix_micros(moment) / F.lit(bucket_seconds * 1_000_000))
     in_force = (

@@ -10,11 +10,13 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from jobmeter.session import materialize
+
 # Steps per unit of the first, logarithmic buckets; linear buckets of each later pass; rows up to
 # which a bucket's distinct values are sorted by one task.
 LOG_STEPS = 200
 LINEAR_STEPS = 4096
-SORTABLE_ROWS = 1_000_000
+SORTABLE_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -184,11 +186,14 @@ def summarize(
 ) -> DataFrame:
     """One row per metric: count, mean, std, min, max and an array ``quantiles`` in ``probs`` order.
 
-    Quantiles interpolate linearly between ranks and the table is computed at once.
+    Quantiles interpolate linearly between ranks. This runs at once, while the plan is built: the
+    numbers are written to the shared folder as narrow (metric, value) rows, so that the source is
+    read once however many passes follow.
     ``exact=False`` takes quantiles from Spark's bounded sketch instead, lazily and in one pass.
     """
     values = long_values(df, metrics)
     if exact:
+        values = materialize(values, "values")
         rows = [
             (m, s["count"], s["mean"], s["std"], s["min"], s["max"], q)
             for m, s, q in _exact_summaries(values, probs)

@@ -74,7 +74,8 @@ def _started(features: DataFrame) -> DataFrame:
 
 def by_day(features: DataFrame) -> DataFrame:
     """Per UTC start day."""
-    return _started(features).groupBy(day_text(F.col("Start")).alias(START_DAY)).agg(*energy_columns())
+    days = _started(features).groupBy(F.to_date("Start").alias(START_DAY)).agg(*energy_columns())
+    return days.withColumn(START_DAY, day_text(F.col(START_DAY)))
 
 
 def by_hour_of_day(features: DataFrame) -> DataFrame:
@@ -86,8 +87,9 @@ def by_day_hour(features: DataFrame) -> DataFrame:
     """Sparse (day, hour) cells."""
     return (
         _started(features)
-        .groupBy(day_text(F.col("Start")).alias(START_DAY), F.hour("Start").alias(START_HOUR))
+        .groupBy(F.to_date("Start").alias(START_DAY), F.hour("Start").alias(START_HOUR))
         .agg(*energy_columns(mean=False))
+        .withColumn(START_DAY, day_text(F.col(START_DAY)))
     )
 
 

@@ -71,8 +71,9 @@ def _days(jobs: DataFrame) -> DataFrame:
     moment, bad = _day_source(jobs)
     return (
         jobs.select(moment.alias("_at"), bad.alias("_bad"))
-        .groupBy(times.day_text(F.col("_at")).alias(START_DAY))
+        .groupBy(F.to_date("_at").alias(START_DAY))
         .agg(*_day_columns(F.col("_at"), F.col("_bad")))
+        .withColumn(START_DAY, times.day_text(F.col(START_DAY)))
     )
 
 
@@ -210,7 +211,7 @@ def group_counts(jobs: DataFrame) -> DataFrame:
     moment, bad = F.lit(None).cast("timestamp"), F.lit(False)
     if _dated(jobs):
         moment, bad = _day_source(jobs)
-        keys[START_DAY] = times.day_text(moment)
+        keys[START_DAY] = F.to_date(moment)
     keyed = jobs.select(
         *[c.alias(k) for k, c in keys.items()], moment.alias("_at"), bad.alias("_bad")
     )
@@ -293,6 +294,7 @@ def analyze_jobs(jobs: DataFrame, exact: bool = True) -> dict[str, DataFrame]:
             sections[grouped[c]] = top_k(shares, "job_count", c, 20) if c == "hashed_user" else shares
         if _dated(jobs):
             days = counts.where(F.col("_set") == START_DAY)
+            days = days.withColumn(START_DAY, times.day_text(F.col(START_DAY)))
             sections["date_range"] = _range(days)
             sections["daily_patterns"] = _daily_patterns(days)
     return sections

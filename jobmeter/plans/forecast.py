@@ -90,11 +90,12 @@ def job_emissions(jobs: DataFrame, readings: DataFrame, zone: str = "zone") -> D
     return (
         estimate_jobs(jobs, readings, zone)
         .where("User is not null and Start is not null")
-        .groupBy(F.col("User").alias("user"), day_text(F.col("Start")).alias("start_day"))
+        .groupBy(F.col("User").alias("user"), F.to_date("Start").alias("start_day"))
         .agg(
             F.count("*").alias("job_count"),
             F.coalesce(F.sum("energy_kwh"), F.lit(0.0)).alias("energy_kwh"),
             F.coalesce(F.sum("emissions_gco2e"), F.lit(0.0)).alias("emissions_gco2e"),
         )
+        .withColumn("start_day", day_text(F.col("start_day")))
     )
 

@@ -43,14 +43,15 @@ def usage_rollup(features: DataFrame) -> DataFrame:
         F.col("Account").alias("account"),
         F.col("State").alias("state"),
         "job_type",
-        day_text(F.col("Start")).alias(usage.START_DAY),
+        F.to_date("Start").alias(usage.START_DAY),
         F.hour("Start").alias(usage.START_HOUR),
         TARGET_COLUMN, "queue_wait_time_hours", "requested_walltime_hours",
     )
     sets = [[F.col(c) for c in columns] for columns in ROLLUPS.values()]
-    return keyed.groupingSets(sets, *[F.col(c) for c in _KEYS]).agg(
+    table = keyed.groupingSets(sets, *[F.col(c) for c in _KEYS]).agg(
         F.grouping_id(*_KEYS).alias("_mask"), *usage.energy_columns(), *usage.wait_columns()
     )
+    return table.withColumn(usage.START_DAY, day_text(F.col(usage.START_DAY)))
 
 
 def rollup_section(rollup: DataFrame, name: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,13 +39,14 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only a local session may fall back to a temporary one."""
+    """The cluster's checkpoint folder (spark.checkpoint.dir), which every executor can reach.
+
+    Where it is unset, a folder in the warehouse takes its place, which is shared as well.
+    """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="jobmeter-")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -54,19 +57,39 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``materialize`` writes inside the block when the block ends.
+
+    Results that read them must be written or collected before. Without a block the tables stay
+    until the folder is cleaned.
+    """
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
-    For tables that several reports scan: each later scan reads only its own columns (and, with
-    ``partition_by``, only its own partitions), and no lost executor can force the upstream joins
-    to run again.
+    For tables that several reports scan: each later scan reads only its own columns, and no lost
+    executor can force the upstream joins to run again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    paths = _written.get()
+    if paths is not None:
+        paths.append(path)
+    df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

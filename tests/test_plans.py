@@ -268,3 +268,45 @@ def test_analysis_lines_have_no_nan(spark, tmp_path):
 
 def test_every_query_has_rows(spark):
     assert len(QUERIES) >= 100
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    from pathlib import Path
+
+    from jobmeter.session import materialize, scratch_tables
+
+    folder = lambda df: Path(df.inputFiles()[0].removeprefix("file:")).parent
+    with scratch_tables(spark):
+        inside = folder(materialize(spark.range(3).toDF("n"), "block"))
+        assert inside.exists()
+    outside = folder(materialize(spark.range(3).toDF("n"), "stays"))
+    assert not inside.exists() and outside.exists()
+
+
+def test_sources_are_read_once(spark):
+    """Quantiles, samples and as-of lookups read their input once, however many passes follow."""
+    from jobmeter.operators import carbon, describe, sampling
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(df):
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(count, df.schema)
+
+    rows = spark.range(4000).select(
+        F.col("id").cast("string").alias("job_key"), F.col("id").alias("JobID"), (F.col("id") % 977 / 7).alias("v")
+    )
+    describe.describe(counted(rows), {"v": F.col("v")}).collect()
+    assert seen.value == 4000
+    sampling.sample_cap(counted(rows), 300).collect()
+    assert seen.value == 8000
+    readings = spark.range(500).select(
+        F.lit("z").alias("zone"), F.timestamp_seconds(F.col("id") * 1800).alias("reading_ts"), F.col("id").cast("double").alias("carbon_intensity")
+    )
+    jobs = spark.createDataFrame([("z", 5000)], "zone string, at long").select("zone", F.timestamp_seconds("at").alias("Start"))
+    assert carbon.intensity_asof(jobs, counted(readings)).collect()[0][carbon.INTENSITY] == 2.0
+    assert seen.value == 8500
