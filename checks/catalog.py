@@ -323,8 +323,9 @@ def _to_numeric(x: Inputs) -> DataFrame:
 
 
 def _runtime_string(x: Inputs) -> DataFrame:
-    clock = F.date_format(F.timestamp_seconds("Elapsed"), "HH:mm:ss")
-    runtime = F.concat(F.floor(F.col("Elapsed") / 5000).cast("string"), F.lit("-"), clock)
+    seconds = F.greatest("Elapsed", F.lit(0))
+    clock = F.date_format(F.timestamp_seconds(seconds), "HH:mm:ss")
+    runtime = F.concat(F.floor(seconds / 5000).cast("string"), F.lit("-"), clock)
     return x.sacct.select("JobID", runtime.alias("runtime_text")).withColumn(
         "hours", text.runtime_hours_text(F.col("runtime_text"))
     )

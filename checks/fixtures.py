@@ -32,7 +32,11 @@ DUCK_TOKENS = {
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "b": (
         ("events",),
-        "select event_id, user_id, event_type, value, @K as k, date_trunc('second', ts) as st from events",
+        """
+select event_id, user_id, event_type, value, @K as k,
+  date_trunc('second', ts) - case when event_id % 41 = 0 then interval 150 days else interval 0 days end as st
+from events
+""",
     ),
     # Accounting rows: one per event, and a second copy (same user, same start) of some.
     "sacct": (
@@ -47,17 +51,20 @@ select cast(event_id as string) || case when dup = 1 then '.r1' else '' end as J
   case when k % 4 = 0 then 'gpu' else 'serc' end as Partition,
   @DF(st - @SEC(k * 37), @FMT) as Submit,
   case when event_id % 97 = 0 then 'Unknown' else @DF(st, @FMT) end as Start,
-  case when event_id % 101 = 0 then 'Unknown' else @DF(st + @SEC(cast(floor(value * 60) as int)), @FMT) end as `End`,
-  cast(floor(value * 60) as int) as Elapsed,
-  1 + k % 32 as NCPUS,
+  case when event_id % 101 = 0 then 'Unknown' else @DF(st + @SEC(run), @FMT) end as `End`,
+  run as Elapsed,
+  case when event_id % 67 = 0 then 128 else 1 + k % 32 end as NCPUS,
   case when k % 10 = 0 then 1 + k % 4 else 0 end as NGPUs,
   case when k % 4 = 0 then cast(1 + k as string) || 'G' when k % 4 = 1 then cast(1024 * (1 + k) as string) || 'M'
        when k % 4 = 2 then cast(1048576 * (1 + k % 8) as string) || 'K' else null end as ReqMem,
-  case when event_id % 83 = 0 then null else 'billing=1,cpu=' || cast(1 + k % 32 as string) || ',mem=' || cast(1 + k as string)
+  case when event_id % 83 = 0 then null when event_id % 43 = 0 then 'cpu=4, cpu = 8 ,mem=2G,bad,=5,gres/gpu:a100=2,gpu=3'
+       when event_id % 47 = 0 then 'mem=512M,cpu=2,mem=1T,gres/gpu=1,gres/gpu=2' else 'billing=1,cpu=' || cast(1 + k % 32 as string) || ',mem=' || cast(1 + k as string)
        || 'G,node=1' || case when k % 10 = 0 then ',gres/gpu=' || cast(1 + k % 4 as string) else '' end end as AllocTRES,
   case when k % 3 = 0 then 'sh0' || cast(1 + k % 9 as string) || '-' || cast(user_id % 40 as string)
        when k % 3 = 1 then 'node' || cast(user_id % 40 as string) else null end as NodeList
-from (select *, @COPIES as dup from b) x
+from (select *, @COPIES as dup,
+        cast(floor(value * 60) as int) + case when event_id % 59 = 0 then 800000 when event_id % 61 = 0 then 90000
+          when event_id % 73 = 0 then -500000 else 0 end as run from b) x
 """,
     ),
     # Metered energy: several rows per job, some without a key (the job stays unmetered), some
@@ -77,6 +84,11 @@ from (select *, @SPLIT as i from b) x
         """
 select p_partkey as script_id,
   '#!/bin/bash' || @NL || '#SBATCH --partition=' || case when p_size % 2 = 0 then 'serc' else 'gpu' end || @NL
+  || case when p_partkey % 11 = 0 then '#SBATCH --job-name=n' || cast(p_partkey as string) || @NL else '' end
+  || case when p_partkey % 13 = 0 then '#SBATCH --gres gpu:2' || @NL when p_partkey % 13 = 1 then '#SBATCH --gres=gpu:4,ssd:1' || @NL
+          when p_partkey % 13 = 2 then '#SBATCH --mem=1G2' || @NL when p_partkey % 13 = 3 then '#SBATCH --ntasks-per-node=3' || @NL
+          when p_partkey % 13 = 4 then '#SBATCH --time-min=10' || @NL when p_partkey % 13 = 5 then '#SBATCH --mem=1G' || @NL || '#SBATCH --mem=2048M' || @NL
+          else '' end
   || case when p_size % 3 = 0 then '#SBATCH --mem-per-cpu=4G' || @NL
           when p_size % 3 = 1 then '#SBATCH --mem=' || cast(p_size as string) || 'G' || @NL else '' end
   || '  #SBATCH --cpus-per-task ' || cast(1 + p_size % 16 as string) || @NL
@@ -133,7 +145,7 @@ from sacct
         ("features",),
         """
 select job_key, cast(substr(User, 2) as int) as user_code, cast(substr(User, 2) as int) % 5 as fold,
-  energy_kWh as y_true, energy_kWh * 0.9 + 0.01 * alloc_gpu + 0.001 * (NCPUS % 5) as y_pred
+  energy_kWh as y_true, energy_kWh * 0.9 + 0.01 * alloc_gpu + 0.001 * (NCPUS % 5) + case when JobID like '%.r1' then 0.5 else 0 end as y_pred
 from features
 """,
     ),

@@ -427,7 +427,7 @@ select 'START_End' as method, hashed_user, {r('hours', 'hours')} from flat union
     q["gres_gpu_count"] = _q("read", "select script_id, d as directive, gpus as gpu_count from read")
     q["runtime_string_hours"] = _q("jobs", f"""
 select JobID, t as runtime_text, {r("cast(split_part(t, '-', 1) as int) * 24 + cast(substr(t, strpos(t, '-') + 1, 2) as int) + cast(substr(t, strpos(t, '-') + 4, 2) as int) / 60.0 + cast(substr(t, strpos(t, '-') + 7, 2) as int) / 3600.0", 'hours')}
-from (select JobID, cast(Elapsed // 5000 as varchar) || '-' || strftime(make_timestamp(2000, 1, 1, 0, 0, 0.0) + to_seconds(Elapsed), '%H:%M:%S') as t from jobs)""")
+from (select JobID, cast(greatest(Elapsed, 0) // 5000 as varchar) || '-' || strftime(make_timestamp(2000, 1, 1, 0, 0, 0.0) + to_seconds(greatest(Elapsed, 0)), '%H:%M:%S') as t from jobs)""")
     q["node_prefix"] = _q("sacct", """
 select JobID, nullif(regexp_replace(case when contains(NodeList, '-') then split_part(NodeList, '-', 1) else regexp_replace(NodeList, '[0-9\\[\\]]+$', '') end, '[0-9]', '', 'g'), '') as node_prefix from sacct""")
     q["resolve_request"] = _q("resolved", f"""select script_id, cpu_cores, gpu_count, node_count, partition_name, {r('memory_gigabytes', 'memory_gigabytes')},
