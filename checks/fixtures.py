@@ -48,7 +48,7 @@ select cast(event_id as string) || case when dup = 1 then '.r1' else '' end as J
   case when event_type = 'error' then 'FAILED' when event_type = 'signup' then 'TIMEOUT'
        when k = 3 then 'OUT_OF_MEMORY' when k = 5 then 'NODE_FAIL'
        when k % 17 = 0 then 'CANCELLED_by_' || cast(user_id as string) else 'COMPLETED' end as State,
-  case when k % 4 = 0 then 'gpu' else 'serc' end as Partition,
+  case when k % 4 = 0 then 'gpu' else 'long' end as Partition,
   @DF(st - @SEC(k * 37), @FMT) as Submit,
   case when event_id % 97 = 0 then 'Unknown' else @DF(st, @FMT) end as Start,
   case when event_id % 101 = 0 then 'Unknown' else @DF(st + @SEC(run), @FMT) end as `End`,
@@ -83,7 +83,7 @@ from (select *, @SPLIT as i from b) x
         ("part",),
         """
 select p_partkey as script_id,
-  '#!/bin/bash' || @NL || '#SBATCH --partition=' || case when p_size % 2 = 0 then 'serc' else 'gpu' end || @NL
+  '#!/bin/bash' || @NL || '#SBATCH --partition=' || case when p_size % 2 = 0 then 'long' else 'gpu' end || @NL
   || case when p_partkey % 11 = 0 then '#SBATCH --job-name=n' || cast(p_partkey as string) || @NL else '' end
   || case when p_partkey % 13 = 0 then '#SBATCH --gres gpu:2' || @NL when p_partkey % 13 = 1 then '#SBATCH --gres=gpu:4,ssd:1' || @NL
           when p_partkey % 13 = 2 then '#SBATCH --mem=1G2' || @NL when p_partkey % 13 = 3 then '#SBATCH --ntasks-per-node=3' || @NL
@@ -98,7 +98,7 @@ select p_partkey as script_id,
   || case when p_size % 4 = 0 then '#SBATCH --time=1-02:30:00' when p_size % 4 = 1 then '#SBATCH --time=02:00:00'
           when p_size % 4 = 2 then '#SBATCH --time=bad' else '#SBATCH --time=90' end || @NL
   || case when p_size % 9 = 0 then '#SBATCH --time=00:45:30' || @NL else '' end
-  || case when p_size % 6 = 0 then '#SBATCH --nodelist=sh02-01n01' || @NL else '' end || 'srun ./a.out' as sbatchText
+  || case when p_size % 6 = 0 then '#SBATCH --nodelist=sh7-2' || @NL else '' end || 'srun ./a.out' as sbatchText
 from part
 """,
     ),

@@ -65,7 +65,7 @@ def test_runtime_text(evaluate):
 
 
 def test_node_prefix(evaluate):
-    texts = ["sh-01-01", "node001", "sh02-01n01", "node[001-010]", "001", "", None, "gpu[12]"]
+    texts = ["sh-01-01", "node001", "sh7-2", "node[001-010]", "001", "", None, "gpu[12]"]
     assert evaluate(text.node_prefix, texts) == ["sh", "node", "sh", "node[", None, None, None, "gpu"]
 
 
