@@ -14,8 +14,7 @@ n-gram of a slice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -25,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobmeter.llm import words
-from jobmeter.llm.tables import batch, col, packed, unpacked
+from jobmeter.llm.tables import batch, bounded_batches, col, packed, unpacked
 from jobmeter.operators.lookups import small_side
 from jobmeter.session import materialize
 
@@ -35,17 +34,18 @@ MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in repeated three-word windows
 DEVIATIONS = (8.0, 5.5)  # width of the band below and above the median
 BIN = 1e-4  # resolution of log perplexities in the bands
-BROADCAST_NGRAMS = 8_000_000
+BROADCAST_NGRAMS = 4_000_000
 NGRAMS_PER_SHARD = 1 << 20
 SLICE_BYTES = 1 << 25
-HELD_NGRAMS = 1 << 21  # distinct n-grams that a task holds before it sends them off
-_POINT = 1 << 21  # above every code point
+HELD_NGRAMS = 1 << 19  # distinct n-grams that a task holds before it sends them off
 
 SYMBOLS = "#*$%&|<>"
 
 
 def _points(data: np.ndarray) -> np.ndarray:
-    return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    """Code points of UTF-8 bytes, with U+FFFD for U+0000, which ends texts in numpy."""
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    return np.where(points == 0, np.uint32(0xFFFD), points)
 
 
 def _grams(data: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,38 +75,46 @@ def _language_salt(lang: str) -> np.uint64:
     return words.span_hashes(data, np.array([0]), np.array([len(data)]))[0]
 
 
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(hashes, counts, languages, code points) with every hash once."""
+    hashes, counts, langs, grams = (np.concatenate(x) for x in zip(*parts))
+    known, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    return known, np.bincount(inverse, counts).astype(np.int64), langs[first], grams[first]
+
+
 def _count(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"lang": pa.string(), "gram": pa.string(), "n": pa.int64()}
-        held: dict[str, list[tuple[np.ndarray, ...]]] = {}
-
-        def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-            hashes, counts, grams = (np.concatenate(x) for x in zip(*parts))
-            known, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-            return known, np.bincount(inverse, counts).astype(np.int64), grams[first]
-
-        def flush(lang: str) -> pa.RecordBatch:
-            _, counts, grams = merged(held.pop(lang))
-            texts = grams.astype("<u4").view(f"<U{order}").reshape(-1)
-            return batch({"lang": np.full(len(counts), lang, object), "gram": texts.astype(object), "n": counts}, kinds)
+        names: list[str] = []
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            _, counts, langs, grams = _merged(held)
+            held.clear()
+            texts = np.ascontiguousarray(grams, "<u4").view(f"<U{order}").reshape(-1)
+            for a in range(0, len(counts), 1 << 16):
+                part = slice(a, a + (1 << 16))
+                values = pa.array(names).take(pa.array(langs[part]))
+                yield batch({"lang": values, "gram": pa.array(texts[part]), "n": counts[part]}, kinds)
 
         for given in batches:
             langs = given["lang"].to_pylist()
-            for lang in sorted(set(langs)):
-                here = pa.array([i for i, x in enumerate(langs) if x == lang], pa.int32())
-                for _, data, bounds in words.slices(given["text"].take(here)):
-                    _, padded, place = _grams(data, bounds, order)
-                    hashes = _gram_hashes(padded, place, order)
-                    known, first, counts = np.unique(hashes, return_index=True, return_counts=True)
-                    window = place[first][:, None] + np.arange(1 - order, 1)
-                    parts = held.setdefault(lang, [])
-                    parts.append((known, counts, padded[window]))
-                    if len(parts) >= 8:
-                        parts[:] = [merged(parts)]
-                        if len(parts[0][0]) >= HELD_NGRAMS:
-                            yield flush(lang)
-        for lang in list(held):
-            yield flush(lang)
+            names += sorted(set(langs) - set(names))
+            code = np.array([names.index(x) for x in langs], np.int32)
+            salts = np.array([_language_salt(x) for x in names], np.uint64)
+            for first, data, bounds in words.slices(given["text"]):
+                row, padded, place = _grams(data, bounds, order)
+                lang = code[first + row]
+                hashes = _gram_hashes(padded, place, order) ^ salts[lang]
+                known, at, counts = np.unique(hashes, return_index=True, return_counts=True)
+                window = place[at][:, None] + np.arange(1 - order, 1)
+                held.append((known, counts, lang[at], padded[window]))
+                if sum(len(part[0]) for part in held) >= 2 * HELD_NGRAMS:
+                    held[:] = [_merged(held)]
+                    if len(held[0][0]) >= HELD_NGRAMS:
+                        yield from flush()
+        if held:
+            yield from flush()
 
     return run
 
@@ -198,24 +206,30 @@ def model_shards(model: DataFrame, order: int, shards: int) -> DataFrame:
     )
 
 
-@dataclass
 class Lookup:
-    """Sorted hashes and log probabilities of a whole model or of the n-grams of a slice."""
+    """Sorted hashes and log probabilities of a whole model or of the n-grams of a slice.
 
-    hashes: np.ndarray
-    logp: np.ndarray
+    A table over the leading bits points near each hash, so that a look-up is a step or two.
+    """
 
-    @classmethod
-    def of(cls, parts: list[tuple[bytes, bytes]]) -> Lookup:
+    def __init__(self, parts: list[tuple[bytes, bytes]]) -> None:
         hashes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(h, np.uint64) for h, _ in parts)])
         logp = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(p, np.float32) for _, p in parts)])
         order = np.argsort(hashes)
-        return cls(hashes[order], logp[order])
+        self.hashes, self.logp = hashes[order], logp[order]
+        bits = max(1, int(len(hashes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift)
 
     def __call__(self, wanted: np.ndarray) -> np.ndarray:
-        place = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        if not (self.hashes[place] == wanted).all():
-            raise RuntimeError("an n-gram is not in the model that counted it")
+        last = len(self.hashes) - 1
+        place = np.minimum(self.starts[wanted >> self.shift], last)
+        open_ = np.flatnonzero(self.hashes[place] != wanted)
+        while len(open_):
+            if (self.hashes[place[open_]] > wanted[open_]).any() or (place[open_] == last).any():
+                raise RuntimeError("an n-gram is not in the model that counted it")
+            place[open_] += 1
+            open_ = open_[self.hashes[place[open_]] != wanted[open_]]
         return self.logp[place].astype(np.float64)
 
 
@@ -225,8 +239,7 @@ def _slice_scores(data: np.ndarray, bounds: np.ndarray, salts: np.ndarray, order
     row, padded, place = _grams(data, bounds, order)
     if not len(row):
         return np.zeros(rows), np.zeros(rows, np.int64)
-    hashes, inverse = np.unique(_gram_hashes(padded, place, order) ^ salts[row], return_inverse=True)
-    logp = lookup(hashes)[inverse]
+    logp = lookup(_gram_hashes(padded, place, order) ^ salts[row])
     return np.bincount(row, logp, rows), np.bincount(row, minlength=rows)
 
 
@@ -281,7 +294,7 @@ def _scored_batches(given: pa.Table | pa.RecordBatch, order: int, lookup: Lookup
 
 def _score_all(order: int, model_: object):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup.of(model_.value)
+        lookup = Lookup(model_.value)
         kinds = {"logp": pa.float64(), "chars": pa.int64()} | dict.fromkeys(_STATISTICS, pa.int64())
         for given in batches:
             done = 0
@@ -329,7 +342,7 @@ def _slice_probes(order: int, shards: int):
 
 
 def _shard_answers(probes: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-    lookup = Lookup.of(list(zip(shard["hashes"], shard["logp"])))
+    lookup = Lookup(list(zip(shard["hashes"], shard["logp"])))
     logp = [lookup(np.frombuffer(h, np.uint64)).astype(np.float32).tobytes() for h in probes["hashes"]]
     return pd.DataFrame({"slice": probes["slice"], "hashes": probes["hashes"], "logp": logp})
 
@@ -337,7 +350,7 @@ def _shard_answers(probes: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
 def _slice_rows(order: int):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        lookup = Lookup.of(list(zip(answers["hashes"].to_pylist(), answers["logp"].to_pylist())))
+        lookup = Lookup(list(zip(answers["hashes"].to_pylist(), answers["logp"].to_pylist())))
         kinds = {"logp": pa.float64(), "chars": pa.int64()} | dict.fromkeys(_STATISTICS, pa.int64())
         scored = pa.Table.from_batches(
             [batch(values, kinds) for values in _scored_batches(rows, order, lookup)],
@@ -390,6 +403,7 @@ def judge(
     min_words: int = MIN_WORDS,
     max_repeated: int = MAX_REPEATED,
     deviations: tuple[float, float] = DEVIATIONS,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every row of ``docs`` with the base statistics, base_failed, perplexity and kept.
 
@@ -400,9 +414,11 @@ def judge(
 
     Null or empty text has no words, fails, and has no perplexity. Null language is a language of
     its own. Repeated rows count one by one and get equal results. Result columns replace columns of
-    the same name; others pass through. An empty table gives an empty table.
+    the same name; others pass through (``keep`` names those that do, where not all are wanted). An
+    empty table gives an empty table.
     """
-    keyed = packed(docs, lang=F.coalesce(col(lang).cast("string"), F.lit("")), text=F.coalesce(col(text).cast("string"), F.lit("")))
+    kept = docs.columns if keep is None else list(keep)
+    keyed = packed(bounded_batches(docs), kept, lang=F.coalesce(col(lang).cast("string"), F.lit("")), text=F.coalesce(col(text).cast("string"), F.lit("")))
     counts = materialize(count_ngrams(keyed, order), "ngrams")
     ngrams = counts.count()
     shard_count = max(8, -(-ngrams // NGRAMS_PER_SHARD))
@@ -429,7 +445,7 @@ def judge(
     judged = scored.join(small_side(bands), "lang", "left")
     return unpacked(
         judged,
-        docs.columns,
+        kept,
         {c: F.col(c) for c in _STATISTICS}
         | {
             "perplexity": F.exp("bits"),

@@ -86,8 +86,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and verdict of every document."""
-    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    return perplexity.judge(docs).select(
+    return perplexity.judge(documents(spark, sf_dir), keep=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "perplexity", "deviation",
     )
