@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from checks.fixtures import TABLES, spark_view
@@ -438,6 +439,12 @@ def _strict_times(x: Inputs) -> DataFrame:
     )
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """The rows with their place in the result's order, so that a comparison sees the order too."""
+    at = F.monotonically_increasing_id()
+    return df.withColumn("_at", at).withColumn("place", F.row_number().over(W.orderBy("_at"))).drop("_at")
+
+
 QUERIES: dict[str, Query] = {
     # Sources and sinks
     "read_sacct_dir": _read_sacct_dir,
@@ -503,7 +510,7 @@ QUERIES: dict[str, Query] = {
     "jobs_per_day": lambda x: analyze.jobs_per_day(x.flat),
     "date_range": lambda x: analyze.date_range(x.flat),
     "cpu_hours_total": lambda x: analyze.cpu_hours_total(x.flat),
-    "state_counts": lambda x: analyze.state_counts(x.flat),
+    "state_counts": lambda x: placed(analyze.state_counts(x.flat)),
     "ncpus_describe": lambda x: analyze.ncpus_describe(x.flat),
     "partition_counts": lambda x: analyze.partition_counts(x.flat),
     "top_users": lambda x: analyze.top_users(x.flat),
@@ -525,9 +532,9 @@ QUERIES: dict[str, Query] = {
     "by_day_hour": lambda x: daily.day_hour_matrix(usage.by_day_hour(x.features)),
     "categorical_distribution": lambda x: usage.categorical_distribution(x.features, list(CATEGORICAL_COLUMNS)),
     "missingness": _missingness,
-    "schema_table": lambda x: reports.schema_table(x.features),
+    "schema_table": lambda x: placed(reports.schema_table(x.features)),
     "low_energy_hour_share": lambda x: daily.low_energy_hour_share(x.by_hour),
-    "hour_efficiency": lambda x: daily.hour_efficiency(x.by_hour),
+    "hour_efficiency": lambda x: placed(daily.hour_efficiency(x.by_hour)),
     "runtime_histogram": lambda x: analyze.runtime_histogram(x.flat),
     "cpu_histogram": lambda x: analyze.cpu_histogram(x.flat),
     "duration_classes": lambda x: analyze.duration_classes(x.flat),
@@ -538,7 +545,7 @@ QUERIES: dict[str, Query] = {
     "peak_days": lambda x: analyze.peak_days(x.flat),
     "fold_metrics": lambda x: model.fold_metrics(x.predictions),
     # Trends
-    "sort_by_day": lambda x: daily.sort_by_day(x.by_day),
+    "sort_by_day": lambda x: placed(daily.sort_by_day(x.by_day)),
     "rolling7": lambda x: daily.rolling7(x.by_day),
     "daily_efficiency": lambda x: daily.energy_per_job_columns(x.by_day),
     "peak_flags": lambda x: daily.peak_flags(x.by_day),

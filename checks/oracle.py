@@ -336,6 +336,10 @@ def _long(section: str, keys: list[str], numbers: list[str], texts: list[str], s
     )
 
 
+def _placed(sql: str, order: str) -> str:
+    return f"select *, cast(row_number() over (order by {order}) as int) as place from ({sql})"
+
+
 def _summary_raw(source: str, column: str) -> str:
     return f"""
 select '{column}' as metric, count({column}) as count, min({column}) as min, max({column}) as max, avg({column}) as mean,
@@ -527,7 +531,9 @@ select (select start_day from per_day order by job_count desc, start_day limit 1
     q["fold_metrics"] = _q("predictions", f"""
 select coalesce(fold, -1) as fold, {r('avg(abs(y_true - y_pred))', 'mae')}, {r('sqrt(avg((y_true - y_pred) * (y_true - y_pred)))', 'rmse')}, count(*) as rows from predictions group by rollup (fold)""")
     # Trends.
-    q["sort_by_day"] = q["by_day"]
+    q["sort_by_day"] = _placed(q["by_day"], "start_day")
+    q["hour_efficiency"] = _placed(q["hour_efficiency"], "start_hour")
+    q["schema_table"] = _placed(q["schema_table"], "field")
     q["rolling7"] = _q("by_day", f"select {DAY_COLUMNS}, {r('energy_total_kwh / job_count', 'energy_per_job_kwh')}, {ROLLING} from by_day")
     q["daily_efficiency"] = _q("by_day", f"select {DAY_COLUMNS}, {r('energy_total_kwh / job_count', 'energy_per_job_kwh')} from by_day")
     q["peak_flags"] = _q("by_day", f"select {DAY_COLUMNS}, {_peak('job_count', 'peakVolume')}, {_peak('energy_total_kwh', 'peakEnergyTotal')} from by_day")
@@ -599,6 +605,7 @@ select "User" as "user", strftime("Start", '%Y-%m-%d') as start_day, count(*) as
             _long("missingness", ["table", "field"], ["missing"], [], q["missingness"]),
         ]
     )
+    q["state_counts"] = _placed(q["state_counts"], "job_count desc, State")
     q["text_summary"] = _q("flat states per_day", """
 select 0 as position, 'Total Jobs' as metric, cast(count(*) as varchar) as "value" from flat
 union all select 1, 'Date Range', strftime(min(START), '%Y-%m-%d') || ' to ' || strftime(max(START), '%Y-%m-%d') from flat

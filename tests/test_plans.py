@@ -59,8 +59,9 @@ def test_daily_scan_reads_few_columns(inputs, spark, tmp_path):
     assert "ReadSchema: struct<Start:timestamp,energy_kWh:double>" in text
 
 
-def test_hot_job_key_is_split(spark, inputs):
-    """A key with a third of the jobs is spread over tasks by adaptive execution."""
+@pytest.fixture
+def splitting(spark):
+    """No broadcast by Spark itself, and partitions that count as skewed while they are small."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
@@ -71,19 +72,37 @@ def test_hot_job_key_is_split(spark, inputs):
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
-    try:
-        from jobmeter.operators import energy
-
-        key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id")))
-        jobs = spark.range(0, 300000, 1, 16).select(key.alias("job_key"), F.md5(F.col("id").cast("string")).alias("x"))
-        metered = spark.range(0, 300000, 1, 8).select(key.alias("job_key"), F.lit(1.0).alias("energy_kWh"))
-        out = energy.join_features(jobs, energy.energy_per_job(metered)).agg(F.count("*"), F.sum("energy_kWh"), F.max("x"))
-        rows, total, _ = out.collect()[0]
-        assert rows == 300000 and total == 100000 * 100000.0 + 200000
-        assert "skew=true" in plan(out)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_job_key_is_split(spark, splitting):
+    """A key with a third of the jobs is spread over tasks by adaptive execution."""
+    from jobmeter.operators import energy
+
+    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), F.col("id")))
+    jobs = spark.range(0, 300000, 1, 16).select(key.alias("job_key"), F.md5(F.col("id").cast("string")).alias("x"))
+    metered = spark.range(0, 300000, 1, 8).select(key.alias("job_key"), F.lit(1.0).alias("energy_kWh"))
+    out = energy.join_features(jobs, energy.energy_per_job(metered)).agg(F.count("*"), F.sum("energy_kWh"), F.max("x"))
+    rows, total, _ = out.collect()[0]
+    assert rows == 300000 and total == 100000 * 100000.0 + 200000
+    assert "skew=true" in plan(out)
+
+
+@pytest.mark.parametrize("kind", ["folds", "codes"])
+def test_hot_user_is_split_where_tables_are_too_large_to_broadcast(spark, splitting, monkeypatch, kind):
+    from jobmeter.operators import lookups, sampling
+
+    monkeypatch.setattr(lookups, "small_side", lambda df: df)
+    monkeypatch.setattr(sampling, "small_side", lambda df: df)
+    user = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("u"), F.col("id") % 5000))
+    jobs = spark.range(0, 300000, 1, 16).select(user.alias("User"), F.md5(F.col("id").cast("string")).alias("x"))
+    made = sampling.group_folds(jobs, 5) if kind == "folds" else lookups.label_encode(jobs, ["User"])
+    out = made.agg(F.count("*"), F.max("x"), F.countDistinct("fold" if kind == "folds" else "User"))
+    rows, _, values = out.collect()[0]
+    assert rows == 300000 and values == (5 if kind == "folds" else 5002)
+    assert "skew=true" in plan(out)
 
 
 def test_sections_follow_columns(inputs):
