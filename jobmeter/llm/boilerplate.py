@@ -59,6 +59,9 @@ _MAIN_NAMES = (
     {"post", "body"}, {"post", "content"}, {"post", "text"}, {"story", "body"},
 )
 _HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
+_MODIFIERS = frozenset({"has", "no", "with", "without"})  # "content with-sidebar" is no sidebar
+# Elements that end where the next of their kind begins; a paragraph ends at any block.
+_UNCLOSED = frozenset("dd dt li option p td th tr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
@@ -93,7 +96,7 @@ def _zone(tag: str, attributes: str, inside: str) -> str | None:
         return "article"
     if tag == "main" or role == "main":
         return "main"
-    if names & _BOILERPLATE_NAMES:
+    if names & _BOILERPLATE_NAMES and not names & _MODIFIERS:
         headline = inside in ("article", "main") and not names & _BOILERPLATE_NAMES - {"header", "byline"}
         return "headline" if headline else "boilerplate"
     return None
@@ -103,13 +106,15 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of a page's blocks in order; zones are MAIN, OPEN and BOILERPLATE.
 
     If the page has article elements with text, these are the main zone, else its main element.
-    Tags that are not closed end with the element around them.
+    Tags that are not closed end with the element around them; boilerplate inside a line of text is
+    left out of it.
     """
     blocks: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []
     zone, heading = "", ""
     held: list[str] = []
     at = 0
+    muted, depth = "", 0  # an inline element that is boilerplate, inside a block that goes on
 
     def flush() -> None:
         text = " ".join("".join(held).split())
@@ -118,7 +123,7 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
             blocks.append(("boilerplate" if zone == "headline" and not heading else zone, text))
 
     for m in _MARKUP.finditer(page):
-        if m.start() > at:
+        if m.start() > at and not muted:
             held.append(entities.unescape(page[at : m.start()]))
         at = m.end()
         tag = m[3].lower() if m[3] else ""
@@ -129,10 +134,16 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
         if tag in _VOID and tag != "hr":
             continue
         if tag not in _BLOCKS:
-            opened = None if m[2] or not m[4] else _zone(tag, m[4], zone)
-            if opened is None and not any(t == tag for t, _ in stack):
-                continue  # an inline element that changes nothing
+            if muted:
+                depth += (-1 if m[2] else 1) * (tag == muted)
+                muted = muted if depth else ""
+            elif m[4] and not m[2] and _zone(tag, m[4], zone) == "boilerplate":
+                muted, depth = tag, 1
+            continue
+        muted, depth = "", 0
         flush()
+        if stack and stack[-1][0] in _UNCLOSED and not m[2] and stack[-1][0] in ("p", tag):
+            stack.pop()
         if m[2]:
             if any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
@@ -148,11 +159,11 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
                 opened = inner
             elif opened == "main" and inner == "article":
                 opened = inner
-            if tag not in ("p", "hr"):
+            if tag != "hr":
                 stack.append((tag, opened or inner))
         zone = stack[-1][1] if stack else ""
         heading = next((t for t, _ in reversed(stack) if t in _HEADINGS), "")
-    if at < len(page):
+    if at < len(page) and not muted:
         held.append(entities.unescape(page[at:]))
     flush()
     zones = {z for z, _ in blocks}
