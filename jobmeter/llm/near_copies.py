@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from jobmeter.llm import words
 from jobmeter.llm.components import components
-from jobmeter.llm.tables import batch, col, packed, unpacked
+from jobmeter.llm.tables import batch, bounded_batches, col, packed, unpacked
 from jobmeter.operators.lookups import small_side
 from jobmeter.session import materialize
 
@@ -190,7 +190,7 @@ def near_copies(
     above every other; where a component has no other, component_id is null and the rows are kept.
     An empty table gives an empty table. Extra columns are not read.
     """
-    narrow = docs.select(
+    narrow = bounded_batches(docs).select(
         F.coalesce(col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"),
         col(text).cast("string").alias("text"),
     )
