@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from jobmeter.llm import words
-from jobmeter.llm.tables import batch, col, packed, unpacked
+from jobmeter.llm.tables import batch, bounded_batches, col, ordered, packed, unpacked
 from jobmeter.session import materialize
 
 KEYS_PER_SHARD = 1 << 18
@@ -192,7 +192,7 @@ def drop_repeated_lines(
     every other. ``n_lines`` and ``n_dropped`` replace columns of the same name; other columns pass
     through. An empty table gives an empty table. Keys are compared by 128 bits of hash.
     """
-    narrow = docs.select(
+    narrow = bounded_batches(docs).select(
         F.coalesce(col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"),
         F.xxhash64(col(text)).alias("digest"),
         col(text).cast("string").alias("text"),
@@ -224,9 +224,11 @@ def drop_repeated_lines(
     )
     parts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("gone"))
+    carry = [c for c in docs.columns if c != text]
     joined = (
         packed(
             docs,
+            carry,
             id=F.coalesce(col(doc_id).cast("long"), F.lit(NO_ID)),
             digest=F.xxhash64(col(text)),
             text=col(text).cast("string"),
@@ -235,9 +237,9 @@ def drop_repeated_lines(
         .withColumn("n_lines", F.coalesce(F.col("n_lines"), F.lit(0)) + 1)
         .join(gone, ["id", "digest"], "left")
     )
-    return unpacked(
+    done = unpacked(
         joined,
-        docs.columns,
+        carry,
         {
             text: F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(
                 F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
@@ -245,10 +247,5 @@ def drop_repeated_lines(
             "n_lines": F.col("n_lines").cast("long"),
             "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
         },
-    ).select(*_order(docs, text, "n_lines", "n_dropped"))
-
-
-def _order(docs: DataFrame, *results: str) -> list:
-    """Columns of ``docs`` in their order, then the results that it does not have."""
-    have = {c.lower() for c in docs.columns}
-    return [col(c) for c in docs.columns] + [col(c) for c in results if c.lower() not in have]
+    )
+    return ordered(done, docs.columns, "n_lines", "n_dropped")

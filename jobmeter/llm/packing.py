@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmeter.llm.tables import batch, col
+from jobmeter.llm.tables import batch, bounded_batches, col
 
 LENGTH = 2048
 END = 1
@@ -49,15 +50,22 @@ class Tokens:
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(
             "corpus", pat_str=pattern, mergeable_ranks=table, special_tokens={}
         )
-        self.full = Tokenizer.from_file(tokenizer)
-        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
+        with open(tokenizer, encoding="utf-8") as file:
+            self.special = [t["content"] for t in json.load(file)["added_tokens"]]
+        self.tokenizer = tokenizer
+
+    @cached_property
+    def full(self) -> object:
+        """The tokenizer itself; it takes far more memory than the ranks and is seldom needed."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.tokenizer)
 
     def __call__(self, text: str) -> list[int]:
         if any(t in text for t in self.special):
@@ -176,7 +184,7 @@ def pack(
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(col(doc_id).alias("id"), col(text).cast("string").alias("text")).mapInArrow(
+    return bounded_batches(docs).select(col(doc_id).alias("id"), col(text).cast("string").alias("text")).mapInArrow(
         _pack(files, length, end, linear, quadratic, group_tokens),
         f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",
     )
