@@ -7,7 +7,7 @@ each, so phrases times that number compare languages whose samples differ in len
 with the lowest cost wins.
 
 Training reads a bounded sample: ``SAMPLE_DOCS`` excerpts and ``SAMPLE_BYTES`` bytes a language. The
-automata become one transition table, where a step that ends a phrase is marked and leads on from the
+automata become one transition table, where a step that ends a phrase counts it and leads on from the
 start state, so that parsing is table lookups: numpy walks all segments of a batch of texts at once.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobmeter.llm.tables import batch, col, packed, unpacked
+from jobmeter.llm.tables import batch, bounded_batches, col, ordered, packed, unpacked
 from jobmeter.operators.lookups import small_side
 
 UNDETERMINED = "und"
@@ -34,7 +34,7 @@ SAMPLE_CHARS = 400
 SAMPLE_BYTES = 32_768
 SEGMENT = 1024  # bytes parsed in one go; a phrase ends where a segment ends
 _BLANK = 0x20
-_END = 1 << 31  # marks a step that ends a phrase
+_END = 1 << 30  # a step holds where it leads, plus this times the phrases that it ends
 
 
 @lru_cache(maxsize=1)
@@ -119,7 +119,9 @@ def compile_model(samples: dict[str, bytes]) -> Model:
         first = np.zeros(width, np.int64)  # where a phrase goes that begins with a byte of the class
         for c, target in automaton[0].items():
             first[classes[c]] = target
-        table = np.tile((first + states) * width | _END, (len(automaton), 1))
+        # A byte that the sample lacks ends the phrase before it and is a phrase of its own.
+        table = np.tile((first + states) * width + _END * np.where(first > 0, 1, 2), (len(automaton), 1))
+        table[0] = states * width + _END
         for s, steps in enumerate(automaton):
             for c, target in steps.items():
                 table[s, classes[c]] = (target + states) * width
@@ -159,9 +161,10 @@ def phrases(model: Model, texts: list[bytes]) -> np.ndarray:
     for t in range(int(size[0])):
         live = alive[t]
         step = model.table[state[:, :live] + code[start[:live] + t]]
-        ended[:, :live] += (step >> np.uint32(31)).astype(np.int32)
+        ended[:, :live] += (step >> np.uint32(30)).astype(np.int32)
         state[:, :live] = step & np.uint32(_END - 1)
-    np.add.at(count, row, ended.T + 1)  # the phrase that a segment ends in
+    open_ = state != model.starts[:, None]  # the phrase that a segment ends in
+    np.add.at(count, row, (ended + open_).T)
     return count
 
 
@@ -235,27 +238,33 @@ def _predict(model_: object):
                     size = 0
             flush()
             out = batch({"lang_pred": names, "score": scores}, kinds)
+            rest = [given.schema.field(c) for c in ("text", "row")]
             yield pa.RecordBatch.from_arrays(
-                [*out.columns, given["row"]],
-                schema=pa.schema([*out.schema, given.schema.field("row")]),
+                [*out.columns, given["text"], given["row"]], schema=pa.schema([*out.schema, *rest])
             )
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+def identify(
+    docs: DataFrame, model: Model, *, text: str = "text", keep: Sequence[str] | None = None
+) -> DataFrame:
     """Every row of ``docs`` with lang_pred and score; they replace columns of the same name.
 
     ``lang_pred`` is the language with the lowest parsing cost over the whole text, the first by name
     among equals; ``score`` is the relative distance to the second (0 at a tie, 1 if the model has
     one language only). Null text, text without a letter, and any text if the model is empty give
-    ``und`` with score 0. Repeated rows get equal results; other columns pass through.
+    ``und`` with score 0. Repeated rows get equal results; other columns pass through (``keep`` names
+    those that do, where not all are wanted).
     """
     spark = docs.sparkSession
     # Bounded by languages * SAMPLE_BYTES * 2 states * classes * 4 bytes, whatever the corpus.
     model_ = spark.sparkContext.broadcast(model)
-    keyed = packed(docs, text=col(text).cast("string"))
+    kept = docs.columns if keep is None else list(keep)
+    carry = [c for c in kept if c != text]
+    keyed = packed(bounded_batches(docs), carry, text=col(text).cast("string"))
     kind = keyed.schema["row"].dataType.simpleString()
-    found = keyed.mapInArrow(_predict(model_), f"lang_pred string, score double, row {kind}")
+    found = keyed.mapInArrow(_predict(model_), f"lang_pred string, score double, text string, row {kind}")
     results = {"lang_pred": F.col("lang_pred"), "score": F.col("score")}
-    return unpacked(found, docs.columns, results)
+    own = {text: F.col("text")} if text in kept else {}
+    return ordered(unpacked(found, carry, own | results), [c for c in kept if c not in results], *results)

@@ -19,7 +19,7 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
     model = language.train(docs.where(~held_out).select("text", "lang"))
     keyed = docs.select("doc_id", held_out.alias("held_out"), "text")
-    return language.identify(keyed, model).select("doc_id", "held_out", "lang_pred", "score")
+    return language.identify(keyed, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def url_list_entries(pages: DataFrame) -> DataFrame:

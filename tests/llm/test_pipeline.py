@@ -36,7 +36,7 @@ def write(df, path):
 def test_stages(spark, tmp_path, empty):
     notice = "this line stands in many of the documents here"
     rows = [] if empty else [(i, f"{t}\n{notice}", "en", f"s{i % 3}") for i, t in enumerate(prose(30, seed=4, words=50))]
-    rows += [] if empty else [(100 + i, rows[0][1], "en", None) for i in range(4)]
+    rows += [] if empty else [(100 + i, rows[0][1], "en", None) for i in range(3)]
     rows += [] if empty else [(200, None, "en", "s1"), (201, "123 456", None, "s1"), (202, "", None, None), (203, "w " * 3000, None, "s2")]
     docs = documents(spark, rows)
     columns = docs.columns
