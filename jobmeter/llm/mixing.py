@@ -145,11 +145,13 @@ def _dealt(
     weights: Sequence[int] = (3, 1, 2),
     share: float = 1.5,
     cap: int = 2,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """The packed rows of ``docs`` with size, source_size, target and copies."""
     # Names that begin with 'a' keep their code-point order; null comes after them as 'b'.
     sized = packed(
         docs,
+        keep,
         id=col(doc_id).cast("string"),
         key=F.coalesce(F.concat(F.lit("a"), col(source).cast("string")), F.lit("b")),
         size=word_count(col(text)),
@@ -207,22 +209,24 @@ def mix(
     weights: Sequence[int] = (3, 1, 2),
     share: float = 1.5,
     cap: int = 2,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target, copies and taken.
 
     ``size`` is the number of words, ``target`` and ``source_size`` are words of the row's source,
     ``copies`` (0 to ``cap``) says how often the mix takes the row and ``taken`` = copies * size.
-    Result columns replace columns of the same name; all others pass through.
+    Result columns replace columns of the same name; the others pass through (``keep`` names those
+    that do, where not all are wanted).
 
     Null text has size 0 and null source is a source of its own, after all others. Documents of
     equal source and size are equal to the method; which of them get the extra copy is decided by
     a hash of doc_id, then doc_id. Repeated rows are documents of their own. Where all texts are
     empty every target is 0. An empty table gives an empty table.
     """
-    chosen = _dealt(docs, doc_id, text, source, weights, share, cap)
+    chosen = _dealt(docs, doc_id, text, source, weights, share, cap, keep)
     return unpacked(
         chosen,
-        docs.columns,
+        docs.columns if keep is None else keep,
         {
             "size": F.col("size"),
             "source_size": F.col("source_size").cast("long"),

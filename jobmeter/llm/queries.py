@@ -63,8 +63,8 @@ def op2_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
-    docs = documents(spark, sf_dir).select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    mixed = mixing.mix(documents(spark, sf_dir), keep=["doc_id", "source"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
