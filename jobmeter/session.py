@@ -78,18 +78,20 @@ def scratch_tables(spark: SparkSession) -> Iterator[None]:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, name: str = "table", partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as parquet in the shared folder and read it back.
 
-    For tables that several reports scan: each later scan reads only its own columns, and no lost
-    executor can force the upstream joins to run again.
+    For tables that several reports scan: each later scan reads only its own columns (and, with
+    ``partition_by``, only its own partitions), and no lost executor can force the upstream joins
+    to run again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     paths = _written.get()
     if paths is not None:
         paths.append(path)
-    df.write.mode("errorifexists").parquet(path)
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
