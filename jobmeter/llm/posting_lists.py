@@ -3,8 +3,10 @@
 Centroids come from a bounded sample by splitting it again and again until every part is small, so
 that dense regions get more of them. Every vector goes to the list of its nearest centroid and, if it
 lies near a boundary, to further lists. A graph over the centroids, held in memory, finds the nearest
-ones for vectors and queries; a query reads the lists whose centroid is not much farther than the
-nearest. Long lists and popular lists are cut into blocks, and each block of vectors meets each block
+ones for vectors; a query ranks all of them and reads the lists whose centroid is not much farther
+than the nearest. How many lists that takes is measured in the run: a bounded sample of the queries
+is compared with every vector, and all queries read as far down as the exact neighbours of the
+sample ask for. Long lists and popular lists are cut into blocks, and each block of vectors meets each block
 of queries in one matrix product.
 
 Largest inner product is turned into smallest distance by one more dimension that lifts all vectors
@@ -35,8 +37,10 @@ NEIGHBOURS = 24
 BEAM = 64
 COPIES = 4  # lists of a boundary vector, at most
 BOUNDARY = 1.15
-PROBES = 48
-RATIO = 1.5
+PROBES = 48  # lists of a query and
+RATIO = 1.5  # ratio of their distances to the nearest, at least
+RECALL = 0.95  # share of the exact neighbours of the trial queries that their lists must hold
+TRIAL_QUERIES = 256
 VECTOR_BLOCK, QUERY_BLOCK = 8192, 2048
 
 
@@ -125,6 +129,13 @@ class Index:
             done = np.concatenate([done, ~np.isfinite(gap)], axis=1)
         return lists[:, :count], np.sqrt(far[:, :count])
 
+    def ranked(self, points: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        """(lists, distances) of exactly the ``count`` nearest centroids of each point, nearest first."""
+        square = (self.centroids**2).sum(axis=1) - 2 * points @ self.centroids.T
+        far = np.maximum(square + (points**2).sum(axis=1)[:, None], 0.0)
+        lists = np.argsort(far, axis=1, kind="stable")[:, :count]
+        return lists, np.sqrt(np.take_along_axis(far, lists, axis=1))
+
 
 def lift(vectors: np.ndarray, norm: float) -> np.ndarray:
     """Vectors with one more component that gives all the same norm."""
@@ -137,14 +148,25 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def _query_points(vectors: np.ndarray, norm: float) -> np.ndarray:
+    """Queries in the lifted space: their length does not change the order, at the common norm distances compare."""
+    points = vectors * (norm / np.sqrt((vectors**2).sum(axis=1)))[:, None]
+    return np.concatenate([points, np.zeros((len(points), 1))], axis=1)
+
+
+def _lists_of(index: Index, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lists, which of them hold the vector)."""
+    lists, far = index.nearest(lift(vectors, index.norm), COPIES)
+    return lists, far <= BOUNDARY * far[:, :1] + 1e-12
+
+
 def _postings(index_: object):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = index_.value
         for given in batches:
             for first in range(0, given.num_rows, 512):
                 part = given.slice(first, 512)
-                lists, far = index.nearest(lift(_matrix(part["vector"]), index.norm), COPIES)
-                near = far <= BOUNDARY * far[:, :1] + 1e-12
+                lists, near = _lists_of(index, _matrix(part["vector"]))
                 row = np.repeat(np.arange(part.num_rows), near.sum(axis=1))
                 taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
@@ -155,24 +177,83 @@ def _postings(index_: object):
     return run
 
 
-def _probes(index_: object):
+def _trial(index_: object, trial_: object, k: int):
+    """For each trial query the best ``k`` vectors of a task by brute force, with the lists that hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, (names, points) = index_.value, trial_.value
+        best = np.full((len(names), k), -np.inf)
+        held = np.full((len(names), k, COPIES), -1, np.int32)
+        for given in batches:
+            for first in range(0, given.num_rows, 4096):
+                part = given.slice(first, 4096)
+                vectors = _matrix(part["vector"])
+                score = points @ vectors.T
+                only = np.array([x[0] if len(x) == 1 else None for x in part["ids"].to_pylist()], object)
+                score[names[:, None] == only[None, :]] = -np.inf  # the query itself
+                top = np.argpartition(-score, min(k, part.num_rows) - 1, axis=1)[:, :k]
+                score = np.take_along_axis(score, top, axis=1)
+                score[score <= best.min(axis=1)[:, None]] = -np.inf
+                used, place = np.unique(top[np.isfinite(score)], return_inverse=True)
+                if not len(used):
+                    continue
+                lists, near = _lists_of(index, vectors[used])
+                new = np.full((*top.shape, COPIES), -1, np.int32)
+                new[np.isfinite(score), : lists.shape[1]] = np.where(near, lists, -1)[place]
+                score, new = np.concatenate([best, score], axis=1), np.concatenate([held, new], axis=1)
+                order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                best = np.take_along_axis(score, order, axis=1)
+                held = np.take_along_axis(new, order[:, :, None], axis=1)
+        query, place = np.nonzero(np.isfinite(best))
+        kinds = {"query": pa.int32(), "score": pa.float64(), "lists": pa.list_(pa.int32())}
+        yield batch({"query": query, "score": best[query, place], "lists": list(held[query, place])}, kinds)
+
+    return run
+
+
+def _reading(nodes: DataFrame, queries: DataFrame, index: Index, index_: object, k: int) -> tuple[int, float]:
+    """(lists, ratio of distances) up to which queries read, so that ``RECALL`` of the neighbours is found.
+
+    Measured on the ``TRIAL_QUERIES`` queries of the smallest hashes. Half of what may be missed is
+    left to each of the two limits.
+    """
+    order = F.xxhash64("query_id", "vector")
+    trial = queries.orderBy(order, "query_id", "vector").limit(TRIAL_QUERIES).toArrow()
+    if not trial.num_rows:
+        return PROBES, RATIO
+    vectors = _matrix(trial["vector"].combine_chunks())
+    trial_ = nodes.sparkSession.sparkContext.broadcast((trial["query_id"].to_numpy(), vectors))
+    found = nodes.mapInArrow(_trial(index_, trial_, k), "query int, score double, lists array<int>")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "lists"))
+    exact = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "lists").toArrow()
+    if not exact.num_rows:
+        return PROBES, RATIO
+    lists, far = index.ranked(_query_points(vectors, index.norm), len(index.centroids))
+    places = np.argsort(lists, axis=1)
+    query = exact["query"].to_numpy()
+    holds = _matrix(exact["lists"].combine_chunks()).astype(np.int64)
+    place = np.where(holds >= 0, places[query[:, None], holds], len(index.centroids)).min(axis=1)
+    ratio = far[query, place] / np.maximum(far[query, 0], 1e-12)
+    share = 1 - (1 - RECALL) / 2
+    need, wide = (float(np.quantile(x, share, method="higher")) for x in (place, ratio))
+    return max(PROBES, int(need) + 1), max(RATIO, wide * (1 + 1e-9))
+
+
+def _probes(index_: object, probes: int, ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = index_.value
         for given in batches:
-            for first in range(0, given.num_rows, 512):
-                part = given.slice(first, 512)
-                points = _matrix(part["vector"])
-                # A query's length does not change its order; at the common norm distances compare.
-                points *= index.norm / np.sqrt((points**2).sum(axis=1))[:, None]
-                points = np.concatenate([points, np.zeros((len(points), 1))], axis=1)
-                lists, far = index.nearest(points, PROBES)
-                near = far <= RATIO * far[:, :1] + 1e-12
-                row = np.repeat(np.arange(part.num_rows), near.sum(axis=1))
-                taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists[near].astype(np.int32)), taken["query_id"], taken["vector"]],
-                    schema=pa.schema([("list", pa.int32()), part.schema.field("query_id"), part.schema.field("vector")]),
-                )
+            for first in range(0, given.num_rows, 256):
+                part = given.slice(first, 256)
+                lists, far = index.ranked(_query_points(_matrix(part["vector"]), index.norm), probes)
+                near = far <= ratio * far[:, :1] + 1e-12
+                row, list_ = np.repeat(np.arange(part.num_rows), near.sum(axis=1)), lists[near].astype(np.int32)
+                for a in range(0, len(row), 4096):
+                    taken = part.take(pa.array(row[a : a + 4096]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(list_[a : a + 4096]), taken["query_id"], taken["vector"]],
+                        schema=pa.schema([("list", pa.int32()), part.schema.field("query_id"), part.schema.field("vector")]),
+                    )
 
     return run
 
@@ -251,7 +332,9 @@ def search(
     no part, nor do vectors whose length is not the most common one (the smaller at a tie). Rows of
     equal id and vector are one; equal vectors are indexed once with their k + 1 smallest ids, which
     is all that a result can hold. An empty table gives an empty table. The centroids are fitted on at
-    most ``sample`` vectors, those with the smallest hashes; every vector is indexed.
+    most ``sample`` vectors, those with the smallest hashes; every vector is indexed. The number of
+    lists a query reads follows from the recall measured on a sample of the queries (``RECALL``), so
+    it grows with the number of lists where neighbours spread over many of them.
     """
     cast = bounded_batches(vectors).select(col(vec_id).cast("long").alias("vec_id"), col(vector).cast("array<double>").alias("vector"))
     sound = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
@@ -288,8 +371,9 @@ def search(
     postings = materialize(
         nodes.mapInArrow(_postings(index_), "list int, vector array<double>, ids array<long>"), "postings"
     )
+    most, ratio = _reading(nodes, queries, index, index_, k)
     probes = materialize(
-        queries.mapInArrow(_probes(index_), "list int, query_id long, vector array<double>"), "probes"
+        queries.mapInArrow(_probes(index_, most, ratio), "list int, query_id long, vector array<double>"), "probes"
     )
     best = materialize(_best(_meet(postings, probes, k), k), "neighbours")
 

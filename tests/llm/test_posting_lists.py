@@ -92,3 +92,13 @@ def test_parts_are_small_and_dense_regions_get_more(spark):
     centroids = np.stack(posting_lists.split(points, 50))
     near = (np.abs(centroids - 5) < 1).all(axis=1).sum()
     assert 18 <= near <= 120 and posting_lists.split(np.ones((99, 3)), 10)[0].tolist() == [1.0, 1.0, 1.0]
+
+
+def test_more_lists_are_read_where_neighbours_spread(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    points = rng.normal(size=(4000, 32))  # no clusters: neighbours lie in many lists
+    rows = [(i, as_float(v)) for i, v in enumerate(points)]
+    monkeypatch.setattr(posting_lists, "LIST_SIZE", 8)  # as many lists as a table of 64,000 rows has
+    found, exact = found_rows(spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA)), brute_force(rows, 20)
+    hits = sum(len({j for j, _ in found[i]} & {j for j, _ in exact[i]}) for i in exact)
+    assert hits / (20 * len(exact)) >= 0.9
