@@ -113,3 +113,14 @@ def test_routing_through_shards_gives_the_same(spark, rows, monkeypatch):
 
 def test_empty_table(spark):
     assert perplexity.judge(documents(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("near", [False, True])
+def test_copies_of_one_document_do_not_set_the_band(spark, near):
+    texts = prose(60, seed=4, words=80)
+    copy = texts[0].split()
+    copies = [" ".join(copy[: 20 + i] + ["tur"] * near + copy[20 + i :]) for i in range(60)]
+    short = [(300 + i, "too short", "en", None) for i in range(50)]  # the copies are a third of all rows
+    rows = [(i, t, "en", None) for i, t in enumerate(texts)] + [(100 + i, t, "en", None) for i, t in enumerate(copies)]
+    found = {r["doc_id"]: r["kept"] for r in perplexity.judge(documents(spark, rows + short)).collect()}
+    assert all(found[i] for i in range(1, 60))
