@@ -204,6 +204,15 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray, min_tokens: int, min_p
     return np.cumsum(change[:-1]) > 0
 
 
+def page_content(blocks: list[tuple[int, str]]) -> str:
+    """What copies of a page agree in: the set of its open blocks, without any all blocks outside the main zone.
+
+    A single block would not do: the longest may be the one that the host repeats.
+    """
+    open_ = {text for zone, text in blocks if zone == OPEN}
+    return "\n".join(sorted(open_) if open_ else [text for zone, text in blocks if zone != MAIN])
+
+
 def host_texts(pages: list[list[tuple[int, str]]], min_tokens: int, min_pages: int) -> list[tuple[str, int]]:
     """(main text, tokens found repeated) of the pages of one host."""
     numbers: dict[str, int] = {}
@@ -211,9 +220,7 @@ def host_texts(pages: list[list[tuple[int, str]]], min_tokens: int, min_pages: i
     tokens, page, bounds = [], [], []
     for blocks in pages:
         outside = [text for zone, text in blocks if zone != MAIN]
-        # Copies of a page count as one page: they agree in their longest open block.
-        longest = max((t for z, t in blocks if z == OPEN), key=len, default="\n".join(outside))
-        content = contents.setdefault(longest, len(contents))
+        content = contents.setdefault(page_content(blocks), len(contents))
         first = len(tokens)
         for text in outside:
             for word in text.split():
@@ -294,7 +301,7 @@ def extract(
     other columns pass through.
 
     A host with many pages is judged in parts of about ``pages_per_part`` pages, dealt by a hash of
-    url and html. Pages that agree in their longest open block are copies and count as one page, so
+    url and html. Pages that agree in the set of their open blocks are copies and count as one page, so
     that copies do not make a text boilerplate. Null or empty html gives empty text. Pages without
     url share one host. Repeated rows are pages of their own with equal results. An empty table
     gives an empty table.

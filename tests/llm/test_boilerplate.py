@@ -88,3 +88,11 @@ def test_pages_without_an_article_lose_what_the_host_repeats(spark):
     assert found[64]["text"] == notice
     assert len(rows_of(boilerplate.extract(df), "page_id")) == len(rows)
     assert boilerplate.extract(df.limit(0)).collect() == []
+
+
+def test_shared_block_longer_than_each_unique_one():
+    legal = " ".join(prose(3, seed=8))
+    pages = [boilerplate.page_blocks(page(legal, t)) for t in prose(4, seed=9, words=20)]
+    found = boilerplate.host_texts(pages, 8, 3)
+    assert [text for text, _ in found] == prose(4, seed=9, words=20)
+    assert all(n == len(legal.split()) for _, n in found)
