@@ -10,6 +10,7 @@ cover are removed, and unique runs stay.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobmeter.llm import words
 from jobmeter.llm.tables import batch, bounded_batches, col
 from jobmeter.operators.lookups import small_side
 from jobmeter.session import materialize
@@ -213,8 +215,30 @@ def page_content(blocks: list[tuple[int, str]]) -> str:
     return "\n".join(sorted(open_) if open_ else [text for zone, text in blocks if zone != MAIN])
 
 
-def host_texts(pages: list[list[tuple[int, str]]], min_tokens: int, min_pages: int) -> list[tuple[str, int]]:
-    """(main text, tokens found repeated) of the pages of one host."""
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def _windows(texts: list[str], min_tokens: int, known: dict[str, int]) -> np.ndarray:
+    """Hashes of all runs of ``min_tokens`` tokens of a page's blocks; ``known`` holds those of words."""
+    tokens = [w for text in texts for w in text.split()]
+    for w in set(tokens) - known.keys():
+        known[w] = _digest(w)
+    values = np.array([known[w] for w in tokens], np.int64).view(np.uint64)
+    total = np.zeros(max(0, len(values) - min_tokens + 1), np.uint64)
+    for k in range(min_tokens):
+        total = total * np.uint64(0x9E3779B97F4A7C55) + words.mix(values[k : k + len(total)])
+    return words.mix(total).view(np.int64)
+
+
+def host_texts(
+    pages: list[list[tuple[int, str]]], min_tokens: int, min_pages: int, repeats: np.ndarray | None = None
+) -> list[tuple[str, int]]:
+    """(main text, tokens found repeated) of the pages of one host.
+
+    Where these are a part of the host's pages, ``repeats`` holds the hashes of the runs that the
+    whole host repeats.
+    """
     numbers: dict[str, int] = {}
     contents: dict[str, int] = {}
     tokens, page, bounds = [], [], []
@@ -228,6 +252,12 @@ def host_texts(pages: list[list[tuple[int, str]]], min_tokens: int, min_pages: i
         page += [content] * (len(tokens) - first)
         bounds.append(first)
     covered = _covered(np.array(tokens, np.int64), np.array(page, np.int64), np.array(bounds, np.int64), min_tokens, min_pages)
+    if repeats is not None and len(repeats):
+        known: dict[str, int] = {}
+        for blocks, first in zip(pages, bounds):
+            found = _windows([text for zone, text in blocks if zone != MAIN], min_tokens, known)
+            for at in np.flatnonzero(np.isin(found, repeats)):
+                covered[first + at : first + at + min_tokens] = True
     out = []
     for blocks, first in zip(pages, bounds):
         main = [text for zone, text in blocks if zone == MAIN]
@@ -273,10 +303,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _judge(min_tokens: int, min_pages: int):
+def _judge(min_tokens: int, min_pages: int, repeats: np.ndarray | None = None):
     def run(given: pa.Table) -> pa.Table:
         pages = [list(zip(z, t)) for z, t in zip(given["zones"].to_pylist(), given["texts"].to_pylist())]
-        found = host_texts(pages, min_tokens, min_pages)
+        found = host_texts(pages, min_tokens, min_pages, repeats)
         kinds = {"text": pa.string(), "n_repeated": pa.int64()}
         out = batch({"text": [t for t, _ in found], "n_repeated": [n for _, n in found]}, kinds)
         return pa.Table.from_batches([out]).append_column(given.schema.field("row"), given["row"])
@@ -284,6 +314,40 @@ def _judge(min_tokens: int, min_pages: int):
     return run
 
 
+def _part_windows(min_tokens: int, min_pages: int):
+    """(host, part, window, content): every run of a part with up to ``min_pages`` pages of different content."""
+
+    def run(key: tuple, given: pa.Table) -> pa.Table:
+        known: dict[str, int] = {}
+        held: dict[int, list[np.ndarray]] = {}
+        for z, t in zip(given["zones"].to_pylist(), given["texts"].to_pylist()):
+            blocks = list(zip(z, t))
+            found = _windows([text for zone, text in blocks if zone != MAIN], min_tokens, known)
+            held.setdefault(_digest(page_content(blocks)), []).append(np.unique(found))
+        each = {content: np.unique(np.concatenate(x)) for content, x in held.items()}
+        window = np.concatenate([np.zeros(0, np.int64), *each.values()])
+        content = np.repeat(np.fromiter(each, np.int64, len(each)), [len(x) for x in each.values()])
+        order = np.lexsort((content, window))
+        window, content = window[order], content[order]
+        few = np.ones(len(window), bool)
+        few[min_pages:] = window[min_pages:] != window[: len(window) - min_pages]
+        kinds = {"host": pa.string(), "part": pa.int64(), "window": pa.int64(), "content": pa.int64()}
+        n = int(few.sum())
+        names = pa.array([key[0].as_py()] * n, pa.string())
+        parts = np.full(n, key[1].as_py(), np.int64)
+        out = {"host": names, "part": parts, "window": window[few], "content": content[few]}
+        return pa.Table.from_batches([batch(out, kinds)])
+
+    return run
+
+
+def _judge_part(min_tokens: int, min_pages: int):
+    def run(given: pa.Table, repeats: pa.Table) -> pa.Table:
+        return _judge(min_tokens, min_pages, repeats["window"].to_numpy())(given)
+
+    return run
+
+
 def extract(
     pages: DataFrame,
     *,
@@ -301,7 +365,8 @@ def extract(
     other columns pass through.
 
     A host with many pages is judged in parts of about ``pages_per_part`` pages, dealt by a hash of
-    url and html. Pages that agree in the set of their open blocks are copies and count as one page, so
+    url and html; the pages that have a run are counted over all parts, so that the result is that of
+    the whole host. Pages that agree in the set of their open blocks are copies and count as one page, so
     that copies do not make a text boilerplate. Null or empty html gives empty text. Pages without
     url share one host. Repeated rows are pages of their own with equal results. An empty table
     gives an empty table.
@@ -325,11 +390,26 @@ def extract(
         _parse, f"zones array<int>, texts array<string>, host string, hash long, row {kind}"
     )
     dealt = parsed.join(small_side(counts), "host").withColumn("part", F.pmod("hash", "parts"))
-    judged = (
-        dealt.select("host", "part", "zones", "texts", "row")
-        .groupBy("host", "part")
-        .applyInArrow(_judge(min_tokens, min_pages), f"text string, n_repeated long, row {kind}")
-    )
+    keys, schema = ["host", "part"], f"text string, n_repeated long, row {kind}"
+    grouped = dealt.select(*keys, "zones", "texts", "row").groupBy(*keys)
+    if counts.where(F.col("parts") > 1).isEmpty():
+        judged = grouped.applyInArrow(_judge(min_tokens, min_pages), schema)
+    else:
+        # Runs are found in each part, the pages of different content that have them counted over all parts.
+        large = keyed.join(small_side(counts.where(F.col("parts") > 1)), "host").select(
+            "host", F.pmod("hash", "parts").alias("part"), "html"
+        )
+        outside = large.mapInArrow(_parse, "zones array<int>, texts array<string>, host string, part long")
+        zoned = F.filter(F.arrays_zip("zones", "texts"), lambda b: b["zones"] != MAIN)
+        outside = outside.select(*keys, zoned["zones"].alias("zones"), zoned["texts"].alias("texts"))
+        windows = outside.groupBy(*keys).applyInArrow(
+            _part_windows(min_tokens, min_pages), "host string, part long, window long, content long"
+        )
+        windows = materialize(windows, "windows")
+        often = windows.groupBy("host", "window").agg(F.count_distinct("content").alias("pages"))
+        often = often.where(F.col("pages") >= min_pages)
+        repeats = windows.join(often, ["host", "window"], "left_semi").select(*keys, "window").distinct()
+        judged = grouped.cogroup(repeats.groupBy(*keys)).applyInArrow(_judge_part(min_tokens, min_pages), schema)
     results = {"text": F.col("text"), "n_chars": F.length("text").cast("long"), "n_repeated": F.col("n_repeated")}
     kept = [F.col("row")[c].alias(c) for c in rest if c.lower() not in results]
     return judged.select(*kept, *[c.alias(name) for name, c in results.items()])

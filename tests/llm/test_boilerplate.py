@@ -96,3 +96,13 @@ def test_shared_block_longer_than_each_unique_one():
     found = boilerplate.host_texts(pages, 8, 3)
     assert [text for text, _ in found] == prose(4, seed=9, words=20)
     assert all(n == len(legal.split()) for _, n in found)
+
+
+def test_parts_of_a_host_find_what_the_whole_host_repeats(spark):
+    texts, rare = prose(40, seed=6), prose(2, seed=7, words=12)
+    rows = [(i, f"http://h.example/{i}", page(t, *[rare[0]] * (i % 10 == 0), *[rare[1]] * (i in (3, 4)))) for i, t in enumerate(texts)]
+    rows += [(50 + i, f"http://h.example/c{i}", page(texts[1])) for i in range(6)]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], PAGES)
+    whole = rows_of(boilerplate.extract(df), "page_id", "text", "n_repeated")
+    assert rows_of(boilerplate.extract(df, pages_per_part=3), "page_id", "text", "n_repeated") == whole
+    assert sum(n == 12 for *_, n in whole) == 4
