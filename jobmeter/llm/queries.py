@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobmeter.llm import (
-    boilerplate, chat, language, lines, mixing, near_copies, packing, perplexity, posting_lists, url_lists,
+    boilerplate, chat, language, lexical, lines, mixing, near_copies, packing, periodic, perplexity, posting_lists,
+    url_lists, vector_copies,
 )
-from jobmeter.llm.tables import documents
+from jobmeter.llm.tables import WORD, documents
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,11 +113,54 @@ def op10_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.extract(pages).select("page_id", "url", "text", "n_chars", "n_repeated")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents, by the checksum of their id, repeat a stretch of words to their end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    keyed = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    keyed = keyed.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), 0)))
+    n = F.size("w").cast("long")
+    sized = keyed.withColumn("n", n).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    sized = sized.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    start, period, rest = (x.cast("int") for x in (F.col("a"), F.col("p"), F.col("n") - F.col("a")))
+    again = F.array_repeat(F.slice("w", start + 1, period), F.ceil(rest / period).cast("int"))
+    planted = F.concat(F.slice("w", F.lit(1), start), F.slice(F.flatten(again), F.lit(1), rest))
+    return sized.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, with the runs that its id asks for planted."""
+    found = periodic.find_runs(with_planted_runs(documents(spark, sf_dir)), keep=["doc_id"])
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    found = found.withColumn("best", best)
+    length, period = F.col("best")["l"], -F.col("best")["p"]
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best")["s"]).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_vector_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every vector among near copies of its label."""
+    return vector_copies.near_copies(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), keep=["vec_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every query of this subpackage by name."""
     found = (
         op1_language, op2_url_lists, op3_mixing, op4_chat, op5_posting_lists, op6_packing, op7_perplexity,
-        op8_near_copies, op9_lines, op10_boilerplate,
+        op8_near_copies, op9_lines, op10_boilerplate, op11_lexical, op12_periodic, op13_vector_copies,
     )
     return {f.__name__: f for f in found}
 
@@ -241,6 +285,114 @@ FROM offsets GROUP BY conv_id, perspective, segment
 """
 
 
+LEXICAL_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), worded AS (
+  SELECT r, doc_id, len(w) AS n, w FROM docs WHERE len(w) > 0
+), counts AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM worded)
+  GROUP BY r, doc_id, n, term
+), every AS (
+  SELECT count(*) AS n_docs, sum(n)::BIGINT AS total FROM worded
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+  FROM counts, every GROUP BY term, n_docs
+), items AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), asked AS (
+  SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(w) AS term FROM items)
+  GROUP BY item, item_id, term
+), scored AS (
+  SELECT a.item, a.item_id, c.r, c.doc_id,
+         sum(a.times * v.weight * ((1000000000 * c.tf) // (1000 * c.tf + 8 * (100 - 75 + (75 * c.n * e.n_docs) // e.total))))::BIGINT AS score
+  FROM asked a JOIN counts c ON a.term = c.term JOIN weights v ON a.term = v.term, every e
+  GROUP BY a.item, a.item_id, c.r, c.doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS place FROM scored WHERE score > 0
+)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""
+
+
+PERIODIC_SQL = r"""
+WITH crc_table AS (
+  SELECT list(entry ORDER BY i) AS entries FROM (
+    SELECT i, list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, i) AS entry
+    FROM range(256) t(i))
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         xor(list_reduce(string_split(doc_id::VARCHAR, ''), lambda x, c: xor(x >> 8, entries[1 + xor(x & 255, ascii(c))]), 4294967295::BIGINT),
+             4294967295) AS h
+  FROM documents, crc_table
+), places AS (
+  SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM docs
+), planted AS (
+  SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE
+           list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END])
+         END AS w
+  FROM places
+), words AS (
+  SELECT r, n, unnest(w) AS word, unnest(range(n)) AS i FROM planted
+), numbered AS (
+  SELECT r, n, i, dense_rank() OVER (PARTITION BY r ORDER BY word) AS code FROM words
+), pairs AS (
+  SELECT x.r, x.i, y.i - x.i AS q FROM numbered x JOIN numbered y
+    ON x.r = y.r AND x.code = y.code AND x.i < y.i AND 4 * (y.i - x.i) <= x.n
+), stretches AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs)
+  GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY length DESC, start, period) AS place FROM runs
+), listed AS (
+  SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listing
+  FROM runs GROUP BY r
+), gone AS (
+  SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT w.r, string_agg(w.word, ' ' ORDER BY w.i) AS body FROM words w ANTI JOIN gone g ON w.r = g.r AND w.i = g.i GROUP BY w.r
+)
+SELECT p.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.start, b.length, b.period,
+       (1000 * b.length) // b.period AS exponent_milli,
+       sha256(coalesce(l.listing, '')) AS runs_sha256, sha256(coalesce(k.body, '')) AS collapsed_sha256
+FROM planted p LEFT JOIN listed l ON p.r = l.r LEFT JOIN best b ON p.r = b.r AND b.place = 1 LEFT JOIN kept k ON p.r = k.r
+"""
+
+
+VECTOR_COPIES_SQL = r"""
+WITH RECURSIVE vectors AS (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), valid AS (
+  SELECT * FROM vectors
+  WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT x.r AS a, y.r AS b FROM valid x JOIN valid y ON x.label = y.label AND x.r <> y.r AND len(x.v) = len(y.v)
+  WHERE list_cosine_similarity(x.v, y.v) >= 0.98
+), reach AS (
+  SELECT r AS a, r AS b FROM vectors
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a AS r, min(v.vec_id) AS component_id FROM reach JOIN vectors v ON v.r = reach.b GROUP BY a
+), counted AS (
+  SELECT a AS r, count(*) AS n_links FROM links GROUP BY a
+)
+SELECT v.vec_id, coalesce(c.n_links, 0) AS n_links, l.component_id,
+       l.component_id IS NOT DISTINCT FROM v.vec_id AS kept
+FROM vectors v JOIN least l ON v.r = l.r LEFT JOIN counted c ON v.r = c.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB twins by query name."""
     return {
@@ -248,4 +400,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat": CHAT_SQL,
         "op8_near_copies": NEAR_COPIES_SQL,
         "op9_lines": LINES_SQL,
+        "op11_lexical": LEXICAL_SQL,
+        "op12_periodic": PERIODIC_SQL,
+        "op13_vector_copies": VECTOR_COPIES_SQL,
     }
