@@ -15,6 +15,7 @@ components. Equal vectors are one node with a weight from the start.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -67,13 +68,23 @@ def sends(cells: int) -> np.ndarray:
     return ((i < j) == ((i + j) % 2 == 0)) & (i != j)
 
 
-def pivots_for(points: np.ndarray, size: int, radius: float) -> np.ndarray | None:
+@dataclass(frozen=True)
+class Plan:
+    """How cells are split: the radius of a link, bounds of cells and blocks, the cost of a copied vector."""
+
+    radius: float
+    cell: int = CELL
+    block: int = BLOCK
+    copy_cost: int = COPY_COST
+
+
+def pivots_for(points: np.ndarray, size: int, plan: Plan) -> np.ndarray | None:
     """Pivots that split a cell of ``size`` members, drawn as ``points``, or None if none of them pays."""
     n = len(points)
     rng = np.random.default_rng(0)
-    best, least = None, GAIN * (size / 2 + COPY_COST * -(-size // BLOCK))
+    best, least = None, GAIN * (size / 2 + plan.copy_cost * -(-size // plan.block))
     for k in PIVOTS:
-        if k * 8 > n or (k > PIVOTS[0] and k * CELL > 4 * size):
+        if k * 8 > n or (k > PIVOTS[0] and k * plan.cell > 4 * size):
             break
         centre = points[rng.choice(n, k, replace=False)]
         for _ in range(6):
@@ -85,20 +96,20 @@ def pivots_for(points: np.ndarray, size: int, radius: float) -> np.ndarray | Non
         centre = np.unique(centre[counts > 0], axis=0)
         if len(centre) < 2:
             continue
-        home, near = visits(points, centre, radius)
+        home, near = visits(points, centre, plan.radius)
         guest = near & sends(len(centre))[home]
         lives = np.bincount(home, minlength=len(centre)) / n
         comes = guest.sum(axis=0) / n
-        cost = size * (lives * (lives / 2 + comes)).sum() + COPY_COST * (1 + comes.sum())
+        cost = size * (lives * (lives / 2 + comes)).sum() + plan.copy_cost * (1 + comes.sum())
         if cost < least:
             best, least = centre, cost
     return best
 
 
-def _choose(radius: float):
+def _choose(plan: Plan):
     def run(drawn: pa.Table) -> pa.Table:
         drawn = drawn.sort_by([("order", "ascending"), ("node", "ascending")])
-        found = pivots_for(unit(drawn["vector"]), drawn["size"][0].as_py(), radius)
+        found = pivots_for(unit(drawn["vector"]), drawn["size"][0].as_py(), plan)
         rows = [] if found is None else [found.reshape(-1).tolist()]
         kinds = {"cell": pa.string(), "pivots": pa.list_(pa.float64()), "size": pa.int64()}
         return pa.Table.from_batches(
@@ -138,7 +149,7 @@ def _split(radius: float):
     return run
 
 
-def _cells(members: DataFrame, radius: float) -> DataFrame:
+def _cells(members: DataFrame, plan: Plan) -> DataFrame:
     """Members of the final cells, with the number of blocks of their cell."""
     done = []
     for level in range(LEVELS + 1):
@@ -147,8 +158,8 @@ def _cells(members: DataFrame, radius: float) -> DataFrame:
             F.count("*").alias("size"), F.count_if("home").alias("homes")
         )
         sizes = small_side(materialize(sizes.where("homes > 0"), "cells"))
-        blocks = F.ceil(F.col("size") / F.when(F.col("size") <= CELL, CELL).otherwise(BLOCK)).cast("int")
-        large = sizes.where(F.col("size") > CELL)
+        blocks = F.ceil(F.col("size") / F.when(F.col("size") <= plan.cell, plan.cell).otherwise(plan.block)).cast("int")
+        large = sizes.where(F.col("size") > plan.cell)
         pivots = None
         if level < LEVELS and not large.isEmpty():
             order = W.partitionBy("cell").orderBy("order", "node")
@@ -156,7 +167,7 @@ def _cells(members: DataFrame, radius: float) -> DataFrame:
             drawn = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE)
             pivots = materialize(
                 drawn.select("cell", "node", "order", "vector", "size").groupBy("cell").applyInArrow(
-                    _choose(radius), "cell string, pivots array<double>, size long"
+                    _choose(plan), "cell string, pivots array<double>, size long"
                 ),
                 "pivots",
             )
@@ -165,15 +176,15 @@ def _cells(members: DataFrame, radius: float) -> DataFrame:
         if pivots is None:
             done.append(members.join(sizes.select("cell", blocks.alias("blocks")), "cell"))
             break
-        split = small_side(pivots.select("cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts")))
+        split = small_side(pivots.select("cell", F.ceil(F.col("size") / plan.block).cast("int").alias("parts")))
         stays = members.join(split, "cell", "left_anti")
         done.append(stays.join(sizes.select("cell", blocks.alias("blocks")), "cell"))
         part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
         left = members.join(split, "cell").select("cell", part, *_MEMBER).groupBy("cell", "part")
-        every = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / BLOCK).cast("int") - 1)).alias("part")
+        every = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / plan.block).cast("int") - 1)).alias("part")
         right = pivots.select("cell", every, "pivots").groupBy("cell", "part")
         members = left.cogroup(right).applyInArrow(
-            _split(radius), "cell string, node long, weight long, home boolean, vector array<double>"
+            _split(plan.radius), "cell string, node long, weight long, home boolean, vector array<double>"
         )
     final = done[0]
     for more in done[1:]:
@@ -246,6 +257,7 @@ def near_copies(
     label: str = "label",
     similarity: float = SIMILARITY,
     keep: Iterable[str] | None = None,
+    **sizes: int,
 ) -> DataFrame:
     """The rows of ``vectors`` (columns ``keep``, else all) with n_links, component_id and kept.
 
@@ -258,7 +270,8 @@ def near_copies(
     do rows without label. Repeated rows are rows of their own and link with each other. A row
     without vec_id links like any other; it is kept only if no id is within reach, and component_id is
     null then. An empty table gives an empty one. Columns of the caller called like a result are
-    replaced. Nodes go by 64-bit hashes of (label, vector).
+    replaced. Nodes go by 64-bit hashes of (label, vector). ``sizes`` set bounds of ``Plan``; the result
+    does not depend on them.
     """
     keep = vectors.columns if keep is None else list(keep)
     given = col(vector).cast("array<double>")
@@ -278,9 +291,9 @@ def near_copies(
         ),
         "nodes",
     )
-    radius = float(np.sqrt(max(0.0, 2 - 2 * similarity)))
+    plan = Plan(float(np.sqrt(max(0.0, 2 - 2 * similarity))), **sizes)
     members = nodes.select("cell", "node", "weight", F.lit(True).alias("home"), "vector")
-    found = materialize(_met(_cells(members, radius), similarity), "links")
+    found = materialize(_met(_cells(members, plan), similarity), "links")
     labels = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = nodes.select("node", "weight", "least").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node")
