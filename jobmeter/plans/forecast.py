@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobmeter.functions import power, text
 from jobmeter.functions.times import day_text
-from jobmeter.operators.carbon import INTENSITY, intensity_asof, intensity_lookup
+from jobmeter.operators.carbon import INTENSITY, intensity_asof, intensity_lookup, intensity_over_run
 from jobmeter.operators.lookups import zone_lookup
 from jobmeter.operators.scripts import parse_sbatch, total_cores, total_memory_gb
 
@@ -77,18 +77,22 @@ def forecast_batch(
     return estimated.select(*kept, *[F.when(good, value).alias(c) for c, value in results.items()])
 
 
-def estimate_jobs(jobs: DataFrame, readings: DataFrame, zone: str = "zone") -> DataFrame:
-    """The same model over jobs that ran: allocated cores and memory, real hours, intensity then."""
-    timed = intensity_asof(jobs, readings, zone, "Start")
+def estimate_jobs(jobs: DataFrame, readings: DataFrame, zone: str = "zone", whole_run: bool = False) -> DataFrame:
+    """The same model over jobs that ran: allocated cores and memory, real hours, intensity then.
+
+    The intensity is that at the start, or with ``whole_run`` the mean over the job's whole run.
+    """
+    look_up = intensity_over_run if whole_run else intensity_asof
+    timed = look_up(jobs, readings, zone)
     return _estimate(
         timed, F.col("alloc_cpu"), F.col("alloc_mem_gb"), F.col("requested_walltime_hours")
     )
 
 
-def job_emissions(jobs: DataFrame, readings: DataFrame, zone: str = "zone") -> DataFrame:
+def job_emissions(jobs: DataFrame, readings: DataFrame, zone: str = "zone", whole_run: bool = False) -> DataFrame:
     """Modelled energy and emissions per user and start day."""
     return (
-        estimate_jobs(jobs, readings, zone)
+        estimate_jobs(jobs, readings, zone, whole_run)
         .where("User is not null and Start is not null")
         .groupBy(F.col("User").alias("user"), F.to_date("Start").alias("start_day"))
         .agg(
