@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from jobmeter.constants import MISSING_TEXTS, TARGET_COLUMN
 from jobmeter.functions.text import to_numeric
+from jobmeter.operators.lookups import small_side
+from jobmeter.session import materialize
 from jobmeter.sources.schemas import FORECAST_REQUEST, INSIGHTS
 
 # Columns that are numbers in an accounting export, fractions included; all others are text.
@@ -53,22 +55,24 @@ def _header(spark: SparkSession, path: str | list[str], sep: str) -> list[str]:
 
 
 def _first_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(header, paths) of the CSV files of a folder, by one distributed job over their first lines."""
+    """(path, header) of the CSV files of a folder, by one distributed job over their first lines."""
     block = F.col("_metadata.file_block_start")
     lines = spark.read.option("pathGlobFilter", "*.csv").text(folder).where(block == 0)
-    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    numbered = lines.select(path.alias("path"), F.monotonically_increasing_id().alias("at"), "value")
-    first = numbered.groupBy("path").agg(F.min_by("value", "at").alias("header"))
-    return first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    numbered = lines.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), "value")
+    return numbered.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+
+
+#: No line holds this: the CSV source then cuts off header lines and leaves all others whole.
+_WHOLE_LINE = "\u0001\u0002\u0001"
 
 
 def read_sacct_dir(spark: SparkSession, folder: str, same_header: bool = False) -> DataFrame:
     """All ``|``-separated CSV files of a folder as one table over the union of their columns.
 
-    Files are grouped by header and each group is one distributed read. The headers are found by one
-    job; the driver gets the distinct headers with their files' paths, which it needs to plan the
-    reads. ``same_header=True`` skips that: Spark then checks the headers while it reads the folder
-    and fails on a different one.
+    One job finds the header of every file and writes them; the driver gets the distinct headers and
+    no path. All files are then one scan of whole lines, each parsed by the header of its file, which
+    is joined by path. ``same_header=True`` skips that: Spark then checks the headers while it reads
+    the folder and fails on a different one.
     """
     if same_header:
         one = spark.read.option("pathGlobFilter", "*.csv").text(folder).limit(1).collect()
@@ -76,15 +80,31 @@ def read_sacct_dir(spark: SparkSession, folder: str, same_header: bool = False)
             raise FileNotFoundError(f"no CSV files in {folder}")
         columns = _columns(one[0]["value"], "|")
         return _typed(_read_text_csv(spark, folder, columns, "|", check=True))
-    groups = _first_lines(spark, folder).collect()
-    if not groups:
+    files = materialize(_first_lines(spark, folder), "headers")
+    found = files.groupBy("header").agg(F.min("path").alias("path")).orderBy("path").collect()
+    if not found:
         raise FileNotFoundError(f"no CSV files in {folder}")
-    return _typed(
-        union_tables(
-            _read_text_csv(spark, row["paths"], _columns(row["header"], "|"), "|")
-            for row in sorted(groups, key=lambda row: row["paths"][0])
-        )
+    headers = [row["header"] for row in found]
+    lines = spark.read.option("pathGlobFilter", "*.csv").csv(
+        folder, schema="line string", sep=_WHOLE_LINE, header=True, enforceSchema=True, quote="", escape=""
     )
+    lines = lines.select("line", F.col("_metadata.file_path").alias("path"))
+    if len(headers) > 1:
+        number = reduce(lambda c, i: c.when(F.col("header") == headers[i], i), range(len(headers)), F.when(F.lit(False), -1))
+        lines = lines.join(small_side(files.select("path", number.alias("kind"))), "path")
+    parsed = []
+    for i, header in enumerate(headers):
+        columns = _columns(header, "|")
+        schema = ", ".join(f"`c{j}` string" for j in range(len(columns)))
+        cells = F.from_csv("line", schema, {"sep": "|", "quote": '"', "escape": '"'})
+        parsed.append((f"_{i}", columns, F.when(F.col("kind") == i, cells) if len(headers) > 1 else cells))
+    table = lines.select(*[cells.alias(name) for name, _, cells in parsed])
+    cells_of: dict[str, list[Column]] = {}
+    for name, columns, _ in parsed:
+        for j, c in enumerate(columns):
+            cells_of.setdefault(c.strip(), []).append(F.col(f"{name}.c{j}"))
+    value = {c: F.coalesce(*cells) if len(cells) > 1 else cells[0] for c, cells in cells_of.items()}
+    return _typed(table.select(*[F.when(~v.isin(*MISSING_TEXTS), v).alias(c) for c, v in value.items()]))
 
 
 def read_jobs_csv(spark: SparkSession, path: str) -> DataFrame:
