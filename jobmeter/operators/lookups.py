@@ -84,13 +84,16 @@ def label_encode(df: DataFrame, columns: Iterable[str] = CATEGORICAL_COLUMNS) ->
     if not present:
         return df
     dictionary = label_dictionary(df, present)
+    # One count of all dictionaries (one row per column) tells which are small enough to broadcast.
+    sizes = {r["column"]: r["count"] for r in dictionary.groupBy("column").count().collect()}
     order = df.columns
     for c in present:
         codes = dictionary.where(F.col("column") == c).select(
             F.col("value").alias("_value"), F.col("code").alias("_code")
         )
+        codes = F.broadcast(codes) if sizes.get(c, 0) <= BROADCAST_ROWS else codes
         df = (
-            df.join(small_side(codes), F.col(c).cast("string") == F.col("_value"), "left")
+            df.join(codes, F.col(c).cast("string") == F.col("_value"), "left")
             .withColumn(c, F.coalesce("_code", F.lit(-1)))
             .drop("_value", "_code")
         )

@@ -111,16 +111,25 @@ def runtime_p95(stats: DataFrame) -> DataFrame:
 
 def column_profile(df: DataFrame, table: str) -> DataFrame:
     """(table, field, type, known, missing) of every column: one map-side pass."""
+    return profile_rows(df.agg(*profile_counts(df)), df, table)
+
+
+def profile_counts(df: DataFrame) -> list[Column]:
+    """The aggregates of a profile, for a pass that may count other things as well."""
     types = dict(df.dtypes)
 
     def missing(c: str) -> Column:
         test = F.col(f"`{c}`").isNull()
         return test | F.isnan(f"`{c}`") if types[c] in ("double", "float") else test
 
-    counted = df.agg(
+    return [
         *[F.count(f"`{c}`").alias(f"k{i}") for i, c in enumerate(df.columns)],
         *[F.count_if(missing(c)).alias(f"m{i}") for i, c in enumerate(df.columns)],
-    )
+    ]
+
+
+def profile_rows(counted: DataFrame, df: DataFrame, table: str) -> DataFrame:
+    """The row of ``profile_counts`` as one row per column of ``df``."""
     rows = [
         F.struct(
             F.lit(table).alias("table"), F.lit(c).alias("field"), F.lit(t).alias("type"),
@@ -132,19 +141,8 @@ def column_profile(df: DataFrame, table: str) -> DataFrame:
 
 
 def missingness(df: DataFrame, table: str) -> DataFrame:
-    """(table, field, missing) of the columns with missing values: one map-side pass."""
-    types = dict(df.dtypes)
-
-    def missing(c: str) -> Column:
-        test = F.col(f"`{c}`").isNull()
-        return test | F.isnan(f"`{c}`") if types[c] in ("double", "float") else test
-
-    counted = df.agg(*[F.count_if(missing(c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
-    rows = [
-        F.struct(F.lit(table).alias("table"), F.lit(c).alias("field"), F.col(f"c{i}").alias("missing"))
-        for i, c in enumerate(df.columns)
-    ]
-    return counted.select(F.inline(F.array(*rows))).where("missing > 0")
+    """(table, field, missing) of the columns with missing values."""
+    return column_profile(df, table).where("missing > 0").select("table", "field", "missing")
 
 
 def schema_table(df: DataFrame) -> DataFrame:

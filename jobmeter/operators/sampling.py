@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +14,57 @@ from jobmeter.operators.ranking import with_position
 from jobmeter.session import materialize
 
 
+def sample_digest(keys: Sequence[str] = ("job_key", "JobID"), seed: int = SEED) -> Column:
+    """The seeded hash by which rows are drawn."""
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+
+
+def _bit_length(digest: Column) -> Column:
+    return F.length(F.bin(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")))
+
+
+def cutoffs(digests: DataFrame, max_samples: int, folds: int = 1) -> list[str | None]:
+    """For each fold the ``max_samples``-th smallest digest of all *other* folds, None if they have no more rows.
+
+    ``digests`` is a table (fold, digest); with one fold, whose number is -1, the cut-off is that of
+    all rows. A first pass counts digests by their bit length (at most 32 rows per task and fold);
+    only rows up to the shortest length that holds enough are ordered, about twice the sample.
+    """
+    numbers = [-1] if folds == 1 else list(range(folds))
+    bits = _bit_length(F.col("digest"))
+    counted = digests.groupBy("fold", bits.alias("bits")).count().collect()
+
+    def others(fold: int, most: int) -> int:
+        return sum(r["count"] for r in counted if (fold < 0 or r["fold"] != fold) and r["bits"] <= most)
+
+    wanted = {f: next((b for b in range(33) if others(f, b) >= max_samples), None) for f in numbers}
+    if all(b is None for b in wanted.values()):
+        return [None for _ in numbers]
+    candidates = digests.where(bits <= max(b for b in wanted.values() if b is not None))
+    upto = W.orderBy("digest", "fold").rowsBetween(W.unboundedPreceding, W.currentRow)
+    passed = candidates.select(
+        "digest", *[F.count_if((F.col("fold") != f) | F.lit(f < 0)).over(upto).alias(f"n{i}") for i, f in enumerate(numbers)]
+    )
+    row = passed.agg(
+        *[F.min(F.when(F.col(f"n{i}") >= max_samples, F.col("digest"))).alias(f"c{i}") for i in range(len(numbers))]
+    ).first()
+    return [row[f"c{i}"] if wanted[f] is not None else None for i, f in enumerate(numbers)]
+
+
+def _drawn(df: DataFrame, digest: Column, cutoff: str | None, max_samples: int) -> DataFrame:
+    """The rows up to a cut-off; rows with equal keys are ordered by all their columns."""
+    if cutoff is None:
+        return df
+    ties = [c for c, t in df.dtypes if not t.startswith("map")]
+    return (
+        df.where(digest <= cutoff)
+        .withColumn("_digest", digest)
+        .orderBy("_digest", *[F.col(f"`{c}`") for c in ties])
+        .limit(max_samples)
+        .drop("_digest")
+    )
+
+
 def sample_cap(
     df: DataFrame,
     max_samples: int = MAX_SAMPLES,
@@ -23,28 +74,31 @@ def sample_cap(
 ) -> DataFrame:
     """At most ``max_samples`` rows, the ones with the smallest seeded hash of their keys.
 
-    The same rows come out in every run and on every cluster layout. A first pass counts the hashes
-    by their bit length (at most 32 rows per task); only rows up to the shortest length that still
-    holds enough are ordered, about twice the sample, so no task orders the table. The input is
-    written once, so that a join below it does not run for the count and again for the sample. Rows
-    with equal keys are ordered by all their columns.
+    The same rows come out in every run and on every cluster layout. The hashes alone are written and
+    give a cut-off (see ``cutoffs``); the rows below it are then taken from ``df``. The cut-off is a
+    filter on the keys, which Spark moves below joins and into scans, so only the sample has all its
+    columns computed and nothing of full width is written.
     """
     if ignore_limits:
         return df
-    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
-    bits = F.length(F.bin(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")))
-    df = materialize(df, "sampled")
-    upto = F.sum("count").over(W.orderBy("bits").rowsBetween(W.unboundedPreceding, W.currentRow))
-    lengths = df.groupBy(bits.alias("bits")).count().withColumn("upto", upto)
-    enough = lengths.agg(F.coalesce(F.min(F.when(F.col("upto") >= max_samples, F.col("bits"))), F.lit(32)))
-    ties = [c for c, t in df.dtypes if not t.startswith("map")]
-    return (
-        df.where(bits <= enough.scalar())
-        .withColumn("_digest", digest)
-        .orderBy("_digest", *[F.col(f"`{c}`") for c in ties])
-        .limit(max_samples)
-        .drop("_digest")
-    )
+    digest = sample_digest(keys, seed)
+    digests = materialize(df.select(F.lit(-1).alias("fold"), digest.alias("digest")), "digests")
+    return _drawn(df, digest, cutoffs(digests, max_samples)[0], max_samples)
+
+
+def fold_samples(
+    df: DataFrame, folds: int, max_samples: int, seed: int = SEED, keys: Sequence[str] = ("job_key", "JobID")
+) -> list[DataFrame]:
+    """For each fold the sample of all rows of the other folds, as ``sample_cap`` draws it.
+
+    The hashes are written once and serve all folds.
+    """
+    digest = sample_digest(keys, seed)
+    digests = materialize(df.select("fold", digest.alias("digest")), "digests")
+    return [
+        _drawn(df.where(F.col("fold") != fold), digest, cutoff, max_samples)
+        for fold, cutoff in enumerate(cutoffs(digests, max_samples, folds))
+    ]
 
 
 def group_sizes(df: DataFrame, group: str = "User") -> DataFrame:

@@ -95,13 +95,18 @@ def by_day_hour(features: DataFrame) -> DataFrame:
 
 def dataset_summary(features: DataFrame) -> DataFrame:
     """Jobs, distinct users, time range and whole days covered."""
+    return dataset_row(features.agg(*dataset_counts(), F.countDistinct("User").alias("unique_users")))
+
+
+def dataset_counts() -> list[Column]:
+    """Aggregates that a pass over the features may take along for the summary."""
+    return [F.count("*").alias("job_count"), F.min("Start").alias("_start"), F.max("End").alias("_end")]
+
+
+def dataset_row(counted: DataFrame) -> DataFrame:
+    """The summary from a row of ``dataset_counts`` and unique_users."""
     days = F.ceil((F.unix_micros("_end") - F.unix_micros("_start")) / F.lit(86_400_000_000.0))
-    return features.agg(
-        F.count("*").alias("job_count"),
-        F.countDistinct("User").alias("unique_users"),
-        F.min("Start").alias("_start"),
-        F.max("End").alias("_end"),
-    ).select(
+    return counted.select(
         "job_count",
         "unique_users",
         F.date_format("_start", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("range_start"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,23 +71,38 @@ def rollup_section(rollup: DataFrame, name: str) -> DataFrame:
     return table.select(*keys, *metrics)
 
 
-def profile(features: DataFrame, predictions: DataFrame | None = None) -> DataFrame:
-    """(table, field, type, known, missing) of the features, the predictions and the merged records.
+def _other_profiles(
+    own: DataFrame, features: DataFrame, predictions: DataFrame, keys: DataFrame | None = None
+) -> DataFrame:
+    """The profile of the features with those of the predictions and of the merged records.
 
     A left join keeps each feature row once, so the feature columns of the merged records count as
-    in the features. Only ``job_key`` takes part in the join that counts the prediction columns.
+    in the features. Only ``job_key`` takes part in the join that counts the prediction columns;
+    ``keys`` is a table of the features' keys, where one is at hand.
     """
-    own = reports.column_profile(features, "features")
-    if predictions is None:
-        return own
     clashes = {c: f"{c}_pred" for c in predictions.columns if c != "job_key" and c in features.columns}
-    keyed = merge_predictions(features.select("job_key"), predictions.withColumnsRenamed(clashes))
+    keyed = merge_predictions(
+        (features if keys is None else keys).select("job_key"), predictions.withColumnsRenamed(clashes)
+    )
     merged = own.withColumn("table", F.lit("merged_records")).unionByName(
         reports.column_profile(keyed.drop("job_key"), "merged_records")
     )
     return own.unionByName(reports.column_profile(predictions, "predictions")).unionByName(merged)
 
 
+def profile(
+    features: DataFrame, predictions: DataFrame | None = None, keys: DataFrame | None = None
+) -> DataFrame:
+    """(table, field, type, known, missing) of the features, the predictions and the merged records.
+
+    The features are counted in one pass, whose single row is written; no feature column is. ``keys``
+    is a table of the features' keys, where one is at hand.
+    """
+    counted = materialize(features.agg(*reports.profile_counts(features)), "profile")
+    own = reports.profile_rows(counted, features, "features")
+    return own if predictions is None else _other_profiles(own, features, predictions, keys)
+
+
 def missing_report(profiled: DataFrame) -> DataFrame:
     """(table, field, missing) of a profile, most missing first."""
     found = profiled.where("missing > 0").select("table", "field", "missing")
@@ -98,8 +115,10 @@ def insights(
     """All sections as tables.
 
     The feature table is written once to the shared folder (``write=False`` if it already is a
-    table), so the join below it runs once. The seven usage tables come from one pass, whose small
-    result is written too and then filtered per section.
+    table), so the join below it runs once. Three scans of it follow: the seven usage tables come
+    from one pass, whose small result is written and filtered per section (the counts of categorical
+    values are among it); the profile of all columns and the summary of the data from a second; the
+    numbers of the summary statistics from a third.
     """
     if write:
         features = materialize(features, "features")
@@ -110,10 +129,20 @@ def insights(
     sections["job_type_breakdown"] = sections["by_job_type"].select(
         "job_type", "job_count", "energy_total_kwh", "energy_mean_kwh"
     )
-    sections["dataset"] = usage.dataset_summary(features)
+    counted = materialize(features.agg(*reports.profile_counts(features), *usage.dataset_counts()), "counts")
+    users = sections["by_user"].agg(F.count("*").alias("unique_users")).scalar()
+    sections["dataset"] = usage.dataset_row(counted.withColumn("unique_users", users))
     sections["summary_stats"] = summary_stats(features, exact)
-    sections["categorical"] = usage.categorical_distribution(features, list(CATEGORICAL_COLUMNS))
-    profiled = materialize(profile(features, predictions), "profile")
+    values = [
+        sections[f"by_{c.lower()}"].select(
+            F.lit(c).alias("column"), F.col(c.lower()).cast("string").alias("value"), "job_count"
+        )
+        for c in CATEGORICAL_COLUMNS
+    ]
+    sections["categorical"] = reduce(DataFrame.unionByName, values)
+    profiled = reports.profile_rows(counted, features, "features")
+    if predictions is not None:
+        profiled = materialize(_other_profiles(profiled, features, predictions), "profile")
     sections["schema"] = profiled.select("table", "field", "type", "known")
     sections["missingness"] = missing_report(profiled)
     return sections

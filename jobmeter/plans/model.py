@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobmeter.constants import FEATURE_COLUMNS, FOLDS, MAX_SAMPLES, SEED, TARGET_COLUMN
-from jobmeter.operators.sampling import group_folds, sample_cap
+from jobmeter.operators.sampling import fold_samples, group_folds
 from jobmeter.plans.features import model_inputs
 from jobmeter.session import materialize
 
@@ -57,16 +57,18 @@ def cross_validate(
     Every row with a known target is predicted. ``max_samples`` bounds only the rows that a fold's
     model is fitted on. A feature with no known value in a fold's fitted rows is left out of that fold's model.
 
-    The model table is written once to the shared folder; each fold's fit is a distributed job over
-    it and the predictions stay distributed.
+    The model table is written once to the shared folder, and so is one hash per row, which gives the
+    samples of all folds; each fold's fit is a distributed job and the predictions stay distributed.
     """
     extra = [c for c in ("JobID",) if c in features.columns]
     data = materialize(group_folds(model_inputs(features, extra), k, mode=mode), "model")
     columns = [c for c in FEATURE_COLUMNS if c in data.columns]
     held_out = None
-    for fold in range(k):
-        others = data.where(F.col("fold") != fold)
-        fitted = sample_cap(others, max_samples, seed, ["job_key", *extra], ignore_limits)
+    if ignore_limits:
+        samples = [data.where(F.col("fold") != fold) for fold in range(k)]
+    else:
+        samples = fold_samples(data, k, max_samples, seed, ["job_key", *extra])
+    for fold, fitted in enumerate(samples):
         fitted = fitted if ignore_limits else materialize(fitted, "fitted")
         known = _known_columns(fitted, columns)
         filled = [f"{c}_filled" for c in known]

@@ -41,11 +41,14 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder (spark.checkpoint.dir), which every executor can reach.
 
-    Where it is unset, a folder in the warehouse takes its place, which is shared as well.
+    Where it is unset, a session on one machine uses a folder in the warehouse; on a cluster that might
+    be a folder of the driver alone, so this is an error there.
     """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
