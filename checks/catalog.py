@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from checks.fixtures import TABLES, spark_view
 from jobmeter.constants import CATEGORICAL_COLUMNS
 from jobmeter.functions import power, text, times
-from jobmeter.operators import carbon, daily, energy, lookups, ranking, reports, sampling, scripts, usage
+from jobmeter import sql
+from jobmeter.operators import (
+    carbon, daily, energy, lookups, ranking, reconcile, reports, sampling, scripts, sessions, sketches, snapshots, usage,
+)
 from jobmeter.plans import analyze, features as feature_plans, forecast, insights, model
 from jobmeter.session import configure, materialize, scratch_path
 from jobmeter.sources import readers, writers
+from jobmeter.streaming import usage as live
 
 Query = Callable[["Inputs"], DataFrame]
 
@@ -377,10 +381,10 @@ def _rank_codes(x: Inputs) -> DataFrame:
 
 
 def _missingness(x: Inputs) -> DataFrame:
-    # Features and predictions are both read from one written feature table.
-    features = materialize(x.features, "features")
-    predictions = spark_view(x.spark, "predictions", {"features": features}.__getitem__)
-    return insights.missing_report(insights.profile(features, predictions))
+    # The predictions and the keys of the features are read from a few written columns.
+    narrow = materialize(x.features.select("job_key", "JobID", "User", "energy_kWh", "alloc_gpu", "NCPUS"), "keys")
+    predictions = spark_view(x.spark, "predictions", {"features": narrow}.__getitem__)
+    return insights.missing_report(insights.profile(x.features, predictions, narrow))
 
 
 def _forecast_batch(x: Inputs) -> DataFrame:
@@ -445,6 +449,142 @@ def placed(df: DataFrame) -> DataFrame:
     return df.withColumn("_at", at).withColumn("place", F.row_number().over(W.orderBy("_at"))).drop("_at")
 
 
+# --- jobs that go beyond one batch over one export ---------------------------------------------
+
+
+def _read_mixed_headers(x: Inputs) -> DataFrame:
+    # Three exports with other columns, another order, and blanks around the names.
+    path = x.path("mixed")
+    turn = F.crc32("JobID") % 3
+    layouts = [["JobID", "User", "NCPUS"], ["NCPUS", "Partition", "JobID"], ["JobID", "State", "User"]]
+    for i, columns in enumerate(layouts):
+        named = x.sacct.where(turn == i).select(*[F.col(c).alias(f" {c} " if i == 2 else c) for c in columns])
+        named.write.mode("append").csv(path, sep="|", header=True)
+    return readers.read_sacct_dir(x.spark, path).select("JobID", "User", "NCPUS", "Partition", "State")
+
+
+def _incremental_usage(x: Inputs) -> DataFrame:
+    # Three deliveries in no order of time; later ones repeat a seventh of the earlier jobs.
+    incoming, table = x.path("incoming"), x.path("usage")
+    jobs, metered = (f"{incoming}/{name}" for name in ("jobs", "readings"))
+    turn, reading_turn = F.crc32("JobID") % 3, F.coalesce(F.crc32("job_key") % 3, F.lit(0))
+    for i in range(3):
+        again = (turn < i) & (F.crc32("JobID") % 7 == 0)
+        x.sacct.select("JobID", "User", "Start").where((turn == i) | again).write.mode("append").csv(jobs, sep="|", header=True)
+        x.emissions.where(reading_turn == i).write.mode("append").csv(metered, sep="|", header=True)
+        live.refresh(
+            live.stream_csv(x.spark, jobs, ["JobID", "User", "Start"]),
+            live.stream_csv(x.spark, metered, ["job_key", "energy_kWh"]),
+            table, delay="400 days", partitions=4,
+        )
+    none = {"start_day": F.lit(None).cast("string"), "start_hour": F.lit(None).cast("int"), "energy_mean_kwh": F.lit(None).cast("double")}
+    parts = {"day": live.by_day(x.spark, table), "hour": live.by_hour_of_day(x.spark, table), "cell": live.day_hours(x.spark, table)}
+    columns = ["start_day", "start_hour", "job_count", "energy_total_kwh", "energy_mean_kwh"]
+    return readers.union_tables(
+        df.select(F.lit(name).alias("kind"), *[F.col(c) if c in df.columns else none[c].alias(c) for c in columns])
+        for name, df in parts.items()
+    )
+
+
+def _weeks(days: DataFrame) -> DataFrame:
+    """(name, first_day, last_day): every week with a job, and the whole time."""
+    monday = F.to_date(F.date_trunc("week", "start_day"))
+    weeks = days.select(monday.alias("first_day")).distinct()
+    weeks = weeks.select(F.col("first_day").cast("string").alias("name"), "first_day", F.date_add("first_day", 6).alias("last_day"))
+    whole = days.agg(F.lit("all").alias("name"), F.min("start_day").alias("first_day"), F.max("start_day").alias("last_day"))
+    return weeks.unionByName(whole)
+
+
+def _quantile_sketches(x: Inputs) -> DataFrame:
+    # The sketches' quantiles, judged by where they stand among the values themselves.
+    values = materialize(x.features.where("Start is not null").select("Start", *sketches.METRICS), "values")
+    daily_ = materialize(sketches.daily_quantile_sketches(values), "sketches")
+    ranges = _weeks(daily_)
+    found = sketches.quantiles(daily_, ranges)
+    rows = values.select(
+        F.to_date("Start").alias("day"),
+        F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in sketches.METRICS])),
+    )
+    names = F.array(F.lit("all"), F.to_date(F.date_trunc("week", "day")).cast("string"))
+    ranked = rows.select("metric", "value", F.explode(names).alias("name")).join(F.broadcast(found), ["name", "metric"])
+    slack = F.lit(3 * sketches.rank_error())
+    checks = []
+    for i, (share, name) in enumerate(((0.5, "median_within"), (0.95, "p95_within"))):
+        q = F.col("quantiles")[i]
+        below, upto = (F.count_if(c) / F.count("value") for c in (F.col("value") < q, F.col("value") <= q))
+        checks.append(((below - slack <= share) & (share <= upto + slack)).alias(name))
+    return ranked.groupBy("name", "metric", "known").agg(*checks)
+
+
+def _user_sketches(x: Inputs) -> DataFrame:
+    people = x.features.select("User", "Start")
+    daily_ = materialize(sketches.daily_user_sketches(people), "sketches")
+    weeks = _weeks(daily_)
+    pairs = weeks.where("name <> 'all'").select(F.col("name").alias("a"), F.date_add("first_day", 7).cast("string").alias("b"))
+    shared = sketches.shared_users(daily_, weeks, pairs)
+    week = F.to_date(F.date_trunc("week", "Start")).cast("string")
+    exact = people.where("User is not null and Start is not null").select(
+        "User", F.explode(F.array(F.lit("all"), week)).alias("name")
+    ).groupBy("name").agg(F.count_distinct("User").alias("exact"))
+    close = F.abs(F.col("users") / F.col("exact") - 1) <= 0.02
+    return (
+        sketches.distinct_users(daily_, weeks).join(exact, "name")
+        .join(shared.withColumnRenamed("a", "name").drop("b"), "name", "left")
+        .select("name", F.col("exact").alias("users"), close.alias("within_two_percent"), F.col("shared").alias("shared_with_next"))
+    )
+
+
+def _exports(x: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Two exports of the jobs: some only in one of them, some in another state, some repeated."""
+    n = F.regexp_extract("JobID", "^[0-9]+", 0).cast("long")
+    jobs = x.sacct.select("JobID", "User", "State", "NCPUS").withColumn("n", n)
+
+    def repeated(df: DataFrame, rule: Column) -> DataFrame:
+        copies = F.explode(F.sequence(F.lit(1), F.when(rule, 2).otherwise(1)))
+        return df.withColumn("copy", copies).drop("copy", "n")
+
+    state = F.when(F.col("n") % 13 == 0, "REQUEUED").otherwise(F.col("State"))
+    return (
+        repeated(jobs.where("n % 7 <> 0"), F.col("n") % 11 == 0),
+        repeated(jobs.where("n % 5 <> 0").withColumn("State", state), F.col("n") % 3 == 0),
+    )
+
+
+def _snapshot_changes(x: Inputs) -> DataFrame:
+    found = snapshots.difference(*_exports(x), key="JobID")
+    return found.select(
+        "change", F.col("key").alias("JobID"), "copies", F.col("old.State").alias("old_state"), F.col("new.State").alias("new_state"),
+    )
+
+
+def _snapshot_history(x: Inputs) -> DataFrame:
+    old, new = _exports(x)
+    dated = [(old, "2024-01-01"), (new, "2024-02-01"), (old.where("NCPUS % 2 = 0"), "2024-03-01")]
+    exports = readers.union_tables(df.withColumn("snapshot", F.lit(d)) for df, d in dated)
+    return snapshots.history(exports, "JobID").select(
+        F.col("key").alias("JobID"), F.col("row.State").alias("state"), "valid_from", "valid_to"
+    )
+
+
+def _sql_functions(x: Inputs) -> DataFrame:
+    sql.register(x.spark)
+    return x.spark.sql(
+        """
+SELECT JobID, req_mem_gb(ReqMem) AS req_mem_gb, node_prefix(NodeList) AS node_prefix,
+       runtime_string_hours(concat(floor(greatest(Elapsed, 0) / 5000), '-',
+         date_format(timestamp_seconds(greatest(Elapsed, 0)), 'HH:mm:ss'))) AS hours
+FROM {sacct}""",
+        sacct=x.sacct,
+    )
+
+
+def _sql_parse_sbatch(x: Inputs) -> DataFrame:
+    sql.register(x.spark)
+    return x.spark.sql(
+        "SELECT script_id, found.* FROM {scripts}, LATERAL parse_sbatch(sbatchText) AS found", scripts=x.scripts
+    )
+
+
 QUERIES: dict[str, Query] = {
     # Sources and sinks
     "read_sacct_dir": _read_sacct_dir,
@@ -568,6 +708,24 @@ QUERIES: dict[str, Query] = {
     "analyze_jobs": _analyze_jobs,
     "insights": _insights,
     "text_summary": lambda x: analyze.text_summary(analyze.analyze_jobs(x.flat)),
+    # Beyond one batch over one export
+    "incremental_usage": _incremental_usage,
+    "intensity_over_run": lambda x: carbon.intensity_over_run(x.zoned, x.readings).select("JobID", "zone", carbon.INTENSITY),
+    "intensity_with_gaps": lambda x: carbon.intensity_over_run(x.zoned, x.readings, max_hold_hours=1.5).select(
+        "JobID", "zone", carbon.INTENSITY
+    ),
+    "run_emissions": lambda x: forecast.job_emissions(x.zoned, x.readings, whole_run=True),
+    "quantile_sketches": _quantile_sketches,
+    "user_sketches": _user_sketches,
+    "read_mixed_headers": _read_mixed_headers,
+    "unmatched_keys": lambda x: reconcile.unmatched_report(x.jobs, x.emissions),
+    "snapshot_changes": _snapshot_changes,
+    "snapshot_history": _snapshot_history,
+    "submit_sessions": lambda x: sessions.submit_sessions(x.parsed).withColumns(
+        {c: times.second_text(F.col(c)) for c in ("session_start", "session_end")}
+    ),
+    "sql_functions": _sql_functions,
+    "sql_parse_sbatch": _sql_parse_sbatch,
 }
 
 

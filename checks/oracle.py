@@ -37,6 +37,17 @@ def _hours(a: str, b: str) -> str:
 GPU_ENTRY = f"case when {_entry('AllocTRES', 'gres/gpu')} is not null then {_entry('AllocTRES', 'gres/gpu')} else {_entry('AllocTRES', 'gpu')} end"
 USER = '"User"'
 
+def _over_run(intervals: str) -> str:
+    """Every job with the mean intensity over its run, from all intervals that the run overlaps."""
+    overlap = "(epoch_us(least(i.b, r.e)) - epoch_us(greatest(i.a, r.s)))"
+    return f"""
+select * exclude (area, alone), coalesce(case when e > s then area / (epoch_us(e) - epoch_us(s)) else alone end, fallback) as intensity
+from (
+  select r.*, sum(case when r.e > r.s then i.v * {overlap} end) as area, max(i.v) as alone
+  from ran r left join {intervals} i on r.zone = i.zone and (i.a <= r.s or i.a < r.e) and r.s < i.b
+  group by all) t"""
+
+
 DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
     "parsed": (
         ("sacct",),
@@ -174,6 +185,47 @@ select z.*, case when c.zone is not null then coalesce(c.carbon_intensity, 0.0)
   end as intensity
 from zoned z asof left join carbon_intensity c on z.zone = c.zone and z."Start" >= c.reading_ts""",
     ),
+    # Intensity by zone as intervals that cover all time; the runs of jobs laid over them.
+    "held": (
+        ("carbon_intensity",),
+        """
+select zone, reading_ts as a, coalesce(lead(reading_ts) over (partition by zone order by reading_ts), timestamp 'infinity') as b,
+  coalesce(carbon_intensity, 0.0) as v from carbon_intensity
+union all select zone, timestamp '-infinity', min(reading_ts), case zone when 'US-CAL-CISO' then 250.0 when 'US-NY-ISONE' then 200.0 when 'US-TX-ERCOT' then 400.0 when 'US-PJM' then 350.0 else 300.0 end
+from carbon_intensity group by zone""",
+    ),
+    "held_briefly": (
+        ("held",),
+        """
+select zone, a, case when isfinite(a) then least(b, a + interval 90 minutes) else b end as b, v from held
+union all select zone, a + interval 90 minutes, b, case zone when 'US-CAL-CISO' then 250.0 when 'US-NY-ISONE' then 200.0 when 'US-TX-ERCOT' then 400.0 when 'US-PJM' then 350.0 else 300.0 end
+from held where isfinite(a) and a + interval 90 minutes < b""",
+    ),
+    "ran": (
+        ("zoned",),
+        """
+select *, coalesce("Start", "End") as s, greatest(coalesce("Start", "End"), coalesce("End", "Start")) as e,
+  case zone when 'US-CAL-CISO' then 250.0 when 'US-NY-ISONE' then 200.0 when 'US-TX-ERCOT' then 400.0 when 'US-PJM' then 350.0 else 300.0 end as fallback
+from zoned""",
+    ),
+    "run_timed": (("ran", "held"), _over_run("held")),
+    "run_timed_briefly": (("ran", "held_briefly"), _over_run("held_briefly")),
+    # Two exports with repeated rows.
+    "numbered_jobs": (
+        ("sacct",),
+        """select JobID, "User", State, NCPUS, cast(regexp_extract(JobID, '^[0-9]+') as bigint) as n from sacct""",
+    ),
+    "old_export": (
+        ("numbered_jobs",),
+        """select JobID, "User", State, NCPUS from (select *, unnest(range(case when n % 11 = 0 then 2 else 1 end)) as copy from numbered_jobs where n % 7 <> 0) t""",
+    ),
+    "new_export": (
+        ("numbered_jobs",),
+        """select JobID, "User", case when n % 13 = 0 then 'REQUEUED' else State end as State, NCPUS
+from (select *, unnest(range(case when n % 3 = 0 then 2 else 1 end)) as copy from numbered_jobs where n % 5 <> 0) t""",
+    ),
+    "gone": (("old_export", "new_export"), "select *, count(*) as copies from (select * from old_export except all select * from new_export) t group by all"),
+    "come": (("old_export", "new_export"), "select *, count(*) as copies from (select * from new_export except all select * from old_export) t group by all"),
 }
 
 
@@ -615,4 +667,58 @@ union all select 4, 'Average Duration', printf('%.2f', avg(hours)) from flat
 union all select 5, 'Median Duration', printf('%.2f', median(hours)) from flat
 union all select 6, 'Success Rate', printf('%.1f', percentage) from (select * from states where contains(State, 'COMPLETED') order by job_count desc, State limit 1)
 union all select 7, 'Total CPU Hours', printf('%.0f', sum(hours * NCPUS)) from flat""")
+    # Beyond one batch over one export.
+    total, mean = r("energy_total_kwh", "energy_total_kwh"), r("energy_mean_kwh", "energy_mean_kwh")
+    q["incremental_usage"] = _q("by_day by_hour by_cell", f"""
+select 'day' as kind, start_day, cast(null as int) as start_hour, job_count, {total}, {mean} from by_day
+union all select 'hour', cast(null as varchar), start_hour, job_count, {total}, {mean} from by_hour
+union all select 'cell', start_day, start_hour, job_count, {total}, cast(null as double) from by_cell""")
+    intensity = r("intensity", "carbon_intensity_gco2e_per_kwh")
+    q["intensity_over_run"] = _q("run_timed", f"select JobID, zone, {intensity} from run_timed")
+    q["intensity_with_gaps"] = _q("run_timed_briefly", f"select JobID, zone, {intensity} from run_timed_briefly")
+    q["run_emissions"] = _q("run_timed", f"""
+select "User" as "user", strftime("Start", '%Y-%m-%d') as start_day, count(*) as job_count, {r(f'coalesce(sum({kwh}), 0)', 'energy_kwh')},
+  {r(f'coalesce(sum({kwh} * intensity), 0)', 'emissions_gco2e')} from run_timed where "User" is not null and "Start" is not null group by 1, 2""")
+    week = """strftime(date_trunc('week', "Start"), '%Y-%m-%d')"""
+    q["quantile_sketches"] = _q("features", "select * from (" + " union all ".join(
+        f"""select {name} as name, '{c}' as metric, count("{c}") as known, true as median_within, true as p95_within from features where "Start" is not null group by 1"""
+        for name in (week, "'all'") for c in ("energy_kWh", "requested_walltime_hours", "queue_wait_time_hours")) + ") where known > 0")
+    q["user_sketches"] = _q("features", f"""
+select 'all' as name, count(distinct "User") as users, true as within_two_percent, cast(null as bigint) as shared_with_next from features where "Start" is not null
+union all select strftime(w, '%Y-%m-%d'), count(*), true,
+  count(*) filter (where exists (select 1 from (select distinct "User" as u, date_trunc('week', "Start") as v from features) n where n.u = t."User" and n.v = t.w + interval 7 days))
+from (select distinct "User", date_trunc('week', "Start") as w from features where "User" is not null and "Start" is not null) t group by w""")
+    layouts = (("JobID", '"User"', "cast(NCPUS as double)", "null", "null"), ("JobID", "null", "cast(NCPUS as double)", "Partition", "null"), ("JobID", '"User"', "null", "null", "State"))
+    columns = ("JobID", '"User"', "NCPUS", "Partition", "State")
+    kinds = ("varchar", "varchar", "double", "varchar", "varchar")
+    # CRC-32 of the JobID decides the export a row is in, as in the registered query.
+    table = "select list(x order by i) as crc from (select i, list_reduce(range(8), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end, i) as x from range(256) t(i)) u"
+    q["read_mixed_headers"] = duck_ctes(["sacct"], DERIVED) + f""", turned as (
+select s.*, xor(list_reduce(string_split(JobID, ''), lambda x, c: xor(x >> 8, crc[1 + xor(x & 255, ascii(c))]), 4294967295::bigint), 4294967295) % 3 as turn from sacct s, ({table}) v)
+""" + " union all ".join(
+        "select " + ", ".join(f"cast({cell} as {kind}) as {c}" for cell, kind, c in zip(layout, kinds, columns)) + f" from turned where turn = {i}"
+        for i, layout in enumerate(layouts))
+    q["unmatched_keys"] = _q("jobs emissions", f"""
+select 'job' as side, job_key, count(*) as row_count, 0.0::double as energy_kwh from jobs j where not exists (select 1 from emissions e where e.job_key = j.job_key) group by 2
+union all select 'reading', job_key, count(*), {r('coalesce(sum(energy_kWh), 0.0)')} from emissions e where not exists (select 1 from jobs j where j.job_key = e.job_key) group by 2""")
+    q["snapshot_changes"] = _q("gone come", """
+select 'changed' as change, g.JobID, least(g.copies, c.copies) as copies, g.State as old_state, c.State as new_state from gone g join come c on g.JobID = c.JobID
+union all select 'deleted', g.JobID, g.copies - coalesce(c.copies, 0), g.State, null from gone g left join come c on g.JobID = c.JobID where g.copies > coalesce(c.copies, 0)
+union all select 'inserted', c.JobID, c.copies - coalesce(g.copies, 0), null, c.State from come c left join gone g on g.JobID = c.JobID where c.copies > coalesce(g.copies, 0)""")
+    q["snapshot_history"] = _q("old_export new_export", """
+select JobID, State as state, min(d) as valid_from, case when max(p) < 3 then max_by(next, p) end as valid_to from (
+  select *, p - row_number() over (partition by JobID, "User", State, NCPUS order by p) as island from (
+    select distinct *, 1 as p, '2024-01-01' as d, '2024-02-01' as next from old_export
+    union all select distinct *, 2, '2024-02-01', '2024-03-01' from new_export
+    union all select distinct *, 3, '2024-03-01', null from old_export where NCPUS % 2 = 0) t) u
+group by JobID, "User", State, NCPUS, island""")
+    q["submit_sessions"] = _q("parsed", f"""
+select "User" as "user", strftime(min(Submit), {SECOND}) as session_start, strftime(max(Submit), {SECOND}) as session_end, count(*) as job_count
+from (select *, sum(opens) over (partition by "User" order by Submit rows unbounded preceding) as session from (
+  select "User", Submit, case when Submit - lag(Submit) over (partition by "User" order by Submit) <= interval 30 minutes then 0 else 1 end as opens
+  from parsed where "User" is not null and Submit is not null) t) u
+group by "User", session""")
+    q["sql_functions"] = f"""
+select a.JobID, a.req_mem_gb, b.node_prefix, c.hours from ({q["req_mem_gb"]}) a join ({q["node_prefix"]}) b on a.JobID = b.JobID join ({q["runtime_string_hours"]}) c on a.JobID = c.JobID"""
+    q["sql_parse_sbatch"] = q["parse_sbatch"]
     return q
