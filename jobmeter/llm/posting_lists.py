@@ -1,13 +1,17 @@
 """Approximate nearest neighbours with balanced posting lists.
 
 Centroids come from a bounded sample by splitting it again and again until every part is small, so
-that dense regions get more of them. Every vector goes to the list of its nearest centroid and, if it
-lies near a boundary, to further lists. A graph over the centroids, held in memory, finds the nearest
-ones for vectors; a query ranks all of them and reads the lists whose centroid is not much farther
-than the nearest. How many lists that takes is measured in the run: a bounded sample of the queries
-is compared with every vector, and all queries read as far down as the exact neighbours of the
-sample ask for. Long lists and popular lists are cut into blocks, and each block of vectors meets each block
-of queries in one matrix product.
+that dense regions get more of them. A graph over the centroids, held in memory, finds the nearest
+ones of a vector or a query. Every vector goes to the list of its nearest centroid and, if it lies
+near a boundary, to further lists, but to none whose centroid is nearer to one chosen before than to
+the vector. A query reads the lists whose centroid is not much farther than the nearest. How many
+copies and how many lists that takes is measured in the run: a bounded sample of the queries is
+compared with every vector, and the cheapest way that finds the asked share of its exact neighbours
+is taken.
+
+Lists that lie together form shards of bounded size. A query goes to each shard once, with all its
+lists there, reads them nearest first, leaves out those that cannot hold anything better than what
+it has (by the list's radius), and comes back with one row.
 
 Largest inner product is turned into smallest distance by one more dimension that lifts all vectors
 to the same norm. Found candidates are scored again by the plain inner product in double precision,
@@ -35,13 +39,16 @@ LIST_SIZE = 128
 MOST_LISTS = SAMPLE // 8
 NEIGHBOURS = 24
 BEAM = 64
+CANDIDATES = 16  # nearest centroids that a vector's lists are chosen from
 COPIES = 4  # lists of a boundary vector, at most
 BOUNDARY = 1.15
-PROBES = 48  # lists of a query and
-RATIO = 1.5  # ratio of their distances to the nearest, at least
-RECALL = 0.95  # share of the exact neighbours of the trial queries that their lists must hold
+PROBES = 8  # lists of a query and
+RATIO = 1.2  # ratio of their distances to the nearest, at least
+RECALL = 0.96  # share of the exact neighbours of the trial queries that their lists must hold
 TRIAL_QUERIES = 256
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 2048
+SHARD, QUERY_BLOCK = 65_536, 8192
+ROOM = 9  # candidates beyond k that are scored again: products in blocks may differ in the last bits
+PRODUCTS = 4 << 20  # held at once
 
 
 def split(points: np.ndarray, leaf: int, seed: int = 0) -> list[np.ndarray]:
@@ -154,23 +161,49 @@ def _query_points(vectors: np.ndarray, norm: float) -> np.ndarray:
     return np.concatenate([points, np.zeros((len(points), 1))], axis=1)
 
 
-def _lists_of(index: Index, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(lists, which of them hold the vector)."""
-    lists, far = index.nearest(lift(vectors, index.norm), COPIES)
-    return lists, far <= BOUNDARY * far[:, :1] + 1e-12
+def _lists_of(index: Index, vectors: np.ndarray, copies: int = COPIES) -> np.ndarray:
+    """(rows, copies) lists that hold each vector, the nearest first; -1 where there are fewer.
 
+    A further list must be about as near as the first, and its centroid nearer to the vector than to
+    any centroid chosen before; lists on the same side would hold the vector for nothing.
+    """
+    points = lift(vectors, index.norm)
+    lists, far = index.nearest(points, CANDIDATES)
+    chosen = np.full((len(points), copies), -1, np.int64)
+    chosen[:, 0] = lists[:, 0]
+    count = np.ones(len(points), np.int64)
+    for j in range(1, lists.shape[1]):
+        fits = (far[:, j] <= BOUNDARY * far[:, 0] + 1e-12) & (count < copies)
+        for i in range(copies):
+            rows = np.flatnonzero(fits & (i < count))
+            gap = index.centroids[lists[rows, j]] - index.centroids[chosen[rows, i]]
+            fits[rows] = np.sqrt((gap**2).sum(axis=1)) >= far[rows, j]
+        rows = np.flatnonzero(fits)
+        chosen[rows, count[rows]] = lists[rows, j]
+        count[rows] += 1
+    return chosen
+
+
+@dataclass(frozen=True)
+class Reading:
+    """Copies of a vector, lists that a query reads at most, and their ratio of distances at most."""
+
+    copies: int
+    lists: int
+    ratio: float
 
-def _postings(index_: object):
+
+def _postings(index_: object, copies: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = index_.value
         for given in batches:
             for first in range(0, given.num_rows, 512):
                 part = given.slice(first, 512)
-                lists, near = _lists_of(index, _matrix(part["vector"]))
-                row = np.repeat(np.arange(part.num_rows), near.sum(axis=1))
+                lists = _lists_of(index, _matrix(part["vector"]), copies)
+                row, place = np.nonzero(lists >= 0)
                 taken = part.take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lists[near].astype(np.int32)), taken["vector"], taken["ids"]],
+                    [pa.array(lists[row, place].astype(np.int32)), taken["vector"], taken["ids"]],
                     schema=pa.schema([("list", pa.int32()), part.schema.field("vector"), part.schema.field("ids")]),
                 )
 
@@ -197,9 +230,8 @@ def _trial(index_: object, trial_: object, k: int):
                 used, place = np.unique(top[np.isfinite(score)], return_inverse=True)
                 if not len(used):
                     continue
-                lists, near = _lists_of(index, vectors[used])
                 new = np.full((*top.shape, COPIES), -1, np.int32)
-                new[np.isfinite(score), : lists.shape[1]] = np.where(near, lists, -1)[place]
+                new[np.isfinite(score)] = _lists_of(index, vectors[used])[place]
                 score, new = np.concatenate([best, score], axis=1), np.concatenate([held, new], axis=1)
                 order = np.argsort(-score, axis=1, kind="stable")[:, :k]
                 best = np.take_along_axis(score, order, axis=1)
@@ -211,106 +243,209 @@ def _trial(index_: object, trial_: object, k: int):
     return run
 
 
-def _reading(nodes: DataFrame, queries: DataFrame, index: Index, index_: object, k: int) -> tuple[int, float]:
-    """(lists, ratio of distances) up to which queries read, so that ``RECALL`` of the neighbours is found.
+def _reading(
+    nodes: DataFrame, queries: DataFrame, drawn: np.ndarray, index: Index, index_: object, k: int, recall: float
+) -> Reading:
+    """The cheapest reading that finds ``recall`` of the neighbours of the trial queries.
 
-    Measured on the ``TRIAL_QUERIES`` queries of the smallest hashes. Half of what may be missed is
-    left to each of the two limits.
+    Trial queries are the ``TRIAL_QUERIES`` queries of the smallest hashes. Half of what may be missed
+    is left to each of the two limits. More copies make lists longer and let queries read fewer of
+    them; the product of both is the cost.
     """
+    few = Reading(1, PROBES, RATIO)
     order = F.xxhash64("query_id", "vector")
     trial = queries.orderBy(order, "query_id", "vector").limit(TRIAL_QUERIES).toArrow()
     if not trial.num_rows:
-        return PROBES, RATIO
+        return few
     vectors = _matrix(trial["vector"].combine_chunks())
     trial_ = nodes.sparkSession.sparkContext.broadcast((trial["query_id"].to_numpy(), vectors))
     found = nodes.mapInArrow(_trial(index_, trial_, k), "query int, score double, lists array<int>")
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "lists"))
     exact = found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "lists").toArrow()
+    trial_.unpersist()
     if not exact.num_rows:
-        return PROBES, RATIO
+        return few
     lists, far = index.ranked(_query_points(vectors, index.norm), len(index.centroids))
     places = np.argsort(lists, axis=1)
     query = exact["query"].to_numpy()
     holds = _matrix(exact["lists"].combine_chunks()).astype(np.int64)
-    place = np.where(holds >= 0, places[query[:, None], holds], len(index.centroids)).min(axis=1)
-    ratio = far[query, place] / np.maximum(far[query, 0], 1e-12)
-    share = 1 - (1 - RECALL) / 2
-    need, wide = (float(np.quantile(x, share, method="higher")) for x in (place, ratio))
-    return max(PROBES, int(need) + 1), max(RATIO, wide * (1 + 1e-9))
+    place = np.where(holds >= 0, places[query[:, None], holds], len(index.centroids))
+    stored = (_lists_of(index, drawn[:4096]) >= 0).mean(axis=0).cumsum()
+    share = 1 - (1 - recall) / 2
+    ways = []
+    for copies in range(1, COPIES + 1):
+        first = place[:, :copies].min(axis=1)
+        need = max(PROBES, int(np.quantile(first, share, method="higher")) + 1)
+        ratio = far[query, first] / np.maximum(far[query, 0], 1e-12)
+        wide = max(RATIO, float(np.quantile(ratio, share, method="higher")) * (1 + 1e-9))
+        read = ((far <= wide * far[:, :1]) & (np.arange(far.shape[1]) < need)).sum(axis=1).mean()
+        ways.append((read * stored[copies - 1], Reading(copies, need, wide)))
+    return min(ways, key=lambda way: way[0])[1]
+
+
+@dataclass(frozen=True)
+class Shards:
+    """The first shard of every list, and how many shards a very long list takes; -1 for an empty list."""
+
+    first: np.ndarray
+    parts: np.ndarray
 
+    @classmethod
+    def of(cls, sizes: dict[int, int], lists: int) -> Shards:
+        """Lists in their order, neighbours mostly next to each other, as many as fit into a shard."""
+        first, parts = np.full(lists, -1, np.int64), np.ones(lists, np.int64)
+        shard, filled = 0, 0
+        for i in sorted(sizes):
+            if filled and filled + sizes[i] > SHARD:
+                shard, filled = shard + 1, 0
+            first[i], parts[i] = shard, -(-sizes[i] // SHARD)
+            filled += sizes[i]
+            if parts[i] > 1:
+                shard, filled = shard + parts[i], 0
+        return cls(first, parts)
+
+
+def _probes(index_: object, shards_: object, reading: Reading):
+    """(shard, query_id, vector, lists, far): every query once for each shard that it reads in."""
 
-def _probes(index_: object, probes: int, ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = index_.value
+        index, shards = index_.value, shards_.value
+        schema = None
         for given in batches:
-            for first in range(0, given.num_rows, 256):
-                part = given.slice(first, 256)
-                lists, far = index.ranked(_query_points(_matrix(part["vector"]), index.norm), probes)
-                near = far <= ratio * far[:, :1] + 1e-12
-                row, list_ = np.repeat(np.arange(part.num_rows), near.sum(axis=1)), lists[near].astype(np.int32)
-                for a in range(0, len(row), 4096):
-                    taken = part.take(pa.array(row[a : a + 4096]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(list_[a : a + 4096]), taken["query_id"], taken["vector"]],
-                        schema=pa.schema([("list", pa.int32()), part.schema.field("query_id"), part.schema.field("vector")]),
-                    )
+            for start in range(0, given.num_rows, 256):
+                part = given.slice(start, 256)
+                lists, far = index.nearest(_query_points(_matrix(part["vector"]), index.norm), reading.lists)
+                near = (far <= reading.ratio * far[:, :1] + 1e-12) & np.isfinite(far) & (shards.first[lists] >= 0)
+                row, place = np.nonzero(near)
+                which, distance = lists[row, place], far[row, place]
+                copies = shards.parts[which]
+                turn = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                row, which, distance = (np.repeat(x, copies) for x in (row, which, distance))
+                shard = shards.first[which] + turn
+                order = np.lexsort((distance, shard, row))
+                row, which, distance, shard = row[order], which[order], distance[order], shard[order]
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])][: len(row)])
+                ends = np.append(new, len(row))[: len(new) + 1].astype(np.int32)
+                taken = part.take(pa.array(row[new]))
+                schema = schema or pa.schema(
+                    [("shard", pa.int32()), part.schema.field("query_id"), part.schema.field("vector"),
+                     ("lists", pa.list_(pa.int32())), ("far", pa.list_(pa.float64()))]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(shard[new].astype(np.int32)), taken["query_id"], taken["vector"],
+                        pa.ListArray.from_arrays(ends, pa.array(which.astype(np.int32))),
+                        pa.ListArray.from_arrays(ends, pa.array(distance)),
+                    ],
+                    schema=schema,
+                )
 
     return run
 
 
-def _scan(k: int):
+def _scan(index_: object | None, k: int, copies: int):
+    """One row per query of a shard: its best ``k`` (vec_id, score) there."""
+
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.float64()}
-        out = []
-        if vectors.num_rows and queries.num_rows:
-            v = _matrix(vectors["vector"].combine_chunks())
-            q = _matrix(queries["vector"].combine_chunks())
-            ids = vectors["ids"].to_pylist()
-            names = queries["query_id"].to_numpy()
-            # Products in blocks may differ in the last bits: a few more than k are scored again.
-            width = min(len(v), k + 9)
-            for first in range(0, len(q), 256):
-                part = q[first : first + 256]
-                top = np.argpartition(-(part @ v.T), width - 1, axis=1)[:, :width]
-                score = np.zeros(top.shape)
-                for d in range(v.shape[1]):
-                    score += part[:, d : d + 1] * v[top, d]
-                for i, name in enumerate(names[first : first + 256]):
-                    found = [(-s, x) for s, j in zip(score[i].tolist(), top[i].tolist()) for x in ids[j] if x != name]
-                    found.sort()
-                    out += [(int(name), x, -s) for s, x in found[:k]]
-        columns = zip(*out) if out else ([], [], [])
-        return pa.Table.from_batches([batch(dict(zip(kinds, map(list, columns))), kinds)])
+        kinds = {"query_id": pa.int64(), "ids": pa.list_(pa.int64()), "scores": pa.list_(pa.float64())}
+        if not vectors.num_rows or not queries.num_rows:
+            return pa.table({c: pa.array([], t) for c, t in kinds.items()})
+        vectors = vectors.sort_by("list")
+        v, q = (_matrix(t["vector"].combine_chunks()) for t in (vectors, queries))
+        names, bounds = np.unique(vectors["list"].to_numpy(), return_index=True)
+        bounds = np.append(bounds, len(v))
+        asked, far = queries["lists"].combine_chunks(), queries["far"].combine_chunks()
+        row = np.repeat(np.arange(len(q)), np.diff(asked.offsets.to_numpy()))
+        turn = np.arange(len(row)) - np.repeat(asked.offsets.to_numpy()[:-1] - asked.offsets[0].as_py(), np.diff(asked.offsets.to_numpy()))
+        which, distance = asked.flatten().to_numpy(), far.flatten().to_numpy()
+        # A list's radius bounds what a query can find in it.
+        radius = np.full(len(names), np.inf)
+        if index_ is not None:
+            index: Index = index_.value
+            size = np.sqrt((q**2).sum(axis=1))
+            for i, name in enumerate(names):
+                gap = lift(v[bounds[i] : bounds[i + 1]], index.norm) - index.centroids[name]
+                radius[i] = np.sqrt((gap**2).sum(axis=1).max())
+        width = (k + ROOM) * copies  # a vector may come once for each of its lists
+        best, held = np.full((len(q), width), -np.inf), np.full((len(q), width), -1, np.int64)
+        place = np.minimum(np.searchsorted(names, which), len(names) - 1)
+        here = names[place] == which
+        for low in [0, *(1 << np.arange(20))]:
+            now = here & (turn >= low) & (turn < max(2 * low, 1))
+            if index_ is not None and low:
+                # In the lifted space a vector at distance d has the product norm**2 - d**2 / 2.
+                nearest = np.maximum(distance - radius[place], 0.0)
+                most = (index.norm**2 - nearest**2 / 2) * (size / index.norm)[row]
+                now &= most >= best[row].min(axis=1) - 1e-9 * index.norm * size[row]
+            order = np.flatnonzero(now)[np.argsort(place[now], kind="stable")]
+            cut = np.flatnonzero(np.diff(place[order])) + 1
+            for pairs in np.split(order, cut) if len(order) else []:
+                a, b = bounds[place[pairs[0]]], bounds[place[pairs[0]] + 1]
+                for first in range(0, len(pairs), max(1, PRODUCTS // (b - a))):
+                    rows = row[pairs[first : first + max(1, PRODUCTS // (b - a))]]
+                    score = q[rows] @ v[a:b].T
+                    top = np.argpartition(-score, min(width, b - a) - 1, axis=1)[:, :width]
+                    both = np.concatenate([best[rows], np.take_along_axis(score, top, axis=1)], axis=1)
+                    keep = np.argpartition(-both, width - 1, axis=1)[:, :width]
+                    best[rows] = np.take_along_axis(both, keep, axis=1)
+                    held[rows] = np.take_along_axis(np.concatenate([held[rows], top + a], axis=1), keep, axis=1)
+        ids = vectors["ids"].to_pylist()
+        score = np.zeros(held.shape)
+        for d in range(v.shape[1]):
+            score += q[:, d : d + 1] * v[held, d]
+        found_ids, found_scores = [], []
+        for name, places, scores in zip(queries["query_id"].to_pylist(), held.tolist(), score.tolist()):
+            pairs = {x: -s for j, s in sorted(zip(places, scores), key=lambda p: p[1]) if j >= 0 for x in ids[j] if x != name}
+            ranked = sorted((s, x) for x, s in pairs.items())[:k]
+            found_ids.append([x for _, x in ranked])
+            found_scores.append([-s for s, _ in ranked])
+        return pa.Table.from_batches(
+            [batch({"query_id": queries["query_id"].combine_chunks(), "ids": found_ids, "scores": found_scores}, kinds)]
+        )
 
     return run
 
 
-def _meet(postings: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the best k of every block of a list for each query that reads it."""
-    blocks = postings.groupBy("list").agg(F.ceil(F.count("*") / VECTOR_BLOCK).cast("int").alias("v"))
-    asked = probes.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q"))
-    sizes = small_side(materialize(blocks.join(asked, "list"), "list-sizes"))
+def _meet(postings: DataFrame, probes: DataFrame, index_: object | None, k: int, copies: int) -> DataFrame:
+    """(query_id, ids, scores): the best k of every shard for each query that reads in it."""
+    asked = probes.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    asked = small_side(materialize(asked, "shards"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    one = F.pmod(F.xxhash64("query_id", "vector"), F.col("blocks")).cast("int").alias("block")
+    left = postings.join(asked, "shard").select("shard", every, "list", "vector", "ids")
+    right = probes.join(asked, "shard").select("shard", one, "query_id", "vector", "lists", "far")
+    return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(
+        _scan(index_, k, copies), "query_id long, ids array<long>, scores array<double>"
+    )
 
-    def every(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(f"{n}_block")
 
-    def one(key: Column, n: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.col(n)).cast("int").alias(f"{n}_block")
+def _merge(k: int):
+    def run(found: pa.Table) -> pa.Table:
+        ids = found["ids"].combine_chunks()
+        query = np.repeat(found["query_id"].to_numpy(), np.diff(ids.offsets.to_numpy()))
+        vec, score = ids.flatten().to_numpy(), found["scores"].combine_chunks().flatten().to_numpy()
+        order = np.lexsort((-score, vec, query))
+        query, vec, score = query[order], vec[order], score[order]
+        new = np.r_[True, (query[1:] != query[:-1]) | (vec[1:] != vec[:-1])][: len(query)]
+        query, vec, score = query[new], vec[new], score[new]
+        order = np.lexsort((vec, -score, query))
+        query, vec, score = query[order], vec[order], score[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query, "left") + 1
+        keep = rank <= k
+        kinds = {"query_id": pa.int64(), "rank": pa.int32(), "vec_id": pa.int64(), "score": pa.float64()}
+        return pa.Table.from_batches(
+            [batch({"query_id": query[keep], "rank": rank[keep], "vec_id": vec[keep], "score": score[keep]}, kinds)]
+        )
 
-    left = postings.join(sizes, "list").select("list", one(F.col("ids"), "v"), "q", "vector", "ids")
-    left = left.select("list", "v_block", every("q"), "vector", "ids")
-    right = probes.join(sizes, "list").select("list", "v", one(F.col("query_id"), "q"), "query_id", "vector")
-    right = right.select("list", every("v"), "q_block", "query_id", "vector")
-    keys = ["list", "v_block", "q_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        _scan(k), "query_id long, vec_id long, score double"
-    )
+    return run
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    unique = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return unique.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """(query_id, rank, vec_id, score) of each query over all shards; groups of queries hold bounded answers."""
+    found = materialize(found, "answers")
+    blocks = 1 + found.count() * k // PRODUCTS
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return found.groupBy(block.alias("block")).applyInArrow(_merge(k), "query_id long, rank int, vec_id long, score double")
 
 
 def search(
@@ -321,6 +456,7 @@ def search(
     vector: str = "embedding",
     k: int = 20,
     sample: int = SAMPLE,
+    recall: float = RECALL,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of largest inner product found for each query.
 
@@ -332,9 +468,9 @@ def search(
     no part, nor do vectors whose length is not the most common one (the smaller at a tie). Rows of
     equal id and vector are one; equal vectors are indexed once with their k + 1 smallest ids, which
     is all that a result can hold. An empty table gives an empty table. The centroids are fitted on at
-    most ``sample`` vectors, those with the smallest hashes; every vector is indexed. The number of
-    lists a query reads follows from the recall measured on a sample of the queries (``RECALL``), so
-    it grows with the number of lists where neighbours spread over many of them.
+    most ``sample`` vectors, those with the smallest hashes; every vector is indexed. How many lists a
+    query reads follows from the ``recall`` measured on a sample of the queries, so it grows with the
+    number of lists where neighbours spread over many of them.
     """
     cast = bounded_batches(vectors).select(col(vec_id).cast("long").alias("vec_id"), col(vector).cast("array<double>").alias("vector"))
     sound = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
@@ -363,26 +499,42 @@ def search(
         return queries.select(
             "query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")
         ).limit(0)
+    points = _matrix(drawn["vector"].combine_chunks())
     lists = min(max(1, total["n"] // LIST_SIZE), MOST_LISTS)
-    leaf = max(1, drawn.num_rows // lists)
-    index = Index.of(_matrix(drawn["vector"].combine_chunks()), leaf, total["norm"] * (1 + 1e-9))
+    index = Index.of(points, max(1, len(points) // lists), total["norm"] * (1 + 1e-9))
+    spark = vectors.sparkSession
     # At most about 2 * MOST_LISTS centroids with their neighbours, whatever the number of vectors.
-    index_ = vectors.sparkSession.sparkContext.broadcast(index)
+    index_ = spark.sparkContext.broadcast(index)
+    reading = _reading(nodes, queries, points, index, index_, k, recall)
     postings = materialize(
-        nodes.mapInArrow(_postings(index_), "list int, vector array<double>, ids array<long>"), "postings"
+        nodes.mapInArrow(_postings(index_, reading.copies), "list int, vector array<double>, ids array<long>"), "postings"
+    )
+    sizes = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # one row per centroid
+    shards = Shards.of(sizes, len(index.centroids))
+    shards_ = spark.sparkContext.broadcast(shards)
+    table = spark.createDataFrame(
+        [(i, int(shards.first[i]), int(shards.parts[i])) for i in sizes], "list int, first int, parts int"
     )
-    most, ratio = _reading(nodes, queries, index, index_, k)
+    shard = (F.col("first") + F.pmod(F.xxhash64("vector"), F.col("parts"))).cast("int").alias("shard")
+    placed = postings.join(F.broadcast(table), "list").select(shard, "list", "vector", "ids")
     probes = materialize(
-        queries.mapInArrow(_probes(index_, most, ratio), "list int, query_id long, vector array<double>"), "probes"
+        queries.mapInArrow(
+            _probes(index_, shards_, reading), "shard int, query_id long, vector array<double>, lists array<int>, far array<double>"
+        ),
+        "probes",
     )
-    best = materialize(_best(_meet(postings, probes, k), k), "neighbours")
+    best = materialize(_best(_meet(placed, probes, index_, k, reading.copies), k), "neighbours")
 
     # Where lists hold too few candidates, the query is compared with every vector once.
     possible = rows.select("vec_id").distinct().count() - 1
     complete = best.groupBy("query_id").count().where(F.col("count") >= min(k, possible))
     short = materialize(queries.join(complete, "query_id", "left_anti"), "short")
     if not short.isEmpty():
-        whole = nodes.select(F.lit(0).alias("list"), "vector", "ids")
-        rest = _best(_meet(whole, short.select(F.lit(0).alias("list"), "query_id", "vector"), k), k)
+        parts = 1 + total["n"] // SHARD
+        part = F.pmod(F.xxhash64("vector"), F.lit(parts)).cast("int").alias("shard")
+        whole = nodes.select(part, F.lit(0).alias("list"), "vector", "ids")
+        every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("shard")
+        none = [F.array(F.lit(0)).alias("lists"), F.array(F.lit(0.0)).alias("far")]
+        rest = _best(_meet(whole, short.select(every, "query_id", "vector", *none), None, k, 1), k)
         best = best.join(short.select("query_id").distinct(), "query_id", "left_anti").unionByName(rest)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return best.select("query_id", "rank", "vec_id", "score")

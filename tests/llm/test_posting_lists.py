@@ -61,7 +61,7 @@ def test_recall_and_scores(spark, clustered):
 def test_blocks_of_long_and_popular_lists(spark, clustered, monkeypatch):
     df = spark.createDataFrame([(i, v, 0, 0) for i, v in clustered[:600]], SCHEMA)
     whole = found_rows(df)
-    monkeypatch.setattr(posting_lists, "VECTOR_BLOCK", 16)
+    monkeypatch.setattr(posting_lists, "SHARD", 50)
     monkeypatch.setattr(posting_lists, "QUERY_BLOCK", 2)
     assert found_rows(df) == whole
 
@@ -102,3 +102,44 @@ def test_more_lists_are_read_where_neighbours_spread(spark, monkeypatch):
     found, exact = found_rows(spark.createDataFrame([(i, v, 0, 0) for i, v in rows], SCHEMA)), brute_force(rows, 20)
     hits = sum(len({j for j, _ in found[i]} & {j for j, _ in exact[i]}) for i in exact)
     assert hits / (20 * len(exact)) >= 0.9
+
+
+def test_further_lists_lie_on_other_sides():
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(2000, 6))
+    index = posting_lists.Index.of(points, 20, float(np.sqrt((points**2).sum(axis=1).max())) * 1.01)
+    chosen = posting_lists._lists_of(index, points)
+    lifted = posting_lists.lift(points, index.norm)
+    assert (chosen[:, 0] >= 0).all() and (chosen[:, 1] >= 0).mean() > 0.05
+    for x, lists in zip(lifted, chosen):
+        lists = lists[lists >= 0]
+        assert len(set(lists.tolist())) == len(lists)
+        for j, c in enumerate(lists[1:], 1):
+            far = np.linalg.norm(x - index.centroids[c])
+            assert all(np.linalg.norm(index.centroids[c] - index.centroids[i]) >= far - 1e-9 for i in lists[:j])
+
+
+def test_shards_hold_whole_lists_and_long_lists_are_cut(monkeypatch):
+    monkeypatch.setattr(posting_lists, "SHARD", 100)
+    shards = posting_lists.Shards.of({0: 60, 1: 40, 2: 1, 4: 250, 5: 30}, 6)
+    assert shards.first.tolist() == [0, 0, 1, -1, 2, 5] and shards.parts.tolist() == [1, 1, 1, 1, 3, 1]
+
+
+def test_clustered_vectors_are_read_in_part(spark, clustered):
+    """Where vectors form groups a query multiplies with far less than all of them."""
+    vectors = np.array([v for _, v in clustered])
+    norm = float(np.sqrt((vectors**2).sum(axis=1).max())) * 1.01
+    index = posting_lists.Index.of(vectors, 40, norm)
+    lists = posting_lists._lists_of(index, vectors, 1)[:, 0]
+    kinds = {"vector": vectors.tolist(), "ids": [[i] for i in range(len(vectors))], "list": lists}
+    import pyarrow as pa
+
+    class Held:
+        value = index
+
+    ranked, far = index.nearest(posting_lists._query_points(vectors[:50], norm), len(index.centroids))
+    asked = pa.table({"query_id": list(range(50)), "vector": vectors[:50].tolist(), "lists": ranked.astype(np.int32).tolist(), "far": far.tolist()})
+    found = posting_lists._scan(Held, 20, 1)(pa.table(kinds), asked)
+    exact = brute_force([(20 * i if i < 50 else 10**6 + 1 + 20 * i, v) for i, v in enumerate(vectors.tolist())], 20)
+    for i, ids in enumerate(found["ids"].to_pylist()):
+        assert [20 * j if j < 50 else 10**6 + 1 + 20 * j for j in ids] == [j for j, _ in exact[20 * i]]
