@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobmeter.llm import words
-from jobmeter.llm.tables import batch, bounded_batches, col
+from jobmeter.llm.tables import batch, bounded_batches, col, tidy
 from jobmeter.operators.lookups import small_side
 from jobmeter.session import materialize
 
 MIN_TOKENS = 8
 MIN_PAGES = 3
 PAGES_PER_PART = 512
-MAIN, OPEN, BOILERPLATE = 0, 1, 2
+MAIN, OPEN, BOILERPLATE, PROSE, LINKS = 0, 1, 2, 3, 4
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -60,6 +60,8 @@ _MAIN_NAMES = (
     {"article", "body"}, {"article", "content"}, {"article", "text"}, {"entry", "content"},
     {"post", "body"}, {"post", "content"}, {"post", "text"}, {"story", "body"},
 )
+#: Elements that hold running text; other open blocks are bare text between elements.
+_PROSE_TAGS = frozenset("blockquote dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
 _HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 _MODIFIERS = frozenset({"has", "no", "with", "without"})  # "content with-sidebar" is no sidebar
 # Elements that end where the next of their kind begins; a paragraph ends at any block.
@@ -105,15 +107,18 @@ def _zone(tag: str, attributes: str, inside: str) -> str | None:
 
 
 def page_blocks(page: str) -> list[tuple[int, str]]:
-    """(zone, text) of a page's blocks in order; zones are MAIN, OPEN and BOILERPLATE.
+    """(zone, text) of a page's blocks in order; zones are MAIN, BOILERPLATE and three kinds of open ones.
 
-    If the page has article elements with text, these are the main zone, else its main element.
+    If the page has article elements with text, these are the main zone, else its main element. Open
+    blocks are LINKS if most of their letters are in links, PROSE if an element of running text
+    holds them, else OPEN.
     Tags that are not closed end with the element around them; boilerplate inside a line of text is
     left out of it.
     """
-    blocks: list[tuple[str, str]] = []
+    blocks: list[tuple[str, str, int]] = []
     stack: list[tuple[str, str]] = []
     zone, heading = "", ""
+    linked, letters_ = False, [0, 0]  # inside a link; letters outside and inside links
     held: list[str] = []
     at = 0
     muted, depth = "", 0  # an inline element that is boilerplate, inside a block that goes on
@@ -122,11 +127,18 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            blocks.append(("boilerplate" if zone == "headline" and not heading else zone, text))
+            kind = PROSE if stack and stack[-1][0] in _PROSE_TAGS else OPEN
+            kind = LINKS if letters_[1] > letters_[0] else kind
+            blocks.append(("boilerplate" if zone == "headline" and not heading else zone, text, kind))
+        letters_[:] = 0, 0
+
+    def add(text: str) -> None:
+        held.append(entities.unescape(text))
+        letters_[linked] += len(text.strip())
 
     for m in _MARKUP.finditer(page):
         if m.start() > at and not muted:
-            held.append(entities.unescape(page[at : m.start()]))
+            add(page[at : m.start()])
         at = m.end()
         tag = m[3].lower() if m[3] else ""
         if not tag:
@@ -136,6 +148,8 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
         if tag in _VOID and tag != "hr":
             continue
         if tag not in _BLOCKS:
+            if tag == "a":
+                linked = not m[2]
             if muted:
                 depth += (-1 if m[2] else 1) * (tag == muted)
                 muted = muted if depth else ""
@@ -166,11 +180,11 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
         zone = stack[-1][1] if stack else ""
         heading = next((t for t, _ in reversed(stack) if t in _HEADINGS), "")
     if at < len(page) and not muted:
-        held.append(entities.unescape(page[at:]))
+        add(page[at:])
     flush()
-    zones = {z for z, _ in blocks}
+    zones = {z for z, _, _ in blocks}
     main = {"article", "headline"} if "article" in zones else {"main", "headline"} if "main" in zones else set()
-    return [(MAIN if z in main else BOILERPLATE if z == "boilerplate" else OPEN, t) for z, t in blocks]
+    return [(MAIN if z in main else BOILERPLATE if z == "boilerplate" else kind, t) for z, t, kind in blocks]
 
 
 def repeated_tokens(tokens: np.ndarray, page: np.ndarray, min_tokens: int, min_pages: int) -> np.ndarray:
@@ -207,12 +221,49 @@ def repeated_tokens(tokens: np.ndarray, page: np.ndarray, min_tokens: int, min_p
 
 
 def page_content(blocks: list[tuple[int, str]]) -> str:
-    """What copies of a page agree in: the set of its open blocks, without any all blocks outside the main zone.
+    """What copies of a page agree in: the set of its main and open blocks, without any all its blocks.
 
-    A single block would not do: the longest may be the one that the host repeats.
+    A single block would not do: the longest may be the one that the host repeats. Nor would blocks
+    that are boilerplate by their markup: pages of a host agree in them and are no copies for that.
     """
-    open_ = {text for zone, text in blocks if zone == OPEN}
-    return "\n".join(sorted(open_) if open_ else [text for zone, text in blocks if zone != MAIN])
+    own = {text for zone, text in blocks if zone != BOILERPLATE}
+    return "\n".join(sorted(own) if own else [text for _, text in blocks])
+
+
+def open_text(blocks: list[tuple[int, list[str], np.ndarray]]) -> list[str]:
+    """The texts of a page's open blocks (zone, tokens, which of them the host repeats) without boilerplate.
+
+    The host decides, the kind of a block has a vote. Neighbouring blocks of prose are one passage: it
+    stays whole if any of its blocks is mostly the page's own (what else repeats in it is shared by
+    articles), and goes if the host repeats all of it. Where passages are left and hold most of the
+    page's own words, bare text and links before the first and after the last of them are no part of
+    the text. Elsewhere each block keeps its unique runs, and what lies between two blocks that are
+    mostly the page's own stays whole, as boilerplate stands around a text and not within. If the host
+    repeats every block of prose and nothing is the page's own, the longest passage is the text: a copy.
+    """
+    own = [2 * int(covered.sum()) < len(covered) for _, _, covered in blocks]
+    passages: list[list[int]] = []
+    for i, (zone, _, _) in enumerate(blocks):
+        if zone == PROSE:
+            if passages and passages[-1][-1] == i - 1:
+                passages[-1].append(i)
+            else:
+                passages.append([i])
+    size = lambda indices: sum(len(blocks[i][1]) for i in indices)
+    left = [g for g in passages if any(own[i] for i in g)]
+    if not left and passages and not any(own):
+        left = [max(passages, key=size)]
+    bare = [i for i, (zone, _, _) in enumerate(blocks) if zone == OPEN and own[i]]
+    if left and size(bare) <= sum(map(size, left)):
+        first, last = left[0][0], left[-1][-1]
+        inside = {i for g in left for i in g} | {i for i in range(first, last) if own[i]}
+        return [" ".join(blocks[i][1]) for i in sorted(inside)]
+    mostly = [i for i, mine in enumerate(own) if mine and blocks[i][0] != LINKS]
+    first, last = (mostly[0], mostly[-1]) if mostly else (len(blocks), -1)
+    return [
+        " ".join(tokens if first < i < last else [w for w, c in zip(tokens, covered) if not c])
+        for i, (_, tokens, covered) in enumerate(blocks)
+    ]
 
 
 def _digest(text: str) -> int:
@@ -269,9 +320,9 @@ def host_texts(
             here = covered[at : at + len(parts)]
             at += len(parts)
             repeated += int(here.sum())
-            if zone == OPEN and not main:
-                open_.append(" ".join(w for w, c in zip(parts, here) if not c) if here.any() else text)
-        out.append(("\n".join(main or [t for t in open_ if t]), repeated))
+            if zone != BOILERPLATE:
+                open_.append((zone, parts, here))
+        out.append(("\n".join(main or [t for t in open_text(open_) if t]), repeated))
     return out
 
 
@@ -290,12 +341,13 @@ def _covered(tokens: np.ndarray, content: np.ndarray, bounds: np.ndarray, min_to
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"zones": pa.list_(pa.int32()), "texts": pa.list_(pa.string())}
+    kinds = {"zones": pa.list_(pa.int32()), "texts": pa.list_(pa.string()), "content": pa.int64()}
     for given in batches:
         for first in range(0, given.num_rows, 256):
             part = given.slice(first, 256)
             blocks = [page_blocks(page.as_py() or "") for page in part["html"]]
-            out = batch({"zones": [[z for z, _ in b] for b in blocks], "texts": [[t for _, t in b] for b in blocks]}, kinds)
+            columns = {"zones": [[z for z, _ in b] for b in blocks], "texts": [[t for _, t in b] for b in blocks]}
+            out = batch(columns | {"content": [_digest(page_content(b)) for b in blocks]}, kinds)
             rest = [c for c in part.schema.names if c != "html"]
             yield pa.RecordBatch.from_arrays(
                 [*out.columns, *[part[c] for c in rest]],
@@ -320,10 +372,8 @@ def _part_windows(min_tokens: int, min_pages: int):
     def run(key: tuple, given: pa.Table) -> pa.Table:
         known: dict[str, int] = {}
         held: dict[int, list[np.ndarray]] = {}
-        for z, t in zip(given["zones"].to_pylist(), given["texts"].to_pylist()):
-            blocks = list(zip(z, t))
-            found = _windows([text for zone, text in blocks if zone != MAIN], min_tokens, known)
-            held.setdefault(_digest(page_content(blocks)), []).append(np.unique(found))
+        for texts, content in zip(given["texts"].to_pylist(), given["content"].to_pylist()):
+            held.setdefault(content, []).append(np.unique(_windows(texts, min_tokens, known)))
         each = {content: np.unique(np.concatenate(x)) for content, x in held.items()}
         window = np.concatenate([np.zeros(0, np.int64), *each.values()])
         content = np.repeat(np.fromiter(each, np.int64, len(each)), [len(x) for x in each.values()])
@@ -366,8 +416,8 @@ def extract(
 
     A host with many pages is judged in parts of about ``pages_per_part`` pages, dealt by a hash of
     url and html; the pages that have a run are counted over all parts, so that the result is that of
-    the whole host. Pages that agree in the set of their open blocks are copies and count as one page, so
-    that copies do not make a text boilerplate. Null or empty html gives empty text. Pages without
+    the whole host. Pages that agree in the set of their main and open blocks are copies and count as one
+    page, so that copies do not make a text boilerplate. Null or empty html gives empty text. Pages without
     url share one host. Repeated rows are pages of their own with equal results. An empty table
     gives an empty table.
     """
@@ -387,7 +437,7 @@ def extract(
     )
     kind = keyed.schema["row"].dataType.simpleString()
     parsed = keyed.mapInArrow(
-        _parse, f"zones array<int>, texts array<string>, host string, hash long, row {kind}"
+        tidy(_parse), f"zones array<int>, texts array<string>, content long, host string, hash long, row {kind}"
     )
     dealt = parsed.join(small_side(counts), "host").withColumn("part", F.pmod("hash", "parts"))
     keys, schema = ["host", "part"], f"text string, n_repeated long, row {kind}"
@@ -399,9 +449,11 @@ def extract(
         large = keyed.join(small_side(counts.where(F.col("parts") > 1)), "host").select(
             "host", F.pmod("hash", "parts").alias("part"), "html"
         )
-        outside = large.mapInArrow(_parse, "zones array<int>, texts array<string>, host string, part long")
+        outside = large.mapInArrow(
+            tidy(_parse), "zones array<int>, texts array<string>, content long, host string, part long"
+        )
         zoned = F.filter(F.arrays_zip("zones", "texts"), lambda b: b["zones"] != MAIN)
-        outside = outside.select(*keys, zoned["zones"].alias("zones"), zoned["texts"].alias("texts"))
+        outside = outside.select(*keys, zoned["texts"].alias("texts"), "content")
         windows = outside.groupBy(*keys).applyInArrow(
             _part_windows(min_tokens, min_pages), "host string, part long, window long, content long"
         )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +26,30 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def _give_back() -> None:
+    """Return memory that Python, Arrow and the C library hold free to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``function`` over the batches of a task, and nothing of it left in the worker afterwards.
+
+    Spark keeps Python workers for later tasks of any stage; free memory of many of them would add up.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of documents in a folder of tables."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -106,3 +107,56 @@ def test_parts_of_a_host_find_what_the_whole_host_repeats(spark):
     whole = rows_of(boilerplate.extract(df), "page_id", "text", "n_repeated")
     assert rows_of(boilerplate.extract(df, pages_per_part=3), "page_id", "text", "n_repeated") == whole
     assert sum(n == 12 for *_, n in whole) == 4
+
+
+def plain(page):
+    """A page without any mark of what its elements are."""
+    return re.sub(r' (class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|header|footer|aside|form|main|section)\b", r"<\1div", page))
+
+
+@pytest.mark.parametrize("change", [lambda p: p.replace("article", "div"), plain], ids=["no article", "no marks"])
+def test_given_pages_keep_their_text_without_marks(change):
+    """The host and the kind of blocks find the text that the markup of the given pages names."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    hosts = {}
+    for p in pages:
+        hosts.setdefault(re.match(r"[a-z]+://([^/:?#]+)", p["url"].lower())[1], []).append(p["html"] or "")
+    same = total = repeated = 0
+    for htmls in hosts.values():
+        marked, bare = (boilerplate.host_texts([boilerplate.page_blocks(f(h)) for h in htmls], 8, 3) for f in (str, change))
+        same += sum(a[0] == b[0] for a, b in zip(marked, bare))
+        repeated += sum(n > 0 for _, n in marked)
+        total += len(htmls)
+    assert same >= 0.95 * total and repeated > 0
+
+
+def test_whole_query_against_brute_force_on_small_hosts(spark):
+    """Runs of eight tokens on three pages of different content, found by comparing all pages of a host."""
+    rng = random.Random(12)
+    texts = prose(30, seed=21, words=25)
+    menus, notices = prose(2, seed=22, words=9), prose(3, seed=23, words=12)
+    rows = []
+    for i, t in enumerate(texts + texts[:3]):
+        blocks = [rng.choice(menus), t, rng.choice(notices)] if i % 4 else [t, rng.choice(notices)]
+        rows.append((i, f"https://h{i % 2}.example/{i}", page(*blocks)))
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], PAGES)
+    found = {r["page_id"]: (r["text"], r["n_repeated"]) for r in boilerplate.extract(df).collect()}
+    for h in range(2):
+        mine = [r for r in rows if r[0] % 2 == h]
+        blocks = [boilerplate.page_blocks(r[2]) for r in mine]
+        streams = [[w for _, t in b for w in t.split()] for b in blocks]
+        windows = {}
+        for b, s in zip(blocks, streams):
+            for i in range(len(s) - 7):
+                windows.setdefault(tuple(s[i : i + 8]), set()).add(frozenset(b))
+        for r, b, s in zip(mine, blocks, streams):
+            covered = [any(len(windows[tuple(s[j : j + 8])]) >= 3 for j in range(max(0, i - 7), min(i, len(s) - 8) + 1)) for i in range(len(s))]
+            kept, at = [], 0
+            for _, t in b:
+                n = len(t.split())
+                own = [w for w, c in zip(t.split(), covered[at : at + n]) if not c]
+                kept += [" ".join(own)] if own else []
+                at += n
+            assert found[r[0]] == ("\n".join(kept), sum(covered))
