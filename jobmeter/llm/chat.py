@@ -63,20 +63,12 @@ def perspectives(
         col(speaker).cast("string").alias("who"),
         col(text).cast("string").alias("said"),
     )
-    # Places are found without the texts: a global order, minus the place of each dialogue's first turn.
-    narrow = rows.select("c", "at", "who", F.xxhash64("said").alias("digest"), F.substring("said", 1, 32).alias("head"))
-    placed = with_position(narrow, [F.col(x) for x in ("c", "at", "who", "head", "digest")])
+    # One global order, ties down to the whole text, minus the place of each dialogue's first turn.
+    placed = with_position(rows, [F.col(x) for x in ("c", "at", "who", "said")])
     first = placed.groupBy(F.col("c").alias("d"), F.length("c").alias("n")).agg(F.min("position").alias("first"))
-    places = placed.join(first.drop("n"), F.col("c").eqNullSafe(F.col("d"))).select(
-        "c", "at", "who", "digest", (F.col("position") - F.col("first")).alias("place")
-    )
-    texts = rows.distinct().select(
-        F.col("c").alias("c2"), F.col("at").alias("at2"), F.col("who").alias("who2"),
-        F.xxhash64("said").alias("digest2"), "said",
-    )
-    same = [F.col(x).eqNullSafe(F.col(f"{x}2")) for x in ("c", "at", "who", "digest")]
-    told = places.join(texts, same).select(
-        "c", "who", "said", "place", F.floor(F.col("place") / segment_turns).alias("segment")
+    place = F.col("position") - F.col("first")
+    told = placed.join(first.drop("n"), F.col("c").eqNullSafe(F.col("d"))).select(
+        "c", "who", "said", place.alias("place"), F.floor(place / segment_turns).alias("segment")
     )
     segments = told.groupBy("c", "segment").agg(
         F.sort_array(F.collect_list(F.struct("place", "who", "said"))).alias("turns")

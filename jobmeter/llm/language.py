@@ -25,13 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from jobmeter.llm.tables import batch, bounded_batches, col, ordered, packed, unpacked
+from jobmeter.llm.tables import batch, bounded_batches, col, ordered, packed, tidy, unpacked
 from jobmeter.operators.lookups import small_side
 
 UNDETERMINED = "und"
 SAMPLE_DOCS = 96
 SAMPLE_CHARS = 400
 SAMPLE_BYTES = 32_768
+TABLE_STEPS = 1 << 25  # entries of the transition table, 128 MB; with many languages samples are shorter
 SEGMENT = 1024  # bytes parsed in one go; a phrase ends where a segment ends
 _BLANK = 0x20
 _END = 1 << 30  # a step holds where it leads, plus this times the phrases that it ends
@@ -107,9 +108,15 @@ class Model:
 
 
 def compile_model(samples: dict[str, bytes]) -> Model:
-    """The parsing tables of all languages with a sample that is not empty."""
+    """The parsing tables of all languages with a sample that is not empty.
+
+    Where the languages are so many that the table would pass ``TABLE_STEPS``, all samples are cut to
+    one length (an automaton has at most two states a byte).
+    """
     samples = {name: text for name, text in sorted(samples.items()) if text}
     used = sorted({c for text in samples.values() for c in text})
+    fits = max(1, TABLE_STEPS // (2 * (len(used) + 1) * max(1, len(samples))) - 1)
+    samples = {name: text[:fits] for name, text in samples.items()}
     classes = np.zeros(256, np.int64)  # class 0: a byte that no sample has
     classes[used] = np.arange(1, len(used) + 1)
     width = len(used) + 1
@@ -128,8 +135,6 @@ def compile_model(samples: dict[str, bytes]) -> Model:
         tables.append(table.reshape(-1).astype(np.uint32))
         starts.append(states * width)
         states += len(automaton)
-    if states * width >= _END:
-        raise ValueError("the samples are too long for the transition table")
     return Model(
         tuple(samples),
         classes,
@@ -180,16 +185,18 @@ def train(
 ) -> Model:
     """A model from the rows that satisfy ``where`` and have a language and a letter.
 
-    Of each language the ``sample_docs`` texts with the smallest hashes are read, their first
-    ``sample_chars`` characters, and at most ``sample_bytes`` bytes in all. The sample does not grow
-    with the corpus; ties are broken by the text itself, and repeated texts count once.
+    An excerpt begins at a text's first letter and has ``sample_chars`` characters. Of each language
+    the ``sample_docs`` excerpts with the smallest hashes are read, and at most ``sample_bytes`` bytes
+    in all. The sample does not grow with the corpus. Excerpts whose letters agree count once, so
+    neither copies nor a shared opening fill the sample.
     """
     rows = docs if where is None else docs.where(where)
-    labelled = rows.select(
-        col(lang).cast("string").alias("lang"),
-        F.xxhash64(col(text)).alias("hash"),
-        F.substring(col(text), 1, sample_chars).alias("text"),
-    ).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    excerpt = F.regexp_extract(col(text), rf"(?s)\p{{L}}.{{0,{sample_chars - 1}}}", 0)
+    labelled = (
+        rows.select(col(lang).cast("string").alias("lang"), excerpt.alias("text"))
+        .where(F.col("lang").isNotNull() & (F.col("text") != ""))
+        .withColumn("hash", F.xxhash64(F.lower(F.regexp_replace("text", r"[^\p{L}\p{M}]+", " "))))
+    )
     # Keys first, and in two steps: a language may hold most of the corpus.
     keys = labelled.select("lang", "hash").distinct()
     for group in (["lang", F.pmod("hash", F.lit(16))], ["lang"]):
@@ -264,7 +271,7 @@ def identify(
     carry = [c for c in kept if c != text]
     keyed = packed(bounded_batches(docs), carry, text=col(text).cast("string"))
     kind = keyed.schema["row"].dataType.simpleString()
-    found = keyed.mapInArrow(_predict(model_), f"lang_pred string, score double, text string, row {kind}")
+    found = keyed.mapInArrow(tidy(_predict(model_)), f"lang_pred string, score double, text string, row {kind}")
     results = {"lang_pred": F.col("lang_pred"), "score": F.col("score")}
     own = {text: F.col("text")} if text in kept else {}
     return ordered(unpacked(found, carry, own | results), [c for c in kept if c not in results], *results)

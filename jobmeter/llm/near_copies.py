@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from jobmeter.llm import words
 from jobmeter.llm.components import components
-from jobmeter.llm.tables import batch, bounded_batches, col, packed, unpacked
+from jobmeter.llm.tables import batch, bounded_batches, col, packed, tidy, unpacked
 from jobmeter.operators.lookups import small_side
 from jobmeter.session import materialize
 
@@ -170,16 +170,11 @@ def _bits_allow(x: str, y: str, numerator: int, denominator: int) -> Column:
     return denominator * both >= numerator * (F.col(f"{x}_n") + F.col(f"{y}_n") - both)
 
 
-def near_copies(
-    docs: DataFrame,
-    *,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    numerator: int = 75,
-    denominator: int = 100,
-) -> DataFrame:
+def near_copies(docs: DataFrame, **options: object) -> DataFrame:
     """(doc_id, digest, n_shingles, component_id, kept) for every row of ``docs``.
 
+    Options: the names ``doc_id`` and ``text``; ``numerator`` and ``denominator`` (75 and 100).
+
     Words are runs of other characters than white space, with A-Z in lower case. A document's set
     holds its distinct runs of five words; with fewer words the whole sequence is its one shingle.
     Documents are linked if denominator * intersection >= numerator * union of their sets, and
@@ -190,13 +185,27 @@ def near_copies(
     above every other; where a component has no other, component_id is null and the rows are kept.
     An empty table gives an empty table. Extra columns are not read.
     """
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return _judged(docs, **options).select(
+        real("id").alias("doc_id"),
+        "digest",
+        F.col("n").alias("n_shingles"),
+        real("component").alias("component_id"),
+        (F.col("id") == F.col("component")).alias("kept"),
+    )
+
+
+def _judged(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", numerator: int = 75, denominator: int = 100
+) -> DataFrame:
+    """(id, digest, n, label, component) of every row; ``label`` tells components apart and is null for empty sets."""
     narrow = bounded_batches(docs).select(
         F.coalesce(col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"),
         col(text).cast("string").alias("text"),
     )
     digested = narrow.select("id", F.xxhash64("text").alias("digest"), "text")
     sketches = materialize(
-        digested.mapInArrow(_with_digest(_sketches), "id long, n long, node binary, bands array<long>, digest long"),
+        digested.mapInArrow(tidy(_with_digest(_sketches)), "id long, n long, node binary, bands array<long>, digest long"),
         "sketches",
     )
     # The second key depends on the first: it leaves the table dealt otherwise than the join below
@@ -215,12 +224,12 @@ def near_copies(
     near = materialize(shared.select("node").distinct().join(nodes.select("node", "n", "id"), "node"), "near")
 
     texts = narrow.join(small_side(near.select("id").distinct()), "id", "left_semi")
-    sets = texts.select("text").mapInArrow(_full_sets, "node binary, items binary, bits array<long>")
+    sets = texts.select("text").mapInArrow(tidy(_full_sets), "node binary, items binary, bits array<long>")
     sets = materialize(
         sets.join(near.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets"
     )
     own = (
-        sets.select("node", "items").mapInArrow(_items, "node binary, item long")
+        sets.select("node", "items").mapInArrow(tidy(_items), "node binary, item long")
         .groupBy("item")
         .agg(F.count("*").alias("holders"), F.min("node").alias("node"))
         .where("holders = 1")
@@ -244,7 +253,7 @@ def near_copies(
             pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs"
         )
         return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(
-            _linked(numerator, denominator), "a binary, b binary"
+            tidy(_linked(numerator, denominator)), "a binary, b binary"
         )
 
     member = known.select(
@@ -288,17 +297,9 @@ def near_copies(
         "label", F.coalesce("label", "node")
     )
     least = grouped.groupBy("label").agg(F.min("id").alias("component"))
-    named = materialize(grouped.join(least, "label").select("node", "component"), "named")
-    joined = sketches.join(named, "node", "left").withColumn(
-        "component", F.coalesce("component", "id")
-    )
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return joined.select(
-        real("id").alias("doc_id"),
-        "digest",
-        F.col("n").alias("n_shingles"),
-        real("component").alias("component_id"),
-        (F.col("id") == F.col("component")).alias("kept"),
+    named = materialize(grouped.join(least, "label").select("node", "label", "component"), "named")
+    return sketches.join(named, "node", "left").select(
+        "id", "digest", "n", "label", F.coalesce("component", "id").alias("component")
     )
 
 
@@ -317,13 +318,22 @@ def _with_digest(function):
 
 
 def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group of near copies."""
-    found = near_copies(docs, doc_id=doc_id, text=text, **options)
-    stay = materialize(
-        found.where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "digest").distinct(),
-        "stay",
-    )
+    """The rows of ``docs`` that stay: exactly one of each group of near copies.
+
+    It is a row of the smallest doc_id, then of the smallest digest of its text; one of its repeats,
+    whichever, stays. Documents without a word are no copies of each other and all stay.
+    """
+    found = materialize(_judged(docs, doc_id=doc_id, text=text, **options), "judged")
+    worded = found.where("label is not null").groupBy("label", "id", "digest").agg(F.count("*").alias("times"))
+    chosen = worded.groupBy("label").agg(F.min(F.struct("id", "digest", "times")).alias("row")).select("row.*")
+    wordless = found.where("label is null").select("id", "digest", F.lit(1).cast("long").alias("times")).distinct()
+    stay = materialize(chosen.unionByName(wordless), "stay")
     keyed = packed(
         docs, id=F.coalesce(col(doc_id).cast("long"), F.lit(NO_ID)), digest=F.xxhash64(col(text).cast("string"))
     )
-    return unpacked(keyed.join(stay, ["id", "digest"], "left_semi"), docs.columns, {})
+    once = keyed.join(stay.where("times = 1"), ["id", "digest"], "left_semi")
+    often = stay.where("times > 1")
+    if not often.isEmpty():
+        repeats = keyed.join(small_side(often), ["id", "digest"]).groupBy("id", "digest")
+        once = once.unionByName(repeats.agg(F.any_value("row").alias("row")).select(*once.columns))
+    return unpacked(once, docs.columns, {})

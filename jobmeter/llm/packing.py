@@ -14,7 +14,7 @@ import base64
 import heapq
 import json
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobmeter.llm.tables import batch, bounded_batches, col
+from jobmeter.llm.tables import batch, bounded_batches, col, tidy
 
 LENGTH = 2048
 END = 1
@@ -73,11 +73,6 @@ class Tokens:
         return self.fast.encode_ordinary(text)
 
 
-@lru_cache(maxsize=2)
-def _tokens(files: tuple[str, str, str]) -> Tokens:
-    return Tokens(*files)
-
-
 def deal(
     sizes: list[int], length: int, linear: float, quadratic: float
 ) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -108,7 +103,7 @@ def deal(
 
 def _pack(files: tuple[str, str, str] | None, length: int, end: int, linear: float, quadratic: float, group: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokens(files or default_vocabulary())
+        encode = Tokens(*(files or default_vocabulary()))  # for this task only: it takes 100 MB and more
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple[object, np.ndarray, int]] = []  # id, rest of the ids, tokens of the document
 
@@ -185,7 +180,7 @@ def pack(
         raise ValueError("length must be a power of two")
     kind = docs.schema[doc_id].dataType.simpleString()
     return bounded_batches(docs).select(col(doc_id).alias("id"), col(text).cast("string").alias("text")).mapInArrow(
-        _pack(files, length, end, linear, quadratic, group_tokens),
+        tidy(_pack(files, length, end, linear, quadratic, group_tokens)),
         f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",
     )
 

@@ -23,7 +23,7 @@ def test_matches_sql(spark, name):
 
 def test_one_query_for_each_operator():
     names = list(queries.queries())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
     assert set(SQL) <= set(names) and corpus_pipeline.ORACLE_SQL is None
 
 
