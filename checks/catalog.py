@@ -298,6 +298,19 @@ def _write_analysis_json(x: Inputs) -> DataFrame:
     )
 
 
+def _write_insights_json(x: Inputs) -> DataFrame:
+    path = x.path("insights")
+    features = materialize(x.features, "features")
+    predictions = spark_view(x.spark, "predictions", {"features": features}.__getitem__)
+    writers.write_insights_json(insights.insights(features, predictions, write=False), path, "2024-01-01T00:00:00Z")
+    document = readers.read_insights_json(x.spark, path)
+    tables = {name: f"aggregations.{name}" for name in writers.AGGREGATIONS}
+    tables |= {name: name for name in ("job_type_breakdown", "top_users_by_energy")}
+    return readers.union_tables(
+        long_rows(readers.insight_rows(document, place), name, INSIGHT_KEYS[name]) for name, place in tables.items()
+    )
+
+
 def _write_predictions(x: Inputs) -> DataFrame:
     path = x.path("predictions")
     writers.write_predictions(x.predictions.withColumnRenamed("user_code", "user"), path)
@@ -594,6 +607,7 @@ QUERIES: dict[str, Query] = {
     "read_forecast_requests": _read_forecast_requests,
     "read_carbon_intensity": _read_carbon_intensity,
     "write_analysis_json": _write_analysis_json,
+    "write_insights_json": _write_insights_json,
     "write_predictions": _write_predictions,
     "union_tables": _union_tables,
     # Projections and filters

@@ -657,6 +657,16 @@ select "User" as "user", strftime("Start", '%Y-%m-%d') as start_day, count(*) as
             _long("missingness", ["table", "field"], ["missing"], [], q["missingness"]),
         ]
     )
+    q["write_insights_json"] = " union all ".join(
+        [
+            *[_long(n, [k], waits, [], q[n]) for n, k in (("by_user", "user"), ("by_account", "account"), ("by_state", "state"), ("by_job_type", "job_type"))],
+            _long("by_day", ["start_day"], waits[:3], [], q["by_day"]),
+            _long("by_hour_of_day", ["start_hour"], waits[:3], [], q["by_hour_of_day"]),
+            _long("by_day_hour", ["start_day", "start_hour"], waits[:2], [], _q("by_cell", "select * from by_cell")),
+            _long("top_users_by_energy", ["user"], ["energy_total_kwh"], [], q["top_users_by_energy"]),
+            _long("job_type_breakdown", ["job_type"], waits[:3], [], q["job_type_breakdown"]),
+        ]
+    )
     q["state_counts"] = _placed(q["state_counts"], "job_count desc, State")
     q["text_summary"] = _q("flat states per_day", """
 select 0 as position, 'Total Jobs' as metric, cast(count(*) as varchar) as "value" from flat

@@ -264,3 +264,48 @@ def test_mixed_headers_in_a_constant_number_of_jobs(spark, tmp_path):
     assert jobs <= 8 and set(out.columns) == {"JobID", "User", "Extra", "Other"}
     rows = sorted((int(r.JobID), r.User, r.Extra) for r in out.collect())
     assert rows == sorted((i, (None if i % 3 == 2 else "u"), ("a|b" if i % 3 == 1 else None)) for i in range(60) for _ in range(2))
+
+
+def test_insights_document_is_one_json_object(spark, tmp_path):
+    import json
+
+    from jobmeter.sources import readers, writers
+
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    waits = "job_count long, energy_total_kwh double, energy_mean_kwh double, queue_wait_time_hours_mean double, requested_walltime_hours_mean double"
+    stats = [("energy_kWh", 3, 0.5, 2.0, 1.0, 0.9, float("nan")), ("requested_walltime_hours", 1, 1.0, 1.0, 1.0, 1.0, None), ("queue_wait_time_hours", 0, None, None, None, None, None)]
+    sections = {
+        "by_user": frame([(f'u"{i}\\\n', i, 0.5 * i, float("inf"), None, 1.0) for i in range(40)], f"user string, {waits}"),
+        "by_account": frame([], f"account string, {waits}"), "by_state": frame([("é", 1, 1.0, 1.0, 1.0, 1.0)], f"state string, {waits}"),
+        "by_job_type": frame([("CPU", 1, 1.0, 1.0, 1.0, 1.0)], f"job_type string, {waits}"),
+        "by_day": frame([("2024-01-02", 1, 1.0, 1.0), ("2024-01-01", 2, 1.0, 0.5)], "start_day string, job_count long, energy_total_kwh double, energy_mean_kwh double"),
+        "by_hour_of_day": frame([(h, 1, 1.0, 1.0) for h in (23, 3, 11)], "start_hour int, job_count long, energy_total_kwh double, energy_mean_kwh double"),
+        "by_day_hour": frame([("2024-01-01", h, 1, 1.0) for h in (10, 9)], "start_day string, start_hour int, job_count long, energy_total_kwh double"),
+        "job_type_breakdown": frame([("CPU", 1, 1.0, 1.0)], "job_type string, job_count long, energy_total_kwh double, energy_mean_kwh double"),
+        "top_users_by_energy": frame([("a", 1.5)], "user string, energy_total_kwh double"),
+        "dataset": frame([(3, 2, "2024-01-01T00:00:00Z", None, 1)], "job_count long, unique_users long, range_start string, range_end string, total_days long"),
+        "summary_stats": frame(stats, "metric string, count long, min double, max double, mean double, median double, p95 double"),
+        "categorical": frame([("User", "x", 3), ("User", "y", 1), ("State", "", 2)], "column string, value string, job_count long"),
+        "schema": frame([("features", "a", "int", 3), ("predictions", "b", "double", 1)], "table string, field string, type string, known long"),
+        "missingness": frame([("features", "a", 1), ("merged_records", "b", 2)], "table string, field string, missing long"),
+    }
+    path = str(tmp_path / "doc")
+    writers.write_insights_json(sections, path, "2024-02-01T00:00:00Z")
+    files = list((tmp_path / "doc").glob("*.txt"))
+    assert len(files) == 1
+    document = json.loads(files[0].read_text())
+    assert document["generated_at_utc"] == "2024-02-01T00:00:00Z" and document["units"]["energy"] == "kWh"
+    assert len(document["aggregations"]["by_user"]) == 40 and document["aggregations"]["by_account"] == []
+    assert {r["user"] for r in document["aggregations"]["by_user"]} == {f'u"{i}\\\n' for i in range(40)}
+    assert all(r["energy_mean_kwh"] is None for r in document["aggregations"]["by_user"])
+    assert [r["start_hour"] for r in document["aggregations"]["by_hour_of_day"]] == [3, 11, 23]
+    assert [r["start_day"] for r in document["aggregations"]["by_day"]] == ["2024-01-01", "2024-01-02"]
+    assert document["dataset"]["time_range"] == {"start": "2024-01-01T00:00:00Z", "end": None}
+    assert document["dataset"]["energy_kwh"] == {"count": 3, "min": 0.5, "max": 2.0, "mean": 1.0, "median": 0.9, "p95": None}
+    assert set(document["distributions"]["numeric"]) == {"energy_kWh", "requested_walltime_hours", "queue_wait_time_hours"}
+    assert document["distributions"]["categorical"] == {"User": {"x": 3, "y": 1}, "Account": {}, "State": {"": 2}, "job_type": {}}
+    assert document["schema"] == {"features": {"a": "int"}, "predictions": {"b": "double"}, "merged_records": {}}
+    assert document["missingness"] == {"features": {"a": 1}, "predictions": {}, "merged_records": {"b": 2}}
+    assert document["model_performance"] is None
+    read = readers.read_insights_json(spark, path)
+    assert readers.insight_rows(read, "aggregations.by_user").count() == 40
