@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from jobmeter.llm import words
-from jobmeter.llm.tables import batch, bounded_batches, col, packed, unpacked
+from jobmeter.llm.tables import batch, bounded_batches, col, packed, tidy, unpacked
 from jobmeter.operators.lookups import small_side
 from jobmeter.session import materialize
 
@@ -32,11 +32,14 @@ ORDER = 5
 EDGE = "\n"  # pads the start of a text, so that its first characters have a context
 MIN_WORDS = 50
 MAX_REPEATED = 50  # per cent of words in repeated three-word windows
-DEVIATIONS = (8.0, 5.5)  # width of the band below and above the median
-BIN = 1e-4  # resolution of log perplexities in the bands
+DEVIATIONS = (6.0, 3.5)  # width of the band below and above the median
+BIN = 1e-4  # resolution of log perplexities, and
+SCALED_BIN = 1e-2  # of their distances to the median times the root of a text's length
+LEAST_SPREAD = 0.05  # of those, where all texts are alike
 BROADCAST_NGRAMS = 4_000_000
 NGRAMS_PER_SHARD = 1 << 20
 SLICE_BYTES = 1 << 25
+PROBE_BYTES = 1 << 27  # hashes that a shard answers in one go
 HELD_NGRAMS = 1 << 19  # distinct n-grams that a task holds before it sends them off
 
 SYMBOLS = "#*$%&|<>"
@@ -121,7 +124,7 @@ def _count(order: int):
 
 def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
     """(lang, gram, n) of all n-grams of (lang, text) rows, each text padded at its start."""
-    counted = docs.select("lang", "text").mapInArrow(_count(order), "lang string, gram string, n long")
+    counted = docs.select("lang", "text").mapInArrow(tidy(_count(order)), "lang string, gram string, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -324,7 +327,7 @@ def score(keyed: DataFrame, shards: DataFrame, shard_count: int, ngrams: int, or
     if ngrams <= BROADCAST_NGRAMS:
         parts = [(bytes(r["hashes"]), bytes(r["logp"])) for r in shards.select("hashes", "logp").collect()]
         model_ = keyed.sparkSession.sparkContext.broadcast(parts)
-        return keyed.mapInArrow(_score_all(order, model_), schema)
+        return keyed.mapInArrow(tidy(_score_all(order, model_)), schema)
     return _score_by_slices(keyed, shards, shard_count, order, schema)
 
 
@@ -375,12 +378,14 @@ def _score_by_slices(
     slices = size // SLICE_BYTES + 1
     number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slices))
     dealt = materialize(keyed.withColumn("slice", number), "slices")  # numbers must not change between uses
-    waves = slices // 64 + 1
-    probes = (
-        dealt.groupBy("slice")
-        .applyInArrow(_slice_probes(order, shard_count), "slice long, shard int, hashes binary")
-        .withColumn("wave", F.pmod("slice", F.lit(waves)))
+    probes = materialize(
+        dealt.groupBy("slice").applyInArrow(_slice_probes(order, shard_count), "slice long, shard int, hashes binary"),
+        "probes",
     )
+    # Each wave gets a copy of the model's shards: no more waves than the size of the probes asks for.
+    asked = probes.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
+    waves = min(slices, asked // (shard_count * PROBE_BYTES) + 1)
+    probes = probes.withColumn("wave", F.pmod("slice", F.lit(waves)))
     each_wave = shards.withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(waves - 1)).cast("array<long>")))
     answers = (
         probes.groupBy("shard", "wave")
@@ -392,13 +397,13 @@ def _score_by_slices(
     )
 
 
-def _middle(table: DataFrame, value: Column) -> DataFrame:
+def _middle(table: DataFrame, value: Column, step: float) -> DataFrame:
     """(lang, middle): the lower median of binned values; the windows run over bins, not rows."""
-    bins = table.groupBy("lang", F.round(value / BIN).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    bins = table.groupBy("lang", F.round(value / step).cast("long").alias("bin")).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(W.partitionBy("lang").orderBy("bin"))
     total = F.sum("n").over(W.partitionBy("lang"))
     placed = bins.withColumn("upto", upto).withColumn("total", total).where(2 * F.col("upto") >= F.col("total"))
-    return placed.groupBy("lang").agg((F.min("bin") * BIN).alias("middle"))
+    return placed.groupBy("lang").agg((F.min("bin") * step).alias("middle"))
 
 
 def judge(
@@ -416,10 +421,12 @@ def judge(
 
     A text fails the base rules with fewer than ``min_words`` words or with more than
     ``max_repeated`` per cent of its words in repeated three-word windows. Of the others, those are
-    kept whose log perplexity lies within ``deviations`` median absolute deviations (scaled to
-    standard deviations) below and above the median of their language. Texts with the same smallest
-    hash of three words are one text for the median and the deviation, with their least perplexity,
-    so that copies and near copies of a document do not set the band.
+    kept whose log perplexity lies within ``deviations`` deviations below and above the median of
+    their language. The mean over a text's characters scatters with the root of their number, so
+    distances to the median are multiplied by it, and a language's deviation is their median (scaled
+    to a standard deviation): the band is wide for short texts and narrow for long ones. Texts with
+    the same smallest hash of three words are one text for the median and the deviation, with their
+    least perplexity, so that copies and near copies of a document do not set the band.
 
     Null or empty text has no words, fails, and has no perplexity. Null language is a language of
     its own. Repeated rows count one by one and get equal results. Result columns replace columns of
@@ -441,17 +448,18 @@ def judge(
         ),
         "scored",
     )
-    sound = scored.where(~F.col("base_failed")).groupBy("lang", "mark").agg(F.min("bits").alias("bits"))
-    sound = materialize(sound, "different-texts")
-    middle = materialize(_middle(sound, F.col("bits")), "middles")
+    sound = scored.where(~F.col("base_failed")).groupBy("lang", "mark").agg(
+        F.min(F.struct("bits", "chars")).alias("least")
+    )
+    sound = materialize(sound.select("lang", "least.*"), "different-texts")
+    middle = materialize(_middle(sound, F.col("bits"), BIN), "middles")
+    distance = (F.col("bits") - F.col("middle")) * F.sqrt("chars")
     spread = _middle(
-        sound.join(small_side(middle), "lang"), F.abs(F.col("bits") - F.col("middle"))
+        sound.join(small_side(middle), "lang"), F.abs(distance), SCALED_BIN
     ).withColumnRenamed("middle", "spread")
     bands = materialize(middle.join(spread, "lang"), "bands")
-    sigma = 1.4826 * F.greatest(F.col("spread"), F.lit(BIN))
-    inside = (F.col("bits") >= F.col("middle") - deviations[0] * sigma) & (
-        F.col("bits") <= F.col("middle") + deviations[1] * sigma
-    )
+    deviation = distance / (1.4826 * F.greatest(F.col("spread"), F.lit(LEAST_SPREAD)))
+    inside = deviation.between(-deviations[0], deviations[1])
     judged = scored.join(small_side(bands), "lang", "left")
     return unpacked(
         judged,
@@ -459,7 +467,7 @@ def judge(
         {c: F.col(c) for c in _STATISTICS}
         | {
             "perplexity": F.exp("bits"),
-            "deviation": (F.col("bits") - F.col("middle")) / sigma,
+            "deviation": deviation,
             "base_failed": F.col("base_failed"),
             "kept": ~F.col("base_failed") & F.coalesce(inside, F.lit(False)),
         },

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -108,6 +109,7 @@ def test_routing_through_shards_gives_the_same(spark, rows, monkeypatch):
     monkeypatch.setattr(perplexity, "BROADCAST_NGRAMS", 0)
     monkeypatch.setattr(perplexity, "SLICE_BYTES", 2000)
     monkeypatch.setattr(perplexity, "HELD_NGRAMS", 100)
+    monkeypatch.setattr(perplexity, "PROBE_BYTES", 64)
     assert rows_of(perplexity.judge(docs.repartition(5)), *columns) == whole
 
 
@@ -124,3 +126,31 @@ def test_copies_of_one_document_do_not_set_the_band(spark, near):
     rows = [(i, t, "en", None) for i, t in enumerate(texts)] + [(100 + i, t, "en", None) for i, t in enumerate(copies)]
     found = {r["doc_id"]: r["kept"] for r in perplexity.judge(documents(spark, rows + short)).collect()}
     assert all(found[i] for i in range(1, 60))
+
+
+def test_given_texts_and_broken_ones(spark):
+    """Good texts of the given documents stay; texts with their letters shuffled inside words go."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    good = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").join(docs, "doc_id")
+    rng = random.Random(5)
+    rows = good.where("length(text) > 600").orderBy("doc_id").limit(60).collect()
+    mixed = lambda w: "".join(rng.sample(w, len(w)))
+    broken = [(-1 - r.doc_id, re.sub(r"\S+", lambda m: mixed(m[0]), r.text), r.lang) for r in rows]
+    found = perplexity.judge(docs.unionByName(spark.createDataFrame(broken, docs.schema)), keep=["doc_id"])
+    verdict = {r.doc_id: (r.base_failed, r.kept) for r in found.collect()}
+    stays = [verdict[r.doc_id] for r in good.select("doc_id").collect()]
+    sound = [kept for failed, kept in stays if not failed]
+    assert sum(sound) >= 0.98 * len(sound) > 100
+    goes = [verdict[i] for i, _, _ in broken]
+    assert sum(not kept for _, kept in goes) >= 0.95 * len(goes)
+
+
+def test_bands_are_narrower_for_longer_texts(spark):
+    rng = random.Random(2)
+    good = lambda n: " ".join(rng.choice(["kalo", "mitur", "vesan", "orshi", "lomi", "turka"]) for _ in range(n))
+    rows = [(i, good(rng.choice([60, 120, 400])), "xx", None) for i in range(200)]
+    odd = lambda n: good(n).replace("vesan", "vseaq", max(1, n // 40))
+    rows += [(1000, odd(60), "xx", None), (1001, odd(4000), "xx", None)]
+    found = {r["doc_id"]: r["deviation"] for r in perplexity.judge(documents(spark, rows)).collect()}
+    assert found[1001] > 2 * abs(found[1000])
