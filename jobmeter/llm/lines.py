@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from jobmeter.llm import words
-from jobmeter.llm.tables import batch, bounded_batches, col, ordered, packed, unpacked
+from jobmeter.llm.tables import batch, bounded_batches, col, ordered, packed, tidy, unpacked
 from jobmeter.session import materialize
 
 KEYS_PER_SHARD = 1 << 18
 PROBES_PER_GROUP = 1 << 20
+LINES_PER_ROW = 64  # of a shard, in one row of probes
+HELD_LINES = 1 << 20  # lines that a task gathers at most
 NO_ID = -(2**63)  # stands for a null doc_id; below every other
 
 
@@ -104,26 +106,36 @@ def _occurrences(least: int):
 
 
 def _probes(least: int, shards: int, waves: int):
+    """Lines by shard, one row a shard; slices are gathered until a row holds ``LINES_PER_ROW`` on average."""
     names = ("h1", "h2", "id", "digest", "line")
+    enough = min(LINES_PER_ROW * shards, HELD_LINES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = {"shard": pa.int32(), "wave": pa.int32()} | {c: pa.binary() for c in names}
         turn = TaskContext.get().partitionId()
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal turn
+            h1, *rest = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            shard = (h1 % np.uint64(shards)).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            used = np.flatnonzero(np.diff(cuts))
+            parts = [order[cuts[s] : cuts[s + 1]] for s in used]
+            out = {"shard": used, "wave": np.full(len(used), turn % waves)}
+            turn += 1
+            return batch(out | {c: [v[p].tobytes() for p in parts] for c, v in zip(names, (h1, *rest))}, kinds)
+
         for rows in batches:
             ids, digests = rows["id"].to_numpy(), rows["digest"].to_numpy()
             for row, line, h1, h2 in _long_lines(rows["text"], least):
-                shard = (h1 % np.uint64(shards)).astype(np.int32)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                used = np.flatnonzero(np.diff(cuts))
-                parts = [order[cuts[s] : cuts[s + 1]] for s in used]
-                values = dict(zip(names, (h1, h2, ids[row], digests[row], line.astype(np.int32))))
-                yield batch(
-                    {"shard": used, "wave": np.full(len(used), turn % waves)}
-                    | {c: [v[p].tobytes() for p in parts] for c, v in values.items()},
-                    kinds,
-                )
-                turn += 1
+                held.append((h1, h2, ids[row], digests[row], line.astype(np.int32)))
+                if sum(len(part[0]) for part in held) >= enough:
+                    yield flush()
+        if held:
+            yield flush()
 
     return run
 
@@ -200,7 +212,7 @@ def drop_repeated_lines(
     seen = Observation()
     counted = (
         narrow.select("id", "text")
-        .mapInArrow(_occurrences(min_chars), "h1 long, h2 long, id long")
+        .mapInArrow(tidy(_occurrences(min_chars)), "h1 long, h2 long, id long")
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("docs"), F.max("id").alias("owner"))
         .observe(seen, F.sum("docs").alias("lines"), F.count_if(F.col("docs") >= min_docs).alias("keys"))
@@ -211,7 +223,7 @@ def drop_repeated_lines(
     waves = -(-(found["lines"] or 1) // (shards * PROBES_PER_GROUP))
     index = materialize(line_index(keys, shards), "line-index")
     probes = narrow.mapInArrow(
-        _probes(min_chars, shards, waves),
+        tidy(_probes(min_chars, shards, waves)),
         "shard int, wave int, h1 binary, h2 binary, id binary, digest binary, line binary",
     )
     each_wave = index.withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(waves - 1))))
