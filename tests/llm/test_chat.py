@@ -43,3 +43,14 @@ def test_against_brute_force(spark):
 
 def test_no_turns(spark):
     assert chat.perspectives(spark.createDataFrame([], TURNS)).collect() == []
+
+
+def test_ties_are_in_order_of_the_whole_text(spark):
+    head = "the same beginning of more than thirty-two characters, then "
+    rows = [(1, 0, "ann", head + c * 50) for c in "qbzamb"] + [(1, 0, "bob", head + "x"), (1, 0, "bob", None), (1, 0, "bob", "")]
+    df = spark.createDataFrame([(*r, "clash", 9) for r in rows], TURNS)
+    found = chat.perspectives(df, segment_turns=4).collect()
+    mine = sorted(
+        ((r["conv_id"], r["perspective"], r["segment"], r["n_turns"], r["text"], [tuple(s) for s in r["mask"]]) for r in found), key=repr
+    )
+    assert mine == brute_force(rows, 4)

@@ -91,3 +91,24 @@ def test_held_out_accuracy(spark):
 def test_rows_outside_training_are_not_read(spark):
     docs = documents(spark, [(1, "some text", "en", None)])
     assert language.train(docs, where=F.lit(False)).languages == ()
+
+
+def test_any_number_of_languages(monkeypatch):
+    rng = random.Random(6)
+    samples = {f"l{i:03}": bytes(rng.choice(b"abcdefgh ") for _ in range(400)) for i in range(150)}
+    whole = language.compile_model(samples)
+    monkeypatch.setattr(language, "TABLE_STEPS", 60_000)
+    cut = language.compile_model(samples)
+    assert cut.languages == whole.languages and len(cut.table) <= 60_000 < len(whole.table)
+    text = samples["l007"][:20]
+    assert language.phrases(cut, [text])[0].argmin() == 7
+
+
+def test_excerpts_begin_at_the_first_letter_and_copies_count_once(spark):
+    rows = [(1, "0" * 1000 + " der hund und die katze im garten", "de", None)]
+    rows += [(10 + i, "the very same opening of all these texts " * 12 + f"and tail {i}", "en", None) for i in range(30)]
+    rows += [(50, "another english text about something else", "en", None)]
+    model = language.train(documents(spark, rows), sample_docs=2)
+    assert model.languages == ("de", "en")
+    found = language.identify(documents(spark, [(1, "die katze", None, None), (2, "something else", None, None)]), model)
+    assert rows_of(found, "doc_id", "lang_pred") == [(1, "de"), (2, "en")]

@@ -79,6 +79,19 @@ def test_deduplicated_keeps_one_of_each_group(spark, rows):
     assert {r["doc_id"] for r in kept.collect()} == expected
 
 
+def test_deduplicated_keeps_exactly_one_row_of_each_group(spark):
+    base = prose(6, seed=3, words=60)
+    near = lambda t, k: t + f" tail{k}"
+    rows = [(7, base[0])] * 4 + [(7, near(base[0], 1)), (9, base[0])]  # repeats and near copies under the smallest id
+    rows += [(None, base[1]), (None, near(base[1], 1)), (None, near(base[1], 2)), (None, base[1])]  # no id at all
+    rows += [(5, base[2]), (5, base[3])]  # two different documents under one id
+    rows += [(20, None), (20, None), (21, ""), (21, " ")]  # no words: no copies of each other
+    kept = near_copies.deduplicated(documents(spark, [(i, t, None, None) for i, t in rows])).collect()
+    groups = [[r for r in kept if r["text"] and r["text"].startswith(b)] for b in base[:4]]
+    assert [len(g) for g in groups] == [1, 1, 1, 1] and groups[0][0]["doc_id"] == 7 and groups[1][0]["doc_id"] is None
+    assert len(kept) == 8
+
+
 def test_empty_table(spark):
     assert near_copies.near_copies(documents(spark, [])).collect() == []
 
