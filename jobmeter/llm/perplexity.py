@@ -36,6 +36,7 @@ DEVIATIONS = (6.0, 3.5)  # width of the band below and above the median
 BIN = 1e-4  # resolution of log perplexities, and
 SCALED_BIN = 1e-2  # of their distances to the median times the root of a text's length
 LEAST_SPREAD = 0.05  # of those, where all texts are alike
+SPREAD_ERROR = 3.5  # three standard errors of a median deviation, times the root of the number of texts
 BROADCAST_NGRAMS = 4_000_000
 NGRAMS_PER_SHARD = 1 << 20
 SLICE_BYTES = 1 << 25
@@ -398,12 +399,12 @@ def _score_by_slices(
 
 
 def _middle(table: DataFrame, value: Column, step: float) -> DataFrame:
-    """(lang, middle): the lower median of binned values; the windows run over bins, not rows."""
+    """(lang, middle, total): the lower median of binned values; the windows run over bins, not rows."""
     bins = table.groupBy("lang", F.round(value / step).cast("long").alias("bin")).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(W.partitionBy("lang").orderBy("bin"))
     total = F.sum("n").over(W.partitionBy("lang"))
     placed = bins.withColumn("upto", upto).withColumn("total", total).where(2 * F.col("upto") >= F.col("total"))
-    return placed.groupBy("lang").agg((F.min("bin") * step).alias("middle"))
+    return placed.groupBy("lang").agg((F.min("bin") * step).alias("middle"), F.max("total").alias("total"))
 
 
 def judge(
@@ -424,7 +425,8 @@ def judge(
     kept whose log perplexity lies within ``deviations`` deviations below and above the median of
     their language. The mean over a text's characters scatters with the root of their number, so
     distances to the median are multiplied by it, and a language's deviation is their median (scaled
-    to a standard deviation): the band is wide for short texts and narrow for long ones. Texts with
+    to a standard deviation): the band is wide for short texts and narrow for long ones. It is wider
+    by the uncertainty of that deviation where a language has few texts. Texts with
     the same smallest hash of three words are one text for the median and the deviation, with their
     least perplexity, so that copies and near copies of a document do not set the band.
 
@@ -454,12 +456,12 @@ def judge(
     sound = materialize(sound.select("lang", "least.*"), "different-texts")
     middle = materialize(_middle(sound, F.col("bits"), BIN), "middles")
     distance = (F.col("bits") - F.col("middle")) * F.sqrt("chars")
-    spread = _middle(
-        sound.join(small_side(middle), "lang"), F.abs(distance), SCALED_BIN
-    ).withColumnRenamed("middle", "spread")
+    spread = _middle(sound.join(small_side(middle), "lang"), F.abs(distance), SCALED_BIN)
+    spread = spread.select("lang", F.col("middle").alias("spread"))
     bands = materialize(middle.join(spread, "lang"), "bands")
     deviation = distance / (1.4826 * F.greatest(F.col("spread"), F.lit(LEAST_SPREAD)))
-    inside = deviation.between(-deviations[0], deviations[1])
+    wider = 1 + SPREAD_ERROR / F.sqrt("total")
+    inside = deviation.between(-deviations[0] * wider, deviations[1] * wider)
     judged = scored.join(small_side(bands), "lang", "left")
     return unpacked(
         judged,
