@@ -17,7 +17,7 @@ from jobmeter.operators.lookups import small_side
 from jobmeter.session import materialize
 
 STRENGTH = {"remove": 0, "allow": 1, "block": 2}
-_URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?([^?#]*)"
+_URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)(?::[0-9]*)?([^?#]*)"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:

@@ -60,6 +60,15 @@ def test_against_brute_force(spark):
         assert (r["decision"], r["rule"], r["rule_list"], r["since"]) == expected[r["n"], r["url"]], r
 
 
+def test_hosts_that_are_numbers_in_brackets(spark):
+    urls = ["http://[2001:db8::1]:8080/p/q", "http://u@[2001:DB8::1]/", "http://[2001:db8::2]/p"]
+    df = spark.createDataFrame([(i, u, 3) for i, u in enumerate(urls)], "n int, url string, fetched_at long")
+    given = spark.createDataFrame([("L", "http://[2001:db8::1]/p", "block", 1), ("L", "[2001:db8::1]", "allow", 2)], ENTRIES)
+    df, given = (t.withColumn(c, t[c].cast("timestamp")) for t, c in ((df, "fetched_at"), (given, "listed_at")))
+    found = {r["n"]: (r["decision"], r["rule"]) for r in url_lists.judge(df, given).collect()}
+    assert found == {0: ("block", "[2001:db8::1]/p"), 1: ("allow", "[2001:db8::1]"), 2: ("none", None)}
+
+
 def test_no_entries_and_no_captures(spark):
     df = spark.createDataFrame([(1, "http://a.com", 3)], "n int, url string, fetched_at long")
     given = spark.createDataFrame([], "list string, `key` string, action string, listed_at long")
