@@ -94,7 +94,7 @@ def test_hot_job_key_is_split(spark, splitting):
 def test_hot_user_is_split_where_tables_are_too_large_to_broadcast(spark, splitting, monkeypatch, kind):
     from jobmeter.operators import lookups, sampling
 
-    monkeypatch.setattr(lookups, "small_side", lambda df: df)
+    monkeypatch.setattr(lookups, "BROADCAST_ROWS", -1)
     monkeypatch.setattr(sampling, "small_side", lambda df: df)
     user = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("u"), F.col("id") % 5000))
     jobs = spark.range(0, 300000, 1, 16).select(user.alias("User"), F.md5(F.col("id").cast("string")).alias("x"))
