@@ -79,3 +79,13 @@ def test_no_documents_and_odd_lengths(spark):
     assert packing.pack(documents(spark, [])).collect() == []
     with pytest.raises(ValueError):
         packing.pack(documents(spark, []), length=1000)
+
+
+def test_both_encoders_agree_on_all_given_documents():
+    import pyarrow.parquet as pq
+
+    tokens = packing.Tokens(*packing.default_vocabulary())
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    for text in texts:
+        assert tokens(text or "") == tokens.full.encode(text or "", add_special_tokens=False).ids
+    assert len(texts) == 1000
