@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import SparkSession
 
 from jobmeter.functions.text import CLOCK, DECIMAL, SIGNED_CLOCK, WHOLE
-from jobmeter.operators.scripts import DIRECTIVES, LINE_END, MARKER
+from jobmeter.operators.scripts import DIRECTIVES, LINE_END, MARKER, UNUSUAL
 
 _WHITE = r"' \t\n\r\u000b\u000c'"
 _SIZES = {"K": "1D / 1048576", "M": "1D / 1024", "G": "1D", "T": "1024D", "P": "1048576D"}
@@ -102,21 +102,31 @@ _OPTIONS: dict[str, tuple[str, str, Callable[[str], str]]] = {
 
 
 def _parse_sbatch(x: str) -> str:
-    """A query of one row: the directive columns of a script, last valid value first served."""
-    lines = f"transform(split({x}, r'{LINE_END}'), l -> btrim(l, {_WHITE}))"
-    marked = f"filter({lines}, l -> startswith(l, '{MARKER}'))"
-    directives = f"transform({marked}, l -> btrim(substring(l, {len(MARKER) + 1}), {_WHITE}))"
+    """A query of one row: the directive columns of a script, last valid value first served.
+
+    All columns are fields of one struct, made in one lambda over the directives: Spark puts the query
+    into its caller, where it computes a common struct once but would compute common directives anew
+    for each column. Scripts without unusual white space go without regular expressions.
+    """
+
+    def found(line_end: str, trim: str) -> str:
+        marked = f"filter(transform(split({x}, {line_end}), l -> {trim.format('l')}), l -> startswith(l, '{MARKER}'))"
+        return f"transform({marked}, l -> {trim.format(f'substring(l, {len(MARKER) + 1})')})"
+
+    stripped = f"btrim({{}}, {_WHITE})"
+    directives = f"CASE WHEN {x} RLIKE r'{UNUSUAL}' THEN {found(f"r'{LINE_END}'", stripped)} ELSE {found(f"'{chr(92)}n'", 'trim({})')} END"
     value = (
         f"CASE WHEN instr(d, '=') > 0 THEN btrim(substr(d, instr(d, '=') + 1), {_WHITE}) "
         r"ELSE nullif(regexp_extract(d, r'^\S+\s+(\S+)', 1), '') END"
     )
     pairs = f"transform({directives}, d -> named_struct('directive', d, 'value', {value}))"
-    columns = [
-        f"try_element_at(filter(transform(filter(pairs, p -> startswith(p.directive, '{prefix}')), "
-        f"p -> {parse(f'p.{field}')}), v -> v IS NOT NULL), -1) AS {name}"
+    fields = [
+        f"'{name}', try_element_at(filter(transform(filter(pairs, p -> startswith(p.directive, '{prefix}')), "
+        f"p -> {parse(f'p.{field}')}), v -> v IS NOT NULL), -1)"
         for name, (prefix, field, parse) in _OPTIONS.items()
     ]
-    return f"SELECT {', '.join(columns)} FROM (SELECT {pairs} AS pairs)"
+    row = f"element_at(transform(array({pairs}), pairs -> named_struct({', '.join(fields)})), 1)"
+    return f"SELECT {', '.join(f'found.{name} AS {name}' for name in _OPTIONS)} FROM (SELECT {row} AS found)"
 
 
 def register(spark: SparkSession) -> None:

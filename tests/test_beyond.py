@@ -309,3 +309,14 @@ def test_insights_document_is_one_json_object(spark, tmp_path):
     assert document["model_performance"] is None
     read = readers.read_insights_json(spark, path)
     assert readers.insight_rows(read, "aggregations.by_user").count() == 40
+
+
+def test_sql_script_parser_splits_a_script_once(spark):
+    sql.register(spark)
+    df = spark.createDataFrame([("#SBATCH --nodes=2",)], "sbatchText string")
+    found = spark.sql("SELECT p.* FROM {df}, LATERAL parse_sbatch(sbatchText) AS p", df=df)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert plan.expressions().size() == len(scripts.DIRECTIVES)
+    # Every column is a field of one common expression, which is evaluated once a row.
+    children = {plan.expressions().apply(i).child().child().canonicalized().toString() for i in range(len(scripts.DIRECTIVES))}
+    assert len(children) == 1
