@@ -530,11 +530,11 @@ def _quantile_sketches(x: Inputs) -> DataFrame:
 
 
 def _user_sketches(x: Inputs) -> DataFrame:
-    people = x.features.select("User", "Start")
+    people = materialize(x.features.select("User", "Start"), "people")
     daily_ = materialize(sketches.daily_user_sketches(people), "sketches")
     weeks = _weeks(daily_)
     pairs = weeks.where("name <> 'all'").select(F.col("name").alias("a"), F.date_add("first_day", 7).cast("string").alias("b"))
-    shared = sketches.shared_users(daily_, weeks, pairs)
+    shared = sketches.shared_users(daily_, weeks, pairs, sketches.daily_members(people))
     week = F.to_date(F.date_trunc("week", "Start")).cast("string")
     exact = people.where("User is not null and Start is not null").select(
         "User", F.explode(F.array(F.lit("all"), week)).alias("name")

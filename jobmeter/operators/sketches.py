@@ -11,9 +11,11 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobmeter.session import materialize
+
 METRICS = ("energy_kWh", "requested_walltime_hours", "queue_wait_time_hours")
 KLL_K = 800
-HLL_LOG = 14
+HLL_LOG = 16
 THETA_LOG = 14
 DAY = "start_day"
 
@@ -92,15 +94,43 @@ def distinct_users(sketches: DataFrame, ranges: DataFrame) -> DataFrame:
     return merged.select("name", F.hll_sketch_estimate("users").alias("users"))
 
 
-def shared_users(sketches: DataFrame, ranges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, shared): about how many users two ranges have in common, for the given pairs (a, b) of names.
+def shared_users(sketches: DataFrame, ranges: DataFrame, pairs: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """(a, b, shared): how many users two ranges have in common, for the given pairs (a, b) of names.
 
-    Exact while a range has fewer than 2 ** THETA_LOG users.
+    Exact while each of both ranges has fewer than 2 ** THETA_LOG users, else an estimate. With ``members``
+    (start_day, User; see ``daily_members``) pairs with a larger range are counted from these rows.
     """
-    merged = _in_ranges(sketches, ranges).groupBy("name").agg(F.theta_union_agg("members").alias("members"))
-    both = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("name")).join(merged, "name")
-    met = both.groupBy("a", "b").agg(
-        F.theta_sketch_estimate(F.theta_intersection_agg("members")).alias("shared"), F.count_distinct("name").alias("found")
+    merged = _in_ranges(sketches, ranges).groupBy("name").agg(F.theta_union_agg("members", THETA_LOG).alias("members"))
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("name"))
+    met = sides.join(merged, "name").groupBy("a", "b").agg(
+        F.theta_sketch_estimate(F.theta_intersection_agg("members")).alias("shared"),
+        F.count_distinct("name").alias("found"),
+        F.max(F.theta_sketch_estimate("members")).alias("most"),
+    )
+    full = F.col("found") == F.when(F.col("a") == F.col("b"), 1).otherwise(2)
+    met = met.select("a", "b", F.when(full, F.col("shared")).otherwise(F.lit(0)).cast("long").alias("shared"), (full & (F.col("most") >= 2**THETA_LOG)).alias("large"))
+    if members is None:
+        known = met.select("a", "b", "shared")
+    else:
+        met = materialize(met, "pairs")
+        large = met.where("large").select("a", "b")
+        known = met.where("not large").select("a", "b", "shared").unionByName(_counted(members, ranges, large))
+    return pairs.distinct().join(known, ["a", "b"], "left").select("a", "b", F.coalesce("shared", F.lit(0).cast("long")).alias("shared"))
+
+
+def daily_members(jobs: DataFrame, user: str = "User", at: str = "Start") -> DataFrame:
+    """(start_day, User): the distinct users of each day themselves."""
+    dated = jobs.where(F.col(at).isNotNull() & F.col(user).isNotNull())
+    return dated.select(F.to_date(at).alias(DAY), F.col(user).alias("User")).distinct()
+
+
+def _counted(members: DataFrame, ranges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, shared) by counting the users of both ranges; a pair without a common user has no row."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    sets = _in_ranges(members, ranges.join(asked, "name", "left_semi")).select("name", "User").distinct()
+    # Grouped by user, so that no range is one key.
+    both = (
+        pairs.join(sets.select(F.col("name").alias("a"), "User"), "a")
+        .join(sets.select(F.col("name").alias("b"), "User"), ["b", "User"])
     )
-    absent = F.when(F.col("found") == F.when(F.col("a") == F.col("b"), 1).otherwise(2), F.col("shared")).otherwise(F.lit(0))
-    return pairs.distinct().join(met, ["a", "b"], "left").select("a", "b", F.coalesce(absent, F.lit(0)).cast("long").alias("shared"))
+    return both.groupBy("a", "b").agg(F.count("*").alias("shared"))

@@ -320,3 +320,19 @@ def test_sql_script_parser_splits_a_script_once(spark):
     # Every column is a field of one common expression, which is evaluated once a row.
     children = {plan.expressions().apply(i).child().child().canonicalized().toString() for i in range(len(scripts.DIRECTIVES))}
     assert len(children) == 1
+
+
+def test_shared_users_of_large_ranges_are_exact(spark):
+    # 6,000 users, more than a sketch of the default size of a union; then 20,000, more than a day's sketch holds.
+    people = spark.range(46_000).selectExpr(
+        "concat('u', if(id < 12000, id % 6000, (id - 12000) % 20000)) as User",
+        "case when id < 6000 then timestamp'2024-01-01' when id < 12000 then timestamp'2024-01-02' "
+        "when id < 32000 then timestamp'2024-01-03' else timestamp'2024-01-04' end as Start",
+    )
+    daily = sketches.daily_user_sketches(people)
+    ranges = spark.createDataFrame([(str(d), f"2024-01-0{d}", f"2024-01-0{d}") for d in range(1, 5)], "name string, first_day string, last_day string")
+    pairs = spark.createDataFrame([("1", "2"), ("2", "3"), ("3", "4"), ("3", "3"), ("4", "x")], "a string, b string")
+    small = {(r.a, r.b): r.shared for r in sketches.shared_users(daily, ranges, pairs).collect()}
+    assert small["1", "2"] == 6_000
+    found = {(r.a, r.b): r.shared for r in sketches.shared_users(daily, ranges, pairs, sketches.daily_members(people)).collect()}
+    assert found == {("1", "2"): 6_000, ("2", "3"): 6_000, ("3", "4"): 14_000, ("3", "3"): 20_000, ("4", "x"): 0}
