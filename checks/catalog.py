@@ -23,6 +23,8 @@ from jobmeter.streaming import usage as live
 
 Query = Callable[["Inputs"], DataFrame]
 
+JOBS_PER_STATE_PARTITION = 250_000
+
 
 class Inputs:
     """The derived input tables of one run."""
@@ -481,14 +483,17 @@ def _incremental_usage(x: Inputs) -> DataFrame:
     incoming, table = x.path("incoming"), x.path("usage")
     jobs, metered = (f"{incoming}/{name}" for name in ("jobs", "readings"))
     turn, reading_turn = F.crc32("JobID") % 3, F.coalesce(F.crc32("job_key") % 3, F.lit(0))
+    exported = materialize(x.sacct.select("JobID", "User", "Start"), "exported")
+    readings = materialize(x.emissions, "readings")
+    partitions = 4 + exported.count() // JOBS_PER_STATE_PARTITION
     for i in range(3):
         again = (turn < i) & (F.crc32("JobID") % 7 == 0)
-        x.sacct.select("JobID", "User", "Start").where((turn == i) | again).write.mode("append").csv(jobs, sep="|", header=True)
-        x.emissions.where(reading_turn == i).write.mode("append").csv(metered, sep="|", header=True)
+        exported.where((turn == i) | again).write.mode("append").csv(jobs, sep="|", header=True)
+        readings.where(reading_turn == i).write.mode("append").csv(metered, sep="|", header=True)
         live.refresh(
             live.stream_csv(x.spark, jobs, ["JobID", "User", "Start"]),
             live.stream_csv(x.spark, metered, ["job_key", "energy_kWh"]),
-            table, delay="400 days", partitions=4,
+            table, delay="400 days", partitions=partitions,
         )
     none = {"start_day": F.lit(None).cast("string"), "start_hour": F.lit(None).cast("int"), "energy_mean_kwh": F.lit(None).cast("double")}
     parts = {"day": live.by_day(x.spark, table), "hour": live.by_hour_of_day(x.spark, table), "cell": live.day_hours(x.spark, table)}

@@ -64,20 +64,21 @@ def changes(jobs: DataFrame, readings: DataFrame, delay: str | None = None) -> D
         F.right("job_key", F.lit(19)).try_cast("timestamp").alias("key_at"),
         F.coalesce(kwh, F.lit(0.0)).alias("kwh"),
     )
+    same = F.col("job_key") == F.col("key")
     if delay:
         # Jobs and readings of a key have one time, to the second; as a join key it lets old state go.
         keyed = keyed.withColumn("at", F.date_trunc("second", "at")).withWatermark("at", delay)
         metered = metered.where("key_at is not null").withWatermark("key_at", delay)
         keyed = keyed.dropDuplicatesWithinWatermark(["id"])
         first = metered.dropDuplicatesWithinWatermark(["key"])
-        same = (F.col("job_key") == F.col("key")) & (F.col("at") == F.col("key_at"))
+        same &= F.col("at") == F.col("key_at")
     else:
         keyed = keyed.dropDuplicates(["id"])
         first = metered.dropDuplicates(["key"])
-        same = F.col("job_key") == F.col("key")
-    energy = keyed.join(metered, same).select("at", F.lit(0).cast("long").alias("job_count"), F.col("kwh").alias("energy_total_kwh"))
-    counted = keyed.join(first, same).select("at", F.lit(1).cast("long").alias("job_count"), F.lit(0.0).alias("energy_total_kwh"))
-    return counted.unionByName(energy)
+    # Marks and readings meet the jobs in one join, so the jobs are in the state once.
+    marks = first.select("key", "key_at", F.lit(1).cast("long").alias("job_count"), F.lit(0.0).alias("energy_total_kwh"))
+    added = metered.select("key", "key_at", F.lit(0).cast("long").alias("job_count"), F.col("kwh").alias("energy_total_kwh"))
+    return keyed.join(added.unionByName(marks), same).select("at", "job_count", "energy_total_kwh")
 
 
 def _write(table: str) -> Callable[[DataFrame, int], None]:

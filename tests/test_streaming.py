@@ -92,3 +92,11 @@ def test_rows_later_than_the_delay_are_reported(spark, feed):
     with pytest.raises(live.LateRows):
         feed(late, [("a_2024-01-01 00:00:00", 1.0)], delay="10 days")
     assert cells(spark, feed.table) == {("2024-02-01", 0): (1, 1.0), ("2024-01-30", 0): (1, 2.0)}
+
+
+@pytest.mark.parametrize("delay", [None, "10 days"])
+def test_each_job_is_in_the_state_of_one_join(spark, tmp_path, delay):
+    streams = [live.stream_csv(spark, str(tmp_path), columns) for columns in (JOBS, READINGS)]
+    plan = live.changes(*streams, delay)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join Inner") == 1
+    assert plan.count("Deduplicate") == 2  # of the jobs and of the keys with a reading
