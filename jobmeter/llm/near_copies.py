@@ -11,14 +11,13 @@ components are checked where a bound still allows a link. The bound is exact: sh
 in one node alone cannot be shared, so nodes with c shared and u own shingles have a similarity of
 at most min(c) / (u1 + u2 + max(c)); and a shingle that falls on a bit which the other node's bitmap
 does not have is not shared either. The hub is the member with the smallest share of own shingles,
-which leaves little for the second step however large a group of copies is.
+which leaves little for the second step however large a group of copies is. That step takes both
+bounds of whole batches at once in numpy; large buckets are dealt into parts of bounded size.
 """
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,9 @@ SHINGLE = 5
 BANDS, ROWS = 40, 4  # a pair at similarity 0.75 shares no band with probability 2.5e-7
 BINS = BANDS * ROWS
 BITMAP = 32  # 64-bit words of a node's bitmap of shingles
+BLOCK = 1024  # strays of a bucket, or other members, that are compared in one part
+PAIRS = 1 << 16  # pairs that are compared at once
+_PART = ["band", "i", "j"]
 NO_ID = 2**63 - 1  # stands for a null doc_id; above every other
 
 
@@ -127,11 +129,13 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = {"node": pa.binary(), "item": pa.int64()}
+    """Every shingle of each node; the node as two numbers, which Spark aggregates without sorting."""
+    kinds = {"high": pa.int64(), "low": pa.int64(), "item": pa.int64()}
     for given in batches:
-        for node, items in zip(given["node"].to_pylist(), given["items"].to_pylist()):
-            values = np.frombuffer(items, np.int64)
-            yield batch({"node": [node] * len(values), "item": values}, kinds)
+        items = given["items"].to_pylist()
+        node = np.frombuffer(b"".join(given["node"].to_pylist()), ">i8").astype(np.int64).reshape(-1, 2)
+        node = np.repeat(node, [len(x) // 8 for x in items], axis=0)
+        yield batch({"high": node[:, 0], "low": node[:, 1], "item": np.frombuffer(b"".join(items), np.int64)}, kinds)
 
 
 def _linked(numerator: int, denominator: int):
@@ -159,15 +163,91 @@ def _possible(x: str, y: str, numerator: int, denominator: int) -> Column:
     return denominator * F.least(c(x), c(y)) >= numerator * (u(x) + u(y) + F.greatest(c(x), c(y)))
 
 
-def _bits_allow(x: str, y: str, numerator: int, denominator: int) -> Column:
-    """Whether the bitmaps of two nodes leave room for a link."""
+def _halves(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """(rows, 2) words of an Arrow column of 16 bytes a row."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, 2)
 
-    def lacking(a: str, b: str) -> Column:
-        words_ = [(F.get(f"{a}_bits", k), F.get(f"{b}_bits", k)) for k in range(BITMAP)]
-        return reduce(operator.add, [F.bit_count(v.bitwiseAND(F.bitwise_not(w))) for v, w in words_])
 
-    both = F.least(F.col(f"{x}_n") - lacking(x, y), F.col(f"{y}_n") - lacking(y, x))
-    return denominator * both >= numerator * (F.col(f"{x}_n") + F.col(f"{y}_n") - both)
+def _pairs_allowed(rows: pa.Table, numerator: int, denominator: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(stray, member): rows of one part of a bucket whose bounds leave room for a link.
+
+    ``rows`` hold whole parts, one after another, the strays of each first.
+    """
+    column = lambda c: rows[c].combine_chunks().to_numpy(zero_copy_only=False)
+    part = np.stack([column(c) for c in _PART], axis=1)
+    starts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]).any(axis=1)])
+    sizes = np.diff(np.r_[starts, len(part)])
+    strays = np.add.reduceat(column("stray").astype(np.int64), starts)
+    members = sizes - strays
+    ends = np.cumsum(strays * members)
+    n, u, label = column("n"), column("u"), _halves(rows["label"])
+    c = n - u
+    bits = rows["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP)
+    ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+    for first in range(0, int(ends[-1]), PAIRS):
+        k = np.arange(first, min(first + PAIRS, int(ends[-1])))
+        at = np.searchsorted(ends, k, "right")
+        k -= ends[at] - strays[at] * members[at]
+        x, y = starts[at] + k // members[at], starts[at] + strays[at] + k % members[at]
+        # Shingles that occur in one node alone are not shared.
+        room = denominator * np.minimum(c[x], c[y]) >= numerator * (u[x] + u[y] + np.maximum(c[x], c[y]))
+        room &= (label[x] != label[y]).any(axis=1)
+        x, y = x[room], y[room]
+        # Nor are those on a bit that the other node's bitmap does not have.
+        shared = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+        both = np.minimum(n[x] - ones[x], n[y] - ones[y]) + shared
+        room = denominator * both >= numerator * (n[x] + n[y] - both)
+        yield x[room], y[room]
+
+
+def _allowed(numerator: int, denominator: int):
+    """(x, y): nodes of each stray and member of a bucket that two bounds allow to be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for given in batches:
+            rows = pa.Table.from_batches([given])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            # The last part may go on in the next batch.
+            part = [rows[c].combine_chunks().to_numpy() for c in _PART]
+            other = np.flatnonzero(np.any([p != p[-1] for p in part], axis=0)) if len(rows) else []
+            whole = int(other[-1]) + 1 if len(other) else 0
+            yield from found(rows.slice(0, whole))
+            rest = rows.slice(whole)
+        if rest is not None:
+            yield from found(rest)
+
+    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        kinds = {"x": pa.binary(), "y": pa.binary()}
+        node = rows["node"].combine_chunks() if len(rows) else None
+        for x, y in _pairs_allowed(rows, numerator, denominator) if len(rows) else ():
+            if len(x):
+                yield batch({"x": node.take(pa.array(x)), "y": node.take(pa.array(y))}, kinds)
+
+    return run
+
+
+def _parts(left: DataFrame) -> DataFrame:
+    """The strays of each bucket with the members that they are compared with, dealt into bounded parts.
+
+    A part is a block of a bucket's strays and a block of its other members (``stray`` tells which);
+    all but very large buckets are one part.
+    """
+    sizes = left.groupBy("band").agg(F.count_if("stray").alias("strays"), F.count("*").alias("members")).where("strays > 0")
+    blocks = sizes.select(
+        "band", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("strays", "members")]
+    )
+    within = lambda c, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    fields = ["node", "n", "u", "label"]
+    dealt = left.join(blocks, "band")
+    strays = dealt.where("stray").select(
+        "band", within("strays", 1).alias("i"), every("members").alias("j"), F.lit(True).alias("stray"), *fields
+    )
+    members = dealt.select(
+        "band", every("strays").alias("i"), within("members", 2).alias("j"), F.lit(False).alias("stray"), *fields
+    )
+    return strays.unionByName(members)
 
 
 def near_copies(docs: DataFrame, **options: object) -> DataFrame:
@@ -229,13 +309,15 @@ def _judged(
         sets.join(near.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets"
     )
     own = (
-        sets.select("node", "items").mapInArrow(tidy(_items), "node binary, item long")
+        sets.select("node", "items").mapInArrow(tidy(_items), "high long, low long, item long")
         .groupBy("item")
-        .agg(F.count("*").alias("holders"), F.min("node").alias("node"))
+        .agg(F.count("*").alias("holders"), F.min("high").alias("high"), F.min("low").alias("low"))
         .where("holders = 1")
-        .groupBy("node")
+        .groupBy("high", "low")
         .agg(F.count("*").alias("u"))
     )
+    halves = [F.lpad(F.hex(c), 16, "0") for c in ("high", "low")]
+    own = own.select(F.unhex(F.concat(*halves)).alias("node"), "u")
     near = materialize(
         near.join(own, "node", "left").select("node", "n", F.coalesce("u", F.lit(0)).alias("u")), "near"
     )
@@ -270,25 +352,23 @@ def _judged(
     centre = hub.select("band", F.col("y").alias("x")).join(label, "x", "left").select(
         "band", F.col("x").alias("hub"), F.coalesce("x_label", "x").alias("hub_label")
     )
+    # A node that its own shingles leave alone has no link at all.
+    alone = denominator * (F.col("n") - F.col("u")) < numerator * F.col("n")
     left = (
         member.join(label, "x", "left")
         .withColumn("x_label", F.coalesce("x_label", "x"))
         .join(materialize(centre, "hubs"), "band")
         .where("x <> hub")
+        .select(
+            "band", F.col("x").alias("node"), F.col("x_n").alias("n"), F.col("x_u").alias("u"),
+            F.col("x_label").alias("label"), (F.col("x_label") != F.col("hub_label")).alias("stray"),
+        )
+        .where(~alone)
     )
-    left = materialize(left, "members")
-    alone = denominator * (F.col("x_n") - F.col("x_u")) < numerator * F.col("x_n")
-    strays = left.where((F.col("x_label") != F.col("hub_label")) & ~alone)
-    crowd = left.join(strays.select("band").distinct(), "band", "left_semi")
-    bits = sets.select(F.col("node").alias("x"), F.col("bits").alias("x_bits"))
-    strays, crowd = (materialize(t.join(bits, "x"), "members") for t in (strays, crowd))
-    fields = ("", "_n", "_u", "_label", "_bits")
-    crowd = crowd.select("band", *[F.col(f"x{c}").alias(f"y{c}") for c in fields])
+    parts = _parts(materialize(left, "members")).join(sets.select("node", "bits"), "node")
     rest = (
-        strays.select("band", *[f"x{c}" for c in fields])
-        .join(crowd, "band")
-        .where((F.col("x_label") != F.col("y_label")) & possible & _bits_allow("x", "y", numerator, denominator))
-        .select("x", "y")
+        parts.repartition(*_PART).sortWithinPartitions(*_PART, F.desc("stray"))
+        .mapInArrow(tidy(_allowed(numerator, denominator)), "x binary, y binary")
     )
     more = materialize(verified(rest), "links")
     labels = components(links.union(more)) if not more.isEmpty() else labels

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from jobmeter.llm import near_copies, words
@@ -71,6 +72,45 @@ def test_against_all_pairs(spark, rows):
     assert rows_of(found, "doc_id", "n_shingles", "component_id", "kept") == brute_force(rows)
 
 
+def test_large_buckets_are_dealt_into_parts(spark, rows, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    monkeypatch.setattr(near_copies, "PAIRS", 7)
+    docs = documents(spark, [(i, t, None, None) for i, t in rows])
+    assert rows_of(near_copies.near_copies(docs), "doc_id", "n_shingles", "component_id", "kept") == brute_force(rows)
+
+
+def test_bounds_of_whole_batches_equal_those_of_single_pairs():
+    # Parts of a bucket lie across batches; before, a row was made of each stray and each member.
+    rng = np.random.default_rng(3)
+    rows = []
+    for band in range(40):
+        core = rng.integers(0, 2**63, 90, dtype=np.uint64)
+        for k in range(int(rng.integers(2, 25))):
+            items = np.unique(np.concatenate([rng.choice(core, int(rng.integers(50, 90)), False), rng.integers(0, 2**63, 9, dtype=np.uint64)]))
+            node, label = (bytes(rng.integers(0, 256, 16, dtype=np.uint8)) for _ in range(2))
+            bits = np.zeros(near_copies.BITMAP * 64, np.uint8)
+            bits[items % np.uint64(len(bits))] = 1
+            rows.append({
+                "band": band // 2, "i": band % 2, "j": 0, "stray": k < 3, "node": node, "n": len(items), "u": int(rng.integers(0, 10)),
+                "label": rows[-1]["label"] if k % 4 == 1 else label, "bits": np.packbits(bits).view(np.int64).tolist(),
+            })
+
+    def allowed(x, y):
+        c, e = x["n"] - x["u"], y["n"] - y["u"]
+        own = 100 * min(c, e) >= 75 * (x["u"] + y["u"] + max(c, e))
+        count = lambda a, b: sum((v & ~w & (2**64 - 1)).bit_count() for v, w in zip(a["bits"], b["bits"]))
+        both = min(x["n"] - count(x, y), y["n"] - count(y, x))
+        return x["label"] != y["label"] and own and 100 * both >= 75 * (x["n"] + y["n"] - both)
+
+    part = lambda r: (r["band"], r["i"])
+    expected = {(x["node"], y["node"]) for x in rows for y in rows if x["stray"] and not y["stray"] and part(x) == part(y) and allowed(x, y)}
+    batches = pa.Table.from_pylist(rows).to_batches(max_chunksize=7)
+    found = [(x, y) for b in near_copies._allowed(75, 100)(iter(batches)) for x, y in zip(b["x"].to_pylist(), b["y"].to_pylist())]
+    assert 0 < len(expected) < sum(x["stray"] and not y["stray"] and part(x) == part(y) for x in rows for y in rows)
+    assert len(found) == len(set(found)) and set(found) == expected
+    assert list(near_copies._allowed(75, 100)(iter([]))) == []
+
+
 def test_deduplicated_keeps_one_of_each_group(spark, rows):
     docs = documents(spark, [(i, t, None, None) for i, t in rows])
     kept = near_copies.deduplicated(docs)
