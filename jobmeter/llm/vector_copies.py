@@ -8,44 +8,52 @@ visit the other cell, and of each two cells only one sends its vectors to the ot
 within the radius meets exactly once. Cells are split again until they are small or splitting does
 not pay (measured on a sample of the cell); what is still large is joined in blocks of vectors.
 
-A joined block does not emit pairs: it counts links and names one root per vector for the
-components. Equal vectors are one node with a weight from the start.
+Pairs of blocks meet in waves: block i meets block i + d for one distance d at a time, so a wave
+shuffles a vector twice at most, and its shuffle files go when its result is written. A
+joined pair of blocks does not emit pairs: it counts links and names one root per vector for the
+components. Equal vectors are one node with a weight from the start, and vectors of 32-bit
+components stay such until they are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from jobmeter.llm.components import components
 from jobmeter.llm.tables import batch, bounded_batches, col, ordered, packed, unpacked
 from jobmeter.operators.lookups import small_side
-from jobmeter.session import materialize
+from jobmeter.session import materialize, shuffles_dropped
 
 SIMILARITY = 0.98
 CELL = 2048  # members of a cell that is joined without further splitting
 BLOCK = 4096  # members of a block of a larger one
+WIDE = 4  # a cell of more than so many blocks gets blocks up to so many times larger first
+BLOCK_BYTES = 16 << 20  # bound of these, in doubles
 SAMPLE = 512  # members that choose and judge the pivots of a cell
 PIVOTS = (4, 8, 16, 32)
 LEVELS = 24
 COPY_COST = 400  # a copy of a vector, in comparisons of two vectors
+COPIES = 1.5  # members of all new cells, guests included, for each vector that lives there
 GAIN = 0.7  # splitting must bring the cost below this share of the blocks' cost
 SLACK = 1e-9  # rounding room of distances; links are decided by the cosine itself
 
-_MEMBER = {"node": pa.int64(), "weight": pa.int64(), "home": pa.bool_(), "vector": pa.list_(pa.float64())}
+_MEMBER = ["node", "weight", "home", "vector"]
 
 
 def unit(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """The vectors of an Arrow column as rows of length one."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    rows = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    rows = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64, copy=False)
     # Scaled first, so that squares of very large or small components stay finite and above zero.
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.sqrt((rows**2).sum(axis=1, keepdims=True))
@@ -76,13 +84,28 @@ class Plan:
     cell: int = CELL
     block: int = BLOCK
     copy_cost: int = COPY_COST
+    wide: int = WIDE
 
+    def widest(self, size: int) -> int:
+        """Members of the largest blocks of vectors of ``size`` components."""
+        return max(self.block, min(self.wide * self.block, BLOCK_BYTES // (8 * max(size, 1))))
 
-def pivots_for(points: np.ndarray, size: int, plan: Plan) -> np.ndarray | None:
-    """Pivots that split a cell of ``size`` members, drawn as ``points``, or None if none of them pays."""
-    n = len(points)
+    def blocks(self, members: int, size: int) -> int:
+        """Blocks of a cell."""
+        if members <= self.cell:
+            return 1
+        return max(min(-(-members // self.block), self.wide), -(-members // self.widest(size)))
+
+
+def pivots_for(points: np.ndarray, size: int, plan: Plan, homes: int | None = None) -> np.ndarray | None:
+    """Pivots that split a cell of ``size`` members, drawn as ``points``, or None if none of them pays.
+
+    ``homes`` of the members live there (else all). As many members as ``COPIES`` allows are written for
+    each of these, however deep cells are split, so that the disk grows with the table.
+    """
+    n, homes = len(points), homes or size
     rng = np.random.default_rng(0)
-    best, least = None, GAIN * (size / 2 + plan.copy_cost * -(-size // plan.block))
+    best, least = None, GAIN * (size / 2 + plan.copy_cost * plan.blocks(size, points.shape[1]))
     for k in PIVOTS:
         if k * 8 > n or (k > PIVOTS[0] and k * plan.cell > 4 * size):
             break
@@ -100,6 +123,8 @@ def pivots_for(points: np.ndarray, size: int, plan: Plan) -> np.ndarray | None:
         guest = near & sends(len(centre))[home]
         lives = np.bincount(home, minlength=len(centre)) / n
         comes = guest.sum(axis=0) / n
+        if homes * (1 + comes.sum()) + (size - homes) * near.sum() / n > COPIES * homes:
+            continue
         cost = size * (lives * (lives / 2 + comes)).sum() + plan.copy_cost * (1 + comes.sum())
         if cost < least:
             best, least = centre, cost
@@ -109,7 +134,7 @@ def pivots_for(points: np.ndarray, size: int, plan: Plan) -> np.ndarray | None:
 def _choose(plan: Plan):
     def run(drawn: pa.Table) -> pa.Table:
         drawn = drawn.sort_by([("order", "ascending"), ("node", "ascending")])
-        found = pivots_for(unit(drawn["vector"]), drawn["size"][0].as_py(), plan)
+        found = pivots_for(unit(drawn["vector"]), drawn["size"][0].as_py(), plan, drawn["homes"][0].as_py())
         rows = [] if found is None else [found.reshape(-1).tolist()]
         kinds = {"cell": pa.string(), "pivots": pa.list_(pa.float64()), "size": pa.int64()}
         return pa.Table.from_batches(
@@ -123,9 +148,8 @@ def _split(radius: float):
     """Members of a part of a cell, in its new cells."""
 
     def run(members: pa.Table, pivots: pa.Table) -> pa.Table:
-        kinds = {"cell": pa.string(), **_MEMBER}
         if not members.num_rows or not pivots.num_rows:
-            return pa.table({c: pa.array([], t) for c, t in kinds.items()})
+            return members.select(["cell", *_MEMBER]).slice(0, 0)
         points = unit(members["vector"])
         centre = np.array(pivots["pivots"][0].as_py()).reshape(-1, points.shape[1])
         home, near = visits(points, centre, radius)
@@ -149,16 +173,26 @@ def _split(radius: float):
     return run
 
 
+def _blocks(plan: Plan) -> Column:
+    """``Plan.blocks`` of the cell of a row (cell, size)."""
+    size, parts = F.col("size"), lambda rows: F.ceil(F.col("size") / rows)
+    components_ = F.substring_index("cell", ":", 1).cast("long")
+    widest = F.greatest(F.lit(plan.block), F.least(F.lit(plan.wide * plan.block), F.floor(BLOCK_BYTES / (8 * components_))))
+    many = F.greatest(F.least(parts(F.lit(plan.block)), F.lit(plan.wide)), parts(widest))
+    return F.when(size <= plan.cell, 1).otherwise(many).cast("int")
+
+
 def _cells(members: DataFrame, plan: Plan) -> DataFrame:
     """Members of the final cells, with the number of blocks of their cell."""
     done = []
+    kind = members.schema["vector"].dataType.simpleString()
     for level in range(LEVELS + 1):
-        members = materialize(members, "members")
+        members = materialize(members, "members") if level else members
         sizes = members.groupBy("cell").agg(
             F.count("*").alias("size"), F.count_if("home").alias("homes")
         )
         sizes = small_side(materialize(sizes.where("homes > 0"), "cells"))
-        blocks = F.ceil(F.col("size") / F.when(F.col("size") <= plan.cell, plan.cell).otherwise(plan.block)).cast("int")
+        blocks = _blocks(plan)
         large = sizes.where(F.col("size") > plan.cell)
         pivots = None
         if level < LEVELS and not large.isEmpty():
@@ -166,7 +200,7 @@ def _cells(members: DataFrame, plan: Plan) -> DataFrame:
             drawn = members.where("home").join(large, "cell").withColumn("order", F.xxhash64("node"))
             drawn = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE)
             pivots = materialize(
-                drawn.select("cell", "node", "order", "vector", "size").groupBy("cell").applyInArrow(
+                drawn.select("cell", "node", "order", "vector", "size", "homes").groupBy("cell").applyInArrow(
                     _choose(plan), "cell string, pivots array<double>, size long"
                 ),
                 "pivots",
@@ -184,7 +218,7 @@ def _cells(members: DataFrame, plan: Plan) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.ceil(F.col("size") / plan.block).cast("int") - 1)).alias("part")
         right = pivots.select("cell", every, "pivots").groupBy("cell", "part")
         members = left.cogroup(right).applyInArrow(
-            _split(plan.radius), "cell string, node long, weight long, home boolean, vector array<double>"
+            _split(plan.radius), f"cell string, node long, weight long, home boolean, vector {kind}"
         )
     final = done[0]
     for more in done[1:]:
@@ -199,6 +233,39 @@ def _exact(a: np.ndarray, b: np.ndarray) -> float:
     return dot / (aa * bb) ** 0.5
 
 
+def _linked(some: np.ndarray, others: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): the unit vectors of both arrays whose cosine in double precision is large enough."""
+    # 32 bits tell apart what is clear; the margin is above their rounding.
+    margin = (some.shape[1] + 8) * 1.2e-7
+    i, j = np.nonzero(some.astype(np.float32) @ others.astype(np.float32).T >= np.float32(similarity - margin))
+    if len(i) * 16 > len(some) * len(others):
+        score = (some @ others.T)[i, j]
+    else:
+        score = np.empty(len(i))
+        for k in range(0, len(i), 1 << 15):
+            part = slice(k, k + (1 << 15))
+            score[part] = np.einsum("ij,ij->i", some[i[part]], others[j[part]])
+    linked = score >= similarity
+    for k in np.flatnonzero(np.abs(score - similarity) < 1e-12):
+        linked[k] = _exact(some[i[k]], others[j[k]]) >= similarity
+    return i[linked], j[linked]
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The roots ``label``, after the rows a and b of every link have come to one root."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        root = np.arange(len(label))
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+        label = root[label]
+
+
 def _join(similarity: float):
     """(node, links, root): links and a component root of the nodes that a pair of blocks links."""
 
@@ -206,49 +273,54 @@ def _join(similarity: float):
         kinds = {"node": pa.int64(), "links": pa.int64(), "root": pa.int64()}
         points = unit(rows["vector"])
         node, weight = (rows[c].combine_chunks().to_numpy() for c in ("node", "weight"))
-        left, right, home = (rows[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("left", "right", "home"))
-        at, to = np.flatnonzero(left), np.flatnonzero(right)
+        right, home = (rows[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("right", "home"))
+        same = rows["i"][0] == rows["j"][0]
+        at, to = (np.arange(len(node)), np.arange(len(node))) if same else (np.flatnonzero(~right), np.flatnonzero(right))
         label = np.arange(len(node))
         links = np.zeros(len(node), np.int64)
         for first in range(0, len(at), 512):
             some = at[first : first + 512]
-            score = points[some] @ points[to].T
-            linked = score >= similarity
-            for i, j in zip(*np.nonzero(np.abs(score - similarity) < 1e-12)):
-                linked[i, j] = _exact(points[some[i]], points[to[j]]) >= similarity
-            # Two homes of one block meet in the order of their numbers only.
-            both = (right[some][:, None] & left[to][None, :]) & (home[some][:, None] & home[to][None, :])
-            linked &= ~both | (node[some][:, None] < node[to][None, :])
-            links[some] += linked @ weight[to]
-            links[to] += linked.T @ weight[some]
-            for i in np.flatnonzero(linked.any(axis=1)):
-                near = np.unique(label[np.append(to[linked[i]], some[i])])
-                if len(near) > 1:
-                    label[np.isin(label, near[1:])] = near[0]
+            others = to[first:] if same else to
+            i, j = _linked(points[some], points[others], similarity)
+            i, j = some[i], others[j]
+            # Guests of a cell meet elsewhere; rows of one block meet in their order.
+            meet = home[i] | home[j]
+            if same:
+                meet &= i < j
+            i, j = i[meet], j[meet]
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
+            label = _joined(label, i, j)
         out = np.flatnonzero(links)
         return pa.Table.from_batches([batch({"node": node[out], "links": links[out], "root": node[label[out]]}, kinds)])
 
     return run
 
 
-def _met(cells: DataFrame, similarity: float) -> DataFrame:
-    """The join of all cells, block by block: homes of a block meet later homes and all guests."""
-    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
-    all_blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+def _waves(blocks: int) -> list[list[int]]:
+    """Distances of blocks that meet, wave by wave; a member goes to two pairs of blocks at most."""
+    return [[0, 1]] if blocks < 3 else [[d] for d in range(blocks // 2 + 1)]
 
-    def pair(i: Column, j: Column, left: Column, right: Column) -> Column:
-        return F.struct(i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
 
-    as_home = F.transform(all_blocks, lambda b: pair(F.col("own"), b, F.lit(True), b == F.col("own")))
-    as_later = F.transform(
-        F.filter(all_blocks, lambda b: b < F.col("own")), lambda b: pair(b, F.col("own"), F.lit(False), F.lit(True))
+def _met(cells: DataFrame, similarity: float, distances: list[int]) -> DataFrame:
+    """The join of all pairs of blocks at the given distances, around the circle of a cell's blocks."""
+    own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")
+    ways = F.array_distinct(F.array(*[F.pmod(F.col("own") + sign * d, F.col("blocks")) for d in distances for sign in (1, -1)]))
+    cells = cells.where(F.col("blocks") >= 2 * min(distances))  # the others are done
+    place = lambda b: F.struct(
+        F.least("own", b).alias("i"), F.greatest("own", b).alias("j"), (F.col("own") > b).alias("right")
     )
-    as_guest = F.transform(all_blocks, lambda b: pair(b, F.col("own"), F.lit(False), F.lit(True)))
-    places = F.when(F.col("home"), F.concat(as_home, as_later)).otherwise(as_guest)
-    dealt = cells.withColumn("own", own).select("cell", *_MEMBER, F.inline(places))
+    dealt = cells.withColumn("own", own).select("cell", *_MEMBER, F.inline(F.transform(ways, place)))
     return dealt.groupBy("cell", "i", "j").applyInArrow(_join(similarity), "node long, links long, root long")
 
 
+def _all_met(cells: DataFrame, similarity: float) -> DataFrame:
+    """(node, links, root) of every pair of blocks; one wave after another is written."""
+    most = cells.agg(F.max("blocks")).first()[0] or 1
+    found = [materialize(_met(cells, similarity, distances), "links") for distances in _waves(most)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def near_copies(
     vectors: DataFrame,
     *,
@@ -274,27 +346,30 @@ def near_copies(
     does not depend on them.
     """
     keep = vectors.columns if keep is None else list(keep)
-    given = col(vector).cast("array<double>")
+    element = vectors.select(col(vector)).schema[0].dataType
+    kind = "float" if element == ArrayType(FloatType(), element.containsNull) else "double"
+    given = col(vector).cast(f"array<{kind}>")
     keyed = packed(
         bounded_batches(vectors), keep, id=col(vec_id).cast("long"), label=col(label).cast("string"), given=given
     )
     sound = F.forall("given", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
     valid = F.col("label").isNotNull() & (F.size("given") > 0) & sound & F.exists("given", lambda x: x != 0)
-    clean = F.transform("given", lambda x: x + F.lit(0.0))  # no negative zeros
+    clean = F.transform("given", lambda x: x + F.lit(0.0).cast(kind))  # no negative zeros
     cell = F.concat_ws(":", F.size("given").cast("string"), "label")
     keyed = keyed.select(
         "id", "row", F.when(valid, cell).alias("cell"), F.when(valid, clean).alias("vector")
     ).withColumn("node", F.when(F.col("cell").isNotNull(), F.xxhash64("cell", "vector")))
-    nodes = materialize(
-        keyed.where("node is not null").groupBy("node", "cell", "vector").agg(
-            F.count("*").alias("weight"), F.min("id").alias("least")
-        ),
-        "nodes",
-    )
-    plan = Plan(float(np.sqrt(max(0.0, 2 - 2 * similarity))), **sizes)
-    members = nodes.select("cell", "node", "weight", F.lit(True).alias("home"), "vector")
-    found = materialize(_met(_cells(members, plan), similarity), "links")
-    labels = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    with shuffles_dropped(vectors.sparkSession):
+        nodes = materialize(
+            keyed.where("node is not null").groupBy("node", "cell", "vector").agg(
+                F.count("*").alias("weight"), F.min("id").alias("least")
+            ),
+            "nodes",
+        )
+        plan = Plan(float(np.sqrt(max(0.0, 2 - 2 * similarity))), **sizes)
+        members = nodes.select("cell", "node", "weight", F.lit(True).alias("home"), "vector")
+        found = _all_met(_cells(members, plan), similarity)
+        labels = components(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = nodes.select("node", "weight", "least").join(labels, "node", "left").withColumn(
         "label", F.coalesce("label", "node")
     )

@@ -98,6 +98,21 @@ def materialize(df: DataFrame, name: str = "table", partition_by: str | None = N
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Let the shuffle files of each query inside the block go when that query ends.
+
+    Else they stay on the executors' disks until the driver collects its garbage.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.set(name, "true")
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` in the shared folder."""
     shared_folder(df.sparkSession)

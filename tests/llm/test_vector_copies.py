@@ -110,3 +110,40 @@ def test_pivots_only_where_they_pay():
     groups /= np.linalg.norm(groups, axis=1)[:, None]
     assert len(vector_copies.pivots_for(groups, 5000, plan)) > 2
     assert vector_copies.pivots_for(scattered[:1].repeat(512, 0), 5000, plan) is None
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3, 4, 7, 8])
+def test_every_two_blocks_meet_in_one_wave(blocks):
+    met = [frozenset((b, (b + d) % blocks)) for wave in vector_copies._waves(blocks) for d in wave for b in range(blocks)]
+    assert set(met) == {frozenset((i, j)) for i in range(blocks) for j in range(blocks)}
+    for wave in vector_copies._waves(blocks):  # before, a vector went to one and a half times as many pairs as there are blocks
+        assert len({(w * d) % blocks for d in wave for w in (1, -1)}) <= 2
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_many_waves_of_blocks(spark, kind):
+    rows = clustered(500, 2, 6, spread=0.5)
+    rows = [(i, np.array(v, np.float32).astype(float).tolist(), g) for i, v, g in rows]
+    df = spark.createDataFrame([(i, v, g) for i, v, g in rows], f"vec_id long, embedding array<{kind}>, label string")
+    options = {**SMALL, "block": 40, "wide": 1}
+    plan = vector_copies.Plan(0.2, **options)
+    assert plan.blocks(250, 8) == 7 and len(vector_copies._waves(7)) == 4
+    result = vector_copies.near_copies(df, **options).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in result), key=repr) == brute_force(rows)
+
+
+def test_blocks_grow_before_they_become_many():
+    plan = vector_copies.Plan(0.2)
+    assert [plan.blocks(n, 64) for n in (2048, 2049, 4097, 16384, 40_000, 65_536, 65_537, 720_000)] == [1, 1, 2, 4, 4, 4, 5, 44]
+    assert plan.blocks(65_536, 1536) == 16  # of 50 MB each, as before
+
+
+def test_splitting_makes_a_bounded_number_of_copies():
+    rng, plan = np.random.default_rng(7), vector_copies.Plan(0.2)
+    scattered = rng.normal(size=(512, 64))
+    scattered /= np.linalg.norm(scattered, axis=1)[:, None]
+    assert vector_copies.pivots_for(scattered, 60_000, plan) is None  # was split: eight copies of a vector for fewer products
+    groups = scattered[:20][rng.integers(0, 20, 512)] + 0.01 * rng.normal(size=(512, 64))
+    groups /= np.linalg.norm(groups, axis=1)[:, None]
+    assert vector_copies.pivots_for(groups, 60_000, plan) is not None
+    assert vector_copies.pivots_for(groups, 60_000, plan, homes=20_000) is None  # two guests for each that lives there already
