@@ -24,6 +24,7 @@ from jobmeter.streaming import usage as live
 Query = Callable[["Inputs"], DataFrame]
 
 JOBS_PER_STATE_PARTITION = 250_000
+JOBS_IN_MEMORY = 8_000_000  # with more, the state of the streams lies on disk
 
 
 class Inputs:
@@ -485,7 +486,8 @@ def _incremental_usage(x: Inputs) -> DataFrame:
     turn, reading_turn = F.crc32("JobID") % 3, F.coalesce(F.crc32("job_key") % 3, F.lit(0))
     exported = materialize(x.sacct.select("JobID", "User", "Start"), "exported")
     readings = materialize(x.emissions, "readings")
-    partitions = 4 + exported.count() // JOBS_PER_STATE_PARTITION
+    count = exported.count()
+    partitions = 4 + count // JOBS_PER_STATE_PARTITION
     for i in range(3):
         again = (turn < i) & (F.crc32("JobID") % 7 == 0)
         exported.where((turn == i) | again).write.mode("append").csv(jobs, sep="|", header=True)
@@ -493,7 +495,7 @@ def _incremental_usage(x: Inputs) -> DataFrame:
         live.refresh(
             live.stream_csv(x.spark, jobs, ["JobID", "User", "Start"]),
             live.stream_csv(x.spark, metered, ["job_key", "energy_kWh"]),
-            table, delay="400 days", partitions=partitions,
+            table, delay="400 days", partitions=partitions, on_disk=count > JOBS_IN_MEMORY,
         )
     none = {"start_day": F.lit(None).cast("string"), "start_hour": F.lit(None).cast("int"), "energy_mean_kwh": F.lit(None).cast("double")}
     parts = {"day": live.by_day(x.spark, table), "hour": live.by_hour_of_day(x.spark, table), "cell": live.day_hours(x.spark, table)}

@@ -10,7 +10,7 @@ again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +23,16 @@ from jobmeter.operators.usage import START_DAY, START_HOUR
 
 CELL = "start_day string, start_hour int, job_count long, energy_total_kwh double"
 
+#: State in RocksDB, with bounded memory; both sides of a join share a store, and no store outlasts its task.
+_STORE = "spark.sql.streaming.stateStore"
+ON_DISK = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}.rocksdb.trackTotalNumberOfRows": "false",
+    f"{_STORE}.unloadOnCommit": "true",
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
+
 
 class LateRows(RuntimeError):
     """Rows came later than the given delay and Spark left them out."""
@@ -97,30 +107,33 @@ def _write(table: str) -> Callable[[DataFrame, int], None]:
 
 
 @contextmanager
-def _partitions(spark: SparkSession, count: int | None) -> Iterator[None]:
-    """The session's number of shuffle partitions, which fixes that of the state, for a while."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
+def _settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """The session with other settings for a while."""
+    before = {name: spark.conf.get(name, None) for name in values}
     try:
-        if count:
-            spark.conf.set(name, str(count))
+        for name, value in values.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def refresh(
-    jobs: DataFrame, readings: DataFrame, table: str, *, delay: str | None = None, partitions: int | None = None
+    jobs: DataFrame, readings: DataFrame, table: str, *, delay: str | None = None, partitions: int | None = None,
+    on_disk: bool = False,
 ) -> int:
     """Take all new files of both streams into ``table`` and stop; the number of rows read.
 
     ``table`` is a folder that every executor can reach; state, offsets and changes live there, and the
     next call goes on from them. ``partitions`` sets the number of state partitions at the first call.
-    A ``delay`` must be the same in every call. If rows came later than it allows, ``LateRows`` says how
+    ``on_disk`` keeps the state in files of the executors with a bounded amount of memory, for state that
+    does not fit their heaps. It and ``delay`` must be the same in every call. If rows came later than it allows, ``LateRows`` says how
     many; nothing is lost silently.
     """
     spark = jobs.sparkSession
-    with _partitions(spark, partitions):
+    settings = {"spark.sql.shuffle.partitions": str(partitions)} if partitions else {}
+    with _settings(spark, settings | (ON_DISK if on_disk else {})):
         stream = (
             changes(jobs, readings, delay).writeStream.foreachBatch(_write(table))
             .option("checkpointLocation", f"{table}/state").trigger(availableNow=True).start()

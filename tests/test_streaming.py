@@ -1,5 +1,7 @@
 """Usage tables kept up to date from files, against one batch over all of them."""
 
+from pathlib import Path
+
 import pytest
 
 from jobmeter.operators import energy, usage
@@ -100,3 +102,18 @@ def test_each_job_is_in_the_state_of_one_join(spark, tmp_path, delay):
     plan = live.changes(*streams, delay)._jdf.queryExecution().analyzed().toString()
     assert plan.count("Join Inner") == 1
     assert plan.count("Deduplicate") == 2  # of the jobs and of the keys with a reading
+
+
+def test_state_on_disk_gives_the_same_tables(spark, feed):
+    names = [*live.ON_DISK, "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(name, None) for name in names]
+    jobs = [(str(i), f"u{i % 3}", f"2024-03-{1 + i % 5:02d} {i % 24:02d}:{i % 60:02d}:00") for i in range(30)]
+    readings = [(key(j), 0.5 + i) for i, j in enumerate(jobs[:25]) for _ in range(1 + i % 3)]
+    feed(jobs[:20], readings[::2], delay="400 days", on_disk=True)
+    feed(jobs[10:], readings[1::2], delay="400 days", on_disk=True)
+    assert cells(spark, feed.table) == batch(spark, jobs, readings)
+    assert feed(delay="400 days", on_disk=True) == 0
+    feed(jobs, delay="400 days", on_disk=True)  # repeats in a later refresh
+    assert cells(spark, feed.table) == batch(spark, jobs, readings)
+    assert list(Path(feed.table).rglob("*.sst")) or list(Path(feed.table).rglob("*.zip"))  # RocksDB's files
+    assert [spark.conf.get(name, None) for name in names] == before
